@@ -669,3 +669,144 @@ def q_minmax_cells(spark, sf):
     cast(y % 2 as int) as tile_row, cast(x % 2 as int) as tile_col from elevation""", "elevation"), ("z",))
 def q_tiles(spark, sf):
     return grid.tiles(fx.elevation(spark, sf), 2)
+
+
+# ------------------------------------------------------------------ regridding
+
+def _target_axis_sql(col: str, step: float, pad: float) -> str:
+    return (f"select lo - ({pad}) + unnest(generate_series(0, cast(floor((hi - lo + {2 * pad}) / {step} + 1e-9) "
+            f"as bigint))) * {step} as t from (select cast(min({col}) as double) as lo, "
+            f"cast(max({col}) as double) as hi from pair_daily)")
+
+
+def _bilinear_weights_sql(ax: str) -> str:
+    return f"""s{ax} as (select distinct cast({ax} as double) as s from pair_daily),
+    t{ax} as ({_target_axis_sql(ax, 0.25, 0.5)}),
+    br{ax} as (select t, (select max(s) from s{ax} where s <= t) as a, (select min(s) from s{ax} where s >= t) as b
+              from t{ax}),
+    w{ax} as (select t, a as s, case when a = b then 1.0 else (b - t) / (b - a) end as w,
+                     case when a = b then 1 else 2 end as k from br{ax} where a is not null and b is not null
+              union all
+              select t, b as s, (t - a) / (b - a) as w, 2 as k from br{ax}
+              where a is not null and b is not null and a <> b)"""
+
+
+@register("regrid_bilinear", with_fixtures(
+    f"""with {_bilinear_weights_sql('x')}, {_bilinear_weights_sql('y')}
+    select d.time, wy.t as y, wx.t as x,
+           case when count(d.o) = max(wx.k * wy.k) then sum(wx.w * wy.w * d.o) end as o
+    from pair_daily d join wx on cast(d.x as double) = wx.s join wy on cast(d.y as double) = wy.s
+    group by 1, 2, 3""", "pair_daily"), ("o", "y", "x"))
+def q_regrid_bilinear(spark, sf):
+    from ..operators import regrid
+    d = _pd(spark, sf).select("time", "y", "x", "o")
+    return regrid.bilinear(d, ["o"], regrid.target_axis(d, "y", 0.25, 0.5), regrid.target_axis(d, "x", 0.25, 0.5))
+
+
+def _edges_sql(name: str, src: str, col: str) -> str:
+    return f"""{name} as (select {col}, case when p is null then {col} - (n - {col}) / 2 else (p + {col}) / 2 end as lo,
+       case when n is null then {col} + ({col} - p) / 2 else ({col} + n) / 2 end as hi
+       from (select {col}, lag({col}) over (order by {col}) as p, lead({col}) over (order by {col}) as n from {src}))"""
+
+
+def _conservative_weights_sql(ax: str, spherical: bool) -> str:
+    a, b = "greatest(te.lo, se.lo)", "least(te.hi, se.hi)"
+    w = f"sin(radians({b})) - sin(radians({a}))" if spherical else f"{b} - {a}"
+    return f"""s{ax} as (select distinct cast({ax} as double) as s from pair_daily),
+    t{ax} as ({_target_axis_sql(ax, 2.0, -0.5)}),
+    {_edges_sql(f'se{ax}', f's{ax}', 's')},
+    {_edges_sql(f'te{ax}', f't{ax}', 't')},
+    w{ax} as (select te.t, se.s, {w} as w from te{ax} te join se{ax} se on {b} > {a})"""
+
+
+@register("regrid_conservative", with_fixtures(
+    f"""with {_conservative_weights_sql('x', False)}, {_conservative_weights_sql('y', True)}
+    select d.time, wy.t as y, wx.t as x,
+           sum(wx.w * wy.w * d.o) / sum(case when d.o is not null then wx.w * wy.w end) as o
+    from pair_daily d join wx on cast(d.x as double) = wx.s join wy on cast(d.y as double) = wy.s
+    group by 1, 2, 3""", "pair_daily"), ("o", "y", "x"))
+def q_regrid_conservative(spark, sf):
+    from ..operators import regrid
+    d = _pd(spark, sf).select("time", "y", "x", "o")
+    return regrid.conservative(d, ["o"], regrid.target_axis(d, "y", 2.0, -0.5),
+                               regrid.target_axis(d, "x", 2.0, -0.5), spherical=True)
+
+
+# ------------------------------------------------------------------ terrain
+
+_NB = {"a": (1, -1), "b": (1, 0), "c": (1, 1), "d": (0, -1), "f": (0, 1), "g": (-1, -1), "h": (-1, 0), "i": (-1, 1)}
+_OPP = {"a": "i", "b": "h", "c": "g", "d": "f", "f": "d", "g": "c", "h": "b", "i": "a"}
+_ASPECT = "degrees(atan2(dy, -dx))"
+
+TERRAIN_SQL = with_fixtures(
+    "with n as (select e.y, e.x, e.z as e, "
+    + ", ".join(f"{k}.z as {k}" for k in _NB)
+    + " from elevation e "
+    + " ".join(f"left join elevation {k} on {k}.y = e.y + ({dy}) and {k}.x = e.x + ({dx})"
+               for k, (dy, dx) in _NB.items())
+    + " where e.z is not null), w as (select y, x, e, "
+    + ", ".join(f"coalesce({k}, 2 * e - {_OPP[k]}, e) as {k}" for k in _NB)
+    + " from n), g as (select y, x, e, ((c + 2 * f + i) - (a + 2 * d + g)) / 8.0 as dx, "
+    "((g + 2 * h + i) - (a + 2 * b + c)) / 8.0 as dy from w) "
+    "select y, x, e as z, cast(degrees(atan(sqrt(dx * dx + dy * dy))) as float) as slope, "
+    f"cast(case when dx = 0 and dy = 0 then null else (case when (case when {_ASPECT} > 90 then 450 - {_ASPECT} "
+    f"else 90 - {_ASPECT} end) = 360 then 0 else (case when {_ASPECT} > 90 then 450 - {_ASPECT} "
+    f"else 90 - {_ASPECT} end) end) end as float) as aspect from g", "elevation")
+
+
+@register("terrain_slope_aspect", TERRAIN_SQL, ("z", "slope", "aspect"))
+def q_terrain(spark, sf):
+    from ..operators import terrain
+    return terrain.slope_aspect(fx.elevation(spark, sf), "z")
+
+
+# ------------------------------------------------------------------ splits and sampling
+
+def _int_hash(c, seed: int = 0):
+    return (c * 7919 + seed) % 10007
+
+
+@register("split_stratified", with_fixtures(
+    """with days as (select time, avg(o) as m from pair_daily group by 1),
+    s as (select time, cast(m >= 25 as int) as stratum,
+                 (date_diff('day', date '1970-01-01', time) * 7919) % 10007 as k from days),
+    r as (select time, stratum, row_number() over (partition by stratum order by k, time) as rn,
+                 count(*) over (partition by stratum) as n from s)
+    select time, stratum, case when rn <= ceil(0.2 * n) then 'valid' else 'train' end as split from r""",
+    "pair_daily"))
+def q_split_stratified(spark, sf):
+    from ..operators import split
+    key = _int_hash(F.datediff(F.col("time"), F.lit("1970-01-01").cast("date")).cast("long"))
+    return split.stratified_days(_pd(spark, sf), "o", 25.0, 0.2, order_key=key)
+
+
+@register("split_chronological", with_fixtures(
+    """with ax as (select time, row_number() over (order by time) - 1 as i, count(*) over () as n
+                from (select distinct time from pair_daily))
+    select time, case when i >= n - ceil(0.2 * n) then 'test' else 'train' end as split from ax""", "pair_daily"))
+def q_split_chronological(spark, sf):
+    from ..operators import split
+    return split.chronological_split(_pd(spark, sf), 0.2)
+
+
+@register("split_period", with_fixtures(
+    """select *, case when time < date '1999-01-01' then 'train' else 'valid' end as split from pair_daily
+    where time >= date '1995-01-01' and time < date '2001-01-01'""", "pair_daily"), ("o", "p"))
+def q_split_period(spark, sf):
+    from ..operators import split
+    return split.period_split(_pd(spark, sf), ("1995-01-01", "1999-01-01"), ("1999-01-01", "2001-01-01"))
+
+
+@register("reduced_grid", with_fixtures(
+    """with ay as (select y, row_number() over (order by y) - 1 as i from (select distinct y from pair_daily)),
+    sy as (select y from ay order by (i * 7919 + 42) % 10007, i limit 2),
+    ax as (select x, row_number() over (order by x) - 1 as i from (select distinct x from pair_daily)),
+    sx as (select x from ax order by (i * 7919 + 43) % 10007, i limit 2)
+    select * from pair_daily where y in (select y from sy) and x in (select x from sx)""", "pair_daily"),
+    ("o", "p"))
+def q_reduced_grid(spark, sf):
+    from ..operators import split
+    d = _pd(spark, sf)
+    cells = split.sample_cells(d, 2, seed=42, order_keys={"y": _int_hash(F.col("i"), 42),
+                                                          "x": _int_hash(F.col("i"), 43)})
+    return split.reduced_grid(d, cells)
