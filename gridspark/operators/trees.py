@@ -1,0 +1,291 @@
+"""Per-cell regression kernel used inside ``applyInPandas`` (M1, M2, M8).
+
+One histogram tree builder (features quantised to at most 64 bins, split
+search by cumulative gradient/hessian histograms) serves four ensembles:
+
+* ``RandomForestRegressor``: bootstrap-bagged trees, mean of the trees;
+* ``XGBRegressor``: second-order boosting, trees grown depth-wise;
+* ``LGBMRegressor``: second-order boosting, trees grown leaf-wise;
+* ``AdaBoostRegressor``: AdaBoost.R2 (linear loss), weighted median.
+
+It sees one cell's series at a time (bounded by the time axis), which
+Spark groups and schedules; nothing here touches Spark.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+# Library defaults of each model family, used when no parameter is given.
+DEFAULTS = {
+    "RandomForestRegressor": dict(n_estimators=100, max_depth=None, min_child_samples=1, reg_lambda=0.0,
+                                  bootstrap=True),
+    "XGBRegressor": dict(n_estimators=100, learning_rate=0.3, max_depth=6, min_child_weight=1.0,
+                         reg_lambda=1.0, reg_alpha=0.0),
+    "LGBMRegressor": dict(n_estimators=100, learning_rate=0.1, num_leaves=31, max_depth=-1,
+                          min_child_samples=20, reg_lambda=0.0, reg_alpha=0.0, subsample=1.0,
+                          colsample_bytree=1.0),
+    "AdaBoostRegressor": dict(n_estimators=50, learning_rate=1.0, max_depth=3),
+}
+N_BINS = 64
+
+
+def bin_edges(X: np.ndarray, n_bins: int = N_BINS) -> list[np.ndarray]:
+    qs = np.linspace(0, 1, n_bins + 1)[1:-1]
+    return [np.unique(np.quantile(c, qs)) for c in X.T]
+
+
+def apply_bins(X: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    return np.column_stack([np.searchsorted(e, c, side="right") for e, c in zip(edges, X.T)]).astype(np.int32)
+
+
+class Tree:
+    """Arrays of one fitted tree; node 0 is the root, ``feat == -1`` a leaf."""
+
+    def __init__(self):
+        self.feat, self.thr, self.left, self.right, self.value = [], [], [], [], []
+
+    def add(self, value: float) -> int:
+        for a, v in ((self.feat, -1), (self.thr, 0), (self.left, -1), (self.right, -1), (self.value, value)):
+            a.append(v)
+        return len(self.value) - 1
+
+    def predict(self, B: np.ndarray) -> np.ndarray:
+        feat, thr = np.asarray(self.feat), np.asarray(self.thr)
+        left, right, value = np.asarray(self.left), np.asarray(self.right), np.asarray(self.value)
+        node = np.zeros(len(B), dtype=np.int64)
+        rows = np.arange(len(B))
+        while True:
+            f = feat[node]
+            inner = f >= 0
+            if not inner.any():
+                return value[node]
+            go_left = B[rows, np.where(inner, f, 0)] <= thr[node]
+            node = np.where(inner, np.where(go_left, left[node], right[node]), node)
+
+
+def _best_split(B, g, h, idx, nb, feats, lam, alpha, min_child, min_hess):
+    """Best (gain, feature, bin) for the rows ``idx`` from per-feature
+    gradient/hessian histograms."""
+    nf = len(feats)
+    Bi = B[idx][:, feats] + np.arange(nf) * nb
+    G = np.bincount(Bi.ravel(), weights=np.repeat(g[idx], nf), minlength=nf * nb).reshape(nf, nb)
+    H = np.bincount(Bi.ravel(), weights=np.repeat(h[idx], nf), minlength=nf * nb).reshape(nf, nb)
+    C = np.bincount(Bi.ravel(), minlength=nf * nb).reshape(nf, nb)
+    GL, HL, CL = G.cumsum(1)[:, :-1], H.cumsum(1)[:, :-1], C.cumsum(1)[:, :-1]
+    Gt, Ht, Ct = G.sum(1, keepdims=True), H.sum(1, keepdims=True), C.sum(1, keepdims=True)
+    GR, HR, CR = Gt - GL, Ht - HL, Ct - CL
+
+    def score(gs, hs):
+        t = np.sign(gs) * np.maximum(np.abs(gs) - alpha, 0.0)
+        return t * t / (hs + lam + 1e-12)
+    gain = score(GL, HL) + score(GR, HR) - score(Gt, Ht)
+    ok = (CL >= min_child) & (CR >= min_child) & (HL >= min_hess) & (HR >= min_hess)
+    gain = np.where(ok, gain, -np.inf)
+    k = int(np.argmax(gain))
+    f, b = divmod(k, nb - 1)
+    return gain.flat[k], feats[f], b
+
+
+def _leaf(g, h, idx, lam, alpha):
+    G, H = g[idx].sum(), h[idx].sum()
+    t = np.sign(G) * max(abs(G) - alpha, 0.0)
+    return -t / (H + lam + 1e-12)
+
+
+def _grow_levels(t, B, g, h, nb, rows, feats, depth_cap, min_child, min_hess, lam, alpha, scale):
+    """Depth-wise growth, one histogram pass per level: the histograms of
+    all nodes of a level come from one ``bincount`` keyed by (node,
+    feature, bin)."""
+    nf = len(feats)
+    RB = B[rows][:, feats]
+    gr, hr = g[rows], h[rows]
+    pos = np.zeros(len(rows), dtype=np.int64)       # position of each row's node in the level
+    level = [0]                                      # tree node ids of the level
+    depth = 0
+    offs = np.arange(nf) * nb
+
+    def score(gs, hs):
+        tt = np.sign(gs) * np.maximum(np.abs(gs) - alpha, 0.0)
+        return tt * tt / (hs + lam + 1e-12)
+
+    while level and depth < depth_cap and len(pos):
+        k = len(level)
+        key = (pos[:, None] * (nf * nb) + offs + RB).ravel()
+        size = k * nf * nb
+        G = np.bincount(key, weights=np.repeat(gr, nf), minlength=size).reshape(k, nf, nb)
+        H = np.bincount(key, weights=np.repeat(hr, nf), minlength=size).reshape(k, nf, nb)
+        C = np.bincount(key, minlength=size).reshape(k, nf, nb)
+        GL, HL, CL = G.cumsum(2)[:, :, :-1], H.cumsum(2)[:, :, :-1], C.cumsum(2)[:, :, :-1]
+        Gt, Ht, Ct = G.sum(2, keepdims=True), H.sum(2, keepdims=True), C.sum(2, keepdims=True)
+        gain = score(GL, HL) + score(Gt - GL, Ht - HL) - score(Gt, Ht)
+        ok = (CL >= min_child) & (Ct - CL >= min_child) & (HL >= min_hess) & (Ht - HL >= min_hess)
+        gain = np.where(ok, gain, -np.inf).reshape(k, -1)
+        best = gain.argmax(1)
+        bgain = gain[np.arange(k), best]
+        bf, bb = np.divmod(best, nb - 1)
+        split = bgain > 0
+        if not split.any():
+            break
+        # children: left = 2*j, right = 2*j + 1 among the split nodes
+        new_level, child_of = [], np.full((k, 2), -1)
+        for j in np.flatnonzero(split):
+            node = level[j]
+            ln, rn = t.add(0.0), t.add(0.0)
+            t.feat[node], t.thr[node], t.left[node], t.right[node] = int(feats[bf[j]]), int(bb[j]), ln, rn
+            child_of[j] = (len(new_level), len(new_level) + 1)
+            new_level += [ln, rn]
+        keep = split[pos]
+        go_right = RB[np.arange(len(pos)), bf[pos]] > bb[pos]
+        npos = child_of[pos, go_right.astype(int)]
+        RB, gr, hr, pos = RB[keep], gr[keep], hr[keep], npos[keep]
+        m = len(new_level)
+        Gs = np.bincount(pos, weights=gr, minlength=m)
+        Hs = np.bincount(pos, weights=hr, minlength=m)
+        for j, node in enumerate(new_level):
+            tt = np.sign(Gs[j]) * max(abs(Gs[j]) - alpha, 0.0)
+            t.value[node] = scale * (-tt / (Hs[j] + lam + 1e-12))
+        level = new_level
+        depth += 1
+
+
+def grow(B, g, h, nb, *, max_depth=None, num_leaves=None, min_child=1, min_hess=0.0, lam=0.0, alpha=0.0,
+         rows=None, feats=None, scale=1.0) -> Tree:
+    """Grow one tree. Depth-wise when ``num_leaves`` is None, else best-first
+    (leaf-wise) up to ``num_leaves`` leaves."""
+    rows = np.arange(len(g)) if rows is None else rows
+    feats = np.arange(B.shape[1]) if feats is None else feats
+    t = Tree()
+    root = t.add(scale * _leaf(g, h, rows, lam, alpha))
+    leaves = 1
+    depth_cap = max_depth if (max_depth is not None and max_depth > 0) else 10 ** 6
+
+    def split_of(node, idx, d):
+        if d >= depth_cap or len(idx) < 2 * min_child:
+            return None
+        gain, f, b = _best_split(B, g, h, idx, nb, feats, lam, alpha, min_child, min_hess)
+        return (gain, node, idx, d, f, b) if gain > 0 else None
+
+    def apply(cand):
+        _, node, idx, d, f, b = cand
+        m = B[idx, f] <= b
+        li, ri = idx[m], idx[~m]
+        ln = t.add(scale * _leaf(g, h, li, lam, alpha))
+        rn = t.add(scale * _leaf(g, h, ri, lam, alpha))
+        t.feat[node], t.thr[node], t.left[node], t.right[node] = int(f), int(b), ln, rn
+        return [(ln, li, d + 1), (rn, ri, d + 1)]
+
+    if num_leaves is None:
+        _grow_levels(t, B, g, h, nb, rows, feats, depth_cap, min_child, min_hess, lam, alpha, scale)
+    else:
+        # leaf-wise: always split the leaf with the largest gain
+        cands = [c for c in [split_of(root, rows, 0)] if c is not None]
+        while cands and leaves < num_leaves:
+            best = max(range(len(cands)), key=lambda i: cands[i][0])
+            c = cands.pop(best)
+            for node, idx, d in apply(c):
+                nc = split_of(node, idx, d)
+                if nc is not None:
+                    cands.append(nc)
+            leaves += 1
+    return t
+
+
+class Ensemble:
+    """A fitted model: binning edges plus trees and how to combine them."""
+
+    def __init__(self, kind, edges, trees, base=0.0, weights=None):
+        self.kind, self.edges, self.trees, self.base, self.weights = kind, edges, trees, base, weights
+
+    def predict(self, X: np.ndarray) -> np.ndarray:
+        B = apply_bins(X, self.edges)
+        if self.kind == "RandomForestRegressor":
+            return np.mean([t.predict(B) for t in self.trees], axis=0)
+        if self.kind == "AdaBoostRegressor":
+            P = np.column_stack([t.predict(B) for t in self.trees])
+            order = np.argsort(P, axis=1)
+            cw = np.cumsum(np.asarray(self.weights)[order], axis=1)
+            k = (cw >= 0.5 * cw[:, -1:]).argmax(axis=1)
+            return P[np.arange(len(X)), order[np.arange(len(X)), k]]
+        out = np.full(len(X), self.base)
+        for t in self.trees:
+            out += t.predict(B)
+        return out
+
+
+def fit(kind: str, X: np.ndarray, y: np.ndarray, params: dict | None = None, seed: int = 0,
+        X_eval: np.ndarray | None = None, y_eval: np.ndarray | None = None,
+        early_stopping: int | None = None) -> Ensemble:
+    """Fit one model of family ``kind`` on one cell's rows."""
+    p = {**DEFAULTS[kind], **(params or {})}
+    rng = np.random.default_rng(seed)
+    edges = bin_edges(X)
+    B = apply_bins(X, edges)
+    nb = N_BINS
+    n = len(y)
+    if kind == "RandomForestRegressor":
+        trees = []
+        for _ in range(int(p["n_estimators"])):
+            rows = rng.integers(0, n, n) if p["bootstrap"] else np.arange(n)
+            trees.append(grow(B, -y.astype(float), np.ones(n), nb, max_depth=p["max_depth"],
+                              min_child=int(p["min_child_samples"]), lam=0.0, rows=np.sort(rows)))
+        return Ensemble(kind, edges, trees)
+    if kind == "AdaBoostRegressor":
+        w = np.full(n, 1.0 / n)
+        trees, alphas = [], []
+        for _ in range(int(p["n_estimators"])):
+            t = grow(B, -y * w * n, w * n, nb, max_depth=int(p["max_depth"]))
+            err = np.abs(t.predict(B) - y)
+            emax = err.max()
+            if emax <= 0:
+                trees.append(t)
+                alphas.append(1.0)
+                break
+            loss = err / emax
+            eps = float((w * loss).sum())
+            if eps >= 0.5:
+                if not trees:
+                    trees.append(t)
+                    alphas.append(1.0)
+                break
+            beta = eps / (1.0 - eps)
+            trees.append(t)
+            alphas.append(float(p["learning_rate"]) * np.log(1.0 / max(beta, 1e-300)))
+            w = w * beta ** ((1.0 - loss) * float(p["learning_rate"]))
+            w /= w.sum()
+        return Ensemble(kind, edges, trees, weights=alphas)
+    # second-order boosting on squared error: g = pred - y, h = 1
+    base = float(y.mean())
+    pred = np.full(n, base)
+    lr = float(p["learning_rate"])
+    leafwise = kind == "LGBMRegressor"
+    trees: list[Tree] = []
+    Be = apply_bins(X_eval, edges) if X_eval is not None else None
+    pe = np.full(len(y_eval), base) if y_eval is not None else None
+    best, best_k, since = np.inf, 0, 0
+    nfeat = X.shape[1]
+    for _ in range(int(p["n_estimators"])):
+        rows = None
+        if float(p.get("subsample", 1.0)) < 1.0:
+            rows = np.sort(rng.choice(n, max(1, int(n * float(p["subsample"]))), replace=False))
+        feats = None
+        if float(p.get("colsample_bytree", 1.0)) < 1.0:
+            feats = np.sort(rng.choice(nfeat, max(1, int(round(nfeat * float(p["colsample_bytree"])))), replace=False))
+        g, h = pred - y, np.ones(n)
+        t = grow(B, g, h, nb, max_depth=p.get("max_depth"), num_leaves=int(p["num_leaves"]) if leafwise else None,
+                 min_child=int(p.get("min_child_samples", 1)), min_hess=float(p.get("min_child_weight", 0.0)),
+                 lam=float(p.get("reg_lambda", 0.0)), alpha=float(p.get("reg_alpha", 0.0)),
+                 rows=rows, feats=feats, scale=lr)
+        trees.append(t)
+        pred += t.predict(B)
+        if early_stopping and Be is not None:
+            pe += t.predict(Be)
+            rmse = float(np.sqrt(np.mean((pe - y_eval) ** 2)))
+            if rmse < best:
+                best, best_k, since = rmse, len(trees), 0
+            else:
+                since += 1
+                if since >= early_stopping:
+                    trees = trees[:best_k]
+                    break
+    return Ensemble(kind, edges, trees, base=base)

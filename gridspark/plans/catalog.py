@@ -734,18 +734,18 @@ def q_regrid_conservative(spark, sf):
 
 # ------------------------------------------------------------------ terrain
 
-_NB = {"a": (1, -1), "b": (1, 0), "c": (1, 1), "d": (0, -1), "f": (0, 1), "g": (-1, -1), "h": (-1, 0), "i": (-1, 1)}
+_NEIGHBOURS = {"a": (1, -1), "b": (1, 0), "c": (1, 1), "d": (0, -1), "f": (0, 1), "g": (-1, -1), "h": (-1, 0), "i": (-1, 1)}
 _OPP = {"a": "i", "b": "h", "c": "g", "d": "f", "f": "d", "g": "c", "h": "b", "i": "a"}
 _ASPECT = "degrees(atan2(dy, -dx))"
 
 TERRAIN_SQL = with_fixtures(
     "with n as (select e.y, e.x, e.z as e, "
-    + ", ".join(f"{k}.z as {k}" for k in _NB)
+    + ", ".join(f"{k}.z as {k}" for k in _NEIGHBOURS)
     + " from elevation e "
     + " ".join(f"left join elevation {k} on {k}.y = e.y + ({dy}) and {k}.x = e.x + ({dx})"
-               for k, (dy, dx) in _NB.items())
+               for k, (dy, dx) in _NEIGHBOURS.items())
     + " where e.z is not null), w as (select y, x, e, "
-    + ", ".join(f"coalesce({k}, 2 * e - {_OPP[k]}, e) as {k}" for k in _NB)
+    + ", ".join(f"coalesce({k}, 2 * e - {_OPP[k]}, e) as {k}" for k in _NEIGHBOURS)
     + " from n), g as (select y, x, e, ((c + 2 * f + i) - (a + 2 * d + g)) / 8.0 as dx, "
     "((g + 2 * h + i) - (a + 2 * b + c)) / 8.0 as dy from w) "
     "select y, x, e as z, cast(degrees(atan(sqrt(dx * dx + dy * dy))) as float) as slope, "
@@ -810,3 +810,51 @@ def q_reduced_grid(spark, sf):
     cells = split.sample_cells(d, 2, seed=42, order_keys={"y": _int_hash(F.col("i"), 42),
                                                           "x": _int_hash(F.col("i"), 43)})
     return split.reduced_grid(d, cells)
+
+
+# ------------------------------------------------------------------ models (M1-M8), rows-only checks
+
+FEATURES = ["p", "sin_doy", "cos_doy", "z"]
+CALIBRATION = ("1990-01-01", "2000-01-01")
+VALIDATION = ("2000-01-01", "2010-01-01")
+
+
+def model_input(spark: SparkSession, sf: str) -> DataFrame:
+    """M7 on the fixtures: predictor ``p``, elevation (J2) and day-of-year
+    (X2); predictand ``o``; fixed calibration/validation periods (O4)."""
+    from ..operators import models, split
+    feat = models.assemble_features(_pd(spark, sf), fx.elevation(spark, sf), doy=True)
+    return split.period_split(feat, CALIBRATION, VALIDATION)
+
+
+def _model_query(kind: str) -> Build:
+    def build(spark, sf):
+        from ..operators import models
+        return models.fit_predict(model_input(spark, sf), FEATURES, "o", model=kind)
+    return build
+
+
+for _name, _kind in (("model_random_forest", "RandomForestRegressor"), ("model_xgb", "XGBRegressor"),
+                     ("model_lgbm", "LGBMRegressor"), ("model_adaboost", "AdaBoostRegressor")):
+    register(_name, None)(_model_query(_kind))
+
+
+@register("model_skill_cells", None)
+def q_model_skill_cells(spark, sf):
+    """M3: per-cell R² (and the other scores) of the validation predictions."""
+    from ..operators import models
+    pred = models.fit_predict(model_input(spark, sf), FEATURES, "o", model="LGBMRegressor")
+    return metrics.skill(pred, "o", "prediction", by=["y", "x"])
+
+
+@register("hyper_search", None)
+def q_hyper_search(spark, sf):
+    """8 hash-drawn trials on a 2 x 2 sampled sub-grid
+    of the calibration period, early stopping on the last 20 % of each
+    cell's days; the best trial with its mean RMSE."""
+    from ..operators import models, split
+    d = model_input(spark, sf).where(F.col("split") == "train")
+    sub = split.reduced_grid(d, split.sample_cells(d, 2, seed=42))
+    trials = models.trial_table(spark, 8, seed=42)
+    scores = models.search(sub, FEATURES, "o", trials, n_estimators=300, early_stopping=30)
+    return models.best_params(scores, trials)
