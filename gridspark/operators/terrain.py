@@ -13,9 +13,9 @@ Rows run north to south (descending ``y``) and columns west to east
     d e f
     g h i
 
-Edges are computed: a missing neighbour is extrapolated linearly through
-the centre from the opposite neighbour (``2e - opposite``), or takes ``e``
-when that is missing too.
+Edges are computed: a missing neighbour is extrapolated linearly along the
+axis that leaves the raster (``2·b − c``), columns first, then rows, which
+is exact for a plane; a raster one pixel wide falls back to ``e``.
 """
 
 from __future__ import annotations
@@ -29,7 +29,20 @@ from .axes import axis_index, bounded_broadcast
 _CELLS = {(-1, -1): "a", (-1, 0): "b", (-1, 1): "c",
           (0, -1): "d", (0, 0): "e", (0, 1): "f",
           (1, -1): "g", (1, 0): "h", (1, 1): "i"}
-_OPPOSITE = {"a": "i", "b": "h", "c": "g", "d": "f", "f": "d", "g": "c", "h": "b", "i": "a"}
+# edge filling: a missing neighbour is extrapolated linearly along the axis
+# that leaves the raster, columns first (within a row), then rows
+_ROW_FILL = {"a": ("b", "c"), "d": ("e", "f"), "g": ("h", "i"), "c": ("b", "a"), "f": ("e", "d"), "i": ("h", "g")}
+_COL_FILL = {"a": ("d", "g"), "b": ("e", "h"), "c": ("f", "i"), "g": ("d", "a"), "h": ("e", "b"), "i": ("f", "c")}
+
+
+def _fill_edges() -> dict:
+    c = F.col
+    one = {n: F.coalesce(c(n), 2 * c(near) - c(far)) for n, (near, far) in _ROW_FILL.items()}
+    two = {n: F.coalesce(one.get(n, c(n)), 2 * one.get(near, c(near)) - one.get(far, c(far)))
+           for n, (near, far) in _COL_FILL.items()}
+    merged = {**one, **two}
+    # a raster one pixel wide or high has nothing to extrapolate from
+    return {n: F.coalesce(merged[n], c("e")) for n in merged}
 
 
 def neighbourhood(df: DataFrame, value: str, y: str = "y", x: str = "x") -> DataFrame:
@@ -49,9 +62,7 @@ def neighbourhood(df: DataFrame, value: str, y: str = "y", x: str = "x") -> Data
     win = sent.groupBy("__r", "__c").agg(*[F.max(F.when(F.col("n") == n, F.col("__v"))).alias(n)
                                            for n in _CELLS.values()])
     win = win.where(F.col("e").isNotNull())
-    filled = {n: F.coalesce(F.col(n), F.lit(2.0) * F.col("e") - F.col(_OPPOSITE[n]), F.col("e"))
-              for n in _OPPOSITE}
-    win = win.withColumns(filled)
+    win = win.withColumns(_fill_edges())
     back_y = ry.select(F.col("__r"), F.col(y))
     back_x = cx.select(F.col("__c"), F.col(x))
     return win.join(bounded_broadcast(back_y), "__r").join(bounded_broadcast(back_x), "__c").drop("__r", "__c")

@@ -735,18 +735,27 @@ def q_regrid_conservative(spark, sf):
 # ------------------------------------------------------------------ terrain
 
 _NEIGHBOURS = {"a": (1, -1), "b": (1, 0), "c": (1, 1), "d": (0, -1), "f": (0, 1), "g": (-1, -1), "h": (-1, 0), "i": (-1, 1)}
-_OPP = {"a": "i", "b": "h", "c": "g", "d": "f", "f": "d", "g": "c", "h": "b", "i": "a"}
+_ROW_FILL = {"a": ("b", "c"), "d": ("e", "f"), "g": ("h", "i"), "c": ("b", "a"), "f": ("e", "d"), "i": ("h", "g")}
+_COL_FILL = {"a": ("d", "g"), "b": ("e", "h"), "c": ("f", "i"), "g": ("d", "a"), "h": ("e", "b"), "i": ("f", "c")}
 _ASPECT = "degrees(atan2(dy, -dx))"
 
+
+def _fill_sql() -> str:
+    one = {n: f"coalesce({n}, 2 * {a} - {b})" for n, (a, b) in _ROW_FILL.items()}
+    w1 = ", ".join(f"{one.get(n, n)} as {n}1" for n in "abcdefghi")
+    two = {n: f"coalesce({n}1, 2 * {a}1 - {b}1)" for n, (a, b) in _COL_FILL.items()}
+    w2 = ", ".join(f"coalesce({two.get(n, n + '1')}, e1) as {n}" for n in "abcdefghi")
+    return f"w1 as (select y, x, {w1} from n), w as (select y, x, {w2} from w1)"
+
+
 TERRAIN_SQL = with_fixtures(
     "with n as (select e.y, e.x, e.z as e, "
     + ", ".join(f"{k}.z as {k}" for k in _NEIGHBOURS)
     + " from elevation e "
     + " ".join(f"left join elevation {k} on {k}.y = e.y + ({dy}) and {k}.x = e.x + ({dx})"
                for k, (dy, dx) in _NEIGHBOURS.items())
-    + " where e.z is not null), w as (select y, x, e, "
-    + ", ".join(f"coalesce({k}, 2 * e - {_OPP[k]}, e) as {k}" for k in _NEIGHBOURS)
-    + " from n), g as (select y, x, e, ((c + 2 * f + i) - (a + 2 * d + g)) / 8.0 as dx, "
+    + " where e.z is not null), " + _fill_sql()
+    + ", g as (select y, x, e, ((c + 2 * f + i) - (a + 2 * d + g)) / 8.0 as dx, "
     "((g + 2 * h + i) - (a + 2 * b + c)) / 8.0 as dy from w) "
     "select y, x, e as z, cast(degrees(atan(sqrt(dx * dx + dy * dy))) as float) as slope, "
     f"cast(case when dx = 0 and dy = 0 then null else (case when (case when {_ASPECT} > 90 then 450 - {_ASPECT} "
@@ -858,3 +867,82 @@ def q_hyper_search(spark, sf):
     trials = models.trial_table(spark, 8, seed=42)
     scores = models.search(sub, FEATURES, "o", trials, n_estimators=300, early_stopping=30)
     return models.best_params(scores, trials)
+
+
+# ------------------------------------------------------------------ composite jobs
+
+@register("job_shifted_daily", with_fixtures(
+    f"""with ax as {_axis_sql('hourly')},
+    s as (select b.time, h.y, h.x, h.v from hourly h join ax a on h.time = a.time join ax b on b.i = a.i - 6),
+    d as (select cast(time as date) as time, y, x, avg(v) as v from s group by 1, 2, 3)
+    select * from d where time < (select max(time) from d)""", "hourly"), ("v",))
+def q_job_shifted_daily(spark, sf):
+    from . import jobs
+    return jobs.shifted_daily_predictor(fx.hourly(spark, sf), "v", steps=-6)
+
+
+@register("job_observed_precipitation", with_fixtures(
+    f"""with d as (select cast(time as date) as time, y, x, arg_min(v, case when v is not null then time end) as v
+                from hourly group by 1, 2, 3),
+    ax as {_axis_sql('d')},
+    s as (select b.time, h.y, h.x, h.v from d h join ax a on h.time = a.time join ax b on b.i = a.i - 1)
+    select * from s where time < (select max(time) from s)""", "hourly"), ("v",))
+def q_job_observed_precipitation(spark, sf):
+    from . import jobs
+    return jobs.observed_precipitation(fx.hourly(spark, sf), "v")
+
+
+def _report_sql(celsius: bool, wet: float | None) -> str:
+    shift = " - 273.15" if celsius else ""
+    rb = "case when o = 0 then null else (p - o) / o end * 100"
+    parts = [
+        f"""pair as (select time, y, x, o{shift} as o, p{shift} as p from pair_daily
+                   where o is not null and p is not null)""",
+        f"""an as (select d.time, d.y, d.x, d.o - s.mo as o, d.p - s.mp as p
+              from pair d join (select cast(month(time) as int) as month, y, x, avg(o) as mo, avg(p) as mp
+                                from pair group by 1, 2, 3) s
+              on cast(month(d.time) as int) = s.month and d.y = s.y and d.x = s.x)""",
+        "yr as (select cast(year(time) as int) as year, y, x, avg(o) as o, avg(p) as p from pair group by 1, 2, 3)",
+        f"""ex as (select cast(year(time) as int) as year, y, x, quantile_cont(o, 0.98) as o,
+                    quantile_cont(p, 0.98) as p from pair group by 1, 2, 3)""",
+    ]
+    rows = []
+    if wet is not None:
+        parts.append(f"""m as (select last_day(time) as time, y, x, {guarded('sum', 'o')} as o,
+                        {guarded('sum', 'p')} as p from pair group by 1, 2, 3)""")
+        rows.append(f"select 'r2_monthly' as metric, {r2_sql('o', 'p')} as value from m "
+                    "where o is not null and p is not null")
+    else:
+        rows.append(f"select 'r2_daily' as metric, {r2_sql('o', 'p')} as value from pair")
+    rows.append(f"select 'r2_anomaly', {r2_sql('o', 'p')} from an where o is not null and p is not null")
+    rows += [f"select 'bias_yearly', avg(p - o) from yr", f"select 'rel_bias_yearly', avg({rb}) from yr",
+             "select 'mae_yearly', avg(abs(p - o)) from yr", "select 'rmse_yearly', sqrt(avg((p - o) * (p - o))) from yr",
+             "select 'corr_yearly', corr(p, o) from yr",
+             f"select 'rel_bias_extreme', avg({rb}) from ex", "select 'mae_extreme', avg(abs(p - o)) from ex",
+             "select 'rmse_extreme', sqrt(avg((p - o) * (p - o))) from ex"]
+    if wet is not None:
+        parts.append(f"""w as (select time, y, x, cast(o >= {wet} as double) as wo, cast(p >= {wet} as double) as wp,
+                        o, p from pair)""")
+        parts.append(f"""wd as (select y, x, sum(wo) / count(*) * 100 as o, sum(wp) / count(*) * 100 as p
+                         from w group by 1, 2)""")
+        parts.append("""si as (select y, x, case when sum(wo) = 0 then null else sum(o * wo) / sum(wo) end as o,
+                         case when sum(wp) = 0 then null else sum(p * wp) / sum(wp) end as p from w group by 1, 2)""")
+        rows += [f"select 'rel_bias_wet_freq', avg({rb}) from wd", f"select 'rel_bias_sdii', avg({rb}) from si"]
+    return with_fixtures("with " + ",\n".join(parts) + "\n" + "\nunion all\n".join(rows), "pair_daily")
+
+
+@register("job_precipitation_report", _report_sql(False, WET), ("value",))
+def q_job_precipitation_report(spark, sf):
+    from . import jobs
+    d = _pd(spark, sf)
+    return jobs.verification_report(d.select("time", "y", "x", F.col("o").alias("v")),
+                                     d.select("time", "y", "x", F.col("p").alias("v")), "v", wet_threshold=WET)
+
+
+@register("job_temperature_report", _report_sql(True, None), ("value",))
+def q_job_temperature_report(spark, sf):
+    from . import jobs
+    d = _pd(spark, sf)
+    return jobs.verification_report(d.select("time", "y", "x", F.col("o").alias("v")),
+                                    d.select("time", "y", "x", F.col("p").alias("v")), "v",
+                                    wet_threshold=None, celsius=True)
