@@ -82,6 +82,12 @@ def _pd(spark, sf):
     return fx.pair_daily(spark, sf)
 
 
+def _reused(df: DataFrame) -> DataFrame:
+    """Keep a derived grid that several jobs of one query read (axis
+    labels, then the data pass); lost blocks are recomputed from lineage."""
+    return df.cache()
+
+
 # ------------------------------------------------------------------ fixtures / scans
 
 @register("fixture_pair_daily", with_fixtures("select * from pair_daily", "pair_daily"), ("o", "p"))
@@ -436,7 +442,7 @@ def _axis_sql(table: str) -> str:
     "hourly"), ("v",))
 def q_shift_hourly(spark, sf):
     # ds.shift(time=-6): the value 6 steps later moves to the current label
-    return resample.shift(fx.hourly(spark, sf), ["v"], -6)
+    return resample.shift(_reused(fx.hourly(spark, sf)), ["v"], -6)
 
 
 @register("shift_daily", with_fixtures(
@@ -444,7 +450,7 @@ def q_shift_hourly(spark, sf):
     select b.time, h.y, h.x, h.o, h.p from pair_daily h join ax a on h.time = a.time join ax b on b.i = a.i - 1""",
     "pair_daily"), ("o", "p"))
 def q_shift_daily(spark, sf):
-    return resample.shift(_pd(spark, sf), ["o", "p"], -1)
+    return resample.shift(_reused(_pd(spark, sf)), ["o", "p"], -1)
 
 
 @register("anomalies_month", with_fixtures(ANOM_SQL, "pair_daily"), ("o", "p"))
@@ -474,7 +480,7 @@ def q_axis_index(spark, sf):
     select h.* from hourly h join ax on h.time = ax.time
     where ax.i in (0, 10, (select max(i) from ax))""", "hourly"), ("v",))
 def q_isel_time(spark, sf):
-    return axes.isel(fx.hourly(spark, sf), "time", [0, 10, -1])
+    return axes.isel(_reused(fx.hourly(spark, sf)), "time", [0, 10, -1])
 
 
 @register("calibration_period", with_fixtures(
@@ -575,7 +581,7 @@ def _shifted(spark, sf):
       join yb on b.y = yb.y join ya on ya.r = yb.r
       join xb on b.x = xb.x join xa on xa.r = xb.r""", "pair_daily"), ("q",))
 def q_align_positional(spark, sf):
-    return joins.align_positional(_pd(spark, sf), _shifted(spark, sf)).select("time", "y", "x", "q")
+    return joins.align_positional(_reused(_pd(spark, sf)), _reused(_shifted(spark, sf))).select("time", "y", "x", "q")
 
 
 @register("grid_difference", with_fixtures(
@@ -699,7 +705,7 @@ def _bilinear_weights_sql(ax: str) -> str:
     group by 1, 2, 3""", "pair_daily"), ("o", "y", "x"))
 def q_regrid_bilinear(spark, sf):
     from ..operators import regrid
-    d = _pd(spark, sf).select("time", "y", "x", "o")
+    d = _reused(_pd(spark, sf).select("time", "y", "x", "o"))
     return regrid.bilinear(d, ["o"], regrid.target_axis(d, "y", 0.25, 0.5), regrid.target_axis(d, "x", 0.25, 0.5))
 
 
@@ -727,7 +733,7 @@ def _conservative_weights_sql(ax: str, spherical: bool) -> str:
     group by 1, 2, 3""", "pair_daily"), ("o", "y", "x"))
 def q_regrid_conservative(spark, sf):
     from ..operators import regrid
-    d = _pd(spark, sf).select("time", "y", "x", "o")
+    d = _reused(_pd(spark, sf).select("time", "y", "x", "o"))
     return regrid.conservative(d, ["o"], regrid.target_axis(d, "y", 2.0, -0.5),
                                regrid.target_axis(d, "x", 2.0, -0.5), spherical=True)
 
@@ -766,7 +772,7 @@ TERRAIN_SQL = with_fixtures(
 @register("terrain_slope_aspect", TERRAIN_SQL, ("z", "slope", "aspect"))
 def q_terrain(spark, sf):
     from ..operators import terrain
-    return terrain.slope_aspect(fx.elevation(spark, sf), "z")
+    return terrain.slope_aspect(_reused(fx.elevation(spark, sf)), "z")
 
 
 # ------------------------------------------------------------------ splits and sampling
@@ -878,7 +884,7 @@ def q_hyper_search(spark, sf):
     select * from d where time < (select max(time) from d)""", "hourly"), ("v",))
 def q_job_shifted_daily(spark, sf):
     from . import jobs
-    return jobs.shifted_daily_predictor(fx.hourly(spark, sf), "v", steps=-6)
+    return jobs.shifted_daily_predictor(_reused(fx.hourly(spark, sf)), "v", steps=-6)
 
 
 @register("job_observed_precipitation", with_fixtures(
@@ -889,7 +895,7 @@ def q_job_shifted_daily(spark, sf):
     select * from s where time < (select max(time) from s)""", "hourly"), ("v",))
 def q_job_observed_precipitation(spark, sf):
     from . import jobs
-    return jobs.observed_precipitation(fx.hourly(spark, sf), "v")
+    return jobs.observed_precipitation(_reused(fx.hourly(spark, sf)), "v")
 
 
 def _report_sql(celsius: bool, wet: float | None) -> str:
@@ -946,3 +952,24 @@ def q_job_temperature_report(spark, sf):
     return jobs.verification_report(d.select("time", "y", "x", F.col("o").alias("v")),
                                     d.select("time", "y", "x", F.col("p").alias("v")), "v",
                                     wet_threshold=None, celsius=True)
+
+
+# ------------------------------------------------------------------ file discovery scan
+
+@register("scan_discovered_files", with_fixtures("select * from pair_daily", "pair_daily"), ("o", "p"))
+def q_scan_discovered_files(spark, sf):
+    """Find the table files by glob and name pattern under the
+    data folder, scan them as one table, then grid them (as pair_daily)."""
+    from ..sources import files
+    li = files.read_files(spark, sf, glob="lineitem*.parquet", pattern="^lineitem")
+    return (li.groupBy(F.col("l_shipdate").cast("date").alias("time"),
+                       (F.col("l_suppkey") % 4).alias("x"), (F.col("l_partkey") % 4).alias("y"))
+              .agg(F.avg("l_quantity").alias("o"),
+                   F.avg(F.col("l_quantity") * (1 + F.col("l_tax") - F.col("l_discount"))).alias("p")))
+
+
+@register("tile_samples", None)
+def q_tile_samples(spark, sf):
+    """(time, tile) training samples of the daily grid, 2 x 2 tiles."""
+    d = _pd(spark, sf).select("time", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "o", "p")
+    return grid.samples(d, ["p"], 2, target="o")

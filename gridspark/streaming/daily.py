@@ -22,7 +22,8 @@ def daily_stream(stream: DataFrame, aggs: dict[str, tuple[str, str]], time: str
                  cell: Sequence[str] = CELL, lateness: str = "1 day") -> DataFrame:
     """Streaming A1-A3: 1-day event-time windows per cell, appended when
     the watermark closes them. Output ``(time date, *cell, outputs...)``."""
-    s = stream.withWatermark(time, lateness)
+    # event-time watermarks need TIMESTAMP; zone-free inputs are read in the session zone
+    s = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
     g = s.groupBy(F.window(time, "1 day").alias("w"), *cell)
     out = g.agg(*[_AGG[how](F.col(v)).alias(name) for name, (how, v) in aggs.items()])
     return out.select(F.to_date(F.col("w.start")).alias(time), *cell, *aggs)
