@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 # Largest table we hint as broadcast after counting it. Axis tables are far
 # below this (a century of hours is ~900k labels).
@@ -28,14 +29,39 @@ def axis(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).where(F.col(col).isNotNull()).distinct()
 
 
-def axis_index(df: DataFrame, col: str, name: str = "i") -> DataFrame:
+def _numeric(df: DataFrame, col: str):
+    t = df.schema[col].dataType
+    if isinstance(t, DateType):
+        return F.unix_date(F.col(col)).cast("double")
+    if isinstance(t, (TimestampType, TimestampNTZType)):
+        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    return F.col(col).cast("double")
+
+
+def axis_index(df: DataFrame, col: str, name: str = "i", buckets: int | None = None) -> DataFrame:
     """Position of every label on the axis, 0-based, in label order.
 
-    The window runs over the distinct labels only (bounded by the axis
-    length), so the single ordered task it needs stays small.
+    Distributed and deterministic: the distinct labels fall into
+    equal-width value buckets between the axis minimum and maximum (scalar
+    subqueries), are ranked inside their bucket, and shifted by the label
+    count of all lower buckets. Every step is a pure function of the data,
+    so a recomputed task gets the same positions; the offsets table has one
+    row per bucket.
     """
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ax = axis(df, col)
-    return ax.select(col, (F.row_number().over(Window.orderBy(col)) - 1).alias(name))
+    ax = ax.withColumn("__v", _numeric(ax, col))
+    lo = ax.select(F.min("__v")).scalar()
+    hi = ax.select(F.max("__v")).scalar()
+    width = hi - lo
+    b = F.when(width > 0, F.least(F.floor((F.col("__v") - lo) / width * F.lit(n)), F.lit(n - 1))).otherwise(F.lit(0))
+    ax = ax.withColumn("__b", b.cast("int"))
+    local = ax.select(col, "__b", (F.row_number().over(Window.partitionBy("__b").orderBy(col)) - 1).alias("__l"))
+    counts = ax.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    below = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__b", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__o"))
+    return (local.join(F.broadcast(offsets), "__b")
+                 .select(col, (F.col("__o") + F.col("__l")).alias(name)))
 
 
 def with_axis_index(df: DataFrame, col: str, name: str = "i") -> DataFrame:
