@@ -38,30 +38,45 @@ def _numeric(df: DataFrame, col: str):
     return F.col(col).cast("double")
 
 
+# Largest axis ranked by one ordered window (one task). Longer axes are
+# ranked by the distributed bucketed method.
+MAX_SINGLE_TASK_AXIS = 1_000_000
+
+
 def axis_index(df: DataFrame, col: str, name: str = "i", buckets: int | None = None) -> DataFrame:
     """Position of every label on the axis, 0-based, in label order.
 
-    Distributed and deterministic: the distinct labels fall into
-    equal-width value buckets between the axis minimum and maximum (scalar
-    subqueries), are ranked inside their bucket, and shifted by the label
-    count of all lower buckets. Every step is a pure function of the data,
-    so a recomputed task gets the same positions; the offsets table has one
-    row per bucket.
+    The distinct labels are counted first (the result is cached: it is
+    axis-sized). Up to ``MAX_SINGLE_TASK_AXIS`` labels one ordered window
+    ranks them. Beyond that the ranking is distributed and deterministic:
+    labels fall into equal-width value buckets between the axis minimum and
+    maximum, are ranked inside their bucket and shifted by the label count
+    of all lower buckets (an offsets table of one row per bucket). Every
+    step is a pure function of the data, so a recomputed task gets the same
+    positions.
     """
-    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ax = axis(df, col)
-    ax = ax.withColumn("__v", _numeric(ax, col))
-    lo = ax.select(F.min("__v")).scalar()
-    hi = ax.select(F.max("__v")).scalar()
-    width = hi - lo
-    b = F.when(width > 0, F.least(F.floor((F.col("__v") - lo) / width * F.lit(n)), F.lit(n - 1))).otherwise(F.lit(0))
-    ax = ax.withColumn("__b", b.cast("int"))
-    local = ax.select(col, "__b", (F.row_number().over(Window.partitionBy("__b").orderBy(col)) - 1).alias("__l"))
-    counts = ax.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    below = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__b", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__o"))
-    return (local.join(F.broadcast(offsets), "__b")
-                 .select(col, (F.col("__o") + F.col("__l")).alias(name)))
+    ax = axis(df, col).cache()
+    size = ax.count()
+    if size <= MAX_SINGLE_TASK_AXIS:
+        # the cached axis is a plan leaf; the window over it is cheap to redo
+        return ax.select(col, (F.row_number().over(Window.orderBy(col)) - 1).alias(name))
+    else:
+        n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ax = ax.withColumn("__v", _numeric(ax, col))
+        lo, hi = ax.agg(F.min("__v"), F.max("__v")).first()
+        width = hi - lo
+        b = F.least(F.floor((F.col("__v") - F.lit(lo)) / F.lit(width) * F.lit(n)), F.lit(n - 1))
+        ax = ax.withColumn("__b", b.cast("int"))
+        local = ax.select(col, "__b", (F.row_number().over(Window.partitionBy("__b").orderBy(col)) - 1).alias("__l"))
+        counts = ax.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+        below = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select("__b", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__o"))
+        out = (local.join(F.broadcast(offsets), "__b")
+                    .select(col, (F.col("__o") + F.col("__l")).alias(name)))
+    # materialise once so later self-joins read a leaf, not a re-planned subtree
+    out = out.cache()
+    out.count()
+    return out
 
 
 def with_axis_index(df: DataFrame, col: str, name: str = "i") -> DataFrame:

@@ -23,7 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .axes import bounded_broadcast
+from . import axes as _axes
+from .axes import axis_index, bounded_broadcast
 
 # ----------------------------------------------------------------- axes
 
@@ -41,25 +42,52 @@ def _labels(df: DataFrame, col: str) -> DataFrame:
     return df.select(F.col(col).cast("double").alias("s")).where(F.col("s").isNotNull()).distinct()
 
 
-def _bracket(src: DataFrame, tgt: DataFrame) -> DataFrame:
-    """For each target label ``t``: the nearest source labels ``a <= t <= b``.
+def _bracket(src: DataFrame, tgt: DataFrame, buckets: int = 64) -> DataFrame:
+    """For each target label ``t``: the nearest source labels ``a <= t <= b``
+    (``a = b = t`` on an exact hit). Below the source range ``a`` is
+    missing, above it ``b``.
 
-    One ordered pass over the union of the two *axes* (thousands of rows):
-    the running last source label from the left and the first from the right.
+    Consecutive source labels form intervals (a positional self-join on the
+    axis index). Small axes (counted) find each target's interval with one
+    ordered pass over both axes; larger ones by a bucketed equi-join: each
+    interval is listed under every equal-width value bucket it spans and
+    each target looks up its own bucket, keeping ``a <= t < b``.
     """
-    u = (src.select(F.col("s").alias("v"), F.col("s"), F.lit(0).alias("kind"))
-            .unionByName(tgt.select(F.col("t").alias("v"), F.lit(None).cast("double").alias("s"),
-                                    F.lit(1).alias("kind"))))
-    w = Window.orderBy("v", "kind")
-    down = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wr = Window.orderBy(F.col("v").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding,
-                                                                             Window.currentRow)
-    u = u.select("v", "kind", F.last("s", ignorenulls=True).over(down).alias("a"),
-                 F.last("s", ignorenulls=True).over(wr).alias("b"))
-    # source rows sort before targets on ties, so ``a`` includes an equal label;
-    # from the right, targets sort first, so recompute ``b`` for exact hits
-    u = u.where(F.col("kind") == 1).select(F.col("v").alias("t"), "a", "b")
-    return u.withColumn("b", F.when(F.col("a") == F.col("t"), F.col("a")).otherwise(F.col("b")))
+    idx = axis_index(src, "s", "i")
+    nt = tgt.cache().count()
+    if idx.count() + nt <= _axes.MAX_SINGLE_TASK_AXIS:
+        u = (idx.select(F.col("s").alias("v"), F.col("s"), F.lit(0).alias("kind"))
+                .unionByName(tgt.select(F.col("t").alias("v"), F.lit(None).cast("double").alias("s"),
+                                        F.lit(1).alias("kind"))))
+        down = Window.orderBy("v", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        up = Window.orderBy(F.col("v").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding,
+                                                                                 Window.currentRow)
+        u = u.select("v", "kind", F.last("s", ignorenulls=True).over(down).alias("a"),
+                     F.last("s", ignorenulls=True).over(up).alias("b"))
+        out = u.where(F.col("kind") == 1).select(F.col("v").alias("t"), "a",
+                                                 F.when(F.col("a") == F.col("v"), F.col("a")).otherwise(F.col("b")).alias("b"))
+    else:
+        nxt = idx.select((F.col("i") - 1).alias("i"), F.col("s").alias("b"))
+        iv = idx.join(nxt, "i", "left").select(F.col("s").alias("a"), "b")   # b null on the last label
+        lo, hi = idx.agg(F.min("s"), F.max("s")).first()
+        width = hi - lo
+
+        def bucket(c):
+            if width <= 0:
+                return F.lit(0)
+            return F.least(F.greatest(F.floor((c - F.lit(lo)) / F.lit(width) * F.lit(buckets)), F.lit(0)),
+                           F.lit(buckets - 1)).cast("int")
+        iv = iv.select("a", "b", F.explode(F.sequence(bucket(F.col("a")), bucket(F.coalesce("b", "a")))).alias("__k"))
+        t = tgt.select("t", bucket(F.col("t")).alias("__k"))
+        # the last label's interval is open to the right
+        hit = (F.col("a") <= F.col("t")) & ((F.col("t") < F.col("b")) | F.col("b").isNull())
+        m = t.join(iv, "__k", "inner").where(hit).select(
+            "t", "a", F.when(F.col("t") == F.col("a"), F.col("a")).otherwise(F.col("b")).alias("b"))
+        first = idx.where(F.col("i") == 0).select(F.col("s").alias("__first"))
+        out = (tgt.select("t").join(m, "t", "left").join(F.broadcast(first), how="left")
+                  .select("t", "a", F.when(F.col("a").isNull() & (F.col("t") <= F.col("__first")), F.col("__first"))
+                                     .otherwise(F.col("b")).alias("b")))
+    return out
 
 
 def bilinear_axis_weights(src: DataFrame, tgt: DataFrame) -> DataFrame:
@@ -78,13 +106,15 @@ def bilinear_axis_weights(src: DataFrame, tgt: DataFrame) -> DataFrame:
 
 def _edges(ax: DataFrame, col: str) -> DataFrame:
     """Cell bounds of an axis: midpoints between neighbours; the outer
-    bounds extend half a spacing."""
-    w = Window.orderBy(col)
-    prev, nxt = F.lag(col).over(w), F.lead(col).over(w)
-    d = ax.select(col, prev.alias("p"), nxt.alias("n"))
+    bounds extend half a spacing. Neighbours come from a positional
+    self-join on the (distributed) axis index."""
+    idx = axis_index(ax, col, "__i")
+    prev = idx.select((F.col("__i") + 1).alias("__i"), F.col(col).alias("p"))
+    nxt = idx.select((F.col("__i") - 1).alias("__i"), F.col(col).alias("n"))
+    d = idx.join(prev, "__i", "left").join(nxt, "__i", "left")
     lo = F.when(F.col("p").isNull(), F.col(col) - (F.col("n") - F.col(col)) / 2).otherwise((F.col("p") + F.col(col)) / 2)
     hi = F.when(F.col("n").isNull(), F.col(col) + (F.col(col) - F.col("p")) / 2).otherwise((F.col(col) + F.col("n")) / 2)
-    return d.select(col, lo.alias("lo"), hi.alias("hi"))
+    return d.select(col, lo.alias("lo"), hi.alias("hi"), F.col("__i").alias("i"))
 
 
 def conservative_axis_weights(src: DataFrame, tgt: DataFrame, spherical: bool = False) -> DataFrame:
@@ -96,8 +126,8 @@ def conservative_axis_weights(src: DataFrame, tgt: DataFrame, spherical: bool =
     bounds among the source bounds (:func:`_bracket` on index-labelled
     bounds), then expanding the index range, so no range join is needed.
     """
-    se = _edges(src, "s").withColumn("i", F.row_number().over(Window.orderBy("s")) - 1)
-    te = _edges(tgt, "t")
+    se = _edges(src, "s")
+    te = _edges(tgt, "t").drop("i")
     # index of the source cell containing a point = last source lower bound <= point
     lows = se.select(F.col("lo").alias("s"))
     b_lo = _bracket(lows, te.select(F.col("lo").alias("t"))).select(F.col("t").alias("tlo"), F.col("a").alias("slo"))

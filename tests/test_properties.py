@@ -250,3 +250,22 @@ def test_samples_have_tile_shape(spark):
     assert len(s) == 8
     for r in s:
         assert len(r["x_sample"]) == 1 and len(r["x_sample"][0]) == 2 and len(r["x_sample"][0][0]) == 2
+
+
+def test_distributed_axis_paths_agree(spark, monkeypatch):
+    """Long axes take the bucketed, distributed paths; they must give the
+    same positions and regridding results as the single-window paths."""
+    rows = [(dt.datetime(2020, 1, 1) + dt.timedelta(hours=h), 0, 0, float(h)) for h in range(0, 500, 3)]
+    df = spark.createDataFrame(rows, "time timestamp_ntz, y int, x int, v double")
+    small = sorted(axes.axis_index(df, "time").collect())
+    d = plane(spark)
+    t = axis_df(spark, [-0.5, 0.0, 0.5, 3.25, 8.75, 9.0, 9.5])
+    small_bil = sorted(regrid.bilinear(d, ["v"], t, t).collect())
+    small_con = sorted(regrid.conservative(d, ["v"], t, t, spherical=False).collect())
+    monkeypatch.setattr(axes, "MAX_SINGLE_TASK_AXIS", 0)
+    assert sorted(axes.axis_index(df, "time", buckets=7).collect()) == small
+    assert sorted(regrid.bilinear(d, ["v"], t, t).collect()) == small_bil
+    con = sorted(regrid.conservative(d, ["v"], t, t, spherical=False).collect())
+    assert [(r["y"], r["x"]) for r in con] == [(r["y"], r["x"]) for r in small_con]
+    for a, b in zip(con, small_con):
+        assert a["v"] == pytest.approx(b["v"], abs=1e-9)
