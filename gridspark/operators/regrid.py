@@ -117,35 +117,36 @@ def _edges(ax: DataFrame, col: str) -> DataFrame:
     return d.select(col, lo.alias("lo"), hi.alias("hi"), F.col("__i").alias("i"))
 
 
-def conservative_axis_weights(src: DataFrame, tgt: DataFrame, spherical: bool = False) -> DataFrame:
+def conservative_axis_weights(src: DataFrame, tgt: DataFrame, spherical: bool = False,
+                              buckets: int | None = None) -> DataFrame:
     """Overlap weights along one axis: rows ``(t, s, w)`` for every source
     cell overlapping the target cell. ``spherical`` (latitude axis) weighs
     by ``sin(hi) - sin(lo)`` of the overlap instead of its length.
 
-    The overlapping source cells of a target are found by locating its two
-    bounds among the source bounds (:func:`_bracket` on index-labelled
-    bounds), then expanding the index range, so no range join is needed.
+    Overlapping pairs come from a bucketed equi-join (no range join): both
+    cell lists are spread over the equal-width value buckets they span,
+    joined on the bucket, and each overlapping pair is kept once, at the
+    first bucket the two cells share.
     """
-    se = _edges(src, "s")
-    te = _edges(tgt, "t").drop("i")
-    # index of the source cell containing a point = last source lower bound <= point
-    lows = se.select(F.col("lo").alias("s"))
-    b_lo = _bracket(lows, te.select(F.col("lo").alias("t"))).select(F.col("t").alias("tlo"), F.col("a").alias("slo"))
-    b_hi = _bracket(lows, te.select(F.col("hi").alias("t"))).select(F.col("t").alias("thi"), F.col("a").alias("shi"))
-    idx = se.select(F.col("lo").alias("sl"), "i")
-    r = (te.join(b_lo, te["lo"] == b_lo["tlo"], "left").join(b_hi, te["hi"] == b_hi["thi"], "left")
-           .join(idx.withColumnsRenamed({"sl": "slo", "i": "i0"}), "slo", "left")
-           .join(idx.withColumnsRenamed({"sl": "shi", "i": "i1"}), "shi", "left"))
-    r = r.select("t", "lo", "hi", F.coalesce("i0", F.lit(0)).alias("i0"), "i1").where(F.col("i1").isNotNull())
-    pairs = r.select("t", F.col("lo").alias("tl"), F.col("hi").alias("th"),
-                     F.explode(F.sequence("i0", "i1")).alias("i"))
-    pairs = pairs.join(se.select("i", "s", F.col("lo").alias("sl"), F.col("hi").alias("sh")), "i")
+    se = _edges(src, "s").select("s", F.col("lo").alias("sl"), F.col("hi").alias("sh"))
+    te = _edges(tgt, "t").select("t", F.col("lo").alias("tl"), F.col("hi").alias("th"))
+    ns, nt = se.count(), te.count()
+    nb = buckets or max(1, min(ns, nt))
+    s_lo, s_hi = se.agg(F.min("sl"), F.max("sh")).first()
+    t_lo, t_hi = te.agg(F.min("tl"), F.max("th")).first()
+    lo, hi = min(s_lo, t_lo), max(s_hi, t_hi)
+    width = hi - lo
+
+    def bucket(c):
+        return F.least(F.greatest(F.floor((c - F.lit(lo)) / F.lit(width) * F.lit(nb)), F.lit(0)),
+                       F.lit(nb - 1)).cast("int")
+    sb = se.select("*", F.explode(F.sequence(bucket(F.col("sl")), bucket(F.col("sh")))).alias("__k"))
+    tb = te.select("*", F.explode(F.sequence(bucket(F.col("tl")), bucket(F.col("th")))).alias("__k"))
     a, b = F.greatest("tl", "sl"), F.least("th", "sh")
-    if spherical:
-        w = F.sin(F.radians(b)) - F.sin(F.radians(a))
-    else:
-        w = b - a
-    return pairs.where(b > a).select("t", "s", w.alias("w"))
+    first_shared = F.col("__k") == F.greatest(bucket(F.col("sl")), bucket(F.col("tl")))
+    pairs = tb.join(sb, "__k").where((b > a) & first_shared)
+    w = (F.sin(F.radians(b)) - F.sin(F.radians(a))) if spherical else (b - a)
+    return pairs.select("t", "s", w.alias("w"))
 
 
 # ----------------------------------------------------------------- apply
