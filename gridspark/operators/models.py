@@ -171,3 +171,25 @@ def best_params(scores: DataFrame, trials: DataFrame) -> DataFrame:
     best = agg.orderBy(F.col("rmse").asc_nulls_last(), "trial").limit(1)
     return best.join(trials, "trial")
 
+
+
+def fit_predict_pooled(df: DataFrame, features: Sequence[str], target: str, model: str = "GBTRegressor",
+                       split: str = "split", time: str = "time", cell: Sequence[str] = CELL, seed: int = 42,
+                       **params) -> DataFrame:
+    """M2, pooled alternative: ONE MLlib tree model over the training rows
+    of all cells, the cell coordinates joining the predictors. Training is
+    MLlib's distributed histogram aggregation, so no cell's rows ever meet
+    in one task. Rows with a missing predictor are left out of training and
+    get no prediction."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    estimators = {"GBTRegressor": GBTRegressor, "RandomForestRegressor": RandomForestRegressor}
+    cols = [*features, *cell]
+    va = VectorAssembler(inputCols=cols, outputCol="__features", handleInvalid="skip")
+    train = va.transform(df.where((F.col(split) == "train") & F.col(target).isNotNull()))
+    est = estimators[model](featuresCol="__features", labelCol=target, predictionCol="prediction", seed=seed,
+                            **params)
+    fitted = est.fit(train)
+    valid = va.transform(df.where(F.col(split) == "valid"))
+    return fitted.transform(valid).select(time, *cell, F.col(target).cast("double").alias(target), "prediction")

@@ -973,3 +973,10 @@ def q_tile_samples(spark, sf):
     """(time, tile) training samples of the daily grid, 2 x 2 tiles."""
     d = _pd(spark, sf).select("time", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "o", "p")
     return grid.samples(d, ["p"], 2, target="o")
+
+
+@register("model_pooled_gbt", None)
+def q_model_pooled_gbt(spark, sf):
+    """M2 pooled alternative: one distributed MLlib GBT over all cells."""
+    from ..operators import models
+    return models.fit_predict_pooled(model_input(spark, sf), FEATURES, "o", model="GBTRegressor", maxIter=20)
