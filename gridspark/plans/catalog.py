@@ -679,15 +679,15 @@ def q_tiles(spark, sf):
 
 # ------------------------------------------------------------------ regridding
 
-def _target_axis_sql(col: str, step: float, pad: float) -> str:
+def _target_axis_sql(col: str, step: float, pad: float, table: str = "pair_daily") -> str:
     return (f"select lo - ({pad}) + unnest(generate_series(0, cast(floor((hi - lo + {2 * pad}) / {step} + 1e-9) "
             f"as bigint))) * {step} as t from (select cast(min({col}) as double) as lo, "
-            f"cast(max({col}) as double) as hi from pair_daily)")
+            f"cast(max({col}) as double) as hi from {table})")
 
 
-def _bilinear_weights_sql(ax: str) -> str:
-    return f"""s{ax} as (select distinct cast({ax} as double) as s from pair_daily),
-    t{ax} as ({_target_axis_sql(ax, 0.25, 0.5)}),
+def _bilinear_weights_sql(ax: str, table: str = "pair_daily", step: float = 0.25, pad: float = 0.5) -> str:
+    return f"""s{ax} as (select distinct cast({ax} as double) as s from {table}),
+    t{ax} as ({_target_axis_sql(ax, step, pad, table)}),
     br{ax} as (select t, (select max(s) from s{ax} where s <= t) as a, (select min(s) from s{ax} where s >= t) as b
               from t{ax}),
     w{ax} as (select t, a as s, case when a = b then 1.0 else (b - t) / (b - a) end as w,
@@ -980,3 +980,31 @@ def q_model_pooled_gbt(spark, sf):
     """M2 pooled alternative: one distributed MLlib GBT over all cells."""
     from ..operators import models
     return models.fit_predict_pooled(model_input(spark, sf), FEATURES, "o", model="GBTRegressor", maxIter=20)
+
+
+@register("job_daily_regridded", with_fixtures(
+    f"""with d as (select cast(time as date) as time, y, x, avg(v) as v from hourly group by 1, 2, 3),
+    {_bilinear_weights_sql('x', 'd', 0.5, 0.0)}, {_bilinear_weights_sql('y', 'd', 0.5, 0.0)}
+    select d.time, wy.t as y, wx.t as x,
+           case when count(d.v) = max(wx.k * wy.k) then sum(wx.w * wy.w * d.v) end as v
+    from d join wx on cast(d.x as double) = wx.s join wy on cast(d.y as double) = wy.s
+    group by 1, 2, 3""", "hourly"), ("v", "y", "x"))
+def q_job_daily_regridded(spark, sf):
+    """Hourly -> daily mean -> bilinear regridding to a grid twice as fine."""
+    from . import jobs
+    from ..operators import regrid
+    h = fx.hourly(spark, sf)
+    d = _reused(resample.to_daily(h, {"v": ("mean", "v")}))
+    target = (regrid.target_axis(d, "y", 0.5), regrid.target_axis(d, "x", 0.5))
+    return jobs._regrid(d, ["v"], target, "bilinear")
+
+
+@register("job_terrain_regridded", None)
+def q_job_terrain_regridded(spark, sf):
+    """The elevation raster regridded (bilinear) to a grid of half the
+    spacing, then slope and aspect on the target grid."""
+    from . import jobs
+    from ..operators import regrid
+    e = _reused(fx.elevation(spark, sf))
+    target = (regrid.target_axis(e, "y", 0.5), regrid.target_axis(e, "x", 0.5))
+    return jobs.terrain_fields(e, "z", target=target)
