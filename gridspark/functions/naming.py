@@ -1,7 +1,7 @@
 """Variable vocabularies and run keys.
 
 The short names and vocabularies below are fixed values: the result keys and
-the pressure-level column names must equal the reference's.
+the pressure-level column names follow these conventions exactly.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ def run_matrix(spark: SparkSession, predictands: list[str], thresholds: list[flo
 
 
 def validate_names(names: list[str], vocabulary, what: str) -> None:
-    """Raise on names outside a fixed vocabulary (the reference asserts)."""
+    """Raise on names outside a fixed vocabulary."""
     bad = [n for n in names if n not in vocabulary]
     if bad:
         raise ValueError(f"unknown {what}: {bad}")

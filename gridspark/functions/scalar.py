@@ -22,7 +22,7 @@ def _c(c: ColumnOrName) -> Column:
 # ---------------------------------------------------------------- missing data
 
 def nan_to_null(c: ColumnOrName) -> Column:
-    """NaN is the reference's only missing marker; Spark treats NaN as a
+    """NaN is the grids' only missing marker; Spark treats NaN as a
     value, so turn it into NULL once at the scan."""
     c = _c(c)
     return F.when(~F.isnan(c), c)

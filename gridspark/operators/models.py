@@ -4,7 +4,7 @@ Spark owns the data movement: rows are hash-partitioned once on the cell
 keys and every cell's series goes to one pandas call
 (``groupBy(cell).applyInPandas``). A group is one cell's rows, at most one
 row per time label, so its size is bounded by the time axis (about 11,000
-days x 15 features ~ 1.4 MB for the reference's calibration period) and
+days x 15 features ~ 1.4 MB for a 31-year calibration period) and
 never grows with the number of cells. Thousands of cells run as parallel
 tasks; the numpy kernel in :mod:`.trees` does the per-cell fit.
 """

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 
+# bounds file sizes whatever the partition sizes are
+MAX_RECORDS_PER_FILE = 20_000_000
 MODES = {"skip": "ignore", "overwrite": "overwrite", "error": "errorifexists", "append": "append"}
 
 
@@ -18,7 +20,7 @@ def write_grid(df: DataFrame, path: str, partition_by: Sequence[str] = ("year",)
 
     ``partition_by=('year',)`` derives the year from ``time`` so a later
     period filter prunes whole folders. ``if_exists='skip'`` leaves an
-    existing target untouched (the reference's "exists and not overwrite").
+    existing target untouched (a finished output is not recomputed).
     Rows are clustered by cell within each file, which keeps min/max
     statistics tight for cell filters.
     """
@@ -26,20 +28,28 @@ def write_grid(df: DataFrame, path: str, partition_by: Sequence[str] = ("year",)
     if "year" in partition_by and "year" not in df.columns:
         out = out.withColumn("year", F.year(time))
     keys = [c for c in ("y", "x", time) if c in out.columns]
-    if partition_by:
-        out = out.repartition(*partition_by)
-    out = out.sortWithinPartitions(*keys) if keys else out
-    w = out.write.mode(MODES[if_exists]).option("compression", compression).format(fmt)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # range partitioning splits a large year over many tasks (never one task
+    # per folder) while each task still writes to few folders
+    out = out.repartitionByRange(n, *partition_by, *keys) if (partition_by or keys) else out
+    out = out.sortWithinPartitions(*partition_by, *keys) if keys else out
+    w = (out.write.mode(MODES[if_exists]).option("compression", compression)
+         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).format(fmt))
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
 
 
 def write_runs(df: DataFrame, path: str, run_key: str = "run_key", if_exists: str = "skip",
-               compression: str = "zstd") -> None:
-    """S7 + S11: one folder per run key; a finished run is not redone."""
-    (df.repartition(run_key).write.mode(MODES[if_exists]).option("compression", compression)
-       .partitionBy(run_key).parquet(path))
+               compression: str = "zstd", time: str = "time") -> None:
+    """S7 + S11: one folder per run key; a finished run is not redone.
+    Range partitioning on (run, cell, time) spreads a large run over many
+    tasks."""
+    keys = [c for c in (run_key, "y", "x", time) if c in df.columns]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+       .write.mode(MODES[if_exists]).option("compression", compression)
+       .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy(run_key).parquet(path))
 
 
 def staged(df: DataFrame) -> DataFrame:

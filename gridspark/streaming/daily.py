@@ -1,6 +1,6 @@
 """Daily aggregation of a grid stream (A1-A3 on Structured Streaming).
 
-The reference works on closed file sets; this is the same daily resample
+Batch jobs work on closed file sets; this is the same daily resample
 for grid rows that keep arriving (e.g. new hourly files dropped into a
 folder). A watermark on ``time`` bounds the state: a day is emitted once
 the watermark passes its end, later rows for it are dropped.
