@@ -131,15 +131,15 @@ def year_range(df: DataFrame, time: str = "time") -> DataFrame:
 
 
 def global_stats(df: DataFrame, values: Sequence[str]) -> DataFrame:
-    """Min / max / mean / std (ddof=1 and ddof=0) per variable, long form."""
-    rows = [df.agg(F.lit(v).alias("variable"), F.min(v).cast("double").alias("min"),
-                   F.max(v).cast("double").alias("max"), F.avg(v).alias("mean"),
-                   F.stddev_samp(v).alias("std"), F.stddev_pop(v).alias("std_pop"))
-            for v in values]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    """Min / max / mean / std (ddof=1 and ddof=0) per variable, long
+    form. One aggregate computes every variable's statistics in one scan;
+    the single row is then unfolded into one row per variable."""
+    stats = [F.struct(F.lit(v).alias("variable"), F.min(v).cast("double").alias("min"),
+                      F.max(v).cast("double").alias("max"), F.avg(v).alias("mean"),
+                      F.stddev_samp(v).alias("std"), F.stddev_pop(v).alias("std_pop")).alias(f"__s{k}")
+             for k, v in enumerate(values)]
+    row = df.agg(*stats)
+    return row.select(F.explode(F.array(*[F.col(f"__s{k}") for k in range(len(values))])).alias("s")).select("s.*")
 
 
 def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int,

@@ -1,21 +1,28 @@
 """Scaling and anomalies.
 
-Global statistics are scalar subqueries (one partial aggregate each), never
-a global window; per-group statistics are a grouped aggregate joined back on
-the group keys, so no single task sees a whole group's rows.
+Global statistics come from one aggregate over all variables (one scan,
+partial aggregation), never a global window; per-group statistics are window
+aggregates partitioned by (group, cell), each partition bounded by the time
+axis.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
 from .resample import CELL, calendar_group
 
 
+def _stats_row(ref: DataFrame, aggs: list) -> list:
+    """All global statistics in ONE aggregate (one scan, partial
+    aggregation); the single result row holds a few numbers per variable."""
+    return list(ref.agg(*aggs).first())
+
+
 def minmax(df: DataFrame, values: Sequence[str], reference: DataFrame | None = None) -> DataFrame:
     """``(v - min)/(max - min)`` per variable over all dimensions.
 
@@ -23,11 +30,11 @@ def minmax(df: DataFrame, values: Sequence[str], reference: DataFrame | None = N
     rows may then leave [0, 1]. Zero range gives missing.
     """
     ref = df if reference is None else reference
+    st = _stats_row(ref, [f(F.col(v).cast("double")) for v in values for f in (F.min, F.max)])
     out = {}
-    for v in values:
-        lo = ref.select(F.min(v).cast("double")).scalar()
-        hi = ref.select(F.max(v).cast("double")).scalar()
-        out[v] = ratio(F.col(v) - lo, hi - lo)
+    for k, v in enumerate(values):
+        lo, hi = st[2 * k], st[2 * k + 1]
+        out[v] = ratio(F.col(v) - F.lit(lo), F.lit(None if lo is None else hi - lo).cast("double"))
     return df.withColumns(out)
 
 
@@ -36,27 +43,22 @@ def standardize(df: DataFrame, values: Sequence[str], ddof: int = 1,
     """Mean 0 and std 1 per variable over all dimensions."""
     ref = df if reference is None else reference
     sd = F.stddev_samp if ddof == 1 else F.stddev_pop
+    st = _stats_row(ref, [f(F.col(v)) for v in values for f in (F.avg, sd)])
     out = {}
-    for v in values:
-        mu = ref.select(F.avg(v)).scalar()
-        s = ref.select(sd(v)).scalar()
-        out[v] = ratio(F.col(v) - mu, s)
+    for k, v in enumerate(values):
+        mu, s = st[2 * k], st[2 * k + 1]
+        out[v] = ratio(F.col(v) - F.lit(mu), F.lit(s).cast("double"))
     return df.withColumns(out)
 
 
-def _group_stats(df: DataFrame, values: Sequence[str], keys: list, stats: dict) -> DataFrame:
-    aggs = [fn(v).alias(f"__{name}_{v}") for v in values for name, fn in stats.items()]
-    return df.groupBy(*keys).agg(*aggs)
-
-
 def minmax_by(df: DataFrame, values: Sequence[str], keep: Sequence[str] = CELL) -> DataFrame:
     """Min-max scaling along the other axes, separately for every
-    combination of ``keep`` (per cell over time by default)."""
-    st = _group_stats(df, values, list(keep), {"lo": F.min, "hi": F.max})
-    j = df.join(st, list(keep), "left")
-    j = j.withColumns({v: ratio(F.col(v) - F.col(f"__lo_{v}"), F.col(f"__hi_{v}") - F.col(f"__lo_{v}"))
-                       for v in values})
-    return j.drop(*[c for c in st.columns if c.startswith("__")])
+    combination of ``keep`` (per cell over time by default). One window
+    aggregate per group: a group is one cell's series, bounded by the
+    time axis."""
+    w = Window.partitionBy(*keep)
+    return df.withColumns({v: ratio(F.col(v) - F.min(v).over(w), F.max(v).over(w) - F.min(v).over(w))
+                           for v in values})
 
 
 def anomalies(df: DataFrame, values: Sequence[str], by: str = "dayofyear", standard: bool = False,
@@ -65,18 +67,13 @@ def anomalies(df: DataFrame, values: Sequence[str], by: str = "dayofyear", stand
     (day-of-year, month, season), divided by the population std when
     ``standard``; rows keep their time labels.
 
-    The group statistics are a grouped aggregate (partial aggregation, one
-    row per group) joined back on (group, cell).
+    One window aggregate partitioned by (group, cell): one scan and one
+    shuffle of the data; a window partition holds one cell's days of one
+    calendar group, bounded by the number of years.
     """
-    g = calendar_group(time, by)
-    d = df.withColumn(by, g)
-    stats = {"mu": F.avg}
-    if standard:
-        stats["sd"] = F.stddev_pop
-    st = _group_stats(d, values, [by, *cell], stats)
-    j = d.join(st, [by, *cell], "left")
+    w = Window.partitionBy(calendar_group(time, by), *cell)
     out = {}
     for v in values:
-        a = F.col(v) - F.col(f"__mu_{v}")
-        out[v] = ratio(a, F.col(f"__sd_{v}")) if standard else a
-    return j.withColumns(out).drop(by, *[c for c in st.columns if c.startswith("__")])
+        a = F.col(v) - F.avg(v).over(w)
+        out[v] = ratio(a, F.stddev_pop(v).over(w)) if standard else a
+    return df.withColumns(out)

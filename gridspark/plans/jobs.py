@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import kelvin_to_celsius
 from ..operators import joins, metrics, models, regrid, resample, scale, split
 from ..operators.resample import CELL
+from ..session import stage
 
 
 def _regrid(df: DataFrame, values: Sequence[str], target: tuple[DataFrame, DataFrame] | None,
@@ -133,7 +134,9 @@ def verification_report(obs: DataFrame, pred: DataFrame, value: str, wet_thresho
         o = o.withColumn("o", kelvin_to_celsius("o"))
         p = p.withColumn("p", kelvin_to_celsius("p"))
     o = joins.sel_labels(o, p, "time", strict=False)
-    pair = metrics.valid_pairs(joins.combine(o, p), "o", "p")
+    # every score below reads the paired grid: stage it once (reliable
+    # checkpoint in spark.checkpoint.dir) instead of re-deriving it per score
+    pair = stage(metrics.valid_pairs(joins.combine(o, p), "o", "p"))
     parts = []
     if wet_threshold is not None:
         m = resample.monthly(pair, ["o", "p"])

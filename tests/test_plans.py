@@ -10,6 +10,15 @@ from conftest import SF001
 Q = E.queries()
 
 
+import pytest
+
+
+@pytest.fixture(autouse=True)
+def _fresh_cache(spark):
+    # cached grids of earlier tests would replace scans in these plans
+    spark.catalog.clearCache()
+
+
 def plan(df, mode: str = "simple") -> str:
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
