@@ -55,11 +55,17 @@ def axis_index(df: DataFrame, col: str, name: str = "i", buckets: int | None = N
     step is a pure function of the data, so a recomputed task gets the same
     positions.
     """
+    return axis_index_sized(df, col, name, buckets)[0]
+
+
+def axis_index_sized(df: DataFrame, col: str, name: str = "i",
+                     buckets: int | None = None) -> tuple[DataFrame, int]:
+    """:func:`axis_index` plus the axis length it counted."""
     ax = axis(df, col).cache()
     size = ax.count()
     if size <= MAX_SINGLE_TASK_AXIS:
         # the cached axis is a plan leaf; the window over it is cheap to redo
-        return ax.select(col, (F.row_number().over(Window.orderBy(col)) - 1).alias(name))
+        return ax.select(col, (F.row_number().over(Window.orderBy(col)) - 1).alias(name)), size
     else:
         n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ax = ax.withColumn("__v", _numeric(ax, col))
@@ -76,7 +82,7 @@ def axis_index(df: DataFrame, col: str, name: str = "i", buckets: int | None = N
     # materialise once so later self-joins read a leaf, not a re-planned subtree
     out = out.cache()
     out.count()
-    return out
+    return out, size
 
 
 def with_axis_index(df: DataFrame, col: str, name: str = "i") -> DataFrame:

@@ -53,9 +53,9 @@ def _bracket(src: DataFrame, tgt: DataFrame, buckets: int = 64) -> DataFrame:
     interval is listed under every equal-width value bucket it spans and
     each target looks up its own bucket, keeping ``a <= t < b``.
     """
-    idx = axis_index(src, "s", "i")
+    idx, ns = _axes.axis_index_sized(src, "s", "i")
     nt = tgt.cache().count()
-    if idx.count() + nt <= _axes.MAX_SINGLE_TASK_AXIS:
+    if ns + nt <= _axes.MAX_SINGLE_TASK_AXIS:
         u = (idx.select(F.col("s").alias("v"), F.col("s"), F.lit(0).alias("kind"))
                 .unionByName(tgt.select(F.col("t").alias("v"), F.lit(None).cast("double").alias("s"),
                                         F.lit(1).alias("kind"))))
@@ -130,10 +130,9 @@ def conservative_axis_weights(src: DataFrame, tgt: DataFrame, spherical: bool =
     """
     se = _edges(src, "s").select("s", F.col("lo").alias("sl"), F.col("hi").alias("sh"))
     te = _edges(tgt, "t").select("t", F.col("lo").alias("tl"), F.col("hi").alias("th"))
-    ns, nt = se.count(), te.count()
+    ns, s_lo, s_hi = se.agg(F.count(F.lit(1)), F.min("sl"), F.max("sh")).first()
+    nt, t_lo, t_hi = te.agg(F.count(F.lit(1)), F.min("tl"), F.max("th")).first()
     nb = buckets or max(1, min(ns, nt))
-    s_lo, s_hi = se.agg(F.min("sl"), F.max("sh")).first()
-    t_lo, t_hi = te.agg(F.min("tl"), F.max("th")).first()
     lo, hi = min(s_lo, t_lo), max(s_hi, t_hi)
     width = hi - lo
 
