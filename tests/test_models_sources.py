@@ -157,3 +157,53 @@ def test_daily_stream(spark):
     # the last day stays open under the watermark
     assert 0 < got <= h.select(F.to_date("time"), "y", "x").distinct().count()
     assert days > 1
+
+
+# ------------------------------------------------------------------ jobs C6, C7 and small helpers
+
+def _grids(spark, days=400):
+    rng = np.random.default_rng(5)
+    pred, obs = [], []
+    for y in range(2):
+        for x in range(2):
+            for d in range(days):
+                t = dt.date(2000, 1, 1) + dt.timedelta(days=d)
+                a = float(rng.normal())
+                pred.append((t, float(y), float(x), a))
+                obs.append((t, float(y), float(x), max(0.0, 2 * a + y + float(rng.normal()) * 0.2)))
+    p = spark.createDataFrame(pred, "time date, y double, x double, a double")
+    o = spark.createDataFrame(obs, "time date, y double, x double, pr double")
+    return p, o
+
+
+@pytest.mark.parametrize("mode", ["period", "stratified"])
+def test_downscale_job(spark, mode):
+    from gridspark.plans import jobs
+    p, o = _grids(spark)
+    out = jobs.downscale(p, o, "pr", ["a"], model="XGBRegressor", split_mode=mode,
+                         calibration=("2000-01-01", "2000-11-01"), validation=("2000-11-01", "2001-03-01"),
+                         wet_threshold=0.5, params={"n_estimators": 10})
+    rows = out.collect()
+    assert rows and all(r["prediction"] is not None for r in rows)
+    if mode == "period":
+        assert {r["time"] >= dt.date(2000, 11, 1) for r in rows} == {True}
+
+
+def test_tune_job(spark):
+    from gridspark.plans import jobs
+    p, o = _grids(spark, days=200)
+    best = jobs.tune(p, o, "pr", ["a"], n_trials=3, n_per_axis=2, n_estimators=20, early_stopping=5).collect()
+    assert len(best) == 1 and best[0]["cells"] == 4
+
+
+def test_read_bands_and_keep_known_and_concat(spark):
+    from gridspark.operators import grid, joins
+    root = tempfile.mkdtemp(prefix="gridspark-test-")
+    rows = [(b, y, x, float(b * 100 + y * 10 + x)) for b in (1, 2, 3) for y in range(2) for x in range(2)]
+    spark.createDataFrame(rows, "band int, y int, x int, v double").write.parquet(os.path.join(root, "r"))
+    got = files.read_bands(spark, os.path.join(root, "r"), bands=[2])
+    assert got.count() == 4 and {r["band"] for r in got.collect()} == {2}
+    kept = grid.keep_known(got.withColumn("junk", F.lit(1)), ["v"], ["band", "y", "x"])
+    assert kept.columns == ["band", "y", "x", "v"]
+    both = joins.concat_time([got, got.withColumn("extra", F.lit(1.0))])
+    assert both.count() == 8 and "extra" in both.columns
