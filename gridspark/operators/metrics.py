@@ -144,10 +144,17 @@ def global_stats(df: DataFrame, values: Sequence[str]) -> DataFrame:
 
 def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int,
               by: Sequence[str] = ()) -> DataFrame:
-    """Counts per equal-width class; values below ``lo`` fall in
-    class 0 and values at or above ``hi`` in class ``bins + 1``."""
-    b = F.width_bucket(F.col(value), F.lit(lo), F.lit(hi), F.lit(bins)).alias("bin")
-    return df.where(F.col(value).isNotNull()).groupBy(*by, b).agg(F.count(F.lit(1)).alias("n"))
+    """Counts per equal-width class 1..bins; values below ``lo``
+    fall in class 0 and values at or above ``hi`` in class ``bins + 1``.
+
+    The class is ``floor((v - lo) / (hi - lo) * bins) + 1``, written out so
+    that every engine evaluates the same float operations (a value on an
+    edge is then classed identically everywhere)."""
+    v = F.col(value)
+    inner = F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)) + 1
+    b = (F.when(v < F.lit(lo), F.lit(0)).when(v >= F.lit(hi), F.lit(bins + 1))
+          .otherwise(inner).cast("long").alias("bin"))
+    return df.where(v.isNotNull()).groupBy(*by, b).agg(F.count(F.lit(1)).alias("n"))
 
 
 def kde(df: DataFrame, value: str, lo: float, hi: float, points: int, bandwidth: float,

@@ -386,13 +386,13 @@ _LO, _HI, _NB = -10.00005, 10.00005, 20
 
 
 @register("bias_histogram", with_fixtures(
-    f"""with b as (select round(p - o, 3) as d from pair_daily where o is not null and p is not null)
+    f"""with b as (select round(p - o + 1e-9, 3) as d from pair_daily where o is not null and p is not null)
     select cast(case when d < {_LO} then 0 when d >= {_HI} then {_NB + 1}
-           else floor((d - ({_LO})) / ({_HI} - ({_LO})) * {_NB}) + 1 end as bigint) as bin, count(*) as n
+           else floor((d - ({_LO})) / {_HI - _LO} * {_NB}) + 1 end as bigint) as bin, count(*) as n
     from b group by 1""", "pair_daily"))
 def q_bias_histogram(spark, sf):
     d = _pd(spark, sf)
-    b = metrics.valid_pairs(d, "o", "p").select(F.round(F.col("p") - F.col("o"), 3).alias("d"))
+    b = metrics.valid_pairs(d, "o", "p").select(F.round(F.col("p") - F.col("o") + F.lit(1e-9), 3).alias("d"))
     return metrics.histogram(b, "d", _LO, _HI, _NB)
 
 
@@ -418,15 +418,15 @@ _CLO, _CHI, _CN = -30.00005, 30.00005, 12
 
 
 @register("map_classes", with_fixtures(
-    f"""with yr as ({YEARLY_SQL}), b as (select y, x, round(avg(case when o = 0 then null else (p - o) / o end * 100), 3)
+    f"""with yr as ({YEARLY_SQL}), b as (select y, x, round(avg(case when o = 0 then null else (p - o) / o end * 100) + 1e-9, 3)
     as rb from yr group by 1, 2)
     select cast(case when rb < {_CLO} then 0 when rb >= {_CHI} then {_CN + 1}
-           else floor((rb - ({_CLO})) / ({_CHI} - ({_CLO})) * {_CN}) + 1 end as bigint) as bin, count(*) as n
+           else floor((rb - ({_CLO})) / {_CHI - _CLO} * {_CN}) + 1 end as bigint) as bin, count(*) as n
     from b where rb is not null group by 1""", "pair_daily"))
 def q_map_classes(spark, sf):
     yr = resample.climatology(_pd(spark, sf), ["o", "p"], by="year")
     b = yr.select("y", "x", metrics.bias(yr, "o", "p", relative=True).alias("rb"))
-    m = resample.mean_over(b, ["rb"], keep=["y", "x"]).withColumn("rb", F.round("rb", 3))
+    m = resample.mean_over(b, ["rb"], keep=["y", "x"]).withColumn("rb", F.round(F.col("rb") + F.lit(1e-9), 3))
     return metrics.histogram(m, "rb", _CLO, _CHI, _CN)
 
 
