@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .axes import bounded_broadcast
 from .resample import CELL
 
 
@@ -24,12 +25,13 @@ def complete_cells(df: DataFrame, values: Sequence[str], cell: Sequence[str] = C
     """drop every cell with a missing value in any variable at any time.
 
     One grouped aggregate finds bad cells (partial aggregation handles a hot
-    cell); a left-anti join removes them.
+    cell); a left-anti join against that list (at most one row per cell,
+    broadcast after a count) removes them without shuffling the data.
     """
     any_null = F.max(F.greatest(*[F.col(v).isNull().cast("int") for v in values])
                      if len(values) > 1 else F.col(values[0]).isNull().cast("int"))
     bad = df.groupBy(*cell).agg(any_null.alias("__bad")).where(F.col("__bad") == 1).select(*cell)
-    return df.join(bad, list(cell), "left_anti")
+    return df.join(bounded_broadcast(bad), list(cell), "left_anti")
 
 
 def stack(df: DataFrame, values: Sequence[str], name: str = "features") -> DataFrame:

@@ -1,19 +1,20 @@
 """Scaling and anomalies.
 
 Global statistics come from one aggregate over all variables (one scan,
-partial aggregation), never a global window; per-group statistics are window
-aggregates partitioned by (group, cell), each partition bounded by the time
-axis.
+partial aggregation), never a global window; per-group statistics are a
+grouped aggregate joined back with a size-checked broadcast, so data rows
+are not shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
+from .axes import bounded_broadcast
 from .resample import CELL, calendar_group
 
 
@@ -51,14 +52,28 @@ def standardize(df: DataFrame, values: Sequence[str], ddof: int = 1,
     return df.withColumns(out)
 
 
+def _with_group_stats(df: DataFrame, keys: list, stats: dict[str, Column]) -> DataFrame:
+    """Attach per-group statistics: one grouped aggregate (partial
+    aggregation, so a hot group is pre-reduced in every task), joined back
+    on the group keys. The statistics table has one row per group (e.g.
+    cells x 12 months); it is broadcast when its counted size allows, so the
+    data rows are never shuffled, else a shuffle join with AQE skew
+    handling takes over."""
+    st = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
+    return df.join(bounded_broadcast(st), keys, "left")
+
+
 def minmax_by(df: DataFrame, values: Sequence[str], keep: Sequence[str] = CELL) -> DataFrame:
     """Min-max scaling along the other axes, separately for every
-    combination of ``keep`` (per cell over time by default). One window
-    aggregate per group: a group is one cell's series, bounded by the
-    time axis."""
-    w = Window.partitionBy(*keep)
-    return df.withColumns({v: ratio(F.col(v) - F.min(v).over(w), F.max(v).over(w) - F.min(v).over(w))
-                           for v in values})
+    combination of ``keep`` (per cell over time by default)."""
+    stats = {}
+    for v in values:
+        stats[f"__lo_{v}"] = F.min(v)
+        stats[f"__hi_{v}"] = F.max(v)
+    j = _with_group_stats(df, list(keep), stats)
+    j = j.withColumns({v: ratio(F.col(v) - F.col(f"__lo_{v}"), F.col(f"__hi_{v}") - F.col(f"__lo_{v}"))
+                       for v in values})
+    return j.drop(*stats)
 
 
 def anomalies(df: DataFrame, values: Sequence[str], by: str = "dayofyear", standard: bool = False,
@@ -67,13 +82,19 @@ def anomalies(df: DataFrame, values: Sequence[str], by: str = "dayofyear", stand
     (day-of-year, month, season), divided by the population std when
     ``standard``; rows keep their time labels.
 
-    One window aggregate partitioned by (group, cell): one scan and one
-    shuffle of the data; a window partition holds one cell's days of one
-    calendar group, bounded by the number of years.
+    The (group, cell) statistics are a grouped aggregate joined back with a
+    size-checked broadcast: the data rows are read twice (column-pruned)
+    but never shuffled.
     """
-    w = Window.partitionBy(calendar_group(time, by), *cell)
+    d = df.withColumn(by, calendar_group(time, by))
+    stats = {}
+    for v in values:
+        stats[f"__mu_{v}"] = F.avg(v)
+        if standard:
+            stats[f"__sd_{v}"] = F.stddev_pop(v)
+    j = _with_group_stats(d, [by, *cell], stats)
     out = {}
     for v in values:
-        a = F.col(v) - F.avg(v).over(w)
-        out[v] = ratio(a, F.stddev_pop(v).over(w)) if standard else a
-    return df.withColumns(out)
+        a = F.col(v) - F.col(f"__mu_{v}")
+        out[v] = ratio(a, F.col(f"__sd_{v}")) if standard else a
+    return j.withColumns(out).drop(by, *stats)
