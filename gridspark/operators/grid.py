@@ -46,15 +46,21 @@ def to_long(df: DataFrame, values: Sequence[str], keys: Sequence[str]) -> DataFr
 
 
 def pivot_levels(df: DataFrame, variables: Sequence[str], levels: Sequence[int],
-                 keys: Sequence[str] = ("time", *CELL), level: str = "level") -> DataFrame:
-    """Long pressure-level rows -> wide ``var_level`` columns.
-
-    The level filter is pushed to the scan and the pivot values are given,
-    so no extra job computes the distinct levels. A requested level absent
-    from the data yields an all-missing column (it is skipped when the
-    whole level is absent from the input: see ``drop_empty``).
+                 keys: Sequence[str] = ("time", *CELL), level: str = "level",
+                 skip_absent: bool = True) -> DataFrame:
+    """Long pressure-level rows -> wide ``var_level`` columns, one row
+    per key.
+
+    The level filter is pushed to the scan. With ``skip_absent`` a
+    requested level missing from the data gets no column (its distinct
+    values are bounded by the level vocabulary, so listing them is one
+    small aggregate); otherwise it yields an all-missing column. The pivot
+    values are given explicitly, so the pivot itself needs no extra job.
     """
     d = df.where(F.col(level).isin(list(levels)))
+    if skip_absent:
+        present = {r[0] for r in d.select(level).distinct().collect()}
+        levels = [lv for lv in levels if lv in present]
     aggs = [F.max(F.when(F.col(level) == lv, F.col(v))).alias(f"{v}_{lv}")
             for v in variables for lv in levels]
     return d.groupBy(*keys).agg(*aggs)

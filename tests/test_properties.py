@@ -269,3 +269,12 @@ def test_distributed_axis_paths_agree(spark, monkeypatch):
     assert [(r["y"], r["x"]) for r in con] == [(r["y"], r["x"]) for r in small_con]
     for a, b in zip(con, small_con):
         assert a["v"] == pytest.approx(b["v"], abs=1e-9)
+
+
+def test_pivot_levels_skips_absent_levels(spark):
+    rows = [(dt.date(2020, 1, 1), 0, 0, lv, float(lv)) for lv in (500, 850)]
+    df = spark.createDataFrame(rows, "time date, y int, x int, level int, z double")
+    out = grid.pivot_levels(df, ["z"], [500, 700, 850])
+    assert out.columns == ["time", "y", "x", "z_500", "z_850"]
+    kept = grid.pivot_levels(df, ["z"], [500, 700], skip_absent=False)
+    assert kept.first()["z_700"] is None
