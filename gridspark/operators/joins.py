@@ -58,7 +58,7 @@ def attach_static(df: DataFrame, static: DataFrame, cell: Sequence[str] = CELL,
 def sel_labels(df: DataFrame, other: DataFrame, col: str = "time", strict: bool = True) -> DataFrame:
     """Keep the labels of ``col`` found in ``other``; with ``strict`` a
     label of ``other`` missing from ``df`` is an error (as ``.sel``)."""
-    labels = other.select(col).distinct()
+    labels = bounded_broadcast(other.select(col).distinct())   # axis-sized, counted
     if strict:
         missing = labels.join(df.select(col).distinct(), col, "left_anti")
         if not missing.isEmpty():

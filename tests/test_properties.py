@@ -278,3 +278,21 @@ def test_pivot_levels_skips_absent_levels(spark):
     assert out.columns == ["time", "y", "x", "z_500", "z_850"]
     kept = grid.pivot_levels(df, ["z"], [500, 700], skip_absent=False)
     assert kept.first()["z_700"] is None
+
+
+def test_apply_weights_matches_separable_bilinear(spark):
+    d = plane(spark, n=6)
+    t = axis_df(spark, [0.5, 2.25, 4.75])
+    wy = regrid.bilinear_axis_weights(regrid._labels(d, "y"), t).select(
+        F.col("t").alias("ty"), F.col("s").alias("sy"), F.col("w").alias("wy"))
+    wx = regrid.bilinear_axis_weights(regrid._labels(d, "x"), t).select(
+        F.col("t").alias("tx"), F.col("s").alias("sx"), F.col("w").alias("wx"))
+    # a user-supplied 2-D table (as for a curvilinear source): here the outer
+    # product of the two small axis tables, built in the test itself
+    rows = [(a["sy"], b["sx"], a["ty"], b["tx"], a["wy"] * b["wx"]) for a in wy.collect() for b in wx.collect()]
+    w2 = spark.createDataFrame(rows, "sy double, sx double, ty double, tx double, w double")
+    got = {(r["y"], r["x"]): r["v"] for r in regrid.apply_weights(d, ["v"], w2).collect()}
+    ref = {(r["y"], r["x"]): r["v"] for r in regrid.bilinear(d, ["v"], t, t).collect()}
+    assert got.keys() == ref.keys()
+    for k in got:
+        assert got[k] == pytest.approx(ref[k], abs=1e-9)
