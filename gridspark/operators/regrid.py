@@ -83,9 +83,9 @@ def _bracket(src: DataFrame, tgt: DataFrame, buckets: int = 64) -> DataFrame:
         hit = (F.col("a") <= F.col("t")) & ((F.col("t") < F.col("b")) | F.col("b").isNull())
         m = t.join(iv, "__k", "inner").where(hit).select(
             "t", "a", F.when(F.col("t") == F.col("a"), F.col("a")).otherwise(F.col("b")).alias("b"))
-        first = idx.where(F.col("i") == 0).select(F.col("s").alias("__first"))
-        out = (tgt.select("t").join(m, "t", "left").join(F.broadcast(first), how="left")
-                  .select("t", "a", F.when(F.col("a").isNull() & (F.col("t") <= F.col("__first")), F.col("__first"))
+        # below the range: b is the first label (lo, already known)
+        out = (tgt.select("t").join(m, "t", "left")
+                  .select("t", "a", F.when(F.col("a").isNull() & (F.col("t") <= F.lit(lo)), F.lit(lo))
                                      .otherwise(F.col("b")).alias("b")))
     return out
 
