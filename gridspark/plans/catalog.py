@@ -1008,3 +1008,40 @@ def q_job_terrain_regridded(spark, sf):
     e = _reused(fx.elevation(spark, sf))
     target = (regrid.target_axis(e, "y", 0.5), regrid.target_axis(e, "x", 0.5))
     return jobs.terrain_fields(e, "z", target=target)
+
+
+# ------------------------------------------------------------------ dense calendar and seasonal maps
+
+_FILLED_SQL = """select c.y, c.x, cast(unnest(generate_series(c.d0, c.d1, interval 1 day)) as date) as time
+    from (select y, x, min(time) as d0, max(time) as d1 from pair_daily group by 1, 2) c"""
+
+
+@register("daily_fill_gaps", with_fixtures(
+    f"""with f as ({_FILLED_SQL})
+    select f.time, f.y, f.x, d.o, d.p from f left join pair_daily d on f.time = d.time and f.y = d.y and f.x = d.x""",
+    "pair_daily"), ("o", "p"))
+def q_daily_fill_gaps(spark, sf):
+    """Absent days of each cell's span emitted as missing rows."""
+    return resample.fill_gaps(_pd(spark, sf))
+
+
+@register("monthly_sum_dense", with_fixtures(
+    f"""with f as ({_FILLED_SQL}),
+    g as (select f.time, f.y, f.x, d.o, d.p from f left join pair_daily d
+          on f.time = d.time and f.y = d.y and f.x = d.x)
+    select last_day(time) as time, y, x, {guarded('sum', 'o')} as o, {guarded('sum', 'p')} as p
+    from g group by 1, 2, 3""", "pair_daily"), ("o", "p"))
+def q_monthly_sum_dense(spark, sf):
+    """A5 on a dense calendar: a month with any absent day is missing."""
+    return resample.monthly(resample.fill_gaps(_pd(spark, sf)), ["o", "p"])
+
+
+@register("seasonal_map_summary", with_fixtures(
+    f"""with s as (select {SEASON_SQL} as season, y, x, avg(p - o) as bias from pair_daily group by 1, 2, 3)
+    select season, median(bias) as median, min(bias) as min, max(bias) as max, avg(bias) as mean
+    from s group by 1""", "pair_daily"), ("median", "min", "max", "mean"))
+def q_seasonal_map_summary(spark, sf):
+    """A26 per season: median, min and max of the seasonal bias map."""
+    d = _pd(spark, sf).withColumn("bias", F.col("p") - F.col("o"))
+    m = resample.climatology(d, ["bias"], by="season")
+    return metrics.map_summary(m, "bias", by=["season"])
