@@ -754,19 +754,24 @@ def _fill_sql() -> str:
     return f"w1 as (select y, x, {w1} from n), w as (select y, x, {w2} from w1)"
 
 
-TERRAIN_SQL = with_fixtures(
-    "with n as (select e.y, e.x, e.z as e, "
-    + ", ".join(f"{k}.z as {k}" for k in _NEIGHBOURS)
-    + " from elevation e "
-    + " ".join(f"left join elevation {k} on {k}.y = e.y + ({dy}) and {k}.x = e.x + ({dx})"
-               for k, (dy, dx) in _NEIGHBOURS.items())
-    + " where e.z is not null), " + _fill_sql()
-    + ", g as (select y, x, e, ((c + 2 * f + i) - (a + 2 * d + g)) / 8.0 as dx, "
-    "((g + 2 * h + i) - (a + 2 * b + c)) / 8.0 as dy from w) "
-    "select y, x, e as z, cast(degrees(atan(sqrt(dx * dx + dy * dy))) as float) as slope, "
-    f"cast(case when dx = 0 and dy = 0 then null else (case when (case when {_ASPECT} > 90 then 450 - {_ASPECT} "
-    f"else 90 - {_ASPECT} end) = 360 then 0 else (case when {_ASPECT} > 90 then 450 - {_ASPECT} "
-    f"else 90 - {_ASPECT} end) end) end as float) as aspect from g", "elevation")
+def _terrain_sql(table: str, step: float = 1.0) -> str:
+    """Horn slope/aspect over ``table(y, x, z)`` whose axes are regular with
+    spacing ``step`` (neighbours by coordinate offsets), edges extrapolated."""
+    return ("n as (select e.y, e.x, e.z as e, "
+            + ", ".join(f"{k}.z as {k}" for k in _NEIGHBOURS)
+            + f" from {table} e "
+            + " ".join(f"left join {table} {k} on {k}.y = e.y + ({dy * step}) and {k}.x = e.x + ({dx * step})"
+                       for k, (dy, dx) in _NEIGHBOURS.items())
+            + " where e.z is not null), " + _fill_sql()
+            + ", g as (select y, x, e, ((c + 2 * f + i) - (a + 2 * d + g)) / 8.0 as dx, "
+            "((g + 2 * h + i) - (a + 2 * b + c)) / 8.0 as dy from w) "
+            "select y, x, e as z, cast(degrees(atan(sqrt(dx * dx + dy * dy))) as float) as slope, "
+            f"cast(case when dx = 0 and dy = 0 then null else (case when (case when {_ASPECT} > 90 then 450 - {_ASPECT} "
+            f"else 90 - {_ASPECT} end) = 360 then 0 else (case when {_ASPECT} > 90 then 450 - {_ASPECT} "
+            f"else 90 - {_ASPECT} end) end) end as float) as aspect from g")
+
+
+TERRAIN_SQL = with_fixtures("with " + _terrain_sql("elevation"), "elevation")
 
 
 @register("terrain_slope_aspect", TERRAIN_SQL, ("z", "slope", "aspect"))
@@ -999,7 +1004,12 @@ def q_job_daily_regridded(spark, sf):
     return jobs._regrid(d, ["v"], target, "bilinear")
 
 
-@register("job_terrain_regridded", None)
+@register("job_terrain_regridded", with_fixtures(
+    f"""with {_bilinear_weights_sql('x', 'elevation', 0.5, 0.0)}, {_bilinear_weights_sql('y', 'elevation', 0.5, 0.0)},
+    r as (select wy.t as y, wx.t as x, case when count(e.z) = max(wx.k * wy.k) then sum(wx.w * wy.w * e.z) end as z
+          from elevation e join wx on cast(e.x as double) = wx.s join wy on cast(e.y as double) = wy.s
+          group by 1, 2),
+    {_terrain_sql('r', 0.5)}""", "elevation"), ("z", "slope", "aspect", "y", "x"))
 def q_job_terrain_regridded(spark, sf):
     """The elevation raster regridded (bilinear) to a grid of half the
     spacing, then slope and aspect on the target grid."""
