@@ -207,3 +207,44 @@ def test_read_bands_and_keep_known_and_concat(spark):
     assert kept.columns == ["band", "y", "x", "v"]
     both = joins.concat_time([got, got.withColumn("extra", F.lit(1.0))])
     assert both.count() == 8 and "extra" in both.columns
+
+
+@pytest.mark.parametrize("kind", ["RandomForestRegressor", "LGBMRegressor"])
+def test_fit_predict_equals_brute_force(spark, kind):
+    """Spark's grouped fit/predict against a plain loop over the cells."""
+    d = cells(spark, n_cells=3, days=90)
+    params = {"n_estimators": 7}
+    got = {(r["x"], r["time"]): r["prediction"]
+           for r in models.fit_predict(d, ["f1"], "t", model=kind, params=params, seed=11).collect()}
+    pdf = d.toPandas()
+    expect = {}
+    for (y, x), g in pdf.groupby(["y", "x"]):
+        tr, va = g[g.split == "train"], g[g.split == "valid"]
+        m = trees.fit(kind, tr[["f1"]].to_numpy(float), tr["t"].to_numpy(float), params,
+                      seed=models._cell_seed(11, (y, x)))
+        for t, p in zip(va["time"], m.predict(va[["f1"]].to_numpy(float))):
+            expect[(x, t)] = p
+    assert got.keys() == expect.keys()
+    for k in got:
+        assert got[k] == pytest.approx(expect[k], abs=1e-12)
+
+
+def test_search_equals_brute_force(spark):
+    import math
+    d = cells(spark, n_cells=2, days=80).drop("split")
+    tr = models.trial_table(spark, 3, seed=5)
+    got = {(r["trial"], r["x"]): r["rmse"]
+           for r in models.search(d, ["f1"], "t", tr, n_estimators=25, early_stopping=4, seed=9).collect()}
+    trials = [r.asDict() for r in tr.orderBy("trial").collect()]
+    pdf = d.toPandas()
+    for (y, x), g in pdf.groupby(["y", "x"]):
+        g = g.sort_values("time")
+        X, t = g[["f1"]].to_numpy(float), g["t"].to_numpy(float)
+        cut = len(t) - math.ceil(round(0.2 * len(t), 9))
+        for p in trials:
+            params = {k: v for k, v in p.items() if k not in ("trial", "cat_smooth")}
+            params["n_estimators"] = 25
+            m = trees.fit("LGBMRegressor", X[:cut], t[:cut], params, seed=9, X_eval=X[cut:], y_eval=t[cut:],
+                          early_stopping=4)
+            rmse = float(np.sqrt(np.mean((m.predict(X[cut:]) - t[cut:]) ** 2)))
+            assert got[(p["trial"], x)] == pytest.approx(rmse, abs=1e-12)
