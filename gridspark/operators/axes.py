@@ -12,16 +12,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
-# Largest table we hint as broadcast after counting it. Axis tables are far
+# Largest table we hint as broadcast after counting it: rows and an estimate
+# of bytes (8 bytes per column value plus row overhead). Axis tables are far
 # below this (a century of hours is ~900k labels).
 MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after its row count proved small; else leave the
-    join to the planner (sort-merge, or AQE's own runtime broadcast)."""
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+                      max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after its row count proved it small; else leave
+    the join to the planner (sort-merge, with AQE skew splitting). The table
+    is cached either way, so the count is not paid twice."""
     df = df.cache()
-    return F.broadcast(df) if df.count() <= max_rows else df
+    n = df.count()
+    est = n * (8 * len(df.columns) + 16)
+    return F.broadcast(df) if (n <= max_rows and est <= max_bytes) else df
 
 
 def axis(df: DataFrame, col: str) -> DataFrame:
