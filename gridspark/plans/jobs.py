@@ -168,3 +168,43 @@ def verification_report(obs: DataFrame, pred: DataFrame, value: str, wet_thresho
     for q in parts[1:]:
         out = out.unionByName(q)
     return out.withColumn("value", F.col("value").cast("double"))
+
+
+def sweep(predictors: DataFrame, predictands: dict[str, DataFrame], features: Sequence[str],
+          matrix: DataFrame, out_root: str, predictor_names: Sequence[str] = (),
+          levels: Sequence[int] = (), static: DataFrame | None = None, doy: bool = True,
+          calibration=("1985-01-01", "2016-01-01"), validation=("2016-01-01", "2020-12-31"),
+          params: dict | None = None) -> list[str]:
+    """J9 + S11 + S9 + C6: run every (predictand, threshold, model) row of
+    the run matrix (``functions.naming.run_matrix``) as one downscaling job
+    and write its predictions under the run key; a run whose output exists
+    is skipped. The matrix has a handful of rows (bounded by the parameter
+    lists); each run itself is a distributed job. Returns the run keys."""
+    from ..functions.naming import run_key
+    from ..sources.sinks import write_grid
+
+    keys = []
+    for r in matrix.orderBy("predictand", "wet_day_threshold", "model").collect():
+        threshold = r["wet_day_threshold"]
+        key = run_key(r["model"], r["predictand"], list(predictor_names), list(levels),
+                      int(threshold) if float(threshold).is_integer() else threshold,
+                      dem=static is not None, doy=doy, stratify=r["stratify"])
+        target = f"{out_root.rstrip('/')}/{key}"
+        keys.append(key)
+        if _exists(predictors.sparkSession, target):
+            continue   # S9: a finished run is not redone
+        pred = downscale(predictors, predictands[r["predictand"]], r["predictand"], features, model=r["model"],
+                         static=static, doy=doy, split_mode="stratified" if r["stratify"] else "period",
+                         calibration=calibration, validation=validation, wet_threshold=threshold, params=params)
+        write_grid(pred, target, if_exists="skip")
+    return keys
+
+
+def _exists(spark, path: str) -> bool:
+    """Whether a Parquet output is already there (a metadata read only)."""
+    from pyspark.errors import AnalysisException
+    try:
+        spark.read.parquet(path).schema
+        return True
+    except AnalysisException:
+        return False

@@ -248,3 +248,19 @@ def test_search_equals_brute_force(spark):
                           early_stopping=4)
             rmse = float(np.sqrt(np.mean((m.predict(X[cut:]) - t[cut:]) ** 2)))
             assert got[(p["trial"], x)] == pytest.approx(rmse, abs=1e-12)
+
+
+def test_sweep_writes_one_folder_per_run(spark):
+    from gridspark.plans import jobs
+    p, o = _grids(spark, days=300)
+    m = naming.run_matrix(spark, ["pr"], [0.5], ["XGBRegressor", "AdaBoostRegressor"])
+    out = tempfile.mkdtemp(prefix="gridspark-sweep-")
+    keys = jobs.sweep(p, {"pr": o}, ["a"], m, out, predictor_names=["total_precipitation"],
+                      calibration=("2000-01-01", "2000-08-01"), validation=("2000-08-01", "2001-01-01"),
+                      params={"n_estimators": 5})
+    assert keys == ["AdaBoostRegressor_pr_pr_0.5mm_doy", "XGBRegressor_pr_pr_0.5mm_doy"]
+    for k in keys:
+        assert spark.read.parquet(os.path.join(out, k)).count() > 0
+    # a second sweep finds the outputs and leaves them as they are
+    assert jobs.sweep(p, {"pr": o}, ["a"], m, out, predictor_names=["total_precipitation"],
+                      params={"n_estimators": 5}) == keys
