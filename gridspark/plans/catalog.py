@@ -1055,3 +1055,18 @@ def q_seasonal_map_summary(spark, sf):
     d = _pd(spark, sf).withColumn("bias", F.col("p") - F.col("o"))
     m = resample.climatology(d, ["bias"], by="season")
     return metrics.map_summary(m, "bias", by=["season"])
+
+
+@register("written_grid_roundtrip", with_fixtures("select * from pair_daily", "pair_daily"), ("o", "p"))
+def q_written_grid_roundtrip(spark, sf):
+    """S7/S8/S9 + S1/S3: write the daily grid as zstd Parquet in year
+    folders under the shared checkpoint folder, then discover and scan it
+    back (year partition column dropped)."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..sources import files, sinks
+    path = f"{checkpoint_dir(spark).rstrip('/')}/grid-{uuid.uuid4().hex}"
+    sinks.write_grid(_pd(spark, sf), path, partition_by=("year",), compression="zstd", if_exists="error")
+    back = files.read_files(spark, path, glob="*.parquet")
+    return back.select("time", "y", "x", "o", "p")
