@@ -64,14 +64,18 @@ class Tree:
             node = np.where(inner, np.where(go_left, left[node], right[node]), node)
 
 
-def _best_split(B, g, h, idx, nb, feats, lam, alpha, min_child, min_hess):
-    """Best (gain, feature, bin) for the rows ``idx`` from per-feature
-    gradient/hessian histograms."""
+def _hist(B, g, h, idx, nb, feats):
+    """Per-feature gradient, hessian and count histograms of the rows ``idx``."""
     nf = len(feats)
-    Bi = B[idx][:, feats] + np.arange(nf) * nb
-    G = np.bincount(Bi.ravel(), weights=np.repeat(g[idx], nf), minlength=nf * nb).reshape(nf, nb)
-    H = np.bincount(Bi.ravel(), weights=np.repeat(h[idx], nf), minlength=nf * nb).reshape(nf, nb)
-    C = np.bincount(Bi.ravel(), minlength=nf * nb).reshape(nf, nb)
+    Bi = (B[idx][:, feats] + np.arange(nf) * nb).ravel()
+    G = np.bincount(Bi, weights=np.repeat(g[idx], nf), minlength=nf * nb).reshape(nf, nb)
+    H = np.bincount(Bi, weights=np.repeat(h[idx], nf), minlength=nf * nb).reshape(nf, nb)
+    C = np.bincount(Bi, minlength=nf * nb).reshape(nf, nb)
+    return G, H, C
+
+
+def _split_from_hist(G, H, C, nb, feats, lam, alpha, min_child, min_hess):
+    """Best (gain, feature, bin) from the histograms of one node."""
     GL, HL, CL = G.cumsum(1)[:, :-1], H.cumsum(1)[:, :-1], C.cumsum(1)[:, :-1]
     Gt, Ht, Ct = G.sum(1, keepdims=True), H.sum(1, keepdims=True), C.sum(1, keepdims=True)
     GR, HR, CR = Gt - GL, Ht - HL, Ct - CL
@@ -87,6 +91,11 @@ def _best_split(B, g, h, idx, nb, feats, lam, alpha, min_child, min_hess):
     return gain.flat[k], feats[f], b
 
 
+def _best_split(B, g, h, idx, nb, feats, lam, alpha, min_child, min_hess):
+    """Best (gain, feature, bin) for the rows ``idx``."""
+    return _split_from_hist(*_hist(B, g, h, idx, nb, feats), nb, feats, lam, alpha, min_child, min_hess)
+
+
 def _leaf(g, h, idx, lam, alpha):
     G, H = g[idx].sum(), h[idx].sum()
     t = np.sign(G) * max(abs(G) - alpha, 0.0)
@@ -178,15 +187,27 @@ def grow(B, g, h, nb, *, max_depth=None, num_leaves=None, min_child=1, min_hess=
     if num_leaves is None:
         _grow_levels(t, B, g, h, nb, rows, feats, depth_cap, min_child, min_hess, lam, alpha, scale)
     else:
-        # leaf-wise: always split the leaf with the largest gain
-        cands = [c for c in [split_of(root, rows, 0)] if c is not None]
+        # leaf-wise: always split the leaf with the largest gain. Each split
+        # builds the histograms of the smaller child only; the larger
+        # child's are the parent's minus the smaller's.
+        def cand(node, idx, d, hist):
+            if d >= depth_cap or len(idx) < 2 * min_child:
+                return None
+            gain, f, b = _split_from_hist(*hist, nb, feats, lam, alpha, min_child, min_hess)
+            return (gain, node, idx, d, f, b, hist) if gain > 0 else None
+
+        cands = [c for c in [cand(root, rows, 0, _hist(B, g, h, rows, nb, feats))] if c is not None]
         while cands and leaves < num_leaves:
             best = max(range(len(cands)), key=lambda i: cands[i][0])
-            c = cands.pop(best)
-            for node, idx, d in apply(c):
-                nc = split_of(node, idx, d)
-                if nc is not None:
-                    cands.append(nc)
+            _, node, idx, d, f, b, hist = cands.pop(best)
+            (ln, li, _), (rn, ri, _) = apply((None, node, idx, d, f, b))
+            small, large = (li, ri) if len(li) <= len(ri) else (ri, li)
+            hs = _hist(B, g, h, small, nb, feats)
+            hl = tuple(p - q for p, q in zip(hist, hs))
+            for child, cidx, chist in ((ln, li, hs if small is li else hl), (rn, ri, hs if small is ri else hl)):
+                c = cand(child, cidx, d + 1, chist)
+                if c is not None:
+                    cands.append(c)
             leaves += 1
     return t
 
