@@ -105,7 +105,8 @@ def _leaf(g, h, idx, lam, alpha):
 def _grow_levels(t, B, g, h, nb, rows, feats, depth_cap, min_child, min_hess, lam, alpha, scale):
     """Depth-wise growth, one histogram pass per level: the histograms of
     all nodes of a level come from one ``bincount`` keyed by (node,
-    feature, bin)."""
+    feature, bin). Only the smaller child of each split is histogrammed;
+    its sibling's histograms are the parent's minus the smaller child's."""
     nf = len(feats)
     RB = B[rows][:, feats]
     gr, hr = g[rows], h[rows]
@@ -114,17 +115,20 @@ def _grow_levels(t, B, g, h, nb, rows, feats, depth_cap, min_child, min_hess, la
     depth = 0
     offs = np.arange(nf) * nb
 
+    def hist_of(mask, m):
+        key = (pos[mask][:, None] * (nf * nb) + offs + RB[mask]).ravel()
+        size = m * nf * nb
+        return (np.bincount(key, weights=np.repeat(gr[mask], nf), minlength=size).reshape(m, nf, nb),
+                np.bincount(key, weights=np.repeat(hr[mask], nf), minlength=size).reshape(m, nf, nb),
+                np.bincount(key, minlength=size).reshape(m, nf, nb))
+
     def score(gs, hs):
         tt = np.sign(gs) * np.maximum(np.abs(gs) - alpha, 0.0)
         return tt * tt / (hs + lam + 1e-12)
 
+    G, H, C = hist_of(np.ones(len(pos), dtype=bool), 1)
     while level and depth < depth_cap and len(pos):
         k = len(level)
-        key = (pos[:, None] * (nf * nb) + offs + RB).ravel()
-        size = k * nf * nb
-        G = np.bincount(key, weights=np.repeat(gr, nf), minlength=size).reshape(k, nf, nb)
-        H = np.bincount(key, weights=np.repeat(hr, nf), minlength=size).reshape(k, nf, nb)
-        C = np.bincount(key, minlength=size).reshape(k, nf, nb)
         GL, HL, CL = G.cumsum(2)[:, :, :-1], H.cumsum(2)[:, :, :-1], C.cumsum(2)[:, :, :-1]
         Gt, Ht, Ct = G.sum(2, keepdims=True), H.sum(2, keepdims=True), C.sum(2, keepdims=True)
         gain = score(GL, HL) + score(Gt - GL, Ht - HL) - score(Gt, Ht)
@@ -136,9 +140,10 @@ def _grow_levels(t, B, g, h, nb, rows, feats, depth_cap, min_child, min_hess, la
         split = bgain > 0
         if not split.any():
             break
-        # children: left = 2*j, right = 2*j + 1 among the split nodes
+        # children: left = 2*q, right = 2*q + 1 for the q-th split node
+        split_nodes = np.flatnonzero(split)
         new_level, child_of = [], np.full((k, 2), -1)
-        for j in np.flatnonzero(split):
+        for j in split_nodes:
             node = level[j]
             ln, rn = t.add(0.0), t.add(0.0)
             t.feat[node], t.thr[node], t.left[node], t.right[node] = int(feats[bf[j]]), int(bb[j]), ln, rn
@@ -149,6 +154,18 @@ def _grow_levels(t, B, g, h, nb, rows, feats, depth_cap, min_child, min_hess, la
         npos = child_of[pos, go_right.astype(int)]
         RB, gr, hr, pos = RB[keep], gr[keep], hr[keep], npos[keep]
         m = len(new_level)
+        sizes = np.bincount(pos, minlength=m)
+        left, right = np.arange(0, m, 2), np.arange(1, m, 2)
+        left_small = sizes[left] <= sizes[right]
+        small = np.where(left_small, left, right)
+        large = np.where(left_small, right, left)
+        is_small = np.zeros(m, dtype=bool)
+        is_small[small] = True
+        Gn, Hn, Cn = hist_of(is_small[pos], m)
+        Gn[large] = G[split_nodes] - Gn[small]
+        Hn[large] = H[split_nodes] - Hn[small]
+        Cn[large] = C[split_nodes] - Cn[small]
+        G, H, C = Gn, Hn, Cn
         Gs = np.bincount(pos, weights=gr, minlength=m)
         Hs = np.bincount(pos, weights=hr, minlength=m)
         for j, node in enumerate(new_level):
