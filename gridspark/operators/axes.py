@@ -30,6 +30,15 @@ def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
     return F.broadcast(df) if (n <= max_rows and est <= max_bytes) else df
 
 
+def broadcast_counted(df: DataFrame, rows: int, max_rows: int = MAX_BROADCAST_ROWS,
+                      max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """:func:`bounded_broadcast` for a table whose row count is already known
+    (e.g. an axis counted by :func:`axis_index_sized`): no second count."""
+    df = df.cache()
+    est = rows * (8 * len(df.columns) + 16)
+    return F.broadcast(df) if (rows <= max_rows and est <= max_bytes) else df
+
+
 def axis(df: DataFrame, col: str) -> DataFrame:
     """The distinct labels of one axis (a distributed aggregate)."""
     return df.select(col).where(F.col(col).isNotNull()).distinct()
@@ -93,7 +102,8 @@ def axis_index_sized(df: DataFrame, col: str, name: str = "i",
 
 def with_axis_index(df: DataFrame, col: str, name: str = "i") -> DataFrame:
     """Attach each row's axis position (join with the size-checked axis)."""
-    return df.join(bounded_broadcast(axis_index(df, col, name)), col, "inner")
+    idx, n = axis_index_sized(df, col, name)
+    return df.join(broadcast_counted(idx, n), col, "inner")
 
 
 def isel(df: DataFrame, col: str, positions: list[int]) -> DataFrame:

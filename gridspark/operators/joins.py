@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .axes import axis_index, bounded_broadcast
+from .axes import axis_index_sized, bounded_broadcast, broadcast_counted
 from .resample import CELL
 
 KEYS = ("time", *CELL)
@@ -71,14 +71,13 @@ def align_positional(a: DataFrame, b: DataFrame, axes: Sequence[str] = KEYS) ->
     (``xr.align(join='override')``). Axis lengths must match."""
     out = b
     for ax in axes:
-        ia = axis_index(a, ax, "__p")
-        ib = axis_index(b, ax, "__p")
-        na, nb = ia.count(), ib.count()
+        ia, na = axis_index_sized(a, ax, "__p")
+        ib, nb = axis_index_sized(b, ax, "__p")
         if na != nb:
             raise ValueError(f"axis {ax!r} has {na} labels in the first grid and {nb} in the second")
         relabel = ib.withColumnRenamed(ax, "__old").join(ia, "__p").drop("__p")
         out = (out.withColumnRenamed(ax, "__old")
-                  .join(bounded_broadcast(relabel), "__old").drop("__old"))
+                  .join(broadcast_counted(relabel, na), "__old").drop("__old"))
     return out
 
 

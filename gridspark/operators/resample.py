@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import guarded_avg, guarded_sum, season
-from .axes import axis_index, bounded_broadcast
+from .axes import axis_index_sized, broadcast_counted
 
 CELL = ("y", "x")
 
@@ -130,6 +130,7 @@ def shift(df: DataFrame, values: Sequence[str], steps: int, time: str = "time",
     rows). Positions are the ranks of the distinct time labels, so a gap in
     one cell's series does not change the step size.
     """
-    idx = bounded_broadcast(axis_index(df, time, "__i"))
+    idx, n = axis_index_sized(df, time, "__i")
+    idx = broadcast_counted(idx, n)
     src = df.join(idx, time, "inner").select(*cell, (F.col("__i") + F.lit(steps)).alias("__i"), *values)
     return src.join(idx, "__i", "inner").drop("__i").select(time, *cell, *values)

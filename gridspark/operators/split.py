@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .axes import axis_index, bounded_broadcast
+from .axes import axis_index_sized, bounded_broadcast
 from .resample import CELL
 
 
@@ -50,8 +50,7 @@ def stratified_days(df: DataFrame, value: str, threshold: float, valid_size: flo
 def chronological_split(df: DataFrame, test_size: float = 0.2, time: str = "time") -> DataFrame:
     """O3: the last ``ceil(test_size * n)`` time labels are ``test``, the rest
     ``train`` (no shuffling). Returns ``(time, split)``."""
-    idx = axis_index(df, time, "__i").cache()
-    n = idx.count()
+    idx, n = axis_index_sized(df, time, "__i")
     cut = n - math.ceil(round(test_size * n, 9))
     return idx.select(time, F.when(F.col("__i") >= cut, F.lit("test")).otherwise(F.lit("train")).alias("split"))
 
@@ -75,8 +74,7 @@ def sample_positions(df: DataFrame, col: str, n: int, seed: int = 42,
                      order_key: Column | None = None) -> DataFrame:
     """``n`` distinct labels of one axis, seeded; raises if the axis is
     shorter than ``n``. Returns ``(col, i)`` with ``i`` the axis position."""
-    idx = axis_index(df, col, "i").cache()
-    size = idx.count()
+    idx, size = axis_index_sized(df, col, "i")
     if n > size:
         raise ValueError(f"cannot draw {n} distinct positions from an axis of {size}")
     key = order_key if order_key is not None else seeded_key(seed, "i")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .axes import axis_index, bounded_broadcast
+from .axes import axis_index_sized, broadcast_counted
 
 # window cell names by (row offset, col offset); row offset +1 = one row south
 _CELLS = {(-1, -1): "a", (-1, 0): "b", (-1, 1): "c",
@@ -48,11 +48,11 @@ def _fill_edges() -> dict:
 def neighbourhood(df: DataFrame, value: str, y: str = "y", x: str = "x") -> DataFrame:
     """Every pixel with its 3x3 window as columns ``a .. i`` (edges filled)."""
     # row index 0 = northernmost row (largest y)
-    ry = axis_index(df, y, "__r").cache()
-    ny = ry.count()
-    ry = ry.withColumn("__r", F.lit(ny - 1) - F.col("__r"))
-    cx = axis_index(df, x, "__c")
-    d = (df.select(y, x, value).join(bounded_broadcast(ry), y).join(bounded_broadcast(cx), x))
+    ry, ny = axis_index_sized(df, y, "__r")
+    ry = broadcast_counted(ry.withColumn("__r", F.lit(ny - 1) - F.col("__r")), ny)
+    cx, nx = axis_index_sized(df, x, "__c")
+    cx = broadcast_counted(cx, nx)
+    d = df.select(y, x, value).join(ry, y).join(cx, x)
     offs = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(n).alias("n"))
                      for (dr, dc), n in _CELLS.items()])
     # the pixel at (r, c) is neighbour (dr, dc) of the pixel at (r - dr, c - dc)
@@ -63,9 +63,9 @@ def neighbourhood(df: DataFrame, value: str, y: str = "y", x: str = "x") -> Data
                                            for n in _CELLS.values()])
     win = win.where(F.col("e").isNotNull())
     win = win.withColumns(_fill_edges())
-    back_y = ry.select(F.col("__r"), F.col(y))
-    back_x = cx.select(F.col("__c"), F.col(x))
-    return win.join(bounded_broadcast(back_y), "__r").join(bounded_broadcast(back_x), "__c").drop("__r", "__c")
+    back_y = broadcast_counted(ry.select(F.col("__r"), F.col(y)), ny)
+    back_x = broadcast_counted(cx.select(F.col("__c"), F.col(x)), nx)
+    return win.join(back_y, "__r").join(back_x, "__c").drop("__r", "__c")
 
 
 def _gradients(ew_res: float, ns_res: float):
