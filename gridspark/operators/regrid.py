@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import axes as _axes
-from .axes import axis_index, bounded_broadcast
+from .axes import axis_index, broadcast_counted
 
 # ----------------------------------------------------------------- axes
 
@@ -42,7 +42,7 @@ def _labels(df: DataFrame, col: str) -> DataFrame:
     return df.select(F.col(col).cast("double").alias("s")).where(F.col("s").isNotNull()).distinct()
 
 
-def _bracket(src: DataFrame, tgt: DataFrame, buckets: int = 64) -> DataFrame:
+def _bracket(src: DataFrame, tgt: DataFrame, buckets: int = 64) -> tuple[DataFrame, int]:
     """For each target label ``t``: the nearest source labels ``a <= t <= b``
     (``a = b = t`` on an exact hit). Below the source range ``a`` is
     missing, above it ``b``.
@@ -87,21 +87,27 @@ def _bracket(src: DataFrame, tgt: DataFrame, buckets: int = 64) -> DataFrame:
         out = (tgt.select("t").join(m, "t", "left")
                   .select("t", "a", F.when(F.col("a").isNull() & (F.col("t") <= F.lit(lo)), F.lit(lo))
                                      .otherwise(F.col("b")).alias("b")))
-    return out
+    return out, nt
 
 
 def bilinear_axis_weights(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """Linear interpolation weights along one axis: rows ``(t, s, w, k)``,
     ``k`` = number of source nodes used (1 on a node, else 2). Targets
     outside the source range get no rows (missing)."""
-    br = _bracket(src, tgt).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    return _bilinear_weights(src, tgt)[0]
+
+
+def _bilinear_weights(src: DataFrame, tgt: DataFrame) -> tuple[DataFrame, int]:
+    """The weights and a proven bound on their rows (2 per target label)."""
+    br, nt = _bracket(src, tgt)
+    br = br.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     same = F.col("a") == F.col("b")
     lo = br.select("t", F.col("a").alias("s"),
                    F.when(same, F.lit(1.0)).otherwise((F.col("b") - F.col("t")) / (F.col("b") - F.col("a"))).alias("w"),
                    F.when(same, F.lit(1)).otherwise(F.lit(2)).alias("k"))
     hi = br.where(~same).select("t", F.col("b").alias("s"),
                                 ((F.col("t") - F.col("a")) / (F.col("b") - F.col("a"))).alias("w"), F.lit(2).alias("k"))
-    return lo.unionByName(hi)
+    return lo.unionByName(hi), 2 * nt
 
 
 def _edges(ax: DataFrame, col: str) -> DataFrame:
@@ -120,6 +126,13 @@ def _edges(ax: DataFrame, col: str) -> DataFrame:
 def conservative_axis_weights(src: DataFrame, tgt: DataFrame, spherical: bool = False,
                               buckets: int | None = None) -> DataFrame:
     """Overlap weights along one axis: rows ``(t, s, w)`` for every source
+    cell overlapping the target cell (see :func:`_conservative_weights`)."""
+    return _conservative_weights(src, tgt, spherical, buckets)[0]
+
+
+def _conservative_weights(src: DataFrame, tgt: DataFrame, spherical: bool = False,
+                          buckets: int | None = None) -> tuple[DataFrame, int]:
+    """Overlap weights along one axis: rows ``(t, s, w)`` for every source
     cell overlapping the target cell. ``spherical`` (latitude axis) weighs
     by ``sin(hi) - sin(lo)`` of the overlap instead of its length.
 
@@ -145,16 +158,19 @@ def conservative_axis_weights(src: DataFrame, tgt: DataFrame, spherical: bool =
     first_shared = F.col("__k") == F.greatest(bucket(F.col("sl")), bucket(F.col("tl")))
     pairs = tb.join(sb, "__k").where((b > a) & first_shared)
     w = (F.sin(F.radians(b)) - F.sin(F.radians(a))) if spherical else (b - a)
-    return pairs.select("t", "s", w.alias("w"))
+    # two partitions of a line into ns and nt intervals overlap in fewer
+    # than ns + nt pairs: a proven bound on the table
+    return pairs.select("t", "s", w.alias("w")), ns + nt
 
 
 # ----------------------------------------------------------------- apply
 
 
-def _apply(df: DataFrame, values: Sequence[str], wy: DataFrame, wx: DataFrame, time: str,
-           y: str, x: str, mode: str) -> DataFrame:
-    wy = bounded_broadcast(wy.withColumnsRenamed({"t": "__ty", "s": "__sy", "w": "__wy", "k": "__ky"}))
-    wx = bounded_broadcast(wx.withColumnsRenamed({"t": "__tx", "s": "__sx", "w": "__wx", "k": "__kx"}))
+def _apply(df: DataFrame, values: Sequence[str], wy: tuple[DataFrame, int], wx: tuple[DataFrame, int],
+           time: str, y: str, x: str, mode: str) -> DataFrame:
+    # each weight table comes with a proven row bound: broadcast it only within the limits
+    wy = broadcast_counted(wy[0].withColumnsRenamed({"t": "__ty", "s": "__sy", "w": "__wy", "k": "__ky"}), wy[1])
+    wx = broadcast_counted(wx[0].withColumnsRenamed({"t": "__tx", "s": "__sx", "w": "__wx", "k": "__kx"}), wx[1])
     d = df.select(time, F.col(y).cast("double").alias("__sy"), F.col(x).cast("double").alias("__sx"), *values)
     j = d.join(wx, "__sx").join(wy, "__sy").withColumn("__w", F.col("__wy") * F.col("__wx"))
     aggs: list[Column] = []
@@ -173,8 +189,8 @@ def _apply(df: DataFrame, values: Sequence[str], wy: DataFrame, wx: DataFrame, t
 def bilinear(df: DataFrame, values: Sequence[str], target_y: DataFrame, target_x: DataFrame,
              time: str = "time", y: str = "y", x: str = "x") -> DataFrame:
     """Bilinear regridding onto the target axes (columns ``t``)."""
-    wy = bilinear_axis_weights(_labels(df, y), target_y)
-    wx = bilinear_axis_weights(_labels(df, x), target_x)
+    wy = _bilinear_weights(_labels(df, y), target_y)
+    wx = _bilinear_weights(_labels(df, x), target_x)
     return _apply(df, values, wy, wx, time, y, x, "bilinear")
 
 
@@ -185,9 +201,10 @@ def conservative(df: DataFrame, values: Sequence[str], target_y: DataFrame, targ
     With ``spherical`` the y axis is latitude in degrees and the cell area
     is ``Δlon · (sin φ2 − sin φ1)``; otherwise areas are planar.
     """
-    wy = conservative_axis_weights(_labels(df, y), target_y, spherical=spherical)
-    wx = conservative_axis_weights(_labels(df, x), target_x).withColumn("k", F.lit(1))
-    return _apply(df, values, wy.withColumn("k", F.lit(1)), wx, time, y, x, "conservative")
+    wy, ny = _conservative_weights(_labels(df, y), target_y, spherical=spherical)
+    wx, nx = _conservative_weights(_labels(df, x), target_x)
+    return _apply(df, values, (wy.withColumn("k", F.lit(1)), ny), (wx.withColumn("k", F.lit(1)), nx),
+                  time, y, x, "conservative")
 
 
 def apply_weights(df: DataFrame, values: Sequence[str], weights: DataFrame, time: str = "time",
