@@ -64,3 +64,19 @@ def test_no_cross_products_anywhere(spark):
         p = plan(Q[name](spark, SF001))
         assert "CartesianProduct" not in p, name
         assert "BroadcastNestedLoopJoin" not in p, name
+
+
+SLOW = {"model_random_forest", "model_pooled_gbt", "hyper_search"}
+
+
+def test_no_registered_query_plans_a_cross_product(spark):
+    """Every registered query (models aside, which are checked above) plans
+    without nested-loop or cartesian joins."""
+    from conftest import SF0001
+    bad = {}
+    for name in sorted(set(Q) - SLOW):
+        p = plan(Q[name](spark, SF0001))
+        flags = [f for f in ("BroadcastNestedLoopJoin", "CartesianProduct") if f in p]
+        if flags:
+            bad[name] = flags
+    assert not bad, bad
