@@ -264,3 +264,23 @@ def test_sweep_writes_one_folder_per_run(spark):
     # a second sweep finds the outputs and leaves them as they are
     assert jobs.sweep(p, {"pr": o}, ["a"], m, out, predictor_names=["total_precipitation"],
                       params={"n_estimators": 5}) == keys
+
+
+def test_daily_stream_to_parquet(spark):
+    from gridspark.sources import fixtures as fx
+    from gridspark.streaming.daily import start_to_table
+    src = tempfile.mkdtemp(prefix="gridspark-src-")
+    out = tempfile.mkdtemp(prefix="gridspark-out-")
+    ckpt = tempfile.mkdtemp(prefix="gridspark-ckpt-")
+    h = fx.hourly(spark, SF0001)
+    h.write.mode("overwrite").parquet(src)
+    stream = spark.readStream.schema(h.schema).parquet(src)
+    q = start_to_table(daily_stream(stream, {"v": ("max", "v")}), os.path.join(out, "daily"), ckpt)
+    q.awaitTermination(120)
+    got = spark.read.parquet(os.path.join(out, "daily"))
+    expect = {(r[0], r[1], r[2]): r[3] for r in
+              h.groupBy(F.to_date("time"), "y", "x").agg(F.max("v")).collect()}
+    rows = got.collect()
+    assert rows, "closed days are written"
+    for r in rows:
+        assert r["v"] == pytest.approx(expect[(r["time"], r["y"], r["x"])])
