@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridspark.session import checkpoint_dir
@@ -66,3 +66,27 @@ def ascii_lower(c: Column) -> Column:
     """
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, upper, lower))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_chars: int) -> pa.Table:
+    """(text, y) of labelled documents to fit a classifier on.
+
+    The documents of the ``max_rows`` labels that come first by a hash of their
+    id, at most ``max_rows`` rows, as long as their texts together have at most
+    ``max_chars`` characters (whole texts only). Rows held out (crc32 of the id
+    as text divisible by 5) and rows without a label are never taken. The
+    labels sent to the executors are bounded by ``max_rows`` as well.
+    """
+    order = F.xxhash64(F.col("doc_id").cast("string"))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
+    chosen = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(order, "doc_id").limit(max_rows)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    few = rows.select("text", "y", order.alias("o")).orderBy("o", F.xxhash64("text")).limit(max_rows)
+    return few.withColumn(
+        "sum", F.sum(F.char_length("text")).over(Window.orderBy("o", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
+    ).where(F.col("sum") <= max_chars).select("text", "y").toArrow()
+
+
+def held_out(doc_id: Column) -> Column:
+    """True for the fifth of the ids that no model is fitted on."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
