@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash, quality, secrets, toxicity
+from . import line_dedup, minhash, packing, quality, secrets, tokens, toxicity
 from .common import held_out, table
 
 
@@ -20,6 +20,18 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file; every machine has it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.ids_crc32(packing.pack(docs, tokenizer_file("word_bpe_49k.json"), end_id=1))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -27,6 +39,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.count_tokens(docs, tokenizer_file("byte_bpe_50k.json"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
@@ -37,7 +54,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op3_toxicity, op5_line_dedup, op8_quality_rules, op10_minhash_dedup)}
+    op1_secret_scan, op2_packing, op3_toxicity, op5_line_dedup, op6_token_counts, op8_quality_rules, op10_minhash_dedup)}
 
 ORACLES: dict[str, str] = {}
 ORACLES["op5_line_dedup"] = r"""
