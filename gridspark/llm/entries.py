@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash, packing, quality, secrets, tokens, toxicity
+from . import chat, line_dedup, minhash, packing, quality, secrets, tokens, topk, toxicity
 from .common import held_out, table
 
 
@@ -15,6 +15,15 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(docs.select("doc_id", "text", "source", "lang"), repo, F.col("source")))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").cast(turns.schema["turn"].dataType).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.read_back(chat.format_chats(turns.unionByName(extra)))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -49,14 +58,48 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op2_packing, op3_toxicity, op5_line_dedup, op6_token_counts, op8_quality_rules, op10_minhash_dedup)}
+    op1_secret_scan, op2_packing, op3_toxicity, op4_chat_format, op5_line_dedup, op6_token_counts, op8_quality_rules,
+    op9_topk_search, op10_minhash_dedup)}
 
 ORACLES: dict[str, str] = {}
+ORACLES["op4_chat_format"] = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized as (
+  select *, replace(replace(replace(text, '\', '\\'), '### ', '\### '), '</turn>', '\</turn>') as body,
+         replace(replace(replace(replace(role, '\', '\\'), '### ', '\### '), '</turn>', '\</turn>'), ':', '\:') as head
+  from turns)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       cast(sum(length(head) + length(body) + 14) as bigint) as formatted_chars
+from sized group by conv_id
+"""
+ORACLES["op9_topk_search"] = r"""
+with v as (
+  select vec_id, [cast(floor(64 * cast(x as double)) as double) for x in embedding] as e
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len([1 for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+  from v q, v c where q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 20
+"""
 ORACLES["op5_line_dedup"] = r"""
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,

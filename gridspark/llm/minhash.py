@@ -40,7 +40,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Staged, slices, texts_of
@@ -310,3 +310,19 @@ def near_dups(
         F.when(F.col("id").isNotNull(), F.coalesce("of", "id")).alias("component_id"))
     staged.drop(in_bucket, in_second, tried, group, mixed)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_dups(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stay: one document of each component, and all rows without an id.
+
+    A repeated row of a kept document goes, too: of rows with one id one stays
+    (the first by its text).
+    """
+    near = near_dups(docs.select("doc_id", "text"), **options)
+    gone = near.where("not kept").select("doc_id").distinct()
+    rest = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
+    twice = near.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    first = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    several = rest.join(twice.hint("shuffle_hash"), "doc_id", "left_semi")
+    several = several.withColumn("_nd_rank", F.row_number().over(first)).where("_nd_rank = 1").drop("_nd_rank")
+    return rest.join(twice.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns).unionByName(several.select(*docs.columns))
