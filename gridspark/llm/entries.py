@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, minhash, packing, quality, secrets, tokens, topk, toxicity
+from . import chat, lattice, line_dedup, minhash, packing, quality, secrets, tokens, topk, toxicity
 from .common import held_out, table
 
 
@@ -53,6 +53,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lattice.encode_texts(docs, lattice.read_pieces(spark, tokenizer_file("piece_bpe_32k.model")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
@@ -67,8 +72,8 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op2_packing, op3_toxicity, op4_chat_format, op5_line_dedup, op6_token_counts, op8_quality_rules,
-    op9_topk_search, op10_minhash_dedup)}
+    op1_secret_scan, op2_packing, op3_toxicity, op4_chat_format, op5_line_dedup, op6_token_counts, op7_sentencepiece,
+    op8_quality_rules, op9_topk_search, op10_minhash_dedup)}
 
 ORACLES: dict[str, str] = {}
 ORACLES["op4_chat_format"] = r"""

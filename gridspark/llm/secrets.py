@@ -2,7 +2,7 @@
 
 Each text is searched for three base kinds and for wider candidates (tokens
 of a known form, and long tokens that mix letters and digits). The value of
-each match is hashed, and the hashes are aggregated over the whole corpus: in
+each match is hashed with its kind, and the hashes are aggregated over the whole corpus: in
 how many documents, repositories and owners does the value occur? A value
 that at least ``copied_owners`` owners hold is a copied example; a value with
 fewer owners looks live. Base spans stay whatever their frequency; a wider
@@ -88,7 +88,7 @@ def scan(docs: DataFrame, repo: Column, owner: Column, copied_owners: int = 3) -
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
     every = F.concat(*[F.coalesce(k, none) for k in kinds.values()])
     hashed = F.transform(every, lambda m: F.struct(
-        m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), F.sha2(m["value"], 256).alias("hash")))
+        m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), F.sha2(F.concat_ws(":", m["kind"].cast("string"), m["value"]), 256).alias("hash")))
     rows = staged.write(docs.select(
         *keep, F.monotonically_increasing_id().alias("_ss_row"),
         F.coalesce(repo.cast("string"), F.lit("")).alias("_ss_repo"),
