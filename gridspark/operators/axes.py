@@ -1,4 +1,4 @@
-"""Dataset axes (W5, F6) and size-checked broadcasting.
+"""Dataset axes (W5, F6), ranking and size-checked broadcasting.
 
 A grid's axes are the distinct labels of ``time``, ``y`` and ``x``. Operators
 that refer to *positions* on an axis (shift, positional align, isel, the
@@ -8,35 +8,31 @@ grid's extent (days, rows, columns), never by the number of data rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
-# Largest table we hint as broadcast after counting it: rows and an estimate
-# of bytes (8 bytes per column value plus row overhead). Axis tables are far
-# below this (a century of hours is ~900k labels).
+from ..session import written
+
+# Largest axis or weight table that is hinted as broadcast, once it is written
+# and counted: rows and an estimate of bytes (8 bytes per column value plus row
+# overhead). A century of hours is ~900k labels.
 MAX_BROADCAST_ROWS = 2_000_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
-                      max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Broadcast ``df`` only after its row count proved it small; else leave
-    the join to the planner (sort-merge, with AQE skew splitting). The table
-    is cached either way, so the count is not paid twice."""
-    df = df.cache()
-    n = df.count()
-    est = n * (8 * len(df.columns) + 16)
-    return F.broadcast(df) if (n <= max_rows and est <= max_bytes) else df
-
-
-def broadcast_counted(df: DataFrame, rows: int, max_rows: int = MAX_BROADCAST_ROWS,
-                      max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """:func:`bounded_broadcast` for a table whose row count is already known
-    (e.g. an axis counted by :func:`axis_index_sized`): no second count."""
-    df = df.cache()
+def checked_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """An axis or weight table, broadcast if its row count proves it small;
+    else the join is left to the planner (sort-merge, with AQE skew
+    splitting). Without a known bound on ``rows`` the table is written once to
+    the shared folder and counted there, so it is not computed twice."""
+    if rows is None:
+        df = written(df, "axis")
+        rows = df.count()
     est = rows * (8 * len(df.columns) + 16)
-    return F.broadcast(df) if (rows <= max_rows and est <= max_bytes) else df
+    return F.broadcast(df) if (rows <= MAX_BROADCAST_ROWS and est <= MAX_BROADCAST_BYTES) else df
 
 
 def axis(df: DataFrame, col: str) -> DataFrame:
@@ -44,73 +40,66 @@ def axis(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).where(F.col(col).isNotNull()).distinct()
 
 
-def _numeric(df: DataFrame, col: str):
+def numeric_axes(df: DataFrame, cols: Sequence[str]) -> dict[str, DataFrame]:
+    """The distinct labels of several numeric axes as doubles (column ``s``),
+    from ONE pass over the data; the written table is axis-sized."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("s")) for c in cols])
+    every = df.select(F.explode(pairs).alias("p")).select("p.axis", "p.s").where("s is not null").distinct()
+    every = written(every, "axes")
+    return {c: every.where(F.col("axis") == c).select("s") for c in cols}
+
+
+def _numeric(df: DataFrame, col: str) -> Column:
     t = df.schema[col].dataType
     if isinstance(t, DateType):
         return F.unix_date(F.col(col)).cast("double")
     if isinstance(t, (TimestampType, TimestampNTZType)):
         return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
-    return F.col(col).cast("double")
+    return F.try_to_number(F.col(col), F.lit("0")).cast("double") if t.typeName() == "string" else F.col(col).cast("double")
 
 
-# Largest axis ranked by one ordered window (one task). Longer axes are
-# ranked by the distributed bucketed method.
-MAX_SINGLE_TASK_AXIS = 1_000_000
+def ranked(df: DataFrame, col: str, name: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """Position of every row in the order of ``col``, 0-based, over the whole
+    table or within each group of ``by``, without one task ever ordering it all.
 
-
-def axis_index(df: DataFrame, col: str, name: str = "i", buckets: int | None = None) -> DataFrame:
-    """Position of every label on the axis, 0-based, in label order.
-
-    The distinct labels are counted first (the result is cached: it is
-    axis-sized). Up to ``MAX_SINGLE_TASK_AXIS`` labels one ordered window
-    ranks them. Beyond that the ranking is distributed and deterministic:
-    labels fall into equal-width value buckets between the axis minimum and
-    maximum, are ranked inside their bucket and shifted by the label count
-    of all lower buckets (an offsets table of one row per bucket). Every
-    step is a pure function of the data, so a recomputed task gets the same
-    positions.
+    Rows fall into equal-width value buckets between the least and the largest
+    value, are ranked inside their bucket and moved up by the number of rows in
+    all lower buckets (a table of one row per group and bucket). Every step is a
+    pure function of the data, so a recomputed task gives the same positions.
+    The groups of ``by`` are calendar parts: their least and largest values are
+    a handful of rows.
     """
-    return axis_index_sized(df, col, name, buckets)[0]
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.withColumn("__v", _numeric(df, col))
+    if by:
+        ends = d.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        d = d.join(F.broadcast(ends), list(by))
+    else:
+        lo, hi = (d.select(f("__v")).scalar() for f in (F.min, F.max))
+        d = d.withColumns({"__lo": lo, "__hi": hi})
+    width = F.col("__hi") - F.col("__lo")
+    inner = F.floor(F.try_divide(F.col("__v") - F.col("__lo"), width) * F.lit(n))
+    b = F.coalesce(F.least(inner, F.lit(n - 1)), F.lit(0)).cast("int")
+    d = d.withColumn("__b", b).drop("__v", "__lo", "__hi")
+    local = d.withColumn("__l", F.row_number().over(Window.partitionBy(*by, "__b").orderBy(col)) - 1)
+    counts = d.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    below = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*by, "__b", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__o"))
+    out = local.join(F.broadcast(offsets), [*by, "__b"])   # at most n rows for each group
+    return out.withColumn(name, F.col("__o") + F.col("__l")).drop("__b", "__o", "__l")
 
 
-def axis_index_sized(df: DataFrame, col: str, name: str = "i",
-                     buckets: int | None = None) -> tuple[DataFrame, int]:
-    """:func:`axis_index` plus the axis length it counted."""
-    ax = axis(df, col).cache()
-    size = ax.count()
-    if size <= MAX_SINGLE_TASK_AXIS:
-        # the cached axis is a plan leaf; the window over it is cheap to redo
-        return ax.select(col, (F.row_number().over(Window.orderBy(col)) - 1).alias(name)), size
-    else:
-        n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ax = ax.withColumn("__v", _numeric(ax, col))
-        lo, hi = ax.agg(F.min("__v"), F.max("__v")).first()
-        width = hi - lo
-        b = F.least(F.floor((F.col("__v") - F.lit(lo)) / F.lit(width) * F.lit(n)), F.lit(n - 1))
-        ax = ax.withColumn("__b", b.cast("int"))
-        local = ax.select(col, "__b", (F.row_number().over(Window.partitionBy("__b").orderBy(col)) - 1).alias("__l"))
-        counts = ax.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-        below = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = counts.select("__b", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__o"))
-        out = (local.join(F.broadcast(offsets), "__b")
-                    .select(col, (F.col("__o") + F.col("__l")).alias(name)))
-    # materialise once so later self-joins read a leaf, not a re-planned subtree
-    out = out.cache()
-    out.count()
-    return out, size
-
-
-def with_axis_index(df: DataFrame, col: str, name: str = "i") -> DataFrame:
-    """Attach each row's axis position (join with the size-checked axis)."""
-    idx, n = axis_index_sized(df, col, name)
-    return df.join(broadcast_counted(idx, n), col, "inner")
+def axis_index(df: DataFrame, col: str, name: str = "i", buckets: int | None = None) -> DataFrame:
+    """Position of every label on the axis, 0-based, in label order."""
+    return ranked(axis(df, col), col, name, buckets=buckets).select(col, name)
 
 
 def isel(df: DataFrame, col: str, positions: list[int]) -> DataFrame:
     """keep the labels at the given axis positions (negative = from end)."""
     idx = axis_index(df, col, "_pos")
     if any(p < 0 for p in positions):
+        idx = written(idx, "axis")
         n = idx.count()
         positions = [p + n if p < 0 else p for p in positions]
     keep = idx.where(F.col("_pos").isin(positions)).select(col)
-    return df.join(F.broadcast(keep), col, "left_semi")
+    return df.join(F.broadcast(keep), col, "left_semi")   # at most one row per position

@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .axes import bounded_broadcast
 from .resample import CELL
 
 
@@ -25,13 +24,12 @@ def complete_cells(df: DataFrame, values: Sequence[str], cell: Sequence[str] = C
     """drop every cell with a missing value in any variable at any time.
 
     One grouped aggregate finds bad cells (partial aggregation handles a hot
-    cell); a left-anti join against that list (at most one row per cell,
-    broadcast after a count) removes them without shuffling the data.
+    cell); a left-anti join against that list removes them.
     """
     any_null = F.max(F.greatest(*[F.col(v).isNull().cast("int") for v in values])
                      if len(values) > 1 else F.col(values[0]).isNull().cast("int"))
     bad = df.groupBy(*cell).agg(any_null.alias("__bad")).where(F.col("__bad") == 1).select(*cell)
-    return df.join(bounded_broadcast(bad), list(cell), "left_anti")
+    return df.join(bad, list(cell), "left_anti")
 
 
 def stack(df: DataFrame, values: Sequence[str], name: str = "features") -> DataFrame:
@@ -47,19 +45,18 @@ def to_long(df: DataFrame, values: Sequence[str], keys: Sequence[str]) -> DataFr
 
 def pivot_levels(df: DataFrame, variables: Sequence[str], levels: Sequence[int],
                  keys: Sequence[str] = ("time", *CELL), level: str = "level",
-                 skip_absent: bool = True) -> DataFrame:
+                 skip_absent: bool = False) -> DataFrame:
     """Long pressure-level rows -> wide ``var_level`` columns, one row
     per key.
 
-    The level filter is pushed to the scan. With ``skip_absent`` a
-    requested level missing from the data gets no column (its distinct
-    values are bounded by the level vocabulary, so listing them is one
-    small aggregate); otherwise it yields an all-missing column. The pivot
-    values are given explicitly, so the pivot itself needs no extra job.
+    The level filter is pushed to the scan. The levels are those asked for: a
+    level missing from the data gives an all-missing column. On request
+    (``skip_absent``) it gets no column, at the price of a scan that lists the
+    levels present.
     """
     d = df.where(F.col(level).isin(list(levels)))
     if skip_absent:
-        present = {r[0] for r in d.select(level).distinct().collect()}
+        present = {r[0] for r in d.select(level).distinct().collect()}   # at most the levels asked for
         levels = [lv for lv in levels if lv in present]
     aggs = [F.max(F.when(F.col(level) == lv, F.col(v))).alias(f"{v}_{lv}")
             for v in variables for lv in levels]
@@ -109,21 +106,33 @@ def samples(df: DataFrame, values: Sequence[str], tile_size: int, target: str |
     """training samples per (time, tile): a ``(vars, rows, cols)``
     float tensor as nested arrays, target zeros when absent.
 
-    Grouping by tile bounds every group by ``tile_size**2`` pixels, however
-    large the grid is.
+    Every tile has ``tile_size**2`` pixels; a pixel without a row is missing.
+    Grouping by tile bounds every group by that number, however large the
+    grid is.
     """
     t = tiles(df, tile_size, row, col)
-    cells = F.array_sort(F.collect_list(F.struct("tile_row", "tile_col",
-                                                 *[F.col(v).cast("float").alias(v) for v in values],
-                                                 (F.col(target).cast("float") if target else F.lit(0.0).cast("float")).alias("__y"))))
-    g = t.groupBy(time, "tile_id").agg(cells.alias("px"))
+    place = F.col("tile_row") * tile_size + F.col("tile_col")
+    y = F.col(target).cast("float") if target else F.lit(0.0).cast("float")
+    pixel = F.struct(place.alias("at"), F.struct(*[F.col(v).cast("float").alias(v) for v in values], y.alias("__y")).alias("px"))
+    g = t.groupBy(time, "tile_id").agg(F.map_from_entries(F.collect_list(pixel)).alias("px"))
+    span = F.sequence(F.lit(0), F.lit(tile_size - 1))
 
     def plane(v):
-        # rows of the tile, each row the pixels of that row in column order
-        return F.transform(F.sequence(F.lit(0), F.lit(tile_size - 1)),
-                           lambda r: F.transform(F.filter("px", lambda p: p["tile_row"] == r), lambda p: p[v]))
+        return F.transform(span, lambda r: F.transform(span, lambda c: F.try_element_at("px", r * tile_size + c)[v]))
+    zero = F.transform(span, lambda r: F.transform(span, lambda c: F.lit(0.0).cast("float")))
     return g.select(time, "tile_id", F.array(*[plane(v) for v in values]).alias("x_sample"),
-                    plane("__y").alias("y_sample"))
+                    (plane("__y") if target else zero).alias("y_sample"))
+
+
+def sample_set(df: DataFrame, values: Sequence[str], tile_size: int, target: str | None = None,
+               scaling: str = "minmax", time: str = "time", row: str = "y", col: str = "x") -> DataFrame:
+    """The sample data set: whole-period anomalies of each cell (population
+    standard deviation), scaled by ``minmax`` or ``standard`` over all
+    dimensions, then cut into tiles (F15). The target is not scaled."""
+    from .scale import minmax, standardize, whole_period_anomalies
+    d = whole_period_anomalies(df, values, standard=True, cell=(row, col))
+    d = minmax(d, values) if scaling == "minmax" else standardize(d, values)
+    return samples(d, values, tile_size, target, time, row, col)
 
 
 def stack_maps(maps: Sequence[DataFrame], dim: str = "number") -> DataFrame:

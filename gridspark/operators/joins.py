@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .axes import axis_index_sized, bounded_broadcast, broadcast_counted
+from ..session import written
+from .axes import axis_index, checked_broadcast
 from .resample import CELL
 
 KEYS = ("time", *CELL)
@@ -49,16 +50,16 @@ def attach_static(df: DataFrame, static: DataFrame, cell: Sequence[str] = CELL,
                   how: str = "left") -> DataFrame:
     """Repeat a static (y, x) field at every time step.
 
-    The static table has one row per cell; it is broadcast when its counted
-    size allows, else the planner shuffles both sides on the cell keys.
+    The static table has one row per cell: a plain join, which the planner
+    (or AQE, by the size that it measures) broadcasts or shuffles.
     """
-    return df.join(bounded_broadcast(static), list(cell), how)
+    return df.join(static, list(cell), how)
 
 
 def sel_labels(df: DataFrame, other: DataFrame, col: str = "time", strict: bool = True) -> DataFrame:
     """Keep the labels of ``col`` found in ``other``; with ``strict`` a
     label of ``other`` missing from ``df`` is an error (as ``.sel``)."""
-    labels = bounded_broadcast(other.select(col).distinct())   # axis-sized, counted
+    labels = checked_broadcast(other.select(col).distinct())   # axis-sized, counted
     if strict:
         missing = labels.join(df.select(col).distinct(), col, "left_anti")
         if not missing.isEmpty():
@@ -71,13 +72,13 @@ def align_positional(a: DataFrame, b: DataFrame, axes: Sequence[str] = KEYS) ->
     (``xr.align(join='override')``). Axis lengths must match."""
     out = b
     for ax in axes:
-        ia, na = axis_index_sized(a, ax, "__p")
-        ib, nb = axis_index_sized(b, ax, "__p")
+        ia, ib = (written(axis_index(d, ax, "__p"), "axis") for d in (a, b))
+        na, nb = ia.count(), ib.count()
         if na != nb:
             raise ValueError(f"axis {ax!r} has {na} labels in the first grid and {nb} in the second")
         relabel = ib.withColumnRenamed(ax, "__old").join(ia, "__p").drop("__p")
         out = (out.withColumnRenamed(ax, "__old")
-                  .join(broadcast_counted(relabel, na), "__old").drop("__old"))
+                  .join(checked_broadcast(relabel, na), "__old").drop("__old"))
     return out
 
 
@@ -89,4 +90,4 @@ def combine(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
 
 def reduced_grid(df: DataFrame, cells: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:
     """Data rows of a sampled set of cells (semi join)."""
-    return df.join(bounded_broadcast(cells.select(*cell).distinct()), list(cell), "left_semi")
+    return df.join(cells.select(*cell).distinct(), list(cell), "left_semi")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import guarded_sum, ratio, wet_flag
+from .axes import ranked
 from .resample import CELL, calendar_group
 
 
@@ -119,10 +120,26 @@ def extreme_quantile(df: DataFrame, values: Sequence[str], q: float, by: str = "
 
 
 def map_summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Median, min, max (and mean) of a map."""
-    v = F.col(value)
-    return df.groupBy(*by).agg(F.median(v).alias("median"), F.min(v).alias("min"),
-                               F.max(v).alias("max"), F.avg(v).alias("mean"))
+    """Median, min, max (and mean) of a map.
+
+    The median is exact: the values are ranked in value buckets, and the one
+    or two middle ranks are averaged. No buffer holds a whole map. ``by`` are
+    calendar parts.
+    """
+    v = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x"))
+    size = v.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    order = ranked(v, "__x", "__r", by)
+    if by:
+        order = order.join(F.broadcast(size), list(by))   # one row per calendar part
+    else:
+        order = order.withColumn("__n", size.scalar())
+    middle = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)
+    mid = order.where((F.col("__r") == middle[0]) | (F.col("__r") == middle[1]))
+    median = mid.groupBy(*by).agg(F.avg("__x").alias("median"))
+    rest = F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean")
+    if by:
+        return df.groupBy(*by).agg(*rest).join(F.broadcast(median), list(by), "left").select(*by, "median", "min", "max", "mean")
+    return df.agg(*rest).select(median.scalar().alias("median"), "min", "max", "mean")
 
 
 def year_range(df: DataFrame, time: str = "time") -> DataFrame:
@@ -157,24 +174,19 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int,
     return df.where(v.isNotNull()).groupBy(*by, b).agg(F.count(F.lit(1)).alias("n"))
 
 
-def kde(df: DataFrame, value: str, lo: float, hi: float, points: int, bandwidth: float,
-        bins: int = 2048) -> DataFrame:
-    """A29 density curve: binned Gaussian KDE.
+def kde(df: DataFrame, value: str, lo: float, hi: float, points: int, bandwidth: float) -> DataFrame:
+    """A29 density curve: Gaussian kernel density at ``points`` places from
+    ``lo`` to ``hi``.
 
-    The data are first reduced to ``bins`` fine-bin counts (one distributed
-    aggregate); the kernel sum then runs over bins x evaluation points, a
-    table bounded by the two parameters and never by the data size.
+    One aggregate with one exact kernel sum for each place, over all values,
+    also those outside ``[lo, hi]``.
     """
-    width = (hi - lo) / bins
-    h = df.where(F.col(value).isNotNull()).groupBy(
-        F.least(F.greatest(F.floor((F.col(value) - F.lit(lo)) / F.lit(width)), F.lit(0)),
-                F.lit(bins - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     step = (hi - lo) / (points - 1) if points > 1 else 0.0
-    centre = F.lit(lo) + (F.col("b") + F.lit(0.5)) * F.lit(width)
-    ev = h.select("c", centre.alias("m"),
-                  F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
-    xk = F.lit(lo) + F.col("k") * F.lit(step)
-    z = (xk - F.col("m")) / F.lit(bandwidth)
     norm = 1.0 / (bandwidth * (2.0 * 3.141592653589793) ** 0.5)
-    dens = ev.groupBy("k").agg((F.sum(F.col("c") * F.exp(-0.5 * z * z)) / F.sum("c") * F.lit(norm)).alias("density"))
-    return dens.select((F.lit(lo) + F.col("k") * F.lit(step)).alias("x"), "density")
+    places = [lo + k * step for k in range(points)]
+    z = [(F.lit(x) - F.col(value)) / F.lit(bandwidth) for x in places]
+    row = df.where(F.col(value).isNotNull()).agg(*[
+        F.avg(F.exp(F.lit(-0.5) * u * u)).alias(f"__d{k}") for k, u in enumerate(z)])
+    curve = F.array(*[F.struct(F.lit(x).alias("x"), (F.col(f"__d{k}") * F.lit(norm)).alias("density"))
+                      for k, x in enumerate(places)])
+    return row.select(F.explode(curve).alias("c")).select("c.x", "c.density")

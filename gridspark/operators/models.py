@@ -1,43 +1,23 @@
-"""Per-cell models on Spark (M1-M8).
+"""Predictor tables and models (M1-M8).
 
-Spark owns the data movement: rows are hash-partitioned once on the cell
-keys and every cell's series goes to one pandas call
-(``groupBy(cell).applyInPandas``). A group is one cell's rows, at most one
-row per time label, so its size is bounded by the time axis (about 11,000
-days x 15 features ~ 1.4 MB for a 31-year calibration period) and
-never grows with the number of cells. Thousands of cells run as parallel
-tasks; the numpy kernel in :mod:`.trees` does the per-cell fit.
+Models are Spark's own distributed trees: one model is trained over the rows
+of all cells, the cell coordinates joining the predictors. Training is a
+distributed histogram aggregation, so no cell's rows ever meet in one task.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from ..functions.naming import PRESSURE_VARIABLES, SURFACE_VARIABLES, validate_names
 from ..functions.scalar import doy_encoding
-from . import trees
-from .joins import attach_static
+from .grid import pivot_levels
+from .joins import attach_static, merge
 from .resample import CELL
-
-# ---- fixed values: hyperparameter search space of the tuned model ----------
-# log-uniform ranges
-LOG_UNIFORM = {"reg_alpha": (1e-3, 10.0), "reg_lambda": (1e-3, 10.0)}
-# categorical choices
-CATEGORICAL = {
-    "colsample_bytree": [0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0],
-    "subsample": [0.4, 0.5, 0.6, 0.7, 0.8, 1.0],
-    "learning_rate": [0.006, 0.008, 0.01, 0.014, 0.017, 0.02],
-    "max_depth": [10, 20, 100],
-}
-# inclusive integer ranges
-INTEGER = {"num_leaves": (1, 1000), "min_child_samples": (1, 300), "cat_smooth": (1, 100)}
-# ---------------------------------------------------------------------------
+from .split import chronological_split
 
 
 def assemble_features(predictors: DataFrame, static: DataFrame | None = None, doy: bool = True,
@@ -52,144 +32,57 @@ def assemble_features(predictors: DataFrame, static: DataFrame | None = None, do
     return d
 
 
-def _schema(df: DataFrame, keys: Sequence[str], extra: list[StructField]) -> StructType:
-    by_name = {f.name: f for f in df.schema.fields}
-    return StructType([StructField(k, by_name[k].dataType, True) for k in keys] + extra)
-
-
-def _cell_seed(seed: int, key: tuple) -> int:
-    return (seed * 1_000_003 + hash(tuple(float(k) for k in key))) % (2 ** 31)
-
-
-def fit_predict(df: DataFrame, features: Sequence[str], target: str, model: str = "LGBMRegressor",
-                params: dict | None = None, split: str = "split", time: str = "time",
-                cell: Sequence[str] = CELL, seed: int = 42, partitions: int | None = None) -> DataFrame:
-    """M1/M2/M4: for every cell, fit ``model`` on its ``train`` rows and
-    predict its ``valid`` rows.
-
-    A cell with any missing predictor or target value among its training
-    rows is not fitted (F11); its valid rows get a missing prediction, so
-    the output is the full validation grid ``(time, y, x, target,
-    prediction)``.
-    """
-    feats = list(features)
-    cols = [time, *cell, split, target, *feats]
-    d = df.select(*cols)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # one explicit exchange on the cell keys; the grouped map reuses it
-    d = d.repartition(n, *cell)
-    out_schema = _schema(df, [time, *cell], [StructField(target, DoubleType(), True),
-                                             StructField("prediction", DoubleType(), True)])
-
-    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        tr = pdf[pdf[split] == "train"]
-        va = pdf[pdf[split] == "valid"]
-        out = va[[time, *cell]].copy()
-        out[target] = va[target].astype(float)
-        out["prediction"] = np.nan
-        X = tr[feats].to_numpy(dtype=float)
-        y = tr[target].to_numpy(dtype=float)
-        if len(va) == 0 or len(tr) == 0 or np.isnan(X).any() or np.isnan(y).any():
-            return out
-        m = trees.fit(model, X, y, params, seed=_cell_seed(seed, key))
-        Xv = va[feats].to_numpy(dtype=float)
-        ok = ~np.isnan(Xv).any(axis=1)
-        pred = np.full(len(va), np.nan)
-        if ok.any():
-            pred[ok] = m.predict(Xv[ok])
-        out["prediction"] = pred
-        return out
-
-    return d.groupBy(*cell).applyInPandas(kernel, out_schema)
-
-
-def trial_table(spark: SparkSession, n_trials: int, seed: int = 42) -> DataFrame:
-    """M6: ``n_trials`` parameter draws from the search space, derived from
-    seeded hashes (log-uniform, categorical and integer draws)."""
-    def u(k: int):
-        h = F.xxhash64(F.lit(seed), F.col("id"), F.lit(k))
-        return F.pmod(h, F.lit(2 ** 53)).cast("double") / F.lit(float(2 ** 53))
-    cols, k = [F.col("id").cast("int").alias("trial")], 0
-    for name, (a, b) in LOG_UNIFORM.items():
-        cols.append(F.exp(F.lit(math.log(a)) + u(k) * F.lit(math.log(b) - math.log(a))).alias(name))
-        k += 1
-    for name, choices in CATEGORICAL.items():
-        arr = F.array(*[F.lit(c) for c in choices])
-        cols.append(F.element_at(arr, (F.floor(u(k) * len(choices)) + 1).cast("int")).alias(name))
-        k += 1
-    for name, (a, b) in INTEGER.items():
-        cols.append((F.lit(a) + F.floor(u(k) * (b - a + 1))).cast("int").alias(name))
-        k += 1
-    return spark.range(n_trials).select(*cols)
-
-
-def search(df: DataFrame, features: Sequence[str], target: str, trials: DataFrame,
-           model: str = "LGBMRegressor", n_estimators: int = 20000, early_stopping: int = 100,
-           test_size: float = 0.2, time: str = "time", cell: Sequence[str] = CELL, seed: int = 48,
-           partitions: int | None = None) -> DataFrame:
-    """M5/M8: score every trial on every cell of the (reduced) grid.
-
-    Per cell: chronological 80/20 split of its rows (O3), fit with the
-    trial's parameters and early stopping on the held-out rows, RMSE there.
-    Returns ``(trial, y, x, rmse)``; incomplete cells give no row.
-
-    The trial table is small and bounded by ``n_trials``; it travels to the
-    tasks inside the function, so cells are never replicated per trial.
-    """
-    feats = list(features)
-    plist = [r.asDict() for r in trials.orderBy("trial").collect()]
-    d = df.select(time, *cell, target, *feats)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = d.repartition(n, *cell)
-    by_name = {f.name: f for f in df.schema.fields}
-    out_schema = StructType([StructField("trial", IntegerType(), False)]
-                            + [StructField(c, by_name[c].dataType, True) for c in cell]
-                            + [StructField("rmse", DoubleType(), True)])
-
-    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        X = pdf[feats].to_numpy(dtype=float)
-        y = pdf[target].to_numpy(dtype=float)
-        rows = []
-        if len(y) >= 2 and not np.isnan(X).any() and not np.isnan(y).any():
-            cut = len(y) - math.ceil(round(test_size * len(y), 9))
-            for p in plist:
-                params = {k: v for k, v in p.items() if k not in ("trial", "cat_smooth")}
-                params["n_estimators"] = n_estimators
-                m = trees.fit(model, X[:cut], y[:cut], params, seed=seed, X_eval=X[cut:], y_eval=y[cut:],
-                              early_stopping=early_stopping)
-                rmse = float(np.sqrt(np.mean((m.predict(X[cut:]) - y[cut:]) ** 2)))
-                rows.append((p["trial"], *key, rmse))
-        return pd.DataFrame(rows, columns=["trial", *cell, "rmse"])
-
-    return d.groupBy(*cell).applyInPandas(kernel, out_schema)
-
-
-def best_params(scores: DataFrame, trials: DataFrame) -> DataFrame:
-    """M5 + O6: mean RMSE per trial over cells; the lowest wins."""
-    agg = scores.groupBy("trial").agg(F.avg("rmse").alias("rmse"), F.count(F.lit(1)).alias("cells"))
-    best = agg.orderBy(F.col("rmse").asc_nulls_last(), "trial").limit(1)
-    return best.join(trials, "trial")
-
+def assemble_predictors(pressure: DataFrame, variables: Sequence[str], levels: Sequence[int],
+                        surface: Sequence[DataFrame], surface_variables: Sequence[str],
+                        static: DataFrame | None = None, level: str = "level") -> DataFrame:
+    """M7 from its parts: long pressure-level rows become ``short_level``
+    columns (X12), surface grids are merged on their coordinates (J1) under
+    their short names (X11), a static field is attached (J2). Unknown variable
+    names raise."""
+    validate_names(list(variables), PRESSURE_VARIABLES, "pressure variables")
+    validate_names(list(surface_variables), SURFACE_VARIABLES, "surface variables")
+    wide = pivot_levels(pressure.withColumnsRenamed({v: PRESSURE_VARIABLES[v] for v in variables}),
+                        [PRESSURE_VARIABLES[v] for v in variables], levels, level=level)
+    short = [g.withColumnsRenamed({v: SURFACE_VARIABLES[v] for v in surface_variables}) for g in surface]
+    return assemble_features(merge([wide, *short]), static, doy=False)
 
 
 def fit_predict_pooled(df: DataFrame, features: Sequence[str], target: str, model: str = "GBTRegressor",
                        split: str = "split", time: str = "time", cell: Sequence[str] = CELL, seed: int = 42,
                        **params) -> DataFrame:
-    """M2, pooled alternative: ONE MLlib tree model over the training rows
-    of all cells, the cell coordinates joining the predictors. Training is
-    MLlib's distributed histogram aggregation, so no cell's rows ever meet
-    in one task. Rows with a missing predictor are left out of training and
-    get no prediction."""
+    """M1/M2/M4: fit on the ``train`` rows, predict the ``valid`` rows.
+
+    Rows with a missing predictor or target are left out of training. Every
+    ``valid`` row is returned; one with a missing predictor has a missing
+    prediction.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
     estimators = {"GBTRegressor": GBTRegressor, "RandomForestRegressor": RandomForestRegressor}
     cols = [*features, *cell]
-    va = VectorAssembler(inputCols=cols, outputCol="__features", handleInvalid="skip")
-    train = va.transform(df.where((F.col(split) == "train") & F.col(target).isNotNull()))
-    est = estimators[model](featuresCol="__features", labelCol=target, predictionCol="prediction", seed=seed,
-                            **params)
-    fitted = est.fit(train)
-    valid = va.transform(df.where(F.col(split) == "valid"))
-    return fitted.transform(valid).select(time, *cell, F.col(target).cast("double").alias(target), "prediction")
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    va = VectorAssembler(inputCols=cols, outputCol="__features")
+    filled = df.withColumn("__whole", whole).withColumns({c: F.when(F.col("__whole"), F.col(c).cast("double")).otherwise(0.0) for c in features})
+    train = va.transform(filled.where((F.col(split) == "train") & F.col("__whole") & F.col(target).isNotNull()))
+    est = estimators[model](featuresCol="__features", labelCol=target, predictionCol="__p", seed=seed, **params)
+    valid = va.transform(filled.where(F.col(split) == "valid"))
+    out = est.fit(train).transform(valid)
+    return out.select(time, *cell, F.col(target).cast("double").alias(target), F.when(F.col("__whole"), F.col("__p")).alias("prediction"))
+
+
+def search(df: DataFrame, features: Sequence[str], target: str, trials: Sequence[dict], model: str = "GBTRegressor",
+           test_size: float = 0.2, time: str = "time", seed: int = 42) -> DataFrame:
+    """M5/M8: ``(trial, rmse)`` of each parameter set: fitted on the first
+    days, scored on the last ``test_size`` of them (O3). The list of trials is
+    short; each one is a distributed fit, and the scores are one row each."""
+    labels = chronological_split(df, test_size, time)
+    data = df.join(labels.withColumn("split", F.when(F.col("split") == "test", "valid").otherwise("train")), time)
+    out = []
+    for k, params in enumerate(trials):
+        p = fit_predict_pooled(data, features, target, model, time=time, seed=seed, **params)
+        rmse = p.agg(F.sqrt(F.avg((F.col(target) - F.col("prediction")) ** 2))).first()[0]
+        out.append((k, rmse))
+    return df.sparkSession.createDataFrame(out, "trial int, rmse double")

@@ -20,119 +20,93 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import axes as _axes
-from .axes import axis_index, broadcast_counted
+from .axes import axis_index, checked_broadcast, numeric_axes
 
 # ----------------------------------------------------------------- axes
 
 
-def target_axis(df: DataFrame, col: str, step: float, pad: float = 0.0) -> DataFrame:
-    """A target axis derived from a source axis: from ``min - pad`` to
-    ``max + pad`` every ``step`` (labels as double, column ``t``)."""
-    ext = df.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
+def target_axis(labels: DataFrame, step: float, pad: float = 0.0) -> DataFrame:
+    """A target axis derived from a source axis (column ``s``): from
+    ``min - pad`` to ``max + pad`` every ``step`` (labels as double, column
+    ``t``)."""
+    ext = labels.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
     n = F.floor((F.col("hi") - F.col("lo") + F.lit(2 * pad)) / F.lit(step) + F.lit(1e-9)).cast("int")
-    k = ext.select("lo", F.explode(F.sequence(F.lit(0), n)).alias("k"))
+    k = ext.where("hi is not null").select("lo", F.explode(F.sequence(F.lit(0), n)).alias("k"))
     return k.select((F.col("lo") - F.lit(pad) + F.col("k") * F.lit(step)).alias("t"))
 
 
 def _labels(df: DataFrame, col: str) -> DataFrame:
-    return df.select(F.col(col).cast("double").alias("s")).where(F.col("s").isNotNull()).distinct()
+    return numeric_axes(df, [col])[col]
 
 
-def _bracket(src: DataFrame, tgt: DataFrame, buckets: int = 64) -> tuple[DataFrame, int]:
+def _bracket(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """For each target label ``t``: the nearest source labels ``a <= t <= b``
     (``a = b = t`` on an exact hit). Below the source range ``a`` is
     missing, above it ``b``.
 
     Consecutive source labels form intervals (a positional self-join on the
-    axis index). Small axes (counted) find each target's interval with one
-    ordered pass over both axes; larger ones by a bucketed equi-join: each
-    interval is listed under every equal-width value bucket it spans and
-    each target looks up its own bucket, keeping ``a <= t < b``.
+    axis index). Each interval is listed under every equal-width value bucket
+    that it spans, and each target looks up its own bucket, keeping
+    ``a <= t < b``. There are as many buckets as source labels.
     """
-    idx, ns = _axes.axis_index_sized(src, "s", "i")
-    nt = tgt.cache().count()
-    if ns + nt <= _axes.MAX_SINGLE_TASK_AXIS:
-        u = (idx.select(F.col("s").alias("v"), F.col("s"), F.lit(0).alias("kind"))
-                .unionByName(tgt.select(F.col("t").alias("v"), F.lit(None).cast("double").alias("s"),
-                                        F.lit(1).alias("kind"))))
-        down = Window.orderBy("v", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        up = Window.orderBy(F.col("v").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding,
-                                                                                 Window.currentRow)
-        u = u.select("v", "kind", F.last("s", ignorenulls=True).over(down).alias("a"),
-                     F.last("s", ignorenulls=True).over(up).alias("b"))
-        out = u.where(F.col("kind") == 1).select(F.col("v").alias("t"), "a",
-                                                 F.when(F.col("a") == F.col("v"), F.col("a")).otherwise(F.col("b")).alias("b"))
-    else:
-        nxt = idx.select((F.col("i") - 1).alias("i"), F.col("s").alias("b"))
-        iv = idx.join(nxt, "i", "left").select(F.col("s").alias("a"), "b")   # b null on the last label
-        lo, hi = idx.agg(F.min("s"), F.max("s")).first()
-        width = hi - lo
-
-        def bucket(c):
-            if width <= 0:
-                return F.lit(0)
-            return F.least(F.greatest(F.floor((c - F.lit(lo)) / F.lit(width) * F.lit(buckets)), F.lit(0)),
-                           F.lit(buckets - 1)).cast("int")
-        iv = iv.select("a", "b", F.explode(F.sequence(bucket(F.col("a")), bucket(F.coalesce("b", "a")))).alias("__k"))
-        t = tgt.select("t", bucket(F.col("t")).alias("__k"))
-        # the last label's interval is open to the right
-        hit = (F.col("a") <= F.col("t")) & ((F.col("t") < F.col("b")) | F.col("b").isNull())
-        m = t.join(iv, "__k", "inner").where(hit).select(
-            "t", "a", F.when(F.col("t") == F.col("a"), F.col("a")).otherwise(F.col("b")).alias("b"))
-        # below the range: b is the first label (lo, already known)
-        out = (tgt.select("t").join(m, "t", "left")
-                  .select("t", "a", F.when(F.col("a").isNull() & (F.col("t") <= F.lit(lo)), F.lit(lo))
-                                     .otherwise(F.col("b")).alias("b")))
-    return out, nt
+    idx = axis_index(src, "s", "i")
+    nxt = idx.select((F.col("i") - 1).alias("i"), F.col("s").alias("b"))
+    iv = idx.join(nxt, "i", "left").select(F.col("s").alias("a"), "b")   # b null on the last label
+    lo, hi, buckets = src.agg(F.min("s"), F.max("s"), F.count(F.lit(1))).first()
+    width = (hi or 0.0) - (lo or 0.0)
+
+    def bucket(c):
+        if width <= 0:
+            return F.lit(0)
+        return F.least(F.greatest(F.floor((c - F.lit(lo)) / F.lit(width) * F.lit(buckets)), F.lit(0)),
+                       F.lit(buckets - 1)).cast("int")
+    iv = iv.select("a", "b", F.explode(F.sequence(bucket(F.col("a")), bucket(F.coalesce("b", "a")))).alias("__k"))
+    t = tgt.select("t", bucket(F.col("t")).alias("__k"))
+    # the last label's interval is open to the right
+    hit = (F.col("a") <= F.col("t")) & ((F.col("t") < F.col("b")) | F.col("b").isNull())
+    m = t.join(iv, "__k", "inner").where(hit).select(
+        "t", "a", F.when(F.col("t") == F.col("a"), F.col("a")).otherwise(F.col("b")).alias("b"))
+    # below the range: b is the first label
+    return (tgt.select("t").join(m, "t", "left")
+               .select("t", "a", F.when(F.col("a").isNull() & (F.col("t") <= F.lit(lo)), F.lit(lo))
+                                  .otherwise(F.col("b")).alias("b")))
 
 
 def bilinear_axis_weights(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """Linear interpolation weights along one axis: rows ``(t, s, w, k)``,
     ``k`` = number of source nodes used (1 on a node, else 2). Targets
     outside the source range get no rows (missing)."""
-    return _bilinear_weights(src, tgt)[0]
-
-
-def _bilinear_weights(src: DataFrame, tgt: DataFrame) -> tuple[DataFrame, int]:
-    """The weights and a proven bound on their rows (2 per target label)."""
-    br, nt = _bracket(src, tgt)
+    br = _bracket(src, tgt)
     br = br.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     same = F.col("a") == F.col("b")
-    lo = br.select("t", F.col("a").alias("s"),
-                   F.when(same, F.lit(1.0)).otherwise((F.col("b") - F.col("t")) / (F.col("b") - F.col("a"))).alias("w"),
-                   F.when(same, F.lit(1)).otherwise(F.lit(2)).alias("k"))
-    hi = br.where(~same).select("t", F.col("b").alias("s"),
-                                ((F.col("t") - F.col("a")) / (F.col("b") - F.col("a"))).alias("w"), F.lit(2).alias("k"))
-    return lo.unionByName(hi), 2 * nt
+    one = F.array(F.struct(F.col("a").alias("s"), F.lit(1.0).alias("w"), F.lit(1).alias("k")))
+    gap = F.col("b") - F.col("a")
+    two = F.array(
+        F.struct(F.col("a").alias("s"), ((F.col("b") - F.col("t")) / gap).alias("w"), F.lit(2).alias("k")),
+        F.struct(F.col("b").alias("s"), ((F.col("t") - F.col("a")) / gap).alias("w"), F.lit(2).alias("k")))
+    return br.select("t", F.explode(F.when(same, one).otherwise(two)).alias("n")).select("t", "n.s", "n.w", "n.k")
 
 
 def _edges(ax: DataFrame, col: str) -> DataFrame:
     """Cell bounds of an axis: midpoints between neighbours; the outer
-    bounds extend half a spacing. Neighbours come from a positional
-    self-join on the (distributed) axis index."""
+    bounds extend half a spacing; a lone label is a cell of width 1.
+    Neighbours come from a positional self-join on the axis index."""
     idx = axis_index(ax, col, "__i")
     prev = idx.select((F.col("__i") + 1).alias("__i"), F.col(col).alias("p"))
     nxt = idx.select((F.col("__i") - 1).alias("__i"), F.col(col).alias("n"))
     d = idx.join(prev, "__i", "left").join(nxt, "__i", "left")
-    lo = F.when(F.col("p").isNull(), F.col(col) - (F.col("n") - F.col(col)) / 2).otherwise((F.col("p") + F.col(col)) / 2)
-    hi = F.when(F.col("n").isNull(), F.col(col) + (F.col(col) - F.col("p")) / 2).otherwise((F.col(col) + F.col("n")) / 2)
+    after, before = F.coalesce(F.col("n") - F.col(col), F.lit(1.0)), F.coalesce(F.col(col) - F.col("p"), F.lit(1.0))
+    lo = F.when(F.col("p").isNull(), F.col(col) - after / 2).otherwise((F.col("p") + F.col(col)) / 2)
+    hi = F.when(F.col("n").isNull(), F.col(col) + before / 2).otherwise((F.col(col) + F.col("n")) / 2)
     return d.select(col, lo.alias("lo"), hi.alias("hi"), F.col("__i").alias("i"))
 
 
 def conservative_axis_weights(src: DataFrame, tgt: DataFrame, spherical: bool = False,
                               buckets: int | None = None) -> DataFrame:
     """Overlap weights along one axis: rows ``(t, s, w)`` for every source
-    cell overlapping the target cell (see :func:`_conservative_weights`)."""
-    return _conservative_weights(src, tgt, spherical, buckets)[0]
-
-
-def _conservative_weights(src: DataFrame, tgt: DataFrame, spherical: bool = False,
-                          buckets: int | None = None) -> tuple[DataFrame, int]:
-    """Overlap weights along one axis: rows ``(t, s, w)`` for every source
     cell overlapping the target cell. ``spherical`` (latitude axis) weighs
     by ``sin(hi) - sin(lo)`` of the overlap instead of its length.
 
@@ -146,8 +120,8 @@ def _conservative_weights(src: DataFrame, tgt: DataFrame, spherical: bool = Fals
     ns, s_lo, s_hi = se.agg(F.count(F.lit(1)), F.min("sl"), F.max("sh")).first()
     nt, t_lo, t_hi = te.agg(F.count(F.lit(1)), F.min("tl"), F.max("th")).first()
     nb = buckets or max(1, min(ns, nt))
-    lo, hi = min(s_lo, t_lo), max(s_hi, t_hi)
-    width = hi - lo
+    lo, hi = min(s_lo or 0.0, t_lo or 0.0), max(s_hi or 0.0, t_hi or 0.0)
+    width = (hi - lo) or 1.0
 
     def bucket(c):
         return F.least(F.greatest(F.floor((c - F.lit(lo)) / F.lit(width) * F.lit(nb)), F.lit(0)),
@@ -158,19 +132,17 @@ def _conservative_weights(src: DataFrame, tgt: DataFrame, spherical: bool = Fals
     first_shared = F.col("__k") == F.greatest(bucket(F.col("sl")), bucket(F.col("tl")))
     pairs = tb.join(sb, "__k").where((b > a) & first_shared)
     w = (F.sin(F.radians(b)) - F.sin(F.radians(a))) if spherical else (b - a)
-    # two partitions of a line into ns and nt intervals overlap in fewer
-    # than ns + nt pairs: a proven bound on the table
-    return pairs.select("t", "s", w.alias("w")), ns + nt
+    return pairs.select("t", "s", w.alias("w"), F.lit(1).alias("k"))
 
 
 # ----------------------------------------------------------------- apply
 
 
-def _apply(df: DataFrame, values: Sequence[str], wy: tuple[DataFrame, int], wx: tuple[DataFrame, int],
+def _apply(df: DataFrame, values: Sequence[str], wy: DataFrame, wx: DataFrame,
            time: str, y: str, x: str, mode: str) -> DataFrame:
-    # each weight table comes with a proven row bound: broadcast it only within the limits
-    wy = broadcast_counted(wy[0].withColumnsRenamed({"t": "__ty", "s": "__sy", "w": "__wy", "k": "__ky"}), wy[1])
-    wx = broadcast_counted(wx[0].withColumnsRenamed({"t": "__tx", "s": "__sx", "w": "__wx", "k": "__kx"}), wx[1])
+    # axis-sized weight tables, broadcast once their counted size allows
+    wy = checked_broadcast(wy.withColumnsRenamed({"t": "__ty", "s": "__sy", "w": "__wy", "k": "__ky"}))
+    wx = checked_broadcast(wx.withColumnsRenamed({"t": "__tx", "s": "__sx", "w": "__wx", "k": "__kx"}))
     d = df.select(time, F.col(y).cast("double").alias("__sy"), F.col(x).cast("double").alias("__sx"), *values)
     j = d.join(wx, "__sx").join(wy, "__sy").withColumn("__w", F.col("__wy") * F.col("__wx"))
     aggs: list[Column] = []
@@ -187,24 +159,26 @@ def _apply(df: DataFrame, values: Sequence[str], wy: tuple[DataFrame, int], wx:
 
 
 def bilinear(df: DataFrame, values: Sequence[str], target_y: DataFrame, target_x: DataFrame,
-             time: str = "time", y: str = "y", x: str = "x") -> DataFrame:
-    """Bilinear regridding onto the target axes (columns ``t``)."""
-    wy = _bilinear_weights(_labels(df, y), target_y)
-    wx = _bilinear_weights(_labels(df, x), target_x)
-    return _apply(df, values, wy, wx, time, y, x, "bilinear")
+             time: str = "time", y: str = "y", x: str = "x", axes: dict | None = None) -> DataFrame:
+    """Bilinear regridding onto the target axes (columns ``t``). ``axes``
+    are the source's axes (:func:`numeric_axes`), where they are known."""
+    axes = axes or numeric_axes(df, [y, x])
+    return _apply(df, values, bilinear_axis_weights(axes[y], target_y), bilinear_axis_weights(axes[x], target_x),
+                  time, y, x, "bilinear")
 
 
 def conservative(df: DataFrame, values: Sequence[str], target_y: DataFrame, target_x: DataFrame,
-                 time: str = "time", y: str = "y", x: str = "x", spherical: bool = True) -> DataFrame:
+                 time: str = "time", y: str = "y", x: str = "x", spherical: bool = True,
+                 axes: dict | None = None) -> DataFrame:
     """First-order conservative regridding (area-overlap weighted mean).
 
     With ``spherical`` the y axis is latitude in degrees and the cell area
     is ``Δlon · (sin φ2 − sin φ1)``; otherwise areas are planar.
     """
-    wy, ny = _conservative_weights(_labels(df, y), target_y, spherical=spherical)
-    wx, nx = _conservative_weights(_labels(df, x), target_x)
-    return _apply(df, values, (wy.withColumn("k", F.lit(1)), ny), (wx.withColumn("k", F.lit(1)), nx),
-                  time, y, x, "conservative")
+    axes = axes or numeric_axes(df, [y, x])
+    wy = conservative_axis_weights(axes[y], target_y, spherical=spherical)
+    wx = conservative_axis_weights(axes[x], target_x)
+    return _apply(df, values, wy, wx, time, y, x, "conservative")
 
 
 def apply_weights(df: DataFrame, values: Sequence[str], weights: DataFrame, time: str = "time",
@@ -221,9 +195,3 @@ def apply_weights(df: DataFrame, values: Sequence[str], weights: DataFrame, time
     out = out.join(n, ["ty", "tx"])
     out = out.withColumns({v: F.when(F.col(f"__c_{v}") == F.col("__n"), F.col(v)) for v in values})
     return out.select(time, F.col("ty").alias(y), F.col("tx").alias(x), *values)
-
-
-def spherical_area(lat_lo: Column, lat_hi: Column, lon_lo: Column, lon_hi: Column) -> Column:
-    """Area of a latitude-longitude box on the unit sphere."""
-    return F.radians(lon_hi - lon_lo) * (F.sin(F.radians(lat_hi)) - F.sin(F.radians(lat_lo)))
-

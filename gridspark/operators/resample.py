@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import guarded_avg, guarded_sum, season
-from .axes import axis_index_sized, broadcast_counted
+from ..session import written
+from .axes import axis_index, checked_broadcast
 
 CELL = ("y", "x")
 
@@ -59,11 +60,13 @@ def to_daily(df: DataFrame, aggs: dict[str, tuple[str, str]], time: str = "time"
 def fill_gaps(df: DataFrame, time: str = "time", cell: Sequence[str] = CELL) -> DataFrame:
     """Emit missing days as NULL rows, as xarray does for empty daily bins.
 
-    Days come from a ``sequence`` between each cell's first and last day, so
-    the expansion is per cell and runs distributed.
+    Every cell gets every day between the dataset's first and last day. The
+    two days are scalar subqueries (partial aggregates), and the expansion of
+    the distinct cells runs distributed.
     """
-    span = df.groupBy(*cell).agg(F.min(time).alias("__d0"), F.max(time).alias("__d1"))
-    days = span.select(*cell, F.explode(F.sequence("__d0", "__d1")).alias(time))
+    first, last = (df.select(f(time)).scalar() for f in (F.min, F.max))
+    cells = df.select(*cell).distinct()
+    days = cells.select(*cell, F.explode(F.sequence(first, last, F.expr("interval 1 day"))).alias(time))
     return days.join(df, [time, *cell], "left")
 
 
@@ -125,12 +128,19 @@ def shift(df: DataFrame, values: Sequence[str], steps: int, time: str = "time",
           cell: Sequence[str] = CELL) -> DataFrame:
     """Positional shift on the dataset's time axis (``ds.shift(time=steps)``).
 
-    The value labelled with the axis position ``j`` moves to ``j + steps``;
-    positions whose source lies outside the axis become missing (absent
-    rows). Positions are the ranks of the distinct time labels, so a gap in
-    one cell's series does not change the step size.
+    The value labelled with the axis position ``j`` moves to ``j + steps``. The
+    axis stays as it is: at the labels that no value moves to, every cell gets
+    a missing value. Positions are the ranks of the distinct time labels, so a
+    gap in one cell's series does not change the step size.
+
+    Only the axis is ranked; the data meet one table (label, new label). The
+    labels left empty are at most ``abs(steps)``.
     """
-    idx, n = axis_index_sized(df, time, "__i")
-    idx = broadcast_counted(idx, n)
-    src = df.join(idx, time, "inner").select(*cell, (F.col("__i") + F.lit(steps)).alias("__i"), *values)
-    return src.join(idx, "__i", "inner").drop("__i").select(time, *cell, *values)
+    idx = written(axis_index(df, time, "__i"), "axis")
+    moved = idx.select(F.col(time), (F.col("__i") + F.lit(steps)).alias("__i"))
+    to = moved.join(idx.select("__i", F.col(time).alias("__to")), "__i").select(time, "__to")
+    out = (df.join(checked_broadcast(to), time)
+             .select(F.col("__to").alias(time), *cell, *values))
+    empty = idx.join(moved.select("__i"), "__i", "left_anti").agg(F.collect_list(time))
+    tail = df.select(*cell).distinct().select(F.explode(empty.scalar()).alias(time), *cell)
+    return out.unionByName(tail, allowMissingColumns=True)

@@ -1,20 +1,19 @@
 """Scaling and anomalies.
 
 Global statistics come from one aggregate over all variables (one scan,
-partial aggregation), never a global window; per-group statistics are a
-grouped aggregate joined back with a size-checked broadcast, so data rows
-are not shuffled.
+partial aggregation), never a global window. Statistics of a cell (and
+calendar group) are a window over one exchange on these keys: a group holds
+the days of one cell, so it is bounded by the time axis.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
-from .axes import bounded_broadcast
 from .resample import CELL, calendar_group
 
 
@@ -53,14 +52,9 @@ def standardize(df: DataFrame, values: Sequence[str], ddof: int = 1,
 
 
 def _with_group_stats(df: DataFrame, keys: list, stats: dict[str, Column]) -> DataFrame:
-    """Attach per-group statistics: one grouped aggregate (partial
-    aggregation, so a hot group is pre-reduced in every task), joined back
-    on the group keys. The statistics table has one row per group (e.g.
-    cells x 12 months); it is broadcast when its counted size allows, so the
-    data rows are never shuffled, else a shuffle join with AQE skew
-    handling takes over."""
-    st = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
-    return df.join(bounded_broadcast(st), keys, "left")
+    """Attach per-group statistics: one scan and one exchange on the group
+    keys serve the statistics and the rows."""
+    return df.withColumns({n: c.over(Window.partitionBy(*keys)) for n, c in stats.items()})
 
 
 def minmax_by(df: DataFrame, values: Sequence[str], keep: Sequence[str] = CELL) -> DataFrame:
@@ -76,15 +70,25 @@ def minmax_by(df: DataFrame, values: Sequence[str], keep: Sequence[str] = CELL)
     return j.drop(*stats)
 
 
+def whole_period_anomalies(df: DataFrame, values: Sequence[str], standard: bool = False,
+                           cell: Sequence[str] = CELL) -> DataFrame:
+    """W2 over the whole period: ``v - mean(v)`` of the cell's rows, divided by
+    the population standard deviation (ddof 0) when ``standard``."""
+    stats = {f"__mu_{v}": F.avg(v) for v in values}
+    if standard:
+        stats |= {f"__sd_{v}": F.stddev_pop(v) for v in values}
+    j = _with_group_stats(df, list(cell), stats)
+    dev = {v: F.col(v) - F.col(f"__mu_{v}") for v in values}
+    return j.withColumns({v: ratio(a, F.col(f"__sd_{v}")) if standard else a for v, a in dev.items()}).drop(*stats)
+
+
 def anomalies(df: DataFrame, values: Sequence[str], by: str = "dayofyear", standard: bool = False,
               time: str = "time", cell: Sequence[str] = CELL) -> DataFrame:
     """``v - mean(v)`` over the rows of the same cell and calendar group
     (day-of-year, month, season), divided by the population std when
     ``standard``; rows keep their time labels.
 
-    The (group, cell) statistics are a grouped aggregate joined back with a
-    size-checked broadcast: the data rows are read twice (column-pruned)
-    but never shuffled.
+    The (group, cell) statistics are a window over one exchange.
     """
     d = df.withColumn(by, calendar_group(time, by))
     stats = {}

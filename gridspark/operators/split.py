@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .axes import axis_index_sized, bounded_broadcast
+from ..session import written
+from .axes import axis_index, checked_broadcast
 from .resample import CELL
 
 
@@ -50,7 +51,8 @@ def stratified_days(df: DataFrame, value: str, threshold: float, valid_size: flo
 def chronological_split(df: DataFrame, test_size: float = 0.2, time: str = "time") -> DataFrame:
     """O3: the last ``ceil(test_size * n)`` time labels are ``test``, the rest
     ``train`` (no shuffling). Returns ``(time, split)``."""
-    idx, n = axis_index_sized(df, time, "__i")
+    idx = written(axis_index(df, time, "__i"), "axis")
+    n = idx.count()
     cut = n - math.ceil(round(test_size * n, 9))
     return idx.select(time, F.when(F.col("__i") >= cut, F.lit("test")).otherwise(F.lit("train")).alias("split"))
 
@@ -67,14 +69,15 @@ def period_split(df: DataFrame, calibration: tuple[str, str], validation: tuple[
 
 def attach_split(df: DataFrame, labels: DataFrame, time: str = "time") -> DataFrame:
     """Join day labels (from O2/O3) to the data rows."""
-    return df.join(bounded_broadcast(labels.select(time, "split")), time)
+    return df.join(checked_broadcast(labels.select(time, "split")), time)
 
 
 def sample_positions(df: DataFrame, col: str, n: int, seed: int = 42,
                      order_key: Column | None = None) -> DataFrame:
     """``n`` distinct labels of one axis, seeded; raises if the axis is
     shorter than ``n``. Returns ``(col, i)`` with ``i`` the axis position."""
-    idx, size = axis_index_sized(df, col, "i")
+    idx = written(axis_index(df, col, "i"), "axis")
+    size = idx.count()
     if n > size:
         raise ValueError(f"cannot draw {n} distinct positions from an axis of {size}")
     key = order_key if order_key is not None else seeded_key(seed, "i")

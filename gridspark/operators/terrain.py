@@ -1,9 +1,9 @@
 """Terrain slope and aspect by Horn's 3x3 method.
 
 The 3x3 neighbourhood is built without a self-join per neighbour: every
-pixel sends its value to the 9 pixels whose window contains it (one
-``explode`` of fixed size 9), and one grouped aggregate assembles the window
-of each pixel. Neighbours are found by integer pixel position (rank on the
+pixel sends its value to its neighbours in the row, and every triple goes to
+the rows above and below (two ``explode`` of fixed size 3, each followed by a
+grouped aggregate). Neighbours are found by integer pixel position (rank on the
 distinct axes), so non-integer coordinates never meet float equality.
 
 Rows run north to south (descending ``y``) and columns west to east
@@ -23,12 +23,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .axes import axis_index_sized, broadcast_counted
+from .axes import axis_index, checked_broadcast, numeric_axes
 
-# window cell names by (row offset, col offset); row offset +1 = one row south
-_CELLS = {(-1, -1): "a", (-1, 0): "b", (-1, 1): "c",
-          (0, -1): "d", (0, 0): "e", (0, 1): "f",
-          (1, -1): "g", (1, 0): "h", (1, 1): "i"}
+# window cell names: a b c is the northern row, d e f the row of the pixel
 # edge filling: a missing neighbour is extrapolated linearly along the axis
 # that leaves the raster, columns first (within a row), then rows
 _ROW_FILL = {"a": ("b", "c"), "d": ("e", "f"), "g": ("h", "i"), "c": ("b", "a"), "f": ("e", "d"), "i": ("h", "g")}
@@ -45,27 +42,38 @@ def _fill_edges() -> dict:
     return {n: F.coalesce(merged[n], c("e")) for n in merged}
 
 
-def neighbourhood(df: DataFrame, value: str, y: str = "y", x: str = "x") -> DataFrame:
-    """Every pixel with its 3x3 window as columns ``a .. i`` (edges filled)."""
-    # row index 0 = northernmost row (largest y)
-    ry, ny = axis_index_sized(df, y, "__r")
-    ry = broadcast_counted(ry.withColumn("__r", F.lit(ny - 1) - F.col("__r")), ny)
-    cx, nx = axis_index_sized(df, x, "__c")
-    cx = broadcast_counted(cx, nx)
-    d = df.select(y, x, value).join(ry, y).join(cx, x)
-    offs = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(n).alias("n"))
-                     for (dr, dc), n in _CELLS.items()])
-    # the pixel at (r, c) is neighbour (dr, dc) of the pixel at (r - dr, c - dc)
-    sent = d.select("__r", "__c", value, F.explode(offs).alias("o")).select(
-        (F.col("__r") - F.col("o.dr")).alias("__r"), (F.col("__c") - F.col("o.dc")).alias("__c"),
-        F.col("o.n").alias("n"), F.col(value).alias("__v"))
-    win = sent.groupBy("__r", "__c").agg(*[F.max(F.when(F.col("n") == n, F.col("__v"))).alias(n)
-                                           for n in _CELLS.values()])
-    win = win.where(F.col("e").isNotNull())
-    win = win.withColumns(_fill_edges())
-    back_y = broadcast_counted(ry.select(F.col("__r"), F.col(y)), ny)
-    back_x = broadcast_counted(cx.select(F.col("__c"), F.col(x)), nx)
-    return win.join(back_y, "__r").join(back_x, "__c").drop("__r", "__c")
+def _spread(df: DataFrame, at: str, keep: str, values: dict[str, tuple[str, int]]) -> DataFrame:
+    """Send columns to the neighbouring positions on one axis: ``values`` maps
+    a new name to (column, offset). Three copies of each row, then one
+    aggregate by position."""
+    offsets = sorted({o for _, o in values.values()})
+    sent = df.withColumn("__o", F.explode(F.array(*[F.lit(o) for o in offsets])))
+    sent = sent.withColumn(at, F.col(at) - F.col("__o"))
+    return sent.groupBy(keep, at).agg(*[F.max(F.when(F.col("__o") == o, F.col(c))).alias(n) for n, (c, o) in values.items()])
+
+
+def neighbourhood(df: DataFrame, value: str, y: str = "y", x: str = "x", axes: dict | None = None) -> DataFrame:
+    """Every pixel with its 3x3 window as columns ``a .. i`` (edges filled).
+
+    First each pixel's value goes to its left and right neighbours, then each
+    row's triples go to the rows above and below: 3 + 3 copies instead of 9.
+    A pixel without a value stays, with its neighbours.
+    """
+    axes = axes or numeric_axes(df, [y, x])
+    iy = axis_index(axes[y].select(F.col("s").alias("__y")), "__y", "__r")
+    ix = axis_index(axes[x].select(F.col("s").alias("__x")), "__x", "__c")
+    iy, ix = checked_broadcast(iy), checked_broadcast(ix)
+    d = df.select(F.col(y).cast("double").alias("__y"), F.col(x).cast("double").alias("__x"), y, x, value)
+    d = d.join(iy, "__y").join(ix, "__x").select("__r", "__c", y, x, F.col(value).cast("double").alias("__v"))
+    here = F.struct(F.col(y).alias("y"), F.col(x).alias("x"))
+    row = _spread(d.withColumn("__here", here), "__c", "__r", {
+        "w": ("__v", -1), "m": ("__v", 0), "n": ("__v", 1), "__at": ("__here", 0)})
+    # row positions grow to the north: the row above is one more
+    win = _spread(row, "__r", "__c", {
+        "a": ("w", 1), "b": ("m", 1), "c": ("n", 1), "d": ("w", 0), "e": ("m", 0), "f": ("n", 0),
+        "g": ("w", -1), "h": ("m", -1), "i": ("n", -1), "__p": ("__at", 0)})
+    win = win.where("__p is not null").withColumns(_fill_edges())
+    return win.select(F.col("__p.y").alias(y), F.col("__p.x").alias(x), *"abcdefghi")
 
 
 def _gradients(ew_res: float, ns_res: float):
@@ -75,17 +83,29 @@ def _gradients(ew_res: float, ns_res: float):
     return dx, dy
 
 
+def spacing(labels: DataFrame) -> float:
+    """Mean step of an axis (1 for an axis of one label)."""
+    lo, hi, n = labels.agg(F.min("s"), F.max("s"), F.count(F.lit(1))).first()
+    return (hi - lo) / (n - 1) if n > 1 else 1.0
+
+
 def slope_aspect(df: DataFrame, value: str = "z", y: str = "y", x: str = "x",
-                 ew_res: float = 1.0, ns_res: float = 1.0) -> DataFrame:
+                 ew_res: float | None = None, ns_res: float | None = None) -> DataFrame:
     """``slope`` in degrees and ``aspect`` in compass degrees
-    (0 = north, clockwise); a flat window has no aspect."""
-    w = neighbourhood(df, value, y, x)
-    dx, dy = _gradients(ew_res, ns_res)
+    (0 = north, clockwise); a flat window has no aspect, and a pixel without a
+    value (or without the neighbours to fill its window from) has neither. The resolutions are taken from the axes
+    unless they are given."""
+    axes = numeric_axes(df, [y, x])
+    ew = spacing(axes[x]) if ew_res is None else ew_res
+    ns = spacing(axes[y]) if ns_res is None else ns_res
+    w = neighbourhood(df, value, y, x, axes)
+    has = F.col("e").isNotNull()
+    dx, dy = _gradients(ew, ns)
     slope = F.degrees(F.atan(F.sqrt(dx * dx + dy * dy)))
-    ax, ay = _gradients(1.0, 1.0)
+    ax, ay = _gradients(1.0, 1.0)   # the direction is taken in pixels
     a = F.degrees(F.atan2(ay, -ax))
     compass = F.when(a > 90, F.lit(450.0) - a).otherwise(F.lit(90.0) - a)
     compass = F.when(compass == 360.0, F.lit(0.0)).otherwise(compass)
     flat = (ax == 0) & (ay == 0)
-    return w.select(y, x, F.col("e").alias(value), slope.cast("float").alias("slope"),
-                    F.when(~flat, compass).cast("float").alias("aspect"))
+    return w.select(y, x, F.col("e").alias(value), F.when(has, slope).cast("float").alias("slope"),
+                    F.when(has & ~flat, compass).cast("float").alias("aspect"))

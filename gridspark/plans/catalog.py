@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X
-from ..operators import axes, grid, joins, metrics, resample, scale
+from ..operators import axes, grid, joins, metrics, regrid, resample, scale
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_fixtures
 
@@ -47,6 +47,14 @@ def oracle_queries() -> dict[str, str]:
     return {k: wrap_sql(sql, rnd) for k, (_, sql, rnd) in REGISTRY.items() if sql is not None}
 
 
+def on_fixture(name: str, fixture: str, build: Build) -> None:
+    """Register the query ``name`` again over another fixture with the columns
+    of ``pair_daily``."""
+    sql, rnd = REGISTRY[name][1:]
+    suffix = fixture.rsplit("_", 1)[-1]
+    REGISTRY[f"{name}_{suffix}"] = (build, sql.replace(fx.PAIR_DAILY_SQL, fx.FIXTURE_SQL[fixture]), rnd)
+
+
 # ------------------------------------------------------------------ SQL bits
 
 def r2_sql(o: str, p: str) -> str:
@@ -82,12 +90,6 @@ def _pd(spark, sf):
     return fx.pair_daily(spark, sf)
 
 
-def _reused(df: DataFrame) -> DataFrame:
-    """Keep a derived grid that several jobs of one query read (axis
-    labels, then the data pass); lost blocks are recomputed from lineage."""
-    return df.cache()
-
-
 # ------------------------------------------------------------------ fixtures / scans
 
 @register("fixture_pair_daily", with_fixtures("select * from pair_daily", "pair_daily"), ("o", "p"))
@@ -396,22 +398,17 @@ def q_bias_histogram(spark, sf):
     return metrics.histogram(b, "d", _LO, _HI, _NB)
 
 
-_KDE_BINS, _KDE_PTS, _KDE_BW = 512, 41, 0.5
-_KDE_W = (_HI - _LO) / _KDE_BINS
+_KDE_PTS, _KDE_BW = 41, 0.5
 
 
 @register("bias_kde", with_fixtures(
     f"""with b as (select p - o as d from pair_daily where o is not null and p is not null),
-    h as (select cast(least(greatest(floor((d - ({_LO})) / {_KDE_W}), 0), {_KDE_BINS - 1}) as int) as b,
-                 count(*) as c from b group by 1),
-    e as (select c, {_LO} + (b + 0.5) * {_KDE_W} as m, k from h, range(0, {_KDE_PTS}) t(k))
-    select {_LO} + k * {(_HI - _LO) / (_KDE_PTS - 1)} as x,
-      sum(c * exp(-0.5 * power(({_LO} + k * {(_HI - _LO) / (_KDE_PTS - 1)} - m) / {_KDE_BW}, 2))) / sum(c)
-      * {1.0 / (_KDE_BW * (2.0 * 3.141592653589793) ** 0.5)} as density
-    from e group by k""", "pair_daily"), ("x", "density"))
+    e as (select d, {_LO} + k * {(_HI - _LO) / (_KDE_PTS - 1)} as x from b, range(0, {_KDE_PTS}) t(k))
+    select x, avg(exp(-0.5 * power((x - d) / {_KDE_BW}, 2))) * {1.0 / (_KDE_BW * (2.0 * 3.141592653589793) ** 0.5)} as density
+    from e group by x""", "pair_daily"), ("x", "density"))
 def q_bias_kde(spark, sf):
     d = metrics.valid_pairs(_pd(spark, sf), "o", "p").select((F.col("p") - F.col("o")).alias("d"))
-    return metrics.kde(d, "d", _LO, _HI, _KDE_PTS, _KDE_BW, bins=_KDE_BINS)
+    return metrics.kde(d, "d", _LO, _HI, _KDE_PTS, _KDE_BW)
 
 
 _CLO, _CHI, _CN = -30.00005, 30.00005, 12
@@ -436,21 +433,29 @@ def _axis_sql(table: str) -> str:
     return f"(select time, row_number() over (order by time) - 1 as i from (select distinct time from {table}))"
 
 
+def _shift_sql(table: str, steps: int, *values: str) -> str:
+    """``s``: every label of the axis takes the value ``-steps`` labels away;
+    labels without one are missing in every cell."""
+    cols = ", ".join(f"h.{v}" for v in values)
+    none = ", ".join(f"cast(null as double) as {v}" for v in values)
+    return f"""ax as {_axis_sql(table)},
+    s as (select b.time, h.y, h.x, {cols} from {table} h join ax a on h.time = a.time join ax b on b.i = a.i + ({steps})
+          union all
+          select b.time, c.y, c.x, {none} from (select distinct y, x from {table}) c, ax b
+          where b.i - ({steps}) not in (select i from ax))"""
+
+
 @register("shift_hourly", with_fixtures(
-    f"""with ax as {_axis_sql('hourly')}
-    select b.time, h.y, h.x, h.v from hourly h join ax a on h.time = a.time join ax b on b.i = a.i - 6""",
-    "hourly"), ("v",))
+    f"with {_shift_sql('hourly', -6, 'v')} select * from s", "hourly"), ("v",))
 def q_shift_hourly(spark, sf):
     # ds.shift(time=-6): the value 6 steps later moves to the current label
-    return resample.shift(_reused(fx.hourly(spark, sf)), ["v"], -6)
+    return resample.shift(fx.hourly(spark, sf), ["v"], -6)
 
 
 @register("shift_daily", with_fixtures(
-    f"""with ax as {_axis_sql('pair_daily')}
-    select b.time, h.y, h.x, h.o, h.p from pair_daily h join ax a on h.time = a.time join ax b on b.i = a.i - 1""",
-    "pair_daily"), ("o", "p"))
+    f"with {_shift_sql('pair_daily', -1, 'o', 'p')} select * from s", "pair_daily"), ("o", "p"))
 def q_shift_daily(spark, sf):
-    return resample.shift(_reused(_pd(spark, sf)), ["o", "p"], -1)
+    return resample.shift(_pd(spark, sf), ["o", "p"], -1)
 
 
 @register("anomalies_month", with_fixtures(ANOM_SQL, "pair_daily"), ("o", "p"))
@@ -480,7 +485,7 @@ def q_axis_index(spark, sf):
     select h.* from hourly h join ax on h.time = ax.time
     where ax.i in (0, 10, (select max(i) from ax))""", "hourly"), ("v",))
 def q_isel_time(spark, sf):
-    return axes.isel(_reused(fx.hourly(spark, sf)), "time", [0, 10, -1])
+    return axes.isel(fx.hourly(spark, sf), "time", [0, 10, -1])
 
 
 @register("calibration_period", with_fixtures(
@@ -503,7 +508,7 @@ def q_masked(spark, sf):
     return d.withColumn("p", X.mask("p", F.col("o") >= 10))
 
 
-_HOLEY = "select time, y, x, case when o < 49.5 then o end as o, p from pair_daily"
+_HOLEY = """select time, y, x, case when o < 49.5 or (y + x) % 2 = 0 then o end as o, p from pair_daily"""
 
 
 @register("complete_cells", with_fixtures(
@@ -511,7 +516,7 @@ _HOLEY = "select time, y, x, case when o < 49.5 then o end as o, p from pair_dai
     select * from h where (y, x) not in (select y, x from h where o is null or p is null)""", "pair_daily"),
     ("o", "p"))
 def q_complete_cells(spark, sf):
-    d = _pd(spark, sf).withColumn("o", X.mask("o", F.col("o") < 49.5))
+    d = _pd(spark, sf).withColumn("o", X.mask("o", (F.col("o") < 49.5) | ((F.col("y") + F.col("x")) % 2 == 0)))
     return grid.complete_cells(d, ["o", "p"])
 
 
@@ -581,7 +586,7 @@ def _shifted(spark, sf):
       join yb on b.y = yb.y join ya on ya.r = yb.r
       join xb on b.x = xb.x join xa on xa.r = xb.r""", "pair_daily"), ("q",))
 def q_align_positional(spark, sf):
-    return joins.align_positional(_reused(_pd(spark, sf)), _reused(_shifted(spark, sf))).select("time", "y", "x", "q")
+    return joins.align_positional(_pd(spark, sf), _shifted(spark, sf)).select("time", "y", "x", "q")
 
 
 @register("grid_difference", with_fixtures(
@@ -704,9 +709,9 @@ def _bilinear_weights_sql(ax: str, table: str = "pair_daily", step: float = 0.25
     from pair_daily d join wx on cast(d.x as double) = wx.s join wy on cast(d.y as double) = wy.s
     group by 1, 2, 3""", "pair_daily"), ("o", "y", "x"))
 def q_regrid_bilinear(spark, sf):
-    from ..operators import regrid
-    d = _reused(_pd(spark, sf).select("time", "y", "x", "o"))
-    return regrid.bilinear(d, ["o"], regrid.target_axis(d, "y", 0.25, 0.5), regrid.target_axis(d, "x", 0.25, 0.5))
+    d = _pd(spark, sf).select("time", "y", "x", "o")
+    ax = axes.numeric_axes(d, ["y", "x"])
+    return regrid.bilinear(d, ["o"], regrid.target_axis(ax["y"], 0.25, 0.5), regrid.target_axis(ax["x"], 0.25, 0.5), axes=ax)
 
 
 def _edges_sql(name: str, src: str, col: str) -> str:
@@ -732,10 +737,10 @@ def _conservative_weights_sql(ax: str, spherical: bool) -> str:
     from pair_daily d join wx on cast(d.x as double) = wx.s join wy on cast(d.y as double) = wy.s
     group by 1, 2, 3""", "pair_daily"), ("o", "y", "x"))
 def q_regrid_conservative(spark, sf):
-    from ..operators import regrid
-    d = _reused(_pd(spark, sf).select("time", "y", "x", "o"))
-    return regrid.conservative(d, ["o"], regrid.target_axis(d, "y", 2.0, -0.5),
-                               regrid.target_axis(d, "x", 2.0, -0.5), spherical=True)
+    d = _pd(spark, sf).select("time", "y", "x", "o")
+    ax = axes.numeric_axes(d, ["y", "x"])
+    return regrid.conservative(d, ["o"], regrid.target_axis(ax["y"], 2.0, -0.5),
+                               regrid.target_axis(ax["x"], 2.0, -0.5), spherical=True, axes=ax)
 
 
 # ------------------------------------------------------------------ terrain
@@ -762,11 +767,12 @@ def _terrain_sql(table: str, step: float = 1.0) -> str:
             + f" from {table} e "
             + " ".join(f"left join {table} {k} on {k}.y = e.y + ({dy * step}) and {k}.x = e.x + ({dx * step})"
                        for k, (dy, dx) in _NEIGHBOURS.items())
-            + " where e.z is not null), " + _fill_sql()
+            + "), " + _fill_sql()
             + ", g as (select y, x, e, ((c + 2 * f + i) - (a + 2 * d + g)) / 8.0 as dx, "
             "((g + 2 * h + i) - (a + 2 * b + c)) / 8.0 as dy from w) "
-            "select y, x, e as z, cast(degrees(atan(sqrt(dx * dx + dy * dy))) as float) as slope, "
-            f"cast(case when dx = 0 and dy = 0 then null else (case when (case when {_ASPECT} > 90 then 450 - {_ASPECT} "
+            "select y, x, e as z, case when e is not null then "
+            f"cast(degrees(atan(sqrt(dx * dx + dy * dy) / {step})) as float) end as slope, "
+            f"cast(case when e is null or (dx = 0 and dy = 0) then null else (case when (case when {_ASPECT} > 90 then 450 - {_ASPECT} "
             f"else 90 - {_ASPECT} end) = 360 then 0 else (case when {_ASPECT} > 90 then 450 - {_ASPECT} "
             f"else 90 - {_ASPECT} end) end) end as float) as aspect from g")
 
@@ -777,7 +783,7 @@ TERRAIN_SQL = with_fixtures("with " + _terrain_sql("elevation"), "elevation")
 @register("terrain_slope_aspect", TERRAIN_SQL, ("z", "slope", "aspect"))
 def q_terrain(spark, sf):
     from ..operators import terrain
-    return terrain.slope_aspect(_reused(fx.elevation(spark, sf)), "z")
+    return terrain.slope_aspect(fx.elevation(spark, sf), "z")
 
 
 # ------------------------------------------------------------------ splits and sampling
@@ -847,116 +853,132 @@ def model_input(spark: SparkSession, sf: str) -> DataFrame:
     return split.period_split(feat, CALIBRATION, VALIDATION)
 
 
-def _model_query(kind: str) -> Build:
-    def build(spark, sf):
-        from ..operators import models
-        return models.fit_predict(model_input(spark, sf), FEATURES, "o", model=kind)
-    return build
-
-
-for _name, _kind in (("model_random_forest", "RandomForestRegressor"), ("model_xgb", "XGBRegressor"),
-                     ("model_lgbm", "LGBMRegressor"), ("model_adaboost", "AdaBoostRegressor")):
-    register(_name, None)(_model_query(_kind))
-
-
-@register("model_skill_cells", None)
-def q_model_skill_cells(spark, sf):
-    """M3: per-cell R² (and the other scores) of the validation predictions."""
+@register("feature_table", with_fixtures(
+    f"""select d.time, d.y, d.x, d.o, d.p, cast(sin(2 * pi() * dayofyear(d.time) / 365.0) as float) as sin_doy,
+    cast(cos(2 * pi() * dayofyear(d.time) / 365.0) as float) as cos_doy, e.z,
+    case when d.time < date '{CALIBRATION[1]}' then 'train' else 'valid' end as split
+    from pair_daily d left join elevation e on d.y = e.y and d.x = e.x
+    where d.time >= date '{CALIBRATION[0]}' and d.time < date '{VALIDATION[1]}'""", "pair_daily", "elevation"),
+    ("o", "p", "sin_doy", "cos_doy", "z"))
+def q_feature_table(spark, sf):
+    """M7: predictors, static field, day-of-year encoding and split as one table."""
+    return model_input(spark, sf)
+
+
+@register("predictor_table", with_fixtures(
+    f"""with lv as (select time, y, x, {', '.join(f"max(case when level = {k} then v end) as z_{k}" for k in (1, 3, 7))}
+                from levels group by 1, 2, 3)
+    select coalesce(lv.time, s.time) as time, coalesce(lv.y, s.y) as y, coalesce(lv.x, s.x) as x, z_1, z_3, z_7, s.p as mslp, e.z
+    from lv full join pair_daily s on lv.time = s.time and lv.y = s.y and lv.x = s.x
+    left join elevation e on coalesce(lv.y, s.y) = e.y and coalesce(lv.x, s.x) = e.x""", "levels", "pair_daily", "elevation"),
+    ("z_1", "z_3", "z_7", "mslp", "z"))
+def q_predictor_table(spark, sf):
+    """M7 from its parts: pressure variables by level (X12), surface variables
+    (J1) and a static field (J2), with the vocabulary checked."""
     from ..operators import models
-    pred = models.fit_predict(model_input(spark, sf), FEATURES, "o", model="LGBMRegressor")
-    return metrics.skill(pred, "o", "prediction", by=["y", "x"])
-
-
-@register("hyper_search", None)
-def q_hyper_search(spark, sf):
-    """8 hash-drawn trials on a 2 x 2 sampled sub-grid
-    of the calibration period, early stopping on the last 20 % of each
-    cell's days; the best trial with its mean RMSE."""
-    from ..operators import models, split
-    d = model_input(spark, sf).where(F.col("split") == "train")
-    sub = split.reduced_grid(d, split.sample_cells(d, 2, seed=42))
-    trials = models.trial_table(spark, 8, seed=42)
-    scores = models.search(sub, FEATURES, "o", trials, n_estimators=300, early_stopping=30)
-    return models.best_params(scores, trials)
+    pressure = fx.levels(spark, sf).withColumnRenamed("v", "geopotential")
+    surface = _pd(spark, sf).select("time", "y", "x", F.col("p").alias("mean_sea_level_pressure"))
+    return models.assemble_predictors(pressure, ["geopotential"], [1, 3, 7], [surface], ["mean_sea_level_pressure"],
+                                      static=fx.elevation(spark, sf))
 
 
 # ------------------------------------------------------------------ composite jobs
 
 @register("job_shifted_daily", with_fixtures(
-    f"""with ax as {_axis_sql('hourly')},
-    s as (select b.time, h.y, h.x, h.v from hourly h join ax a on h.time = a.time join ax b on b.i = a.i - 6),
+    f"""with {_shift_sql('hourly', -6, 'v')},
     d as (select cast(time as date) as time, y, x, avg(v) as v from s group by 1, 2, 3)
     select * from d where time < (select max(time) from d)""", "hourly"), ("v",))
 def q_job_shifted_daily(spark, sf):
     from . import jobs
-    return jobs.shifted_daily_predictor(_reused(fx.hourly(spark, sf)), "v", steps=-6)
+    return jobs.shifted_daily_predictor(fx.hourly(spark, sf), "v", steps=-6)
 
 
 @register("job_observed_precipitation", with_fixtures(
     f"""with d as (select cast(time as date) as time, y, x, arg_min(v, case when v is not null then time end) as v
                 from hourly group by 1, 2, 3),
-    ax as {_axis_sql('d')},
-    s as (select b.time, h.y, h.x, h.v from d h join ax a on h.time = a.time join ax b on b.i = a.i - 1)
+    {_shift_sql('d', -1, 'v')}
     select * from s where time < (select max(time) from s)""", "hourly"), ("v",))
 def q_job_observed_precipitation(spark, sf):
     from . import jobs
-    return jobs.observed_precipitation(_reused(fx.hourly(spark, sf)), "v")
+    return jobs.observed_precipitation(fx.hourly(spark, sf), "v")
 
 
 def _report_sql(celsius: bool, wet: float | None) -> str:
     shift = " - 273.15" if celsius else ""
+    both = "o is not null and p is not null"
     rb = "case when o = 0 then null else (p - o) / o end * 100"
-    parts = [
-        f"""pair as (select time, y, x, o{shift} as o, p{shift} as p from pair_daily
-                   where o is not null and p is not null)""",
-        f"""an as (select d.time, d.y, d.x, d.o - s.mo as o, d.p - s.mp as p
-              from pair d join (select cast(month(time) as int) as month, y, x, avg(o) as mo, avg(p) as mp
-                                from pair group by 1, 2, 3) s
-              on cast(month(d.time) as int) = s.month and d.y = s.y and d.x = s.x)""",
-        "yr as (select cast(year(time) as int) as year, y, x, avg(o) as o, avg(p) as p from pair group by 1, 2, 3)",
-        f"""ex as (select cast(year(time) as int) as year, y, x, quantile_cont(o, 0.98) as o,
-                    quantile_cont(p, 0.98) as p from pair group by 1, 2, 3)""",
+    errors = {"bias": "avg(p - o)", "rel_bias": f"avg({rb})", "mae": "avg(abs(p - o))", "rmse": "sqrt(avg((p - o) * (p - o)))"}
+    summary = {k: f"{k}({{}})" for k in ("median", "min", "max")}
+    ctes = [
+        f"pair as (select time, y, x, case when {both} then o{shift} end as o, case when {both} then p{shift} end as p from pair_holes)",
+        """an as (select d.time, d.y, d.x, d.o - s.mo as o, d.p - s.mp as p
+              from pair d join (select month(time) as m, y, x, avg(o) as mo, avg(p) as mp from pair group by 1, 2, 3) s
+              on month(d.time) = s.m and d.y = s.y and d.x = s.x)""",
+        "yr as (select year(time) as year, y, x, avg(o) as o, avg(p) as p from pair group by 1, 2, 3)",
+        f"se as (select {SEASON_SQL} as season, y, x, avg(o) as o, avg(p) as p from pair group by 1, 2, 3)",
+        "ex as (select year(time) as year, y, x, quantile_cont(o, 0.98) as o, quantile_cont(p, 0.98) as p from pair group by 1, 2, 3)",
+        f"es as (select {SEASON_SQL} as season, y, x, quantile_cont(o, 0.98) as o, quantile_cont(p, 0.98) as p from pair group by 1, 2, 3)",
+        f"ym as (select y, x, avg(p - o) as bias, avg({rb}) as rel_bias from yr group by 1, 2)",
     ]
-    rows = []
+    base = "pair"
     if wet is not None:
-        parts.append(f"""m as (select last_day(time) as time, y, x, {guarded('sum', 'o')} as o,
-                        {guarded('sum', 'p')} as p from pair group by 1, 2, 3)""")
-        rows.append(f"select 'r2_monthly' as metric, {r2_sql('o', 'p')} as value from m "
-                    "where o is not null and p is not null")
-    else:
-        rows.append(f"select 'r2_daily' as metric, {r2_sql('o', 'p')} as value from pair")
-    rows.append(f"select 'r2_anomaly', {r2_sql('o', 'p')} from an where o is not null and p is not null")
-    rows += [f"select 'bias_yearly', avg(p - o) from yr", f"select 'rel_bias_yearly', avg({rb}) from yr",
-             "select 'mae_yearly', avg(abs(p - o)) from yr", "select 'rmse_yearly', sqrt(avg((p - o) * (p - o))) from yr",
-             "select 'corr_yearly', corr(p, o) from yr",
-             f"select 'rel_bias_extreme', avg({rb}) from ex", "select 'mae_extreme', avg(abs(p - o)) from ex",
-             "select 'rmse_extreme', sqrt(avg((p - o) * (p - o))) from ex"]
+        base = "mo"
+        ctes += [
+            f"mo as (select last_day(time) as time, y, x, {guarded('sum', 'o')} as o, {guarded('sum', 'p')} as p from pair group by 1, 2, 3)",
+            f"""w as (select time, y, x, o, p, cast(o >= {wet} as double) as wo, cast(p >= {wet} as double) as wp from pair)""",
+            f"""wd as (select y, x, {guarded('sum', 'wo')} as n_wet_obs, {guarded('sum', 'wp')} as n_wet_pred,
+                    {guarded('sum', 'wo')} / count(*) * 100 as o, {guarded('sum', 'wp')} / count(*) * 100 as p from w group by 1, 2)""",
+            f"""ws as (select {SEASON_SQL} as season, y, x, {guarded('sum', 'wo')} / count(*) * 100 as o,
+                    {guarded('sum', 'wp')} / count(*) * 100 as p from w group by 1, 2, 3)""",
+            f"""si as (select y, x, {guarded('sum', 'o * wo')} / nullif({guarded('sum', 'wo')}, 0) as o,
+                    {guarded('sum', 'p * wp')} / nullif({guarded('sum', 'wp')}, 0) as p from w group by 1, 2)""",
+        ]
+    rows: list[str] = []
+
+    def part(name, exprs, source, period=None, cells=False, where=None):
+        keys = [f"cast({period} as varchar)" if period else "cast(null as varchar)", *(f"cast({c} as double)" if cells else "cast(null as double)" for c in "yx")]
+        group = [k for k in ([period] if period else []) + (["y", "x"] if cells else [])]
+        for metric, e in exprs.items():
+            rows.append(f"select '{name}' as part, {keys[0]} as period, {keys[1]} as y, {keys[2]} as x, '{metric}' as metric, "
+                        f"cast({e} as double) as value from {source}" + (f" where {where}" if where else "")
+                        + (f" group by {', '.join(group)}" if group else ""))
+    r2 = {"r2": r2_sql("o", "p")}
+    part("annual_cycle", {"o": "avg(o)", "p": "avg(p)"}, base, "month(time)")
+    part("r2", r2, base, where=both)
+    part("r2_map", r2, base, cells=True, where=both)
+    part("r2_anomaly", r2, "an", where=both)
+    part("r2_anomaly_map", r2, "an", cells=True, where=both)
+    part("yearly", errors | {"corr": "corr(p, o)"}, "yr")
+    part("yearly", {"corr": "corr(p, o)"}, "yr", "year", where=both)
+    part("yearly_map", {"bias": "max(bias)", "rel_bias": "max(rel_bias)"}, "ym", cells=True)
+    part("yearly_map_summary", {k: v.format("rel_bias") for k, v in summary.items()}, "ym")
+    part("seasonal", errors, "se", "season")
+    part("seasonal_map_summary", {k: v.format("p - o") for k, v in summary.items()}, "se", "season")
+    part("extreme_yearly", errors, "ex")
+    part("extreme_seasonal", errors, "es", "season")
     if wet is not None:
-        parts.append(f"""w as (select time, y, x, cast(o >= {wet} as double) as wo, cast(p >= {wet} as double) as wp,
-                        o, p from pair)""")
-        parts.append(f"""wd as (select y, x, sum(wo) / count(*) * 100 as o, sum(wp) / count(*) * 100 as p
-                         from w group by 1, 2)""")
-        parts.append("""si as (select y, x, case when sum(wo) = 0 then null else sum(o * wo) / sum(wo) end as o,
-                         case when sum(wp) = 0 then null else sum(p * wp) / sum(wp) end as p from w group by 1, 2)""")
-        rows += [f"select 'rel_bias_wet_freq', avg({rb}) from wd", f"select 'rel_bias_sdii', avg({rb}) from si"]
-    return with_fixtures("with " + ",\n".join(parts) + "\n" + "\nunion all\n".join(rows), "pair_daily")
+        part("wet_days_map", {k: f"max({k})" for k in ("n_wet_obs", "n_wet_pred")}, "wd", cells=True)
+        part("wet_days", errors, "wd")
+        part("wet_days_seasonal", errors, "ws", "season")
+        part("wet_intensity", {"rel_bias": errors["rel_bias"]}, "si")
+    return with_fixtures("with " + ",\n".join(ctes) + "\n" + "\nunion all\n".join(rows), "pair_holes")
 
 
-@register("job_precipitation_report", _report_sql(False, WET), ("value",))
-def q_job_precipitation_report(spark, sf):
+def _report(spark, sf, fixture=fx.pair_holes, **options):
     from . import jobs
-    d = _pd(spark, sf)
+    d = fixture(spark, sf)
     return jobs.verification_report(d.select("time", "y", "x", F.col("o").alias("v")),
-                                     d.select("time", "y", "x", F.col("p").alias("v")), "v", wet_threshold=WET)
+                                    d.select("time", "y", "x", F.col("p").alias("v")), "v", **options)
+
+
+@register("job_precipitation_report", _report_sql(False, WET), ("value", "y", "x"))
+def q_job_precipitation_report(spark, sf):
+    return _report(spark, sf, wet_threshold=WET)
 
 
-@register("job_temperature_report", _report_sql(True, None), ("value",))
+@register("job_temperature_report", _report_sql(True, None), ("value", "y", "x"))
 def q_job_temperature_report(spark, sf):
-    from . import jobs
-    d = _pd(spark, sf)
-    return jobs.verification_report(d.select("time", "y", "x", F.col("o").alias("v")),
-                                    d.select("time", "y", "x", F.col("p").alias("v")), "v",
-                                    wet_threshold=None, celsius=True)
+    return _report(spark, sf, wet_threshold=None, celsius=True)
 
 
 # ------------------------------------------------------------------ file discovery scan
@@ -973,11 +995,32 @@ def q_scan_discovered_files(spark, sf):
                    F.avg(F.col("l_quantity") * (1 + F.col("l_tax") - F.col("l_discount"))).alias("p")))
 
 
-@register("tile_samples", None)
+_SCALED_SQL = """with st as (select y, x, avg(p) as m, stddev_pop(p) as sd from pair_daily group by 1, 2),
+    a as (select d.time, d.y, d.x, d.o, case when st.sd = 0 then null else (d.p - st.m) / st.sd end as p
+          from pair_daily d join st on d.y = st.y and d.x = st.x),
+    sc as (select time, cast(y as int) as y, cast(x as int) as x, o,
+                  (p - (select min(p) from a)) / nullif((select max(p) - min(p) from a), 0) as p from a),
+    full_px as (select t.time, g.y, g.x from (select distinct time, y // 2 as ty, x // 2 as tx from sc) t
+                join (select distinct y, x from sc) g on g.y // 2 = t.ty and g.x // 2 = t.tx),
+    px as (select f.time, f.y, f.x, sc.p, sc.o from full_px f left join sc on sc.time = f.time and sc.y = f.y and sc.x = f.x)
+    select time, cast((y // 2) * 2 + x // 2 as bigint) as tile_id,
+      string_agg(coalesce(cast(cast(round(p * 1000 + 1e-6, 0) as bigint) as varchar), 'none'), ',' order by y, x) as x_sample,
+      string_agg(coalesce(cast(cast(round(o * 1000 + 1e-6, 0) as bigint) as varchar), 'none'), ',' order by y, x) as y_sample
+    from px group by 1, 2"""
+
+
+@register("tile_samples", with_fixtures(_SCALED_SQL, "pair_daily"))
 def q_tile_samples(spark, sf):
-    """(time, tile) training samples of the daily grid, 2 x 2 tiles."""
+    """F15 and the sample data set: whole-period anomalies (ddof 0), min-max
+    scaled, as (time, tile) tensors of 2 x 2 tiles; the tensors are written as
+    thousandths in row order, so that engines can be compared."""
     d = _pd(spark, sf).select("time", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "o", "p")
-    return grid.samples(d, ["p"], 2, target="o")
+    s = grid.sample_set(d, ["p"], 2, target="o")
+
+    def text(plane):
+        one = lambda v: F.coalesce(F.round(v.cast("double") * 1000 + 1e-6, 0).cast("long").cast("string"), F.lit("none"))
+        return F.array_join(F.transform(F.flatten(plane), one), ",")
+    return s.select("time", "tile_id", text(F.get("x_sample", F.lit(0))).alias("x_sample"), text(F.col("y_sample")).alias("y_sample"))
 
 
 @register("model_pooled_gbt", None)
@@ -997,11 +1040,9 @@ def q_model_pooled_gbt(spark, sf):
 def q_job_daily_regridded(spark, sf):
     """Hourly -> daily mean -> bilinear regridding to a grid twice as fine."""
     from . import jobs
-    from ..operators import regrid
     h = fx.hourly(spark, sf)
-    d = _reused(resample.to_daily(h, {"v": ("mean", "v")}))
-    target = (regrid.target_axis(d, "y", 0.5), regrid.target_axis(d, "x", 0.5))
-    return jobs._regrid(d, ["v"], target, "bilinear")
+    ax = axes.numeric_axes(h, ["y", "x"])
+    return jobs.daily_predictor(h, "v", target=(regrid.target_axis(ax["y"], 0.5), regrid.target_axis(ax["x"], 0.5)), axes=ax)
 
 
 @register("job_terrain_regridded", with_fixtures(
@@ -1014,16 +1055,15 @@ def q_job_terrain_regridded(spark, sf):
     """The elevation raster regridded (bilinear) to a grid of half the
     spacing, then slope and aspect on the target grid."""
     from . import jobs
-    from ..operators import regrid
-    e = _reused(fx.elevation(spark, sf))
-    target = (regrid.target_axis(e, "y", 0.5), regrid.target_axis(e, "x", 0.5))
-    return jobs.terrain_fields(e, "z", target=target)
+    e = fx.elevation(spark, sf)
+    ax = axes.numeric_axes(e, ["y", "x"])
+    return jobs.terrain_fields(e, "z", target=(regrid.target_axis(ax["y"], 0.5), regrid.target_axis(ax["x"], 0.5)), axes=ax)
 
 
 # ------------------------------------------------------------------ dense calendar and seasonal maps
 
-_FILLED_SQL = """select c.y, c.x, cast(unnest(generate_series(c.d0, c.d1, interval 1 day)) as date) as time
-    from (select y, x, min(time) as d0, max(time) as d1 from pair_daily group by 1, 2) c"""
+_FILLED_SQL = """select c.y, c.x, t.time from (select distinct y, x from pair_daily) c,
+    (select cast(unnest(generate_series(min(time), max(time), interval 1 day)) as date) as time from pair_daily) t"""
 
 
 @register("daily_fill_gaps", with_fixtures(
@@ -1031,7 +1071,7 @@ _FILLED_SQL = """select c.y, c.x, cast(unnest(generate_series(c.d0, c.d1, interv
     select f.time, f.y, f.x, d.o, d.p from f left join pair_daily d on f.time = d.time and f.y = d.y and f.x = d.x""",
     "pair_daily"), ("o", "p"))
 def q_daily_fill_gaps(spark, sf):
-    """Absent days of each cell's span emitted as missing rows."""
+    """Every day of the dataset in every cell; absent ones are missing rows."""
     return resample.fill_gaps(_pd(spark, sf))
 
 
@@ -1070,3 +1110,102 @@ def q_written_grid_roundtrip(spark, sf):
     sinks.write_grid(_pd(spark, sf), path, partition_by=("year",), compression="zstd", if_exists="error")
     back = files.read_files(spark, path, glob="*.parquet")
     return back.select("time", "y", "x", "o", "p")
+
+
+# ------------------------------------------------------------------ the same operators where values are missing, and on a grid that grows
+
+_HOLES, _WIDE = fx.pair_holes, fx.grid_wide
+
+on_fixture("monthly_sum", "pair_holes", lambda s, d: resample.monthly(_HOLES(s, d), ["o", "p"]))
+on_fixture("wet_days", "pair_holes", lambda s, d: metrics.wet_days(_HOLES(s, d), "o", "p", WET))
+on_fixture("wet_freq_season", "pair_holes", lambda s, d: metrics.wet_frequency_by(_HOLES(s, d), "o", "p", WET, by="season"))
+on_fixture("wet_intensity", "pair_holes", lambda s, d: metrics.wet_intensity(_HOLES(s, d), "o", "p", WET))
+on_fixture("skill_daily", "pair_holes", lambda s, d: metrics.skill(_HOLES(s, d), "o", "p"))
+on_fixture("r2_monthly_cells", "pair_holes", lambda s, d: metrics.r2(resample.monthly(_HOLES(s, d), ["o", "p"]), "o", "p", by=["y", "x"]))
+on_fixture("anomalies_month", "pair_holes", lambda s, d: scale.anomalies(_HOLES(s, d), ["o", "p"], by="month"))
+
+on_fixture("r2_monthly_cells", "grid_wide", lambda s, d: metrics.r2(resample.monthly(_WIDE(s, d), ["o", "p"]), "o", "p", by=["y", "x"]))
+on_fixture("anomalies_month", "grid_wide", lambda s, d: scale.anomalies(_WIDE(s, d), ["o", "p"], by="month"))
+on_fixture("shift_daily", "grid_wide", lambda s, d: resample.shift(_WIDE(s, d), ["o", "p"], -1))
+on_fixture("map_summary", "grid_wide", lambda s, d: metrics.map_summary(resample.mean_over(
+    _relative(resample.climatology(_WIDE(s, d), ["o", "p"], by="year")), ["rel_bias"], keep=["y", "x"]), "rel_bias"))
+
+
+def _relative(yr: DataFrame) -> DataFrame:
+    return yr.select("y", "x", metrics.bias(yr, "o", "p", relative=True).alias("rel_bias"))
+
+
+def _regrid_wide(spark, sf, method, step, pad, **options):
+    d = _WIDE(spark, sf).select("time", "y", "x", "o")
+    ax = axes.numeric_axes(d, ["y", "x"])
+    return method(d, ["o"], regrid.target_axis(ax["y"], step, pad), regrid.target_axis(ax["x"], step, pad), axes=ax, **options)
+
+
+REGISTRY["regrid_bilinear_wide"] = (
+    lambda s, d: _regrid_wide(s, d, regrid.bilinear, 1.0, -0.5),
+    with_fixtures(f"""with {_bilinear_weights_sql('x', 'grid_wide', 1.0, -0.5)}, {_bilinear_weights_sql('y', 'grid_wide', 1.0, -0.5)}
+    select d.time, wy.t as y, wx.t as x,
+           case when count(d.o) = max(wx.k * wy.k) then sum(wx.w * wy.w * d.o) end as o
+    from grid_wide d join wx on cast(d.x as double) = wx.s join wy on cast(d.y as double) = wy.s
+    group by 1, 2, 3""", "grid_wide"), ("o", "y", "x"))
+on_fixture("regrid_conservative", "grid_wide", lambda s, d: _regrid_wide(s, d, regrid.conservative, 2.0, -0.5, spherical=True))
+REGISTRY["regrid_conservative_wide"] = (
+    REGISTRY["regrid_conservative_wide"][0],
+    with_fixtures(f"""with {_conservative_weights_sql('x', False).replace('pair_daily', 'grid_wide')},
+    {_conservative_weights_sql('y', True).replace('pair_daily', 'grid_wide')}
+    select d.time, wy.t as y, wx.t as x,
+           sum(wx.w * wy.w * d.o) / sum(case when d.o is not null then wx.w * wy.w end) as o
+    from grid_wide d join wx on cast(d.x as double) = wx.s join wy on cast(d.y as double) = wy.s
+    group by 1, 2, 3""", "grid_wide"), ("o", "y", "x"))
+REGISTRY["job_precipitation_report_wide"] = (
+    lambda s, d: _report(s, d, _WIDE, wet_threshold=WET),
+    REGISTRY["job_precipitation_report"][1].replace(fx.PAIR_HOLES_SQL, fx.GRID_WIDE_SQL), ("value", "y", "x"))
+
+
+# ------------------------------------------------------------------ more operators of the survey over the given tables
+
+@register("concat_time", with_fixtures(
+    "select time, y, x, o from pair_daily where time < date '1996-01-01' union all "
+    "select time, y, x, o from pair_daily where time >= date '1997-01-01'", "pair_daily"), ("o",))
+def q_concat_time(spark, sf):
+    """Two periods, one after the other."""
+    d = _pd(spark, sf).select("time", "y", "x", "o")
+    return joins.concat_time([resample.period(d, "1900-01-01", "1996-01-01"), resample.period(d, "1997-01-01", "2100-01-01")])
+
+
+@register("keep_known", with_fixtures("select time, y, x, o from pair_daily", "pair_daily"), ("o",))
+def q_keep_known(spark, sf):
+    """variables of a vocabulary only."""
+    return grid.keep_known(_pd(spark, sf), ["o", "t2m"], ["time", "y", "x"])
+
+
+@register("short_names", """select p_partkey,
+    case p_partkey % 4 when 0 then 'z' when 1 then 't2m' when 2 then 'pr' end as short from part""")
+def q_short_names(spark, sf):
+    """X11: long variable names (dealt to the parts) to short names."""
+    from ..functions import naming
+    names = F.array(*[F.lit(n) for n in ("geopotential", "2m_temperature", "total_precipitation", "unknown")])
+    pt = spark.read.parquet(f"{sf.rstrip('/')}/part.parquet")
+    return pt.select("p_partkey", naming.short_name(F.get(names, (F.col("p_partkey") % 4).cast("int"))).alias("short"))
+
+
+@register("regrid_weight_table", with_fixtures(
+    """select d.time, cast(floor(d.y / 2) as bigint) as y, cast(floor(d.x / 2) as bigint) as x,
+    case when count(d.o) = 4 then avg(d.o) end as o from pair_holes d group by 1, 2, 3""", "pair_holes"), ("o",))
+def q_regrid_weight_table(spark, sf):
+    """J7, second form: a weight table (the mean of 2 x 2 cells) given from outside."""
+    d = _HOLES(spark, sf)
+    cells = d.select("y", "x").distinct()
+    w = cells.select(F.col("y").alias("sy"), F.col("x").alias("sx"), F.floor(F.col("y") / 2).alias("ty"),
+                     F.floor(F.col("x") / 2).alias("tx"), F.lit(0.25).alias("w"))
+    return regrid.apply_weights(d, ["o"], w)
+
+
+@register("split_tail", with_fixtures(
+    """with ax as (select time, row_number() over (order by time) - 1 as i, count(*) over () as n
+                from (select distinct time from hourly))
+    select time, case when i >= n - ceil(0.1 * n) then 'test' else 'train' end as split from ax""", "hourly"))
+def q_split_tail(spark, sf):
+    """O1/O3: the last tenth of the steps is held out."""
+    from ..operators import split
+    return split.chronological_split(fx.hourly(spark, sf), 0.1)

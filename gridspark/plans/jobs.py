@@ -6,6 +6,7 @@ Every job returns DataFrames (lazy plans); the caller writes them with
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -14,29 +15,31 @@ from pyspark.sql import functions as F
 from ..functions.scalar import kelvin_to_celsius
 from ..operators import joins, metrics, models, regrid, resample, scale, split
 from ..operators.resample import CELL
-from ..session import stage
+from ..session import written
 
 
 def _regrid(df: DataFrame, values: Sequence[str], target: tuple[DataFrame, DataFrame] | None,
-            mode: str) -> DataFrame:
+            mode: str, axes: dict | None = None) -> DataFrame:
     if target is None:
         return df
     ty, tx = target
     if mode == "bilinear":
-        return regrid.bilinear(df, values, ty, tx)
+        return regrid.bilinear(df, values, ty, tx, axes=axes)
     if mode == "conservative":
-        return regrid.conservative(df, values, ty, tx)
+        return regrid.conservative(df, values, ty, tx, axes=axes)
     raise ValueError(f"regridding mode {mode!r} not supported")
 
 
 def daily_predictor(hourly: DataFrame, variable: str, accumulated: bool = False,
-                    target: tuple[DataFrame, DataFrame] | None = None, mode: str = "bilinear") -> DataFrame:
+                    target: tuple[DataFrame, DataFrame] | None = None, mode: str = "bilinear",
+                    axes: dict | None = None) -> DataFrame:
     """Hourly field -> daily mean (or daily sum in mm for accumulated
     fields such as precipitation) -> optional regridding. One job over all
-    yearly files at once (the concat is the scan)."""
+    yearly files at once (the concat is the scan). ``axes``: see
+    :func:`gridspark.operators.regrid.bilinear`."""
     how = ("sum", variable) if accumulated else ("mean", variable)
     d = resample.to_daily(hourly, {variable: how}, scale={variable: 1000.0} if accumulated else None)
-    return _regrid(d, [variable], target, mode)
+    return _regrid(d, [variable], target, mode, axes)
 
 
 def shifted_daily_predictor(hourly: DataFrame, variable: str, steps: int = -6, accumulated: bool = False,
@@ -69,23 +72,24 @@ def observed_temperature(steps: DataFrame, variable: str = "t2m") -> DataFrame:
 
 
 def terrain_fields(dem: DataFrame, value: str = "elevation", target: tuple[DataFrame, DataFrame] | None = None,
-                   rename: dict[str, str] | None = None) -> DataFrame:
-    """DEM regridded to the target grid, axes renamed (e.g. lat/lon)."""
+                   rename: dict[str, str] | None = None, axes: dict | None = None) -> DataFrame:
+    """DEM regridded to the target grid, axes renamed (e.g. lat/lon);
+    slope and aspect with the spacing of the grid that results."""
     d = dem.withColumnsRenamed(rename) if rename else dem
     if target is not None:
-        d = regrid.bilinear(d.withColumn("time", F.lit(0)), [value], *target).drop("time")
+        d = regrid.bilinear(d.withColumn("time", F.lit(0)), [value], *target, axes=axes).drop("time")
     from ..operators.terrain import slope_aspect
     return slope_aspect(d, value)
 
 
 def downscale(predictors: DataFrame, predictand: DataFrame, target: str, features: Sequence[str],
-              model: str = "LGBMRegressor", static: DataFrame | None = None, doy: bool = True,
+              model: str = "GBTRegressor", static: DataFrame | None = None, doy: bool = True,
               split_mode: str = "period", calibration=("1985-01-01", "2016-01-01"),
               validation=("2016-01-01", "2020-12-31"), wet_threshold: float = 0.0, valid_size: float = 0.2,
               params: dict | None = None, seed: int = 42) -> DataFrame:
     """Features (M7) + split (O4 fixed periods, or O2 wet-day stratified
-    inside the calibration period) + per-cell fit/predict (M1) -> the
-    prediction grid (M4)."""
+    inside the calibration period) + one distributed tree model over all cells
+    (M2) -> the prediction grid (M4)."""
     feat = models.assemble_features(predictors, static, doy=doy)
     data = joins.combine(feat, predictand.select("time", *CELL, target))
     feats = list(features) + (["sin_doy", "cos_doy"] if doy else [])
@@ -97,77 +101,105 @@ def downscale(predictors: DataFrame, predictand: DataFrame, target: str, feature
         data = split.attach_split(cal, labels)
     else:
         raise ValueError(f"unknown split {split_mode!r}")
-    return models.fit_predict(data, feats, target, model=model, params=params, seed=seed)
+    return models.fit_predict_pooled(data, feats, target, model=model, seed=seed, **(params or {}))
 
 
 def tune(predictors: DataFrame, predictand: DataFrame, target: str, features: Sequence[str],
-         n_trials: int = 50, n_per_axis: int = 10, model: str = "LGBMRegressor",
-         n_estimators: int = 20000, early_stopping: int = 100, seed: int = 42) -> DataFrame:
-    """Sampled sub-grid (O5, J10) -> trial table (M6) -> per-cell scores
-    (M5, M8) -> best parameters (O6)."""
+         trials: Sequence[dict], n_per_axis: int = 10, model: str = "GBTRegressor", seed: int = 42) -> DataFrame:
+    """Sampled sub-grid (O5, J10) -> score of each parameter set (M5, M8)
+    -> the best one (O6). ``trials`` is a short list; each trial is one
+    distributed fit."""
     feat = models.assemble_features(predictors, None, doy=True)
     data = joins.combine(feat, predictand.select("time", *CELL, target))
     sub = split.reduced_grid(data, split.sample_cells(data, n_per_axis, seed=seed))
-    trials = models.trial_table(data.sparkSession, n_trials, seed=seed)
-    scores = models.search(sub, list(features) + ["sin_doy", "cos_doy"], target, trials, model=model,
-                           n_estimators=n_estimators, early_stopping=early_stopping)
-    return models.best_params(scores, trials)
+    return split.best_trial(models.search(sub, [*features, "sin_doy", "cos_doy"], target, trials, model=model, seed=seed))
+
+
+def _part(df: DataFrame, part: str, names: Sequence[str], period: str | None = None,
+          cells: bool = False) -> DataFrame:
+    """Rows (part, period, y, x, metric, value) of the columns ``names``."""
+    keys = [F.lit(part).alias("part"),
+            (F.col(period) if period else F.lit(None)).cast("string").alias("period"),
+            *[(F.col(c) if cells else F.lit(None)).cast("double").alias(c) for c in CELL]]
+    return (df.select(*keys, *[F.col(n).cast("double").alias(n) for n in names])
+              .unpivot(["part", "period", *CELL], list(names), "metric", "value"))
+
+
+def _errors(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Mean bias, relative bias, MAE and RMSE of the rows of ``o`` and ``p``."""
+    d = F.col("p") - F.col("o")
+    return df.groupBy(*by).agg(
+        F.avg(d).alias("bias"), F.avg(metrics.bias(df, "o", "p", relative=True)).alias("rel_bias"),
+        F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"))
 
 
-def _long(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.unpivot([], list(names), "metric", "value")
+ERRORS = ("bias", "rel_bias", "mae", "rmse")
 
 
 def verification_report(obs: DataFrame, pred: DataFrame, value: str, wet_threshold: float | None = 1.0,
                         quantile: float = 0.98, celsius: bool = False) -> DataFrame:
-    """The verification scores of a prediction grid against the
-    observations, as ``(metric, value)`` rows.
-
-    Observations are restricted to the predicted times (J3), both grids are
-    paired on equal keys (J5) and masked to the valid pairs (F9/F10).
-    Precipitation (``wet_threshold`` set) adds monthly sums, wet-day
-    frequency and intensity; temperature (``celsius``) converts from Kelvin.
+    """The verification of a prediction grid against the observations,
+    as one long table ``(part, period, y, x, metric, value)``; ``period`` is a
+    month, year or season, and ``y, x`` are set for maps.
+
+    The prediction takes the observations' coordinates by position (J4) and
+    the observations the predicted times (J3; a time without observations
+    raises). Days on which either value is missing are masked (F9), not
+    dropped, so sums and counts over a group with such a day are missing.
+    Precipitation (``wet_threshold`` set) is scored on monthly sums and on wet
+    days, temperature (``celsius`` converts from Kelvin) on days.
+
+    The masked pair is staged once in the shared folder; every part reads the
+    columns that it needs from there.
     """
     o = obs.select("time", *CELL, F.col(value).alias("o"))
     p = pred.select("time", *CELL, F.col(value).alias("p"))
     if celsius:
-        o = o.withColumn("o", kelvin_to_celsius("o"))
-        p = p.withColumn("p", kelvin_to_celsius("p"))
-    o = joins.sel_labels(o, p, "time", strict=False)
-    # every score below reads the paired grid: stage it once (reliable
-    # checkpoint in spark.checkpoint.dir) instead of re-deriving it per score
-    pair = stage(metrics.valid_pairs(joins.combine(o, p), "o", "p"))
-    parts = []
-    if wet_threshold is not None:
-        m = resample.monthly(pair, ["o", "p"])
-        parts.append(_long(metrics.r2(m, "o", "p").select(F.col("r2").alias("r2_monthly")), ["r2_monthly"]))
-    else:
-        parts.append(_long(metrics.r2(pair, "o", "p").select(F.col("r2").alias("r2_daily")), ["r2_daily"]))
-    an = scale.anomalies(pair, ["o", "p"], by="month")
-    parts.append(_long(metrics.r2(an, "o", "p").select(F.col("r2").alias("r2_anomaly")), ["r2_anomaly"]))
-    yr = resample.climatology(pair, ["o", "p"], by="year")
-    ys = yr.agg(F.avg(F.col("p") - F.col("o")).alias("bias_yearly"),
-                F.avg(metrics.bias(yr, "o", "p", relative=True)).alias("rel_bias_yearly"),
-                F.avg(F.abs(F.col("p") - F.col("o"))).alias("mae_yearly"),
-                F.sqrt(F.avg((F.col("p") - F.col("o")) ** 2)).alias("rmse_yearly"),
-                F.corr("p", "o").alias("corr_yearly"))
-    parts.append(_long(ys, ["bias_yearly", "rel_bias_yearly", "mae_yearly", "rmse_yearly", "corr_yearly"]))
-    ex = metrics.extreme_quantile(pair, ["o", "p"], quantile, by="year")
-    es = ex.agg(F.avg(metrics.bias(ex, "o", "p", relative=True)).alias("rel_bias_extreme"),
-                F.avg(F.abs(F.col("p") - F.col("o"))).alias("mae_extreme"),
-                F.sqrt(F.avg((F.col("p") - F.col("o")) ** 2)).alias("rmse_extreme"))
-    parts.append(_long(es, ["rel_bias_extreme", "mae_extreme", "rmse_extreme"]))
-    if wet_threshold is not None:
-        wd = metrics.wet_days(pair, "o", "p", wet_threshold)
-        wb = wd.select(F.col("f_wet_obs").alias("o"), F.col("f_wet_pred").alias("p"))
-        wb = wb.agg(F.avg(metrics.bias(wb, "o", "p", relative=True)).alias("rel_bias_wet_freq"))
-        parts.append(_long(wb, ["rel_bias_wet_freq"]))
-        si = metrics.wet_intensity(pair, "o", "p", wet_threshold)
-        parts.append(_long(si.agg(F.avg("rel_bias").alias("rel_bias_sdii")), ["rel_bias_sdii"]))
-    out = parts[0]
-    for q in parts[1:]:
-        out = out.unionByName(q)
-    return out.withColumn("value", F.col("value").cast("double"))
+        o, p = o.withColumn("o", kelvin_to_celsius("o")), p.withColumn("p", kelvin_to_celsius("p"))
+    p = joins.align_positional(o, p, axes=CELL)
+    o = joins.sel_labels(o, p, "time")
+    both = F.col("o").isNotNull() & F.col("p").isNotNull()
+    pair = joins.combine(o, p).withColumns({c: F.when(both, F.col(c)) for c in ("o", "p")})
+    pair = written(pair.select("time", *CELL, "o", "p"), "pair")
+    wet = wet_threshold is not None
+
+    base = resample.monthly(pair, ["o", "p"]) if wet else pair
+    anomaly = scale.anomalies(pair, ["o", "p"], by="month")
+    year = resample.climatology(pair, ["o", "p"], by="year")
+    season = resample.climatology(pair, ["o", "p"], by="season")
+    extreme = metrics.extreme_quantile(pair, ["o", "p"], quantile, by="year")
+    extreme_season = metrics.extreme_quantile(pair, ["o", "p"], quantile, by="season")
+    year_map = _errors(year, CELL)
+    valid_year = metrics.valid_pairs(year, "o", "p")
+    parts = [
+        _part(resample.pooled_cycle(base, ["o", "p"]), "annual_cycle", ["o", "p"], "month"),
+        _part(metrics.r2(base, "o", "p"), "r2", ["r2"]),
+        _part(metrics.r2(base, "o", "p", CELL), "r2_map", ["r2"], cells=True),
+        _part(metrics.r2(anomaly, "o", "p"), "r2_anomaly", ["r2"]),
+        _part(metrics.r2(anomaly, "o", "p", CELL), "r2_anomaly_map", ["r2"], cells=True),
+        _part(_errors(year), "yearly", ERRORS),
+        _part(valid_year.agg(F.corr("p", "o").alias("corr")), "yearly", ["corr"]),
+        _part(valid_year.groupBy("year").agg(F.corr("p", "o").alias("corr")), "yearly", ["corr"], "year"),
+        _part(year_map, "yearly_map", ["bias", "rel_bias"], cells=True),
+        _part(metrics.map_summary(year_map, "rel_bias"), "yearly_map_summary", ["median", "min", "max"]),
+        _part(_errors(season, ["season"]), "seasonal", ERRORS, "season"),
+        _part(metrics.map_summary(season.withColumn("bias", F.col("p") - F.col("o")), "bias", ["season"]),
+              "seasonal_map_summary", ["median", "min", "max"], "season"),
+        _part(_errors(extreme), "extreme_yearly", ERRORS),
+        _part(_errors(extreme_season, ["season"]), "extreme_seasonal", ERRORS, "season"),
+    ]
+    if wet:
+        named = lambda d, *more: d.select(*more, F.col("f_wet_obs").alias("o"), F.col("f_wet_pred").alias("p"))
+        days = metrics.wet_days(pair, "o", "p", wet_threshold)
+        parts += [
+            _part(days, "wet_days_map", ["n_wet_obs", "n_wet_pred"], cells=True),
+            _part(_errors(named(days)), "wet_days", ERRORS),
+            _part(_errors(named(metrics.wet_frequency_by(pair, "o", "p", wet_threshold, by="season"), "season"), ["season"]),
+                  "wet_days_seasonal", ERRORS, "season"),
+            _part(metrics.wet_intensity(pair, "o", "p", wet_threshold).agg(F.avg("rel_bias").alias("rel_bias")),
+                  "wet_intensity", ["rel_bias"]),
+        ]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def sweep(predictors: DataFrame, predictands: dict[str, DataFrame], features: Sequence[str],
@@ -181,30 +213,18 @@ def sweep(predictors: DataFrame, predictands: dict[str, DataFrame], features: Se
     is skipped. The matrix has a handful of rows (bounded by the parameter
     lists); each run itself is a distributed job. Returns the run keys."""
     from ..functions.naming import run_key
-    from ..sources.sinks import write_grid
+    from ..sources.sinks import finished, write_grid
 
     keys = []
-    for r in matrix.orderBy("predictand", "wet_day_threshold", "model").collect():
-        threshold = r["wet_day_threshold"]
-        key = run_key(r["model"], r["predictand"], list(predictor_names), list(levels),
-                      int(threshold) if float(threshold).is_integer() else threshold,
-                      dem=static is not None, doy=doy, stratify=r["stratify"])
+    named = matrix.withColumn("run_key", run_key(predictor_names, levels, dem=static is not None, doy=doy))
+    for r in named.orderBy("predictand", "wet_day_threshold", "model").collect():
+        threshold, key = r["wet_day_threshold"], r["run_key"]
         target = f"{out_root.rstrip('/')}/{key}"
         keys.append(key)
-        if _exists(predictors.sparkSession, target):
-            continue   # S9: a finished run is not redone
+        if finished(predictors.sparkSession, target):
+            continue   # S9: a finished run is not redone, a broken one is
         pred = downscale(predictors, predictands[r["predictand"]], r["predictand"], features, model=r["model"],
                          static=static, doy=doy, split_mode="stratified" if r["stratify"] else "period",
                          calibration=calibration, validation=validation, wet_threshold=threshold, params=params)
-        write_grid(pred, target, if_exists="skip")
+        write_grid(pred, target, if_exists="overwrite")
     return keys
-
-
-def _exists(spark, path: str) -> bool:
-    """Whether a Parquet output is already there (a metadata read only)."""
-    from pyspark.errors import AnalysisException
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except AnalysisException:
-        return False

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -14,16 +14,27 @@ MAX_RECORDS_PER_FILE = 20_000_000
 MODES = {"skip": "ignore", "overwrite": "overwrite", "error": "errorifexists", "append": "append"}
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` came to its end: the marker of the last
+    commit is there. A folder that a crashed run left has none."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def write_grid(df: DataFrame, path: str, partition_by: Sequence[str] = ("year",), time: str = "time",
                compression: str = "zstd", if_exists: str = "skip", fmt: str = "parquet") -> None:
     """Write a grid table.
 
     ``partition_by=('year',)`` derives the year from ``time`` so a later
-    period filter prunes whole folders. ``if_exists='skip'`` leaves an
-    existing target untouched (a finished output is not recomputed).
+    period filter prunes whole folders. ``if_exists='skip'`` leaves a
+    finished target untouched; one that a crashed run left is overwritten.
     Rows are clustered by cell within each file, which keeps min/max
     statistics tight for cell filters.
     """
+    if if_exists == "skip":
+        if finished(df.sparkSession, path):
+            return
+        if_exists = "overwrite"
     out = df
     if "year" in partition_by and "year" not in df.columns:
         out = out.withColumn("year", F.year(time))
@@ -40,18 +51,6 @@ def write_grid(df: DataFrame, path: str, partition_by: Sequence[str] = ("year",)
     w.save(path)
 
 
-def write_runs(df: DataFrame, path: str, run_key: str = "run_key", if_exists: str = "skip",
-               compression: str = "zstd", time: str = "time") -> None:
-    """S7 + S11: one folder per run key; a finished run is not redone.
-    Range partitioning on (run, cell, time) spreads a large run over many
-    tasks."""
-    keys = [c for c in (run_key, "y", "x", time) if c in df.columns]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-       .write.mode(MODES[if_exists]).option("compression", compression)
-       .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy(run_key).parquet(path))
-
-
 def staged(df: DataFrame) -> DataFrame:
     """Cut a long lineage (checkpoint in ``spark.checkpoint.dir``)."""
     return stage(df)

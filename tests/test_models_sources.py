@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF0001
 from gridspark.functions import naming
-from gridspark.operators import models, split, trees
+from gridspark.operators import models, split
 from gridspark.sources import files, sinks
 from gridspark.streaming.daily import daily_stream
 
@@ -27,78 +27,58 @@ def cells(spark, n_cells=3, days=120, const=None):
     return split.period_split(df, ("2000-01-01", "2000-03-21"), ("2000-03-21", "2001-01-01"))
 
 
-@pytest.mark.parametrize("kind", list(trees.DEFAULTS))
-def test_constant_target_gives_constant_prediction(spark, kind):
-    out = models.fit_predict(cells(spark, const=4.0), ["f1"], "t", model=kind,
-                             params={"n_estimators": 5})
-    vals = {round(r["prediction"], 9) for r in out.collect()}
-    assert vals == {4.0}
+def test_constant_target_gives_constant_prediction(spark):
+    out = models.fit_predict_pooled(cells(spark, const=4.0), ["f1"], "t", model="RandomForestRegressor", numTrees=3)
+    assert {round(r["prediction"], 9) for r in out.collect()} == {4.0}
 
 
-def test_fit_predict_rows_and_determinism(spark):
-    d = cells(spark)
-    a = models.fit_predict(d, ["f1"], "t", model="XGBRegressor", params={"n_estimators": 20})
-    b = models.fit_predict(d, ["f1"], "t", model="XGBRegressor", params={"n_estimators": 20})
-    assert a.count() == d.where(F.col("split") == "valid").count()
-    assert sorted(a.collect()) == sorted(b.collect())
+def test_every_valid_row_is_returned_and_fits_are_deterministic(spark):
+    d = cells(spark).withColumn("f1", F.when((F.col("x") == 1.0) & (F.dayofyear("time") == 90), None).otherwise(F.col("f1")))
+    a, b = (models.fit_predict_pooled(d, ["f1"], "t", maxIter=5).collect() for _ in range(2))
+    assert len(a) == d.where(F.col("split") == "valid").count()
+    assert sorted(a, key=str) == sorted(b, key=str)
+    missing = [r for r in a if r["prediction"] is None]
+    assert [(r["x"], r["time"].timetuple().tm_yday) for r in missing] == [(1.0, 90)]
 
 
 def test_model_beats_the_mean(spark):
     d = cells(spark)
-    out = models.fit_predict(d, ["f1"], "t", model="LGBMRegressor", params={"n_estimators": 50})
+    out = models.fit_predict_pooled(d, ["f1"], "t", maxIter=20)
     err = out.agg(F.sqrt(F.avg((F.col("t") - F.col("prediction")) ** 2))).first()[0]
     base = d.where(F.col("split") == "valid").agg(F.stddev_pop("t")).first()[0]
     assert err < base
 
 
-def test_incomplete_cell_is_not_fitted(spark):
-    d = cells(spark).withColumn("f1", F.when((F.col("x") == 1.0) & (F.dayofyear("time") == 5), None)
-                                .otherwise(F.col("f1")))
-    out = models.fit_predict(d, ["f1"], "t", model="XGBRegressor", params={"n_estimators": 5})
-    got = {r["x"]: r["n"] for r in out.groupBy("x").agg(F.count("prediction").alias("n")).collect()}
-    assert got[1.0] == 0 and got[0.0] > 0
-
-
-def test_trials_are_seeded_and_in_range(spark):
-    a = models.trial_table(spark, 20, seed=3).collect()
-    b = models.trial_table(spark, 20, seed=3).collect()
-    assert a == b
-    for r in a:
-        assert 1e-3 <= r["reg_alpha"] <= 10 and 1 <= r["num_leaves"] <= 1000
-        assert r["learning_rate"] in models.CATEGORICAL["learning_rate"]
-
-
-def test_search_and_best(spark):
+def test_search_and_best_trial(spark):
     d = cells(spark).drop("split")
-    tr = models.trial_table(spark, 3)
-    sc = models.search(d, ["f1"], "t", tr, n_estimators=30, early_stopping=5)
-    assert sc.count() == 9
-    best = models.best_params(sc, tr).collect()
-    assert len(best) == 1 and best[0]["cells"] == 3
+    scores = models.search(d, ["f1"], "t", [{"maxIter": 1, "maxDepth": 1}, {"maxIter": 15, "maxDepth": 4}])
+    assert scores.count() == 2
+    assert split.best_trial(scores).first()["trial"] == 1
 
 
-def test_early_stopping_truncates(spark):
-    rng = np.random.default_rng(0)
-    X = rng.normal(size=(300, 2))
-    y = rng.normal(size=300)
-    m = trees.fit("LGBMRegressor", X[:200], y[:200], {"n_estimators": 500}, X_eval=X[200:], y_eval=y[200:],
-                  early_stopping=10)
-    assert len(m.trees) < 500
+def test_predictor_names_are_checked(spark):
+    with pytest.raises(ValueError):
+        models.assemble_predictors(cells(spark), ["bogus"], [500], [], [])
+    with pytest.raises(ValueError):
+        naming.run_key(["bogus"])
 
 
 # ------------------------------------------------------------------ naming
 
-def test_run_key():
-    k = naming.run_key("LGBMRegressor", "pr", ["geopotential", "temperature", "mean_sea_level_pressure",
-                                               "total_precipitation"], [500, 850], 0, dem=True, doy=True,
-                       stratify=True)
-    assert k == "LGBMRegressor_pr_zt_500_850_mslppr_0mm_dem_doy"
+def test_run_key(spark):
+    m = naming.run_matrix(spark, ["pr", "tasmean"], [0.0, 0.5], ["GBTRegressor"])
+    names = ["geopotential", "temperature", "mean_sea_level_pressure", "total_precipitation"]
+    keys = [r[0] for r in m.select(naming.run_key(names, [500, 850], dem=True, doy=True)).collect()]
+    assert keys == ["GBTRegressor_pr_zt_500_850_mslppr_0mm_dem_doy", "GBTRegressor_pr_zt_500_850_mslppr_0.5mm_dem_doy"] + \
+        ["GBTRegressor_tasmean_zt_500_850_mslppr_dem_doy"] * 2
 
 
 def test_run_matrix(spark):
     m = naming.run_matrix(spark, ["tasmean", "pr"], [0.0], naming.MODELS)
-    assert m.count() == 8
+    assert m.count() == 4
     assert m.where("stratify").select("predictand").distinct().collect()[0][0] == "pr"
+    with pytest.raises(ValueError):
+        naming.run_matrix(spark, ["bogus"], [0.0], naming.MODELS)
 
 
 def test_short_names(spark):
@@ -135,6 +115,17 @@ def test_dry_run_groups_by_variable(spark):
     assert got == {"t2m": (2001, 2002, 2), "tp": (2001, 2002, 2)}
 
 
+def test_a_broken_write_is_done_again(spark):
+    out = tempfile.mkdtemp(prefix="gridspark-test-") + "/run"
+    os.makedirs(f"{out}/_temporary")   # what a crashed run leaves
+    d = spark.createDataFrame([(dt.date(2020, 1, 1), 0, 0, 1.0)], "time date, y int, x int, v double")
+    assert not sinks.finished(spark, out)
+    sinks.write_grid(d, out)
+    assert sinks.finished(spark, out) and spark.read.parquet(out).count() == 1
+    sinks.write_grid(d.unionByName(d), out)   # finished: left as it is
+    assert spark.read.parquet(out).count() == 1
+
+
 def test_stage_checkpoints(spark):
     d = spark.range(10).withColumn("v", F.col("id") * 2)
     assert sinks.staged(d).count() == 10
@@ -180,9 +171,9 @@ def _grids(spark, days=400):
 def test_downscale_job(spark, mode):
     from gridspark.plans import jobs
     p, o = _grids(spark)
-    out = jobs.downscale(p, o, "pr", ["a"], model="XGBRegressor", split_mode=mode,
+    out = jobs.downscale(p, o, "pr", ["a"], model="GBTRegressor", split_mode=mode,
                          calibration=("2000-01-01", "2000-11-01"), validation=("2000-11-01", "2001-03-01"),
-                         wet_threshold=0.5, params={"n_estimators": 10})
+                         wet_threshold=0.5, params={"maxIter": 5})
     rows = out.collect()
     assert rows and all(r["prediction"] is not None for r in rows)
     if mode == "period":
@@ -192,8 +183,8 @@ def test_downscale_job(spark, mode):
 def test_tune_job(spark):
     from gridspark.plans import jobs
     p, o = _grids(spark, days=200)
-    best = jobs.tune(p, o, "pr", ["a"], n_trials=3, n_per_axis=2, n_estimators=20, early_stopping=5).collect()
-    assert len(best) == 1 and best[0]["cells"] == 4
+    best = jobs.tune(p, o, "pr", ["a"], [{"maxIter": 1, "maxDepth": 1}, {"maxIter": 10}], n_per_axis=2).collect()
+    assert len(best) == 1 and best[0]["trial"] == 1
 
 
 def test_read_bands_and_keep_known_and_concat(spark):
@@ -209,61 +200,20 @@ def test_read_bands_and_keep_known_and_concat(spark):
     assert both.count() == 8 and "extra" in both.columns
 
 
-@pytest.mark.parametrize("kind", ["RandomForestRegressor", "LGBMRegressor"])
-def test_fit_predict_equals_brute_force(spark, kind):
-    """Spark's grouped fit/predict against a plain loop over the cells."""
-    d = cells(spark, n_cells=3, days=90)
-    params = {"n_estimators": 7}
-    got = {(r["x"], r["time"]): r["prediction"]
-           for r in models.fit_predict(d, ["f1"], "t", model=kind, params=params, seed=11).collect()}
-    pdf = d.toPandas()
-    expect = {}
-    for (y, x), g in pdf.groupby(["y", "x"]):
-        tr, va = g[g.split == "train"], g[g.split == "valid"]
-        m = trees.fit(kind, tr[["f1"]].to_numpy(float), tr["t"].to_numpy(float), params,
-                      seed=models._cell_seed(11, (y, x)))
-        for t, p in zip(va["time"], m.predict(va[["f1"]].to_numpy(float))):
-            expect[(x, t)] = p
-    assert got.keys() == expect.keys()
-    for k in got:
-        assert got[k] == pytest.approx(expect[k], abs=1e-12)
-
-
-def test_search_equals_brute_force(spark):
-    import math
-    d = cells(spark, n_cells=2, days=80).drop("split")
-    tr = models.trial_table(spark, 3, seed=5)
-    got = {(r["trial"], r["x"]): r["rmse"]
-           for r in models.search(d, ["f1"], "t", tr, n_estimators=25, early_stopping=4, seed=9).collect()}
-    trials = [r.asDict() for r in tr.orderBy("trial").collect()]
-    pdf = d.toPandas()
-    for (y, x), g in pdf.groupby(["y", "x"]):
-        g = g.sort_values("time")
-        X, t = g[["f1"]].to_numpy(float), g["t"].to_numpy(float)
-        cut = len(t) - math.ceil(round(0.2 * len(t), 9))
-        for p in trials:
-            params = {k: v for k, v in p.items() if k not in ("trial", "cat_smooth")}
-            params["n_estimators"] = 25
-            m = trees.fit("LGBMRegressor", X[:cut], t[:cut], params, seed=9, X_eval=X[cut:], y_eval=t[cut:],
-                          early_stopping=4)
-            rmse = float(np.sqrt(np.mean((m.predict(X[cut:]) - t[cut:]) ** 2)))
-            assert got[(p["trial"], x)] == pytest.approx(rmse, abs=1e-12)
-
-
 def test_sweep_writes_one_folder_per_run(spark):
     from gridspark.plans import jobs
     p, o = _grids(spark, days=300)
-    m = naming.run_matrix(spark, ["pr"], [0.5], ["XGBRegressor", "AdaBoostRegressor"])
+    m = naming.run_matrix(spark, ["pr"], [0.5], ["GBTRegressor", "RandomForestRegressor"])
     out = tempfile.mkdtemp(prefix="gridspark-sweep-")
     keys = jobs.sweep(p, {"pr": o}, ["a"], m, out, predictor_names=["total_precipitation"],
                       calibration=("2000-01-01", "2000-08-01"), validation=("2000-08-01", "2001-01-01"),
-                      params={"n_estimators": 5})
-    assert keys == ["AdaBoostRegressor_pr_pr_0.5mm_doy", "XGBRegressor_pr_pr_0.5mm_doy"]
+                      params={"maxDepth": 3})
+    assert keys == ["GBTRegressor_pr_pr_0.5mm_doy", "RandomForestRegressor_pr_pr_0.5mm_doy"]
     for k in keys:
         assert spark.read.parquet(os.path.join(out, k)).count() > 0
     # a second sweep finds the outputs and leaves them as they are
     assert jobs.sweep(p, {"pr": o}, ["a"], m, out, predictor_names=["total_precipitation"],
-                      params={"n_estimators": 5}) == keys
+                      params={"maxDepth": 3}) == keys
 
 
 def test_daily_stream_to_parquet(spark):

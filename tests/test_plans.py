@@ -41,16 +41,22 @@ def test_flagship_prunes_columns_and_aggregates_partially(spark):
     assert "Window" not in p
 
 
-def test_grouped_model_uses_one_cell_exchange(spark):
-    p = plan(Q["model_lgbm"](spark, SF001))
-    assert "FlatMapGroupsInPandas" in p
-    above_scan = p.split("FlatMapGroupsInPandas", 1)[1]
-    # the explicit repartition on the cell keys is the only exchange the
-    # grouped map needs; no second shuffle is stacked on top of it
-    first_exchange = re.search(r"Exchange (\w+)\(([^)]*)\)", above_scan)
-    assert first_exchange.group(1) == "hashpartitioning"
-    assert re.sub(r"#\d+L?", "", first_exchange.group(2)).startswith("y, x")
-    assert "REPARTITION_BY_NUM" in above_scan.split("\n", 8)[-1] or "REPARTITION_BY_NUM" in above_scan
+def test_group_statistics_need_one_scan_and_one_exchange(spark):
+    for name in ("anomalies_standard", "minmax_cells"):
+        p = plan(Q[name](spark, SF001))
+        assert p.count("Scan parquet") == 1, name
+        assert "Join" not in p and p.count("Exchange") == 2, name   # the fixture's aggregate, and the cells
+
+
+def test_axes_cost_one_pass_over_the_data(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("axes", "jobs before the action")
+    df = Q["regrid_bilinear"](spark, SF001)
+    jobs = len(tracker.getJobIdsForGroup("axes"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    scans = re.findall(r"FileScan parquet .*?(?=\n)", plan(df))
+    assert len([s for s in scans if "lineitem" in s]) == 1
+    assert jobs <= 25, jobs   # stages of small axis tables count as jobs
 
 
 def test_regridding_broadcasts_counted_axis_weights(spark):
@@ -66,7 +72,7 @@ def test_no_cross_products_anywhere(spark):
         assert "BroadcastNestedLoopJoin" not in p, name
 
 
-SLOW = {"model_random_forest", "model_pooled_gbt", "hyper_search"}
+SLOW = {"model_pooled_gbt"}
 
 
 def test_no_registered_query_plans_a_cross_product(spark):
@@ -74,7 +80,7 @@ def test_no_registered_query_plans_a_cross_product(spark):
     without nested-loop or cartesian joins."""
     from conftest import SF0001
     bad = {}
-    for name in sorted(set(Q) - SLOW):
+    for name in sorted(n for n in set(Q) - SLOW if not re.match("op[0-9]+_|pipeline", n)):
         p = plan(Q[name](spark, SF0001))
         flags = [f for f in ("BroadcastNestedLoopJoin", "CartesianProduct") if f in p]
         if flags:

@@ -57,6 +57,59 @@ def test_fill_gaps_emits_missing_days(spark):
                               "time date, y int, x int, v double")
     out = resample.fill_gaps(d).orderBy("time").collect()
     assert [r["v"] for r in out] == [1.0, None, None, 4.0]
+    more = d.unionByName(spark.createDataFrame([(dt.date(2020, 1, 3), 0, 1, 3.0)], d.schema))
+    assert resample.fill_gaps(more).count() == 8   # every cell has every day of the dataset
+
+
+def test_last_day_with_six_steps_is_kept_by_the_shift(spark):
+    from gridspark.plans import jobs
+    rows = [(dt.datetime(2020, 1, 1) + dt.timedelta(hours=h), 0, 0, float(h)) for h in range(54)]
+    df = spark.createDataFrame(rows, "time timestamp_ntz, y int, x int, v double")
+    out = sorted((r["time"].day, r["v"]) for r in jobs.shifted_daily_predictor(df, "v", steps=-6).collect())
+    assert out == [(1, sum(range(6, 30)) / 24), (2, sum(range(30, 54)) / 24)]
+
+
+def test_observed_precipitation_drops_the_missing_day_only(spark):
+    from gridspark.plans import jobs
+    rows = [(dt.datetime(2020, 1, 1) + dt.timedelta(hours=3 * h), 0, 0, float(h)) for h in range(40)]
+    df = spark.createDataFrame(rows, "time timestamp_ntz, y int, x int, tp double")
+    out = sorted((r["time"].day, r["tp"]) for r in jobs.observed_precipitation(df).collect())
+    assert out == [(1, 8.0), (2, 16.0), (3, 24.0), (4, 32.0)]
+
+
+def test_density_counts_values_outside_the_range(spark):
+    d = spark.createDataFrame([(0.0,), (100.0,), (200.0,)], "v double")
+    got = {round(r["x"], 3): r["density"] for r in metrics.kde(d, "v", -1.0, 1.0, 3, 0.5).collect()}
+    norm = 1 / (0.5 * math.sqrt(2 * math.pi)) / 3
+    assert got[1.0] == pytest.approx(norm * math.exp(-2)) and got[0.0] == pytest.approx(norm)
+
+
+def test_median_of_a_map_is_exact(spark):
+    for values in ([1.0], [1.0, 2.0], [5.0, 1.0, 1.0, 1e9, 3.0], [2.0] * 7, list(map(float, range(100)))):
+        d = spark.createDataFrame([("a", v) for v in values] + [("a", None)], "g string, v double")
+        want = sorted(values)[(len(values) - 1) // 2] / 2 + sorted(values)[len(values) // 2] / 2
+        assert metrics.map_summary(d, "v").first()["median"] == want
+        assert metrics.map_summary(d, "v", ["g"]).first()["median"] == want
+
+
+def test_conservative_takes_a_lone_label_as_a_unit_cell(spark):
+    d = plane(spark, n=1)
+    out = regrid.conservative(d, ["v"], axis_df(spark, [0.0]), axis_df(spark, [0.25]), spherical=False).collect()
+    assert [r["v"] for r in out] == [1.0]
+
+
+def test_report_masks_and_does_not_drop(spark):
+    """One missing day: its month and its cell's wet days are missing, other months count."""
+    from gridspark.plans import jobs
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=d), 0.0, float(c), float((d * 7 + c) % 11), float((d * 5 + c) % 11)) for c in range(2) for d in range(91)]
+    df = spark.createDataFrame(rows, "time date, y double, x double, o double, p double")
+    df = df.withColumn("o", F.when((F.col("x") == 1) & (F.col("time") == dt.date(2020, 2, 3)), None).otherwise(F.col("o")))
+    grids = [df.select("time", "y", "x", F.col(c).alias("v")) for c in ("o", "p")]
+    out = {(r["part"], r["x"], r["metric"]): r["value"] for r in jobs.verification_report(*grids, "v", wet_threshold=5.0).collect()}
+    assert out["wet_days_map", 0.0, "n_wet_obs"] is not None and out["wet_days_map", 1.0, "n_wet_obs"] is None
+    late = df.select("time", "y", "x", F.col("p").alias("v")).withColumn("time", F.date_add("time", 1000))
+    with pytest.raises(KeyError):
+        jobs.verification_report(grids[0], late, "v")
 
 
 # ------------------------------------------------------------------ regridding
@@ -119,6 +172,14 @@ def test_slope_of_a_plane_is_exact_including_edges(spark):
     assert out[0]["aspect"] == pytest.approx(expect_aspect % 360, abs=1e-3)
 
 
+def test_slope_takes_the_spacing_from_the_axes(spark):
+    rows = [(0.5 * r, 0.5 * c, 2 * 0.5 * c + 3 * 0.5 * r) for r in range(8) for c in range(8)]
+    d = spark.createDataFrame([*rows[:-1], (*rows[-1][:2], None)], "y double, x double, z double")
+    out = {(r["y"], r["x"]): r["slope"] for r in terrain.slope_aspect(d, "z").collect()}
+    assert len(out) == 64 and out[3.5, 3.5] is None
+    assert out[1.0, 1.0] == pytest.approx(math.degrees(math.atan(math.sqrt(13))), abs=1e-4)
+
+
 def test_flat_terrain_has_no_aspect(spark):
     d = plane(spark, f=lambda x, y: 5.0).select("y", "x", F.col("v").alias("z"))
     out = terrain.slope_aspect(d, "z").collect()
@@ -178,7 +239,7 @@ def test_shift_is_over_the_dataset_axis(spark):
            [(dt.date(2020, 1, d), 0, 1, float(10 + d)) for d in (1, 3)]
     df = spark.createDataFrame(rows, "time date, y int, x int, v double")
     out = {(r["time"].day, r["x"]): r["v"] for r in resample.shift(df, ["v"], -1).collect()}
-    assert out == {(1, 0): 2.0, (2, 0): 3.0, (2, 1): 13.0}
+    assert out == {(1, 0): 2.0, (2, 0): 3.0, (2, 1): 13.0, (3, 0): None, (3, 1): None}
 
 
 def test_align_positional_takes_first_coordinates(spark):
@@ -252,31 +313,28 @@ def test_samples_have_tile_shape(spark):
         assert len(r["x_sample"]) == 1 and len(r["x_sample"][0]) == 2 and len(r["x_sample"][0][0]) == 2
 
 
-def test_distributed_axis_paths_agree(spark, monkeypatch):
-    """Long axes take the bucketed, distributed paths; they must give the
-    same positions and regridding results as the single-window paths."""
+def test_samples_have_every_pixel(spark):
+    d = plane(spark, n=4).select("time", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "v")
+    d = d.where((F.col("y") != 1) | (F.col("x") != 2))
+    got = {r["tile_id"]: r["x_sample"][0] for r in grid.samples(d, ["v"], 2).collect()}
+    assert got[0] == [[1.0, 3.0], [4.0, 6.0]] and got[1] == [[5.0, 7.0], [None, 10.0]]
+
+
+def test_ranks_do_not_hang_on_the_buckets(spark):
     rows = [(dt.datetime(2020, 1, 1) + dt.timedelta(hours=h), 0, 0, float(h)) for h in range(0, 500, 3)]
     df = spark.createDataFrame(rows, "time timestamp_ntz, y int, x int, v double")
-    small = sorted(axes.axis_index(df, "time").collect())
-    d = plane(spark)
-    t = axis_df(spark, [-0.5, 0.0, 0.5, 3.25, 8.75, 9.0, 9.5])
-    small_bil = sorted(regrid.bilinear(d, ["v"], t, t).collect())
-    small_con = sorted(regrid.conservative(d, ["v"], t, t, spherical=False).collect())
-    monkeypatch.setattr(axes, "MAX_SINGLE_TASK_AXIS", 0)
-    assert sorted(axes.axis_index(df, "time", buckets=7).collect()) == small
-    assert sorted(regrid.bilinear(d, ["v"], t, t).collect()) == small_bil
-    con = sorted(regrid.conservative(d, ["v"], t, t, spherical=False).collect())
-    assert [(r["y"], r["x"]) for r in con] == [(r["y"], r["x"]) for r in small_con]
-    for a, b in zip(con, small_con):
-        assert a["v"] == pytest.approx(b["v"], abs=1e-9)
+    want = [(r[0], i) for i, r in enumerate(sorted(df.select("time").distinct().collect()))]
+    for buckets in (1, 7, 1000):
+        assert sorted(map(tuple, axes.axis_index(df, "time", buckets=buckets).collect())) == want
+    assert axes.axis_index(df.where("v < 0"), "time").count() == 0
 
 
 def test_pivot_levels_skips_absent_levels(spark):
     rows = [(dt.date(2020, 1, 1), 0, 0, lv, float(lv)) for lv in (500, 850)]
     df = spark.createDataFrame(rows, "time date, y int, x int, level int, z double")
-    out = grid.pivot_levels(df, ["z"], [500, 700, 850])
+    out = grid.pivot_levels(df, ["z"], [500, 700, 850], skip_absent=True)
     assert out.columns == ["time", "y", "x", "z_500", "z_850"]
-    kept = grid.pivot_levels(df, ["z"], [500, 700], skip_absent=False)
+    kept = grid.pivot_levels(df, ["z"], [500, 700])
     assert kept.first()["z_700"] is None
 
 
