@@ -58,37 +58,56 @@ def _numeric(df: DataFrame, col: str) -> Column:
     return F.try_to_number(F.col(col), F.lit("0")).cast("double") if t.typeName() == "string" else F.col(col).cast("double")
 
 
-def ranked(df: DataFrame, col: str, name: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """Position of every row in the order of ``col``, 0-based, over the whole
-    table or within each group of ``by``, without one task ever ordering it all.
-
-    Rows fall into equal-width value buckets between the least and the largest
-    value, are ranked inside their bucket and moved up by the number of rows in
-    all lower buckets (a table of one row per group and bucket). Every step is a
-    pure function of the data, so a recomputed task gives the same positions.
-    The groups of ``by`` are calendar parts: their least and largest values are
-    a handful of rows.
-    """
+def _bucketed(df: DataFrame, col: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """``df`` with ``__b``: the equal-width value bucket of ``col`` between its
+    least and largest value (of the group). The groups of ``by`` are calendar
+    parts: their least and largest values are a handful of rows."""
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = df.withColumn("__v", _numeric(df, col))
     if by:
         ends = d.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
         d = d.join(F.broadcast(ends), list(by))
+        lo, hi = F.col("__lo"), F.col("__hi")
     else:
-        lo, hi = (d.select(f("__v")).scalar() for f in (F.min, F.max))
-        d = d.withColumns({"__lo": lo, "__hi": hi})
-    width = F.col("__hi") - F.col("__lo")
-    inner = F.floor(F.try_divide(F.col("__v") - F.col("__lo"), width) * F.lit(n))
+        d = d.withColumn("__e", d.select(F.struct(F.min("__v").alias("lo"), F.max("__v").alias("hi"))).scalar())
+        lo, hi = F.col("__e.lo"), F.col("__e.hi")
+    inner = F.floor(F.try_divide(F.col("__v") - lo, hi - lo) * F.lit(n))
     b = F.coalesce(F.least(inner, F.lit(n - 1)), F.lit(0)).cast("int")
-    d = d.withColumn("__b", b).drop("__v", "__lo", "__hi")
+    return d.withColumn("__b", b).drop("__v", "__lo", "__hi", "__e")
+
+
+def ranked(df: DataFrame, col: str, name: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """Position of every row in the order of ``col``, 0-based, over the whole
+    table or within each group of ``by``, without one task ever ordering it all.
+
+    Rows are ranked inside their value bucket and moved up by the number of
+    rows in all lower buckets (a table of one row per group and bucket). Every
+    step is a pure function of the data, so a recomputed task gives the same
+    positions.
+    """
+    d = _bucketed(df, col, by, buckets)
     local = d.withColumn("__l", F.row_number().over(Window.partitionBy(*by, "__b").orderBy(col)) - 1)
     counts = d.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
     below = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "__b", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__o"))
-    out = local.join(F.broadcast(offsets), [*by, "__b"])   # at most n rows for each group
+    out = local.join(F.broadcast(offsets), [*by, "__b"])   # at most one row per bucket and group
     return out.withColumn(name, F.col("__o") + F.col("__l")).drop("__b", "__o", "__l")
 
 
+def neighbours(labels: DataFrame, col: str, buckets: int | None = None) -> DataFrame:
+    """The labels of an axis with the next lower (``p``) and next higher
+    (``n``) one. Inside a value bucket they are the rows before and after; at
+    its ends they come from the buckets beside it."""
+    d = _bucketed(labels.select(col), col, (), buckets)
+    here = Window.partitionBy("__b").orderBy(col)
+    local = d.select(col, "__b", F.lag(col).over(here).alias("p"), F.lead(col).over(here).alias("n"))
+    beside = Window.partitionBy(F.lit(0)).orderBy("__b")
+    ends = d.groupBy("__b").agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
+    ends = ends.select("__b", F.lag("hi").over(beside).alias("__p"), F.lead("lo").over(beside).alias("__n"))
+    out = local.join(F.broadcast(ends), "__b")   # at most one row per bucket
+    return out.select(col, F.coalesce("p", "__p").alias("p"), F.coalesce("n", "__n").alias("n"))
+
+
 def axis_index(df: DataFrame, col: str, name: str = "i", buckets: int | None = None) -> DataFrame:
     """Position of every label on the axis, 0-based, in label order."""
     return ranked(axis(df, col), col, name, buckets=buckets).select(col, name)

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .axes import axis_index, checked_broadcast, numeric_axes
+from .axes import checked_broadcast, neighbours, numeric_axes
 
 # ----------------------------------------------------------------- axes
 
@@ -47,14 +47,11 @@ def _bracket(src: DataFrame, tgt: DataFrame) -> DataFrame:
     (``a = b = t`` on an exact hit). Below the source range ``a`` is
     missing, above it ``b``.
 
-    Consecutive source labels form intervals (a positional self-join on the
-    axis index). Each interval is listed under every equal-width value bucket
+    Consecutive source labels form intervals. Each interval is listed under every equal-width value bucket
     that it spans, and each target looks up its own bucket, keeping
     ``a <= t < b``. There are as many buckets as source labels.
     """
-    idx = axis_index(src, "s", "i")
-    nxt = idx.select((F.col("i") - 1).alias("i"), F.col("s").alias("b"))
-    iv = idx.join(nxt, "i", "left").select(F.col("s").alias("a"), "b")   # b null on the last label
+    iv = neighbours(src, "s").select(F.col("s").alias("a"), F.col("n").alias("b"))   # b null on the last label
     lo, hi, buckets = src.agg(F.min("s"), F.max("s"), F.count(F.lit(1))).first()
     width = (hi or 0.0) - (lo or 0.0)
 
@@ -63,16 +60,14 @@ def _bracket(src: DataFrame, tgt: DataFrame) -> DataFrame:
             return F.lit(0)
         return F.least(F.greatest(F.floor((c - F.lit(lo)) / F.lit(width) * F.lit(buckets)), F.lit(0)),
                        F.lit(buckets - 1)).cast("int")
-    iv = iv.select("a", "b", F.explode(F.sequence(bucket(F.col("a")), bucket(F.coalesce("b", "a")))).alias("__k"))
+    iv = iv.select("a", "b", F.explode(F.sequence(bucket(F.col("a")), bucket(F.coalesce("b", "a")))).alias("__j"))
     t = tgt.select("t", bucket(F.col("t")).alias("__k"))
     # the last label's interval is open to the right
     hit = (F.col("a") <= F.col("t")) & ((F.col("t") < F.col("b")) | F.col("b").isNull())
-    m = t.join(iv, "__k", "inner").where(hit).select(
-        "t", "a", F.when(F.col("t") == F.col("a"), F.col("a")).otherwise(F.col("b")).alias("b"))
+    m = t.join(iv, (F.col("__k") == F.col("__j")) & hit, "left")
     # below the range: b is the first label
-    return (tgt.select("t").join(m, "t", "left")
-               .select("t", "a", F.when(F.col("a").isNull() & (F.col("t") <= F.lit(lo)), F.lit(lo))
-                                  .otherwise(F.col("b")).alias("b")))
+    up = F.when(F.col("t") == F.col("a"), F.col("a")).when(F.col("a").isNull() & (F.col("t") <= F.lit(lo)), F.lit(lo))
+    return m.select("t", "a", up.otherwise(F.col("b")).alias("b"))
 
 
 def bilinear_axis_weights(src: DataFrame, tgt: DataFrame) -> DataFrame:
@@ -92,16 +87,12 @@ def bilinear_axis_weights(src: DataFrame, tgt: DataFrame) -> DataFrame:
 
 def _edges(ax: DataFrame, col: str) -> DataFrame:
     """Cell bounds of an axis: midpoints between neighbours; the outer
-    bounds extend half a spacing; a lone label is a cell of width 1.
-    Neighbours come from a positional self-join on the axis index."""
-    idx = axis_index(ax, col, "__i")
-    prev = idx.select((F.col("__i") + 1).alias("__i"), F.col(col).alias("p"))
-    nxt = idx.select((F.col("__i") - 1).alias("__i"), F.col(col).alias("n"))
-    d = idx.join(prev, "__i", "left").join(nxt, "__i", "left")
+    bounds extend half a spacing; a lone label is a cell of width 1."""
+    d = neighbours(ax, col)
     after, before = F.coalesce(F.col("n") - F.col(col), F.lit(1.0)), F.coalesce(F.col(col) - F.col("p"), F.lit(1.0))
     lo = F.when(F.col("p").isNull(), F.col(col) - after / 2).otherwise((F.col("p") + F.col(col)) / 2)
     hi = F.when(F.col("n").isNull(), F.col(col) + before / 2).otherwise((F.col(col) + F.col("n")) / 2)
-    return d.select(col, lo.alias("lo"), hi.alias("hi"), F.col("__i").alias("i"))
+    return d.select(col, lo.alias("lo"), hi.alias("hi"))
 
 
 def conservative_axis_weights(src: DataFrame, tgt: DataFrame, spherical: bool = False,

@@ -327,6 +327,10 @@ def test_ranks_do_not_hang_on_the_buckets(spark):
     for buckets in (1, 7, 1000):
         assert sorted(map(tuple, axes.axis_index(df, "time", buckets=buckets).collect())) == want
     assert axes.axis_index(df.where("v < 0"), "time").count() == 0
+    labels = [-3.0, 0.0, 0.5, 2.0, 100.0]
+    for buckets in (1, 3, 50):
+        got = sorted(map(tuple, axes.neighbours(axis_df(spark, labels), "t", buckets).collect()))
+        assert got == list(zip(labels, [None, *labels], [*labels[1:], None]))
 
 
 def test_pivot_levels_skips_absent_levels(spark):
