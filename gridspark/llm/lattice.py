@@ -21,8 +21,8 @@ alike; an empty table gives an empty table; other columns pass through unless
 a column of the result has their name.
 
 Scale: each distinct word is encoded once. The piece table is broadcast; its
-size is the vocabulary's. After the words are counted, they stay partitioned
-by word, so exploding, joining, grouping and folding need no further shuffle.
+size is the vocabulary's. The counted words are partitioned by word once;
+exploding, joining, grouping, folding and decoding need no further shuffle.
 For the texts, the most frequent words (at most ``hot_words``, each at most 32
 characters) go to all tasks; the other occurrences are shuffled to the words.
 A text is not shuffled and never rebuilt from rows.
@@ -198,21 +198,30 @@ def merge_long(n: int, edge: list[tuple[float, int, int]]) -> list[int]:
     return [s for s in range(n) if alive[s]]
 
 
-def parts(lattice: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, n, parts): the strings that each word is cut into, in order."""
-    word = F.col("word")
-    n = F.char_length(word)
-    between = lambda starts, ends: F.zip_with(starts, ends, lambda s, e: F.substring(word, s + 1, e - s))
-    clean = lattice.withColumn("edges", F.filter("edges", lambda x: x.isNotNull()))
-    if not pieces.bpe:
-        best, walk = viterbi_ends(word, F.col("edges"))
-        ends = clean.withColumn("best", best).select("word", "n", F.reverse(walk(F.col("best"))).alias("at"))
-        return ends.select("word", "n", between(F.slice("at", F.lit(1), F.size("at") - 1), F.slice("at", F.lit(2), F.size("at") - 1)).alias("parts"))
-    ready, fold = merge_cuts(word, F.col("edges"))
-    short = clean.where(n <= MAX_BITS).select("word", "n", ready.alias("ready")).withColumn("cuts", fold(F.col("ready")))
-    places = F.filter(F.sequence(F.lit(0), n), lambda p: F.call_function("shiftright", F.col("cuts"), p).bitwiseAND(F.lit(1).cast("long")) == 1)
-    short = short.select("word", "n", places.alias("at"))
-    short = short.select("word", "n", between(F.slice("at", F.lit(1), F.size("at") - 1), F.slice("at", F.lit(2), F.size("at") - 1)).alias("parts"))
+def between(at: Column) -> Column:
+    """The strings of a word between its cuts."""
+    starts, ends = F.slice(at, F.lit(1), F.size(at) - 1), F.slice(at, F.lit(2), F.size(at) - 1)
+    return F.zip_with(starts, ends, lambda s, e: F.substring(F.col("word"), s + 1, e - s)).alias("parts")
+
+
+def viterbi_parts(lattice: DataFrame) -> DataFrame:
+    """(word, n, parts): the strings that each word is cut into, in order, by the best sum of scores."""
+    best, walk = viterbi_ends(F.col("word"), F.col("edges"))
+    cut = lattice.withColumn("best", best).select("word", "n", F.reverse(walk(F.col("best"))).alias("at"))
+    return cut.select("word", "n", between(F.col("at")))
+
+
+def merge_parts(lattice: DataFrame) -> DataFrame:
+    """(word, n, parts) by merges, for words of at most ``MAX_BITS`` characters."""
+    ready, fold = merge_cuts(F.col("word"), F.col("edges"))
+    cut = lattice.select("word", "n", ready.alias("ready")).withColumn("cuts", fold(F.col("ready")))
+    bit = lambda p: F.call_function("shiftright", F.col("cuts"), p).bitwiseAND(F.lit(1).cast("long"))
+    cut = cut.select("word", "n", F.filter(F.sequence(F.lit(0), F.char_length("word")), lambda p: bit(p) == 1).alias("at"))
+    return cut.select("word", "n", between(F.col("at")))
+
+
+def merge_parts_long(lattice: DataFrame) -> DataFrame:
+    """(word, n, parts) by merges, for longer words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 16):
@@ -222,8 +231,7 @@ def parts(lattice: DataFrame, pieces: Pieces) -> DataFrame:
                 out.append([w[i:j] for i, j in zip(starts, [*starts[1:], len(w)])])
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(out, pa.list_(pa.string()))], names=["word", "n", "parts"])
 
-    long = clean.where(n > MAX_BITS).select("word", "n", "edges").mapInArrow(run, "word string, n long, parts array<string>")
-    return short.unionByName(long)
+    return lattice.select("word", "n", "edges").mapInArrow(run, "word string, n long, parts array<string>")
 
 
 def word_ids(cut: DataFrame, pieces: Pieces) -> DataFrame:
@@ -237,18 +245,30 @@ def word_ids(cut: DataFrame, pieces: Pieces) -> DataFrame:
     return grouped.select("word", "n", F.flatten(F.transform("x", lambda x: x["ids"])).alias("ids"))
 
 
+def decode(encoded: DataFrame, key: str, pieces: Pieces, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep, text): the bytes of the ids (array column ``ids``) of each key in order, as UTF-8, blanks as the pieces have them."""
+    table = pieces.rows.select(F.col("id").alias("_sp_id"), "bytes")
+    rows = encoded.select(key, *keep, F.posexplode_outer("ids").alias("pos", "_sp_id")).join(F.broadcast(table), "_sp_id", "left")
+    grouped = rows.groupBy(key).agg(
+        *[F.first(c).alias(c) for c in keep], F.array_sort(F.collect_list(F.struct("pos", F.hex("bytes").alias("hex")))).alias("x"))
+    whole = F.unhex(F.array_join(F.transform("x", lambda x: x["hex"]), ""))
+    return grouped.select(key, *keep, whole.cast("string").alias("text"))
+
+
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, n, ids) of the distinct words (word, n)."""
-    return word_ids(parts(edges(words, pieces), pieces), pieces)
+    """(word, n, ids, text) of the distinct words (word, n); ``text`` is what the ids decode to.
 
+    One shuffle by word; exploding, joining, grouping and folding keep it.
+    """
 
-def decode(encoded: DataFrame, key: str, pieces: Pieces) -> DataFrame:
-    """(key, text): the bytes of the ids (array column ``ids``) of each key in order, as UTF-8, blanks as the pieces have them."""
-    table = pieces.rows.select("id", "bytes")
-    rows = encoded.select(key, F.posexplode("ids").alias("pos", "id")).join(F.broadcast(table), "id")
-    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("bytes").alias("hex")))).alias("x"))
-    whole = F.unhex(F.array_join(F.transform("x", lambda x: x["hex"]), ""))
-    return grouped.select(key, whole.cast("string").alias("text"))
+    def encoded(some: DataFrame, cut) -> DataFrame:
+        lattice = edges(some.repartition("word"), pieces).withColumn("edges", F.filter("edges", lambda x: x.isNotNull()))
+        return decode(word_ids(cut(lattice), pieces), "word", pieces, ("n", "ids"))
+
+    if not pieces.bpe:
+        return encoded(words, viterbi_parts)
+    short = F.char_length("word") <= MAX_BITS
+    return encoded(words.where(short), merge_parts).unionByName(encoded(words.where(~short), merge_parts_long))
 
 
 def digests(encoded: DataFrame) -> DataFrame:
@@ -293,11 +313,10 @@ def encode_texts(docs: DataFrame, pieces: Pieces, hot_words: int = 200_000) -> D
     spark = docs.sparkSession
     staged = Staged(spark, "lattice")
     keep = [c for c in docs.columns if c not in ("text", "n_units", "n_pieces", "ids_digest", "lossless")]
-    encoded = staged.write(encode_words(count_units(docs), pieces))
-    decoded = decode(encoded, "word", pieces)
-    checked = encoded.join(decoded, "word", "left").withColumn("lossless", F.translate("word", BLANK, " ") == F.coalesce("text", F.lit("")))
-    words = staged.write(digests(checked))
-    staged.drop(encoded)
+    counted = staged.write(count_units(docs))
+    same = F.coalesce(F.col("text") == F.translate("word", BLANK, " "), F.lit(False))
+    words = staged.write(digests(encode_words(counted, pieces).withColumn("lossless", same)))
+    staged.drop(counted)
     hot = frequent(words, hot_words)
     shared = spark.sparkContext.broadcast(
         (hot.column("word").to_pylist(), *(hot.column(c).to_numpy() for c in ("n_pieces", "h")), np.asarray(hot.column("lossless").to_pylist(), bool)))
