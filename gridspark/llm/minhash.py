@@ -14,7 +14,10 @@
    bucket's largest component are paired with the members of other components.
    Members of buckets above ``split_above`` rows get a second, far more
    selective banding first (``rows2`` minima to a band), so that a large group
-   of half-similar texts yields few pairs. No pair of a bucket is left out.
+   of half-similar texts yields few pairs. A pair of a bucket is left out only
+   where it cannot be a link: two members of one hub share at most what either
+   of them shares with the hub, unless they share a shingle beyond it; members
+   that do so meet in a bucket of that shingle.
 5. The same verification, and the components of all links.
 
 Defined results: null or empty text, or one without words: empty set, linked
@@ -270,8 +273,8 @@ def near_dups(
     crowded = full_sets(docs, reps.join(crowded, "id", "left_semi").select("id", "t", "copies"), width)
     in_second = bucketed(second_bands(crowded, bands2, rows2, seed))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The links among pairs (a < b)."""
+    def compared(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(a, b, both, n_a, n_b) of the pairs (a < b) that pass the sequential test, from full sets; and these sets."""
         sig_a, sig_b = (reps.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in ("a", "b"))
         near = pairs.join(sig_a, "a").join(sig_b, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold_pct)
         alive = staged.write(sequential(near, limits))
@@ -279,36 +282,58 @@ def near_dups(
         wanted = reps.join(wanted, "id", "left_semi").select("id", "t", "copies")
         sets = staged.write(full_sets(docs, wanted, width).select("id", "s"))
         set_a, set_b = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s_{c}")) for c in ("a", "b"))
-        both = F.size(F.array_intersect("s_a", "s_b"))
-        links = alive.join(set_a, "a").join(set_b, "b").where(
-            both * 100 >= (F.size("s_a") + F.size("s_b") - both) * threshold_pct).select("a", "b")
-        out = staged.write(links)
-        staged.drop(alive, sets)
-        return out
+        out = staged.write(alive.join(set_a, "a").join(set_b, "b").select(
+            "a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("both"), F.size("s_a").alias("n_a"), F.size("s_b").alias("n_b")))
+        staged.drop(alive)
+        return out, sets
 
+    enough = lambda both, n_a, n_b: both * 100 >= (n_a + n_b - both) * threshold_pct
+    linked = lambda t: t.where(enough(F.col("both"), F.col("n_a"), F.col("n_b"))).select("a", "b")
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = [t.where("id <> hub").select(*ordered("id", "hub")) for t in (in_bucket, in_second)]
-    tried = staged.write(reduce(DataFrame.union, stars).distinct())
-    links = verified(tried)
+
+    stars = [t.where("id <> hub").select("id", "hub", *ordered("id", "hub")) for t in (in_bucket, in_second)]
+    star = staged.write(reduce(DataFrame.union, stars).distinct())
+    tried = star.select("a", "b").distinct()
+    exact, sets = compared(tried)
+    links = linked(exact)
     label = components(links.union(same_id), staged)
 
+    # the hub most like each member, and the shingles that they share
+    own = F.when(F.col("id") == F.col("a"), F.col("n_a")).otherwise(F.col("n_b"))
+    like = F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
+    best = F.max(F.struct(like.alias("j"), (-F.col("hub")).alias("neg"), "both", own.alias("n"))).alias("m")
+    centre = star.join(exact, ["a", "b"]).groupBy("id").agg(best).select("id", (-F.col("m.neg")).alias("hub"), "m.both", "m.n")
+    centre = staged.write(centre.join(label, "id", "left").select("id", "hub", "both", "n", F.coalesce("component", "id").alias("c")))
+    # members of one hub in several components: the shingles that they do not share with it are further buckets
+    split = centre.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("hub")
+    beyond = staged.write(centre.join(split, "hub").select("id", "hub")).join(sets, "id")
+    beyond = beyond.join(sets.select(F.col("id").alias("hub"), F.col("s").alias("s_hub")), "hub")
+    beyond = beyond.select("id", F.explode(F.array_except("s", "s_hub")).alias("shingle"), "hub")
+    beyond = beyond.select(F.xxhash64("hub", "shingle").alias("key"), "id", F.lit(False).alias("plain"))
+
     buckets = in_bucket.where(F.col("size") <= split_above).select("key", "id").union(in_second.select("key", "id"))
-    member = buckets.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    buckets = buckets.withColumn("plain", F.lit(True)).union(beyond)
+    member = staged.write(buckets.join(label, "id", "left").select("key", "id", "plain", F.coalesce("component", "id").alias("c")))
     group = staged.write(member.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")))
     top = group.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "c")).alias("t")).where("groups > 1").select("key", F.col("t.c").alias("top"))
-    mixed = staged.write(member.join(top, "key"))
-    few = mixed.where("c <> top").select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
-    cross = few.join(mixed.select("key", F.col("id").alias("y"), F.col("c").alias("cy"), "top"), "key")
-    cross = cross.where("cx <> cy and (cy = top or x < y)").select(*ordered("x", "y")).distinct()
-    more = verified(cross.join(tried, ["a", "b"], "left_anti"))
-    label = components(links.union(same_id).union(more), staged)
+    mixed = staged.write(member.join(top, "key").join(centre.drop("c"), "id", "left"))
+    x = mixed.where("c <> top").select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "c", "hub", "both", "n", "plain")])
+    y = mixed.select("key", "top", *[F.col(c).alias(f"y_{c}") for c in ("id", "c", "hub", "both", "n")])
+    once = (F.col("x_c") != F.col("y_c")) & ((F.col("y_c") == F.col("top")) | (F.col("x_id") < F.col("y_id")))
+    # unless they meet beyond their hub, two of its members share at most what either shares with it
+    most = F.least("x_both", "y_both")
+    apart = F.col("x_plain") & (F.col("x_hub") == F.col("y_hub")) & ~enough(most, F.col("x_n"), F.col("y_n"))
+    cross = x.join(y, "key").where(once & ~F.coalesce(apart, F.lit(False))).select(*ordered("x_id", "y_id")).distinct()
+    more, more_sets = compared(cross.join(tried, ["a", "b"], "left_anti"))
+    label = components(links.union(same_id).union(linked(more)), staged)
+    staged.drop(sets, more_sets, member)
 
     node = classes.select("digest", "rep").join(label, classes["rep"] == label["id"], "left").select("digest", F.coalesce("component", "rep").alias("of"))
     node = staged.write(node)
     out = rows_.select("id", "n_shingles", "digest").join(node, "digest", "left").select(
         F.col("id").alias("doc_id"), "n_shingles",
         F.when(F.col("id").isNotNull(), F.coalesce("of", "id")).alias("component_id"))
-    staged.drop(in_bucket, in_second, tried, group, mixed)
+    staged.drop(in_bucket, in_second, star, group, mixed)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
