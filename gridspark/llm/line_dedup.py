@@ -22,7 +22,8 @@ Defined results:
 Scale: texts are shuffled once, for the join with the lines to drop. Line
 hashes are 128 bits and are aggregated before they are shuffled by key, so a
 line that a third of all documents hold costs a row for each task. The join
-of lines with duplicate keys is a sort-merge join whose hot key Spark splits.
+of lines with duplicate keys reads both sides from written tables, so Spark
+can split a hot key.
 """
 
 from __future__ import annotations
@@ -104,14 +105,14 @@ def dedup_lines(docs: DataFrame, min_key: int = 20, min_docs: int = 3, batches:
     staged = Staged(spark, "line-dedup")
     lines = staged.write(line_hashes(docs, min_key, batches))
     runs = runs_of(lines, staged, batches, fanout)
-    often = merged(runs).where(F.col("n_docs") >= min_docs).select(*KEY, "max_doc")
+    often = staged.write(merged(runs).where(F.col("n_docs") >= min_docs).select(*KEY, "max_doc"))
     drops = staged.write(
         lines.join(often, KEY)
         .where(F.col("_ld_doc") != F.col("max_doc"))
         .groupBy(*ROW)
         .agg(F.array_sort(F.collect_set("_ld_pos")).alias("_ld_drop"))
     )
-    staged.drop(lines, *runs)
+    staged.drop(lines, often, *runs)
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumns({"_ld_doc": F.col("doc_id"), "_ld_text": F.xxhash64(text)})
     joined = rows.join(drops.hint("shuffle_hash"), ROW, "left").withColumn("_ld_lines", F.split(text, "\n", -1))
