@@ -45,7 +45,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.ids_crc32(packing.pack(docs, tokenizer_file("word_bpe_49k.json"), end_id=1))
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), end_id=1, digest=True)
 
 
 STAGES = [

@@ -38,7 +38,7 @@ def tokenizer_file(name: str) -> str:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.ids_crc32(packing.pack(docs, tokenizer_file("word_bpe_49k.json"), end_id=1))
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), end_id=1, digest=True)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import slices, texts_of
-from .tokens import WordIds
+from .tokens import word_ids
 
 SCHEMA = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
@@ -111,13 +111,17 @@ class Packer:
 
 def pack(
     docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int = 2048, max_segments: int = 256, max_loss: int = 2048,
-    pool: int = 2048, prompt: str | None = None,
+    pool: int = 2048, prompt: str | None = None, digest: bool = False,
 ) -> DataFrame:
-    """The pieces of all documents: ``SCHEMA``, ids with the end token."""
+    """The pieces of all documents: ``SCHEMA``, ids with the end token.
+
+    With ``digest`` the pieces carry ``ids_crc32`` (of the ids as little-endian
+    unsigned 32-bit numbers) in place of the ids.
+    """
     whole = min(max_tokens, max_loss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         packer = Packer((max_tokens, max_segments, max_loss))
         context = TaskContext.get()
@@ -140,17 +144,17 @@ def pack(
                         del docs_of[doc]
                 sequence += 1
                 if len(out) >= 512:
-                    yield batch(out)
+                    yield batch(out, digest)
                     out = []
             if out:
-                yield batch(out)
+                yield batch(out, digest)
 
         for b in slices(batches, 64):
             prompts = texts_of(b, prompt) if prompt else [""] * b.num_rows
             full, fresh = [], []
-            for doc_id, before, text in zip(b.column("doc_id").to_pylist(), prompts, texts_of(b)):
-                given = words.encode(before)
-                ids = given + words.encode(text) + end
+            given_of, ids_of = words.encode_all(prompts), words.encode_all(texts_of(b))
+            for doc_id, given, own in zip(b.column("doc_id").to_pylist(), given_of, ids_of):
+                ids = given + own + end
                 n, loss_from = len(ids) // 4, max(1, len(given) // 4)
                 docs_of[number] = [doc_id, ids, n]
                 for start in range(0, n, whole):
@@ -163,30 +167,18 @@ def pack(
                 yield from rows(packer.bins(pool // 2))
         yield from rows(packer.rest())
 
-    return docs.select("doc_id", "text", *([prompt] if prompt else [])).mapInArrow(run, SCHEMA)
+    schema = SCHEMA.replace("ids array<int>", "ids_crc32 long") if digest else SCHEMA
+    return docs.select("doc_id", "text", *([prompt] if prompt else [])).mapInArrow(run, schema)
 
 
-def batch(rows: list[tuple]) -> pa.RecordBatch:
+def batch(rows: list[tuple], digest: bool) -> pa.RecordBatch:
     """Rows of ``SCHEMA``; the ids of a row are bytes."""
     doc, start, length, ids, total, sequence, offset, loss = zip(*rows)
-    flat = np.frombuffer(b"".join(ids), "<i4")
-    ends = np.cumsum([0, *length])
     long = [pa.array(x, pa.int64()) for x in (doc, start, length, total, sequence, offset, loss)]
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-    return pa.RecordBatch.from_arrays(
-        [*long[:3], lists, *long[3:]], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "loss_tokens"])
-
-
-def ids_crc32(pieces: DataFrame) -> DataFrame:
-    """``pieces`` with ``ids_crc32`` (of the ids as little-endian unsigned 32-bit numbers) in place of ``ids``."""
-    keep = [c for c in pieces.columns if c != "ids"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column("ids")
-            at, flat = np.asarray(lists.offsets), np.asarray(lists.values).astype("<u4")
-            crc = [zlib.crc32(flat[i:j]) for i, j in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(crc, pa.int64())], names=[*keep, "ids_crc32"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*keep).schema), "ids_crc32 long"])
-    return pieces.mapInArrow(run, schema)
+    if digest:
+        made, name = pa.array(map(zlib.crc32, ids), pa.int64()), "ids_crc32"
+    else:
+        ends = pa.array(np.cumsum([0, *length]), pa.int32())
+        made, name = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), "<i4"))), "ids"
+    names = ["doc_id", "start", "length", name, "doc_tokens", "sequence_id", "offset", "loss_tokens"]
+    return pa.RecordBatch.from_arrays([*long[:3], made, *long[3:]], names=names)

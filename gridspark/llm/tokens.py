@@ -18,6 +18,7 @@ one row, however long it is; its chunks bound the memory of its encoding.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -31,37 +32,96 @@ MAX_CACHED = 400_000
 MAX_WORD = 64
 
 
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Words that the tokenizer's normaliser only lowers, and that hold no contraction and no special string.
+SIMPLE = re.compile(rf"[{LETTERS}0-9.,!?;:()\-\"#*$%&/=+_@\[\]{{}}~^]+")
+#: What the tokenizer's pattern cuts such a word into.
+PART = re.compile(rf"[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+
+
 class WordIds:
     """Token ids of texts for a tokenizer that drops white space between words.
 
     Its normaliser replaces, composes and lowers characters without regard to
     what stands beyond white space, and no token holds white space: so the ids
-    of a text are those of its stretches between blanks and line feeds.
+    of a text are those of its stretches between blanks and line feeds. Simple
+    stretches are cut further, into what the tokenizer's own pattern cuts them
+    into; new parts are encoded many at a time, and the ends of their last
+    tokens tell them apart.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def _new(self, words: list[str]) -> dict[str, bytes]:
-        made = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, made)}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _alone(self, texts: list[str]) -> dict[str, bytes]:
+        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(texts, made)}
+
+    def _together(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of parts that are one word each to the tokenizer, encoded as one text."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+        if len(ends) != len(parts):
+            return self._alone(parts)
+        raw, at = ids.tobytes(), [0, *ends.tolist()]
+        return {p: raw[i:j] for p, i, j in zip(parts, at, at[1:])}
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of new words; they are also kept, unless they are long."""
+        simple, odd = {}, []
+        for w in new:
+            if w.isascii() and w.isalpha():
+                simple[w] = (w.lower(),)
+            elif w.isascii() and w[:-1].isalpha() and w[-1] in ".,":
+                simple[w] = (w[:-1].lower(), w[-1])
+            elif SIMPLE.fullmatch(w):
+                simple[w] = PART.findall(w.lower())
+            else:
+                odd.append(w)
+        missing = list(set().union(*simple.values()).difference(self.parts))
+        found: dict[str, bytes] = {}
+        for i in range(0, len(missing), 1024):
+            found |= self._together(missing[i : i + 1024])
+        if len(self.parts) + len(found) > MAX_CACHED:
+            known = {p: self.parts[p] for ps in simple.values() for p in ps if p in self.parts}
+            self.parts.clear()
+            self.parts |= known
+        self.parts.update((p, v) for p, v in found.items() if len(p) <= MAX_WORD)
+        found = self.parts if all(len(p) <= MAX_WORD for p in missing) else self.parts | found
+        out = {w: found[ps[0]] if len(ps) == 1 else b"".join([found[p] for p in ps]) for w, ps in simple.items()}
+        return out | (self._alone(odd) if odd else {})
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        words = self.words
+        seen = set().union(*cut)
+        learned = self._learn(seen.difference(words))
+        if len(words) + len(learned) > MAX_CACHED:
+            learned |= {w: words[w] for w in seen if w in words}
+            words.clear()
+        words.update(learned)
+        out = [b"".join(map(words.__getitem__, ws)) for ws in cut]
+        for w in learned:
+            if len(w) > MAX_WORD:
+                del words[w]
+        return out
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        words = text.replace("\n", " ").split(" ")
-        cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        if len(cache) >= MAX_CACHED:
-            cache.clear()
-        new = self._new(list({w for w in words if w not in cache}))
-        cache.update((w, v) for w, v in new.items() if len(w) <= MAX_WORD)
-        return b"".join([cache[w] if w in cache else new[w] for w in words])
+        return self.encode_all([text])[0]
+
+
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker: its caches serve all tasks that the worker runs."""
+    return WordIds(path)
 
 
 BLANK = r" \t\n\r\x0b\x0c"
