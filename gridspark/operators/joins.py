@@ -86,8 +86,3 @@ def combine(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
     """Put two grids on the same rows (inner join on equal keys) so
     that column arithmetic compares them."""
     return a.join(b, list(keys), "inner")
-
-
-def reduced_grid(df: DataFrame, cells: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:
-    """Data rows of a sampled set of cells (semi join)."""
-    return df.join(cells.select(*cell).distinct(), list(cell), "left_semi")

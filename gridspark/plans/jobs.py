@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.naming import REGRID_MODES, validate_names
 from ..functions.scalar import kelvin_to_celsius
 from ..operators import joins, metrics, models, regrid, resample, scale, split
 from ..operators.resample import CELL
@@ -22,12 +23,8 @@ def _regrid(df: DataFrame, values: Sequence[str], target: tuple[DataFrame, DataF
             mode: str, axes: dict | None = None) -> DataFrame:
     if target is None:
         return df
-    ty, tx = target
-    if mode == "bilinear":
-        return regrid.bilinear(df, values, ty, tx, axes=axes)
-    if mode == "conservative":
-        return regrid.conservative(df, values, ty, tx, axes=axes)
-    raise ValueError(f"regridding mode {mode!r} not supported")
+    validate_names([mode], REGRID_MODES, "regridding mode")
+    return (regrid.bilinear if mode == "bilinear" else regrid.conservative)(df, values, *target, axes=axes)
 
 
 def daily_predictor(hourly: DataFrame, variable: str, accumulated: bool = False,

@@ -56,14 +56,14 @@ def year_range(files: DataFrame, name_col: str = "file_name") -> DataFrame:
 
 def dry_run(files: DataFrame, variable_from: str = "parent") -> DataFrame:
     """The files that would be read, per variable (parent folder name)
-    with their year span and count."""
+    with their year span, count and the first and last name."""
     parts = F.split("path", "/")
     var = F.element_at(parts, -2) if variable_from == "parent" else F.col(variable_from)
     y = F.regexp_extract("file_name", YEAR_PATTERN, 0)
     return (files.select(var.alias("variable"), "file_name", F.when(y != "", y.cast("int")).alias("year"))
                  .groupBy("variable")
                  .agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"),
-                      F.count(F.lit(1)).alias("files"), F.array_sort(F.collect_list("file_name")).alias("names")))
+                      F.count(F.lit(1)).alias("files"), F.min("file_name").alias("first_name"), F.max("file_name").alias("last_name")))
 
 
 def read_bands(spark: SparkSession, path: str, bands: Sequence[int] | None = None,

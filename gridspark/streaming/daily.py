@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..operators.resample import CELL
 
-_AGG = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min}
+# the sum of a day without values is 0, as in the batch form
+_AGG = {"mean": F.avg, "sum": lambda c: F.coalesce(F.sum(c), F.lit(0.0)), "max": F.max, "min": F.min}
 
 
 def daily_stream(stream: DataFrame, aggs: dict[str, tuple[str, str]], time: str = "time",
