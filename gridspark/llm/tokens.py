@@ -19,6 +19,7 @@ one row, however long it is; its chunks bound the memory of its encoding.
 from __future__ import annotations
 
 import functools
+import os
 import re
 from collections.abc import Iterator
 
@@ -39,6 +40,14 @@ SIMPLE = re.compile(rf"[{LETTERS}0-9.,!?;:()\-\"#*$%&/=+_@\[\]{{}}~^]+")
 PART = re.compile(rf"[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
 
 
+def load(path: str):
+    """The tokenizer, on the one core that a task has."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class WordIds:
     """Token ids of texts for a tokenizer that drops white space between words.
 
@@ -51,9 +60,7 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = load(path)
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -141,28 +148,65 @@ class Counter:
     """
 
     def __init__(self, path: str, chunk: int, overlap: int):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = load(path)
         self.chunk, self.overlap = chunk, overlap
-        self.cache: dict[str, int] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.first = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.first[[i for token, i in vocabulary.items() if token[0] == "Ġ"]] = True  # tokens that begin with a blank
+        self.counts: dict[str, int] = {}
+        self.parts: dict[str, int] = {}
 
     def count(self, text: str) -> int:
-        return self._long(text) if len(text) > self.chunk else self._short(text)
-
-    def _short(self, text: str) -> int:
-        parts = STRETCH.findall(text)
-        cache = self.cache
-        try:
-            return sum([cache[p] for p in parts])
-        except KeyError:
-            pass
-        if len(cache) >= MAX_CACHED:
-            cache.clear()
-        fresh = list({p for p in parts if p not in cache})
-        new = {p: len(e) for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False))}
-        cache.update((p, n) for p, n in new.items() if len(p) <= MAX_WORD)
-        return sum([cache[p] if p in cache else new[p] for p in parts])
+        return self.count_all([text])[0]
+
+    def count_all(self, texts: list[str]) -> list[int]:
+        """The number of tokens of each text."""
+        cut = [STRETCH.findall(t) if len(t) <= self.chunk else [] for t in texts]
+        counts = self.counts
+        seen = set().union(*cut)
+        learned = self._learn(seen.difference(counts))
+        if len(counts) + len(learned) > MAX_CACHED:
+            learned |= {p: counts[p] for p in seen if p in counts}
+            counts.clear()
+        counts.update(learned)
+        out = [sum(map(counts.__getitem__, ps)) if len(t) <= self.chunk else self._long(t) for t, ps in zip(texts, cut)]
+        for p in learned:
+            if len(p) > MAX_WORD:
+                del counts[p]
+        return out
+
+    def _learn(self, new: set[str]) -> dict[str, int]:
+        """The numbers of tokens of new stretches.
+
+        A blank and letters, perhaps with a full stop or a comma after them,
+        which is a token of its own: encoded many at a time; the tokens that
+        begin with a blank tell them apart.
+        """
+        simple, odd = {}, []
+        for p in new:
+            if p[0] == " " and p[1:].isalpha():
+                simple[p] = p
+            elif p[0] == " " and p[-1] in ".," and p[1:-1].isalpha():
+                simple[p] = p[:-1]
+            else:
+                odd.append(p)
+        missing = list(set(simple.values()).difference(self.parts))
+        if len(self.parts) + len(missing) > MAX_CACHED:
+            missing = list(set(simple.values()))
+            self.parts.clear()
+        for i in range(0, len(missing), 1024):
+            some = missing[i : i + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            starts = np.flatnonzero(self.first[ids])
+            if len(starts) == len(some) and starts[0] == 0:
+                self.parts.update(zip(some, np.diff(np.append(starts, len(ids))).tolist()))
+            else:
+                self.parts.update(self._alone(some))
+        out = {p: self.parts[q] + (len(p) - len(q)) for p, q in simple.items()}
+        return out | (self._alone(odd) if odd else {})
+
+    def _alone(self, parts: list[str]) -> dict[str, int]:
+        return {p: len(e) for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False))}
 
     def _long(self, text: str) -> int:
         """Overlapping chunks, encoded with offsets and spliced at common stable boundaries."""
@@ -200,6 +244,12 @@ class Counter:
         return at[:, 0] + begin, at[:, 1] + begin
 
 
+@functools.cache
+def counter(path: str, chunk: int, overlap: int) -> Counter:
+    """One for each Python worker: its caches serve all tasks that the worker runs."""
+    return Counter(path, chunk, overlap)
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk: int = 65_536, overlap: int = 1024) -> DataFrame:
     """``docs`` (without text) with n_bytes, n_tokens and over_limit.
 
@@ -212,10 +262,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk: int
     keep = [c for c in docs.columns if c not in ("text", "n_bytes", "n_tokens", "over_limit")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer, chunk, overlap)
-        for b in slices(batches):
+        own = counter(tokenizer, chunk, overlap)
+        for b in slices(batches, 64):
             texts = texts_of(b)
-            n = np.array([counter.count(t) for t in texts], np.int64)
+            n = np.array(own.count_all(texts), np.int64)
             size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(c) for c in keep], pa.array(size, pa.int64()), pa.array(n), pa.array(n > limit)],
