@@ -2,10 +2,10 @@
 
 Each text is searched for three base kinds and for wider candidates (tokens
 of a known form, and long tokens that mix letters and digits). The value of
-each match is hashed with its kind, and the hashes are aggregated over the whole corpus: in
-how many documents, repositories and owners does the value occur? A value
-that at least ``copied_owners`` owners hold is a copied example; a value with
-fewer owners looks live. Base spans stay whatever their frequency; a wider
+each match is hashed with its kind, and the hashes are aggregated over the
+whole corpus: how often, in how many repositories and with how many owners
+does the value occur? A value that at least ``copied_owners`` owners hold is a
+copied example; a value with fewer owners looks live. Base spans stay whatever their frequency; a wider
 candidate becomes a span only if it looks live.
 
 Defined results:
@@ -77,7 +77,7 @@ def _placed(text: Column, lit: Column, pattern: str, group: int, number: int) ->
 
 
 def scan(docs: DataFrame, repo: Column, owner: Column, copied_owners: int = 3) -> DataFrame:
-    """``docs`` without text, with ``spans`` as an array of (start, kind, end, base, copied, n_docs, n_repos, n_owners).
+    """``docs`` without text, with ``spans`` as an array of (start, kind, end, base, copied, n_matches, n_repos, n_owners).
 
     ``copied`` tells whether at least ``copied_owners`` owners hold the value.
     """
@@ -144,7 +144,7 @@ def redact(docs: DataFrame, repo: Column, owner: Column, copied_owners: int = 3,
     names = docs.columns
     numbered = staged.write(docs.withColumn("_ss_id", F.monotonically_increasing_id()))
     spans = scan(numbered.select("_ss_id", "text", repo.alias("_ss_r"), owner.alias("_ss_o")), F.col("_ss_r"), F.col("_ss_o"), copied_owners)
-    spans = spans.where("spans is not null").select("_ss_id", "spans")
+    spans = spans.where("spans is not null").select("_ss_id", F.col("spans").alias("_ss_spans"))
     text = F.coalesce("text", F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -156,5 +156,5 @@ def redact(docs: DataFrame, repo: Column, owner: Column, copied_owners: int = 3,
             F.when((s["start"] < acc["at"]), acc["out"]).otherwise(more).alias("out"))
 
     out = numbered.withColumn("_ss_text", text).join(spans.hint("shuffle_hash"), "_ss_id", "left")
-    cleaned = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("_ss_text"), acc["at"] + 1, F.char_length("_ss_text"))))
-    return out.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cleaned)).select(*names)
+    cleaned = F.aggregate("_ss_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("_ss_text"), acc["at"] + 1, F.char_length("_ss_text"))))
+    return out.withColumn("text", F.when(F.col("_ss_spans").isNull(), F.col("text")).otherwise(cleaned)).select(*names)
