@@ -56,13 +56,11 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(k.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for k in keys]
 
 
-class Features(dict):
-    """Features by word; emptied when it holds too many words."""
+class Numbers(dict):
+    """Consecutive numbers of words."""
 
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) >= MAX_WORDS_CACHED:
-            self.clear()
-        self[word] = out = features(word)
+    def __missing__(self, word: str) -> int:
+        self[word] = out = len(self)
         return out
 
 
@@ -106,12 +104,12 @@ def evidence(p: list[np.ndarray]) -> np.ndarray:
     return np.array(rows, np.float64).reshape(-1, 3)
 
 
-def marking(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Features that mark toxic tokens: bool by feature."""
+def marking(docs: list[np.ndarray], of_word: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Features that mark toxic tokens: bool by feature. ``docs`` are word numbers, ``of_word`` the features of each word."""
     n = np.array([(y == 0).sum(), (y == 1).sum()], float)
     df = np.zeros((2, 1 << BITS))
     for d, label in zip(docs, y):
-        df[label, np.unique(d)] += 1
+        df[label, np.unique(of_word[np.unique(d)])] += 1
     k = df.sum(0)
     share = n[1] / max(1.0, n.sum())
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -132,13 +130,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_chars: int
     model.document = np.array([np.log(share / (1 - share)), 0.0, 0.0])
     if y.min() == y.max():
         return model
-    by_word = Features()
-    docs_of = [np.array([by_word[w] for w in WORD.findall(t)], np.int32).reshape(-1, 5) for t in texts]
-    marks = marking([d.ravel() for d in docs_of], y)
+    number = Numbers()  # of the sample's words, so their count is bounded by its characters
+    docs_of = [np.fromiter((number[w] for w in WORD.findall(t)), np.int32) for t in texts]
+    of_word = np.array([features(w) for w in number], np.int32).reshape(-1, 5)
+    del number
+    marks = marking(docs_of, of_word, y)
     toxic = [i for i in np.flatnonzero(y) if len(docs_of[i])]
     others = [i for i in np.flatnonzero(y == 0) if len(docs_of[i])][: max(50, len(toxic))]
     chosen = toxic + others
-    tokens = np.concatenate([docs_of[i] for i in chosen]) if chosen else np.zeros((0, 5), np.int32)
+    tokens = of_word[np.concatenate([np.zeros(0, np.int32), *(docs_of[i] for i in chosen)])]
     toxic_doc = np.repeat([y[i] for i in chosen], [len(docs_of[i]) for i in chosen])
     first = np.zeros(len(tokens), bool)
     first[np.cumsum([0, *(len(docs_of[i]) for i in chosen[:-1])])] = bool(chosen)
