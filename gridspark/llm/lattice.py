@@ -110,7 +110,7 @@ def count_units(docs: DataFrame) -> DataFrame:
 
 
 def edges(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, n, edges): the lattice of each word, as (score, -start, start, end), best first by sorting down."""
+    """(word, n, edges): the lattice of each word, as (score, start, end)."""
     n = F.char_length("word")
     least = 2 if pieces.bpe else 1  # merges make pieces of two characters or more
     spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(
@@ -121,29 +121,37 @@ def edges(words: DataFrame, pieces: Pieces) -> DataFrame:
     table = pieces.rows.where("piece is not null").select("piece", "score")
     table = table.unionByName(table.sparkSession.range(1).select(F.lit("").alias("piece"), F.lit(0.0).alias("score")))
     found = words.select("word", "n", F.explode(spans).alias("x")).select("word", "n", "x.s", "x.e", "x.piece").join(F.broadcast(table), "piece")
-    edge = F.when(F.col("e") > 0, F.struct("score", (-F.col("s")).alias("neg"), "s", "e"))
+    edge = F.when(F.col("e") > 0, F.struct("score", "s", "e"))  # null values are not collected
     return found.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: as the variable of a lambda it is not put in place of its uses."""
+    return F.transform(F.array(value), use)[0]
+
+
 def merge_cuts(word: Column, edge: Column) -> Column:
-    """Bits of the cuts of a word of at most ``MAX_BITS`` characters after all merges: bit p is set if a part begins or ends at p.
+    """Places where a word of at most ``MAX_BITS`` characters is cut after all merges, its ends among them.
 
-    An edge joins two parts if both its ends are cuts and exactly one cut is
-    between them.
+    The cuts are the bits of a long. An edge joins two parts if both its ends
+    are cuts and exactly one cut is between them.
     """
-    one = F.lit(1).cast("long")
+    one, n = F.lit(1).cast("long"), F.char_length(word)
     bit = lambda p: F.call_function("shiftleft", one, p)
     ready = F.transform(edge, lambda x: F.struct(
         (-x["score"]).alias("cost"), x["s"].alias("s"),
         ((bit(x["e"]) - 1).bitwiseXOR(bit(x["s"] + 1) - 1)).alias("inside"), (bit(x["s"]).bitwiseOR(bit(x["e"]))).alias("ends")))
 
-    def step(cuts: Column, _: Column, ready: Column) -> Column:
+    def step(state: Column, _: Column) -> Column:
+        cuts = state["cuts"]
         fits = lambda x: (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(cuts.bitwiseAND(x["inside"])) == 1)
-        best = F.array_min(F.filter(ready, fits))
-        return F.coalesce(cuts.bitwiseAND(F.bitwise_not(best["inside"])), cuts)
+        best = F.array_min(F.filter(state["ready"], fits))
+        return F.struct(F.coalesce(cuts.bitwiseAND(F.bitwise_not(best["inside"])), cuts).alias("cuts"), state["ready"].alias("ready"))
 
-    n = F.char_length(word)
-    return ready, lambda r: F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), bit(n + 1) - 1, lambda c, k: step(c, k, r))
+    merges = F.sequence(F.lit(1), F.greatest(F.least(n - 1, F.size(edge)), F.lit(1)))
+    folded = F.aggregate(merges, F.struct((bit(n + 1) - 1).alias("cuts"), ready.alias("ready")), step, lambda state: state["cuts"])
+    is_cut = lambda cuts, p: F.call_function("shiftright", cuts, p).bitwiseAND(one) == 1
+    return bound(folded, lambda cuts: F.filter(F.sequence(F.lit(0), n), lambda p: is_cut(cuts, p)))
 
 
 def viterbi_ends(word: Column, edge: Column, unknown: float = -1e6) -> Column:
@@ -161,14 +169,14 @@ def viterbi_ends(word: Column, edge: Column, unknown: float = -1e6) -> Column:
         alone = F.array(F.struct((F.get(best, place - 1)["score"] + unknown).alias("score"), (1 - place).alias("neg")))
         return F.concat(best, F.array(F.array_max(F.concat(ways, alone))))
 
-    best = F.aggregate(F.sequence(F.lit(1), n), start, step)
     first = F.struct(n.alias("at"), F.array(n).alias("ends"))
 
     def back(path: Column, _: Column, best: Column) -> Column:
         before = -F.get(best, path["at"])["neg"]
         return F.when(path["at"] > 0, F.struct(before.alias("at"), F.concat(path["ends"], F.array(before)).alias("ends"))).otherwise(path)
 
-    return best, lambda b: F.aggregate(F.sequence(F.lit(1), n), first, lambda p, k: back(p, k, b), lambda p: p["ends"])
+    places = F.sequence(F.lit(1), n)
+    return bound(F.aggregate(places, start, step), lambda best: F.aggregate(places, first, lambda p, _: back(p, _, best), lambda p: p["ends"]))
 
 
 def merge_long(n: int, edge: list[tuple[float, int, int]]) -> list[int]:
@@ -198,26 +206,22 @@ def merge_long(n: int, edge: list[tuple[float, int, int]]) -> list[int]:
     return [s for s in range(n) if alive[s]]
 
 
-def between(at: Column) -> Column:
+def between(places: Column) -> Column:
     """The strings of a word between its cuts."""
-    starts, ends = F.slice(at, F.lit(1), F.size(at) - 1), F.slice(at, F.lit(2), F.size(at) - 1)
-    return F.zip_with(starts, ends, lambda s, e: F.substring(F.col("word"), s + 1, e - s)).alias("parts")
+    def strings(at: Column) -> Column:
+        starts, ends = F.slice(at, F.lit(1), F.size(at) - 1), F.slice(at, F.lit(2), F.size(at) - 1)
+        return F.zip_with(starts, ends, lambda s, e: F.substring(F.col("word"), s + 1, e - s))
+    return bound(places, strings).alias("parts")
 
 
 def viterbi_parts(lattice: DataFrame) -> DataFrame:
     """(word, n, parts): the strings that each word is cut into, in order, by the best sum of scores."""
-    best, walk = viterbi_ends(F.col("word"), F.col("edges"))
-    cut = lattice.withColumn("best", best).select("word", "n", F.reverse(walk(F.col("best"))).alias("at"))
-    return cut.select("word", "n", between(F.col("at")))
+    return lattice.select("word", "n", between(F.reverse(viterbi_ends(F.col("word"), F.col("edges")))))
 
 
 def merge_parts(lattice: DataFrame) -> DataFrame:
     """(word, n, parts) by merges, for words of at most ``MAX_BITS`` characters."""
-    ready, fold = merge_cuts(F.col("word"), F.col("edges"))
-    cut = lattice.select("word", "n", ready.alias("ready")).withColumn("cuts", fold(F.col("ready")))
-    bit = lambda p: F.call_function("shiftright", F.col("cuts"), p).bitwiseAND(F.lit(1).cast("long"))
-    cut = cut.select("word", "n", F.filter(F.sequence(F.lit(0), F.char_length("word")), lambda p: bit(p) == 1).alias("at"))
-    return cut.select("word", "n", between(F.col("at")))
+    return lattice.select("word", "n", between(merge_cuts(F.col("word"), F.col("edges"))))
 
 
 def merge_parts_long(lattice: DataFrame) -> DataFrame:
@@ -262,9 +266,11 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     """
 
     def encoded(some: DataFrame, cut) -> DataFrame:
-        lattice = edges(some.repartition("word"), pieces).withColumn("edges", F.filter("edges", lambda x: x.isNotNull()))
+        lattice = edges(some.repartition(parallel, "word"), pieces)
         return decode(word_ids(cut(lattice), pieces), "word", pieces, ("n", "ids"))
 
+    parallel = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work: not to be coalesced
+
     if not pieces.bpe:
         return encoded(words, viterbi_parts)
     short = F.char_length("word") <= MAX_BITS
