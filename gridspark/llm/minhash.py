@@ -30,13 +30,16 @@ an empty table gives an empty table; other columns of the input are ignored.
 Scale: nothing is broadcast and nothing is collected. Equal sets are merged by
 a partial aggregate before any pair is made, so a group of copies that holds a
 third of all rows costs one row per task. Signatures are kept for one row of a
-class; sets are made again from the texts of the paired rows only. The chance
-to miss a link of similarity exactly 0.85 is (1 - 0.85^5)^24, below 1e-6, in
-the first banding and (1 - 0.85^20)^300, below 1e-5, in the second.
+class; sets are made again from the texts of the paired rows only. The bandings
+follow from the threshold: the chance to miss a link of similarity exactly the
+threshold is at most ``miss`` (1e-6) in the first banding and ``miss2`` (1e-5)
+in the second. At 0.85 these are 24 bands of 5 and 300 of 20, at 0.8 35 bands
+of 5 and 300 of 14.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -94,6 +97,16 @@ def minima(sets: list[np.ndarray], count: int, seed: int, block: int = 16384) ->
     return out
 
 
+def bands_for(threshold: float, rows: int, miss: float) -> int:
+    """The fewest bands of ``rows`` minima that miss a pair of similarity ``threshold`` with a probability of at most ``miss``."""
+    return math.ceil(math.log(miss) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
+
+
+def rows_for(threshold: float, bands: int, miss: float) -> int:
+    """The most minima to a band with which ``bands`` bands miss a pair of similarity ``threshold`` with a probability of at most ``miss``."""
+    return max(1, math.floor(math.log(-math.expm1(math.log(miss) / bands)) / math.log(threshold))) if threshold < 1 else 32
+
+
 def band_keys(signature: np.ndarray, bands: int, salt: int) -> np.ndarray:
     """A 64-bit key for each row and band."""
     parts = signature.reshape(len(signature), bands, -1).astype(np.uint64)
@@ -239,11 +252,16 @@ def components(links: DataFrame, staged: Staged) -> DataFrame:
 
 
 def near_dups(
-    docs: DataFrame, *, threshold_pct: int = 85, width: int = 5, bands: int = 24, rows: int = 5, split_above: int = 32,
-    bands2: int = 300, rows2: int = 20, batch: int = 24, miss: float = 1e-6, seed: int = 7,
+    docs: DataFrame, *, threshold_pct: int = 85, width: int = 5, bands: int | None = None, rows: int = 5, split_above: int = 32,
+    bands2: int = 300, rows2: int | None = None, batch: int = 24, miss: float = 1e-6, miss2: float = 1e-5, seed: int = 7,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text).
+
+    ``bands`` and ``rows2`` follow from the threshold, ``miss`` and ``miss2`` unless they are given.
+    """
     staged = Staged(docs.sparkSession, "minhash")
+    bands = bands or bands_for(threshold_pct / 100, rows, miss)
+    rows2 = rows2 or rows_for(threshold_pct / 100, bands2, miss2)
     limits = prune_limits(bands * rows, batch, threshold_pct / 100, miss)
     rows_ = staged.write(describe(docs, bands, rows, width, seed))
     known = rows_.where("digest is not null and id is not null")

@@ -53,7 +53,7 @@ def shingles(text: str | None) -> set:
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def near_components(docs: list[tuple]) -> dict:
+def near_components(docs: list[tuple], threshold_pct: int = 85) -> dict:
     """id: (set size, smallest id reachable) of (id, text) rows with distinct ids."""
     sets = [shingles(t) for _, t in docs]
     parent = list(range(len(docs)))
@@ -71,7 +71,7 @@ def near_components(docs: list[tuple]) -> dict:
             common.update(holders[x])
             holders[x].append(i)
         for j, n in common.items():
-            if 100 * n >= 85 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= threshold_pct * (len(s) + len(sets[j]) - n):
                 a, b = root(i), root(j)
                 if docs[a][0] > docs[b][0]:
                     a, b = b, a

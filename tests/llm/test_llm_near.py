@@ -4,8 +4,10 @@ import random
 
 import brute
 
+import corpus_pipeline
 from conftest import SF001
 from gridspark.llm import entries, minhash
+from pyspark.sql import functions as F
 
 
 def result(df):
@@ -75,3 +77,41 @@ def test_prune_limits_keep_what_reaches_the_threshold():
             alive &= equal >= least
         lost += not alive
     assert lost == 0
+
+
+def test_bandings_follow_the_threshold():
+    assert (minhash.bands_for(0.85, 5, 1e-6), minhash.rows_for(0.85, 300, 1e-5)) == (24, 20)
+    for t in (0.5, 0.8, 0.85, 0.95):
+        rows2 = minhash.rows_for(t, 300, 1e-5)
+        assert (1 - t**5) ** minhash.bands_for(t, 5, 1e-6) <= 1e-6 < (1 - t**5) ** (minhash.bands_for(t, 5, 1e-6) - 1)
+        assert (1 - t**rows2) ** 300 <= 1e-5 < (1 - t ** (rows2 + 1)) ** 300
+
+
+def test_pipeline_drops_near_copies_of_four_fifths(spark):
+    base = [f"w{i}" for i in range(104)]  # 100 shingles
+    pair = lambda changed: " ".join(base[:-changed] + [f"x{i}" for i in range(changed)])
+    docs = [(1, " ".join(base)), (2, pair(10)), (3, pair(11)), (4, pair(12))]  # 90, 89 and 88 shared: 0.82, 0.80 and 0.79 to the first
+    df = spark.createDataFrame([(*d, "en", "s", len(d[1])) for d in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    for some in ([1, 2], [1, 3], [1, 4]):
+        part = [d for d in docs if d[0] in some]
+        want = {i for i, (_, c) in brute.near_components(part, 80).items() if i == c}
+        assert want == ({1} if some[1] < 4 else {1, 4})
+        assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df.where(F.col("doc_id").isin(some)), SF001).collect()} == want
+
+
+def test_large_group_at_the_threshold_of_the_pipeline(spark):
+    rng = random.Random(6)
+    texts = copies(rng, 150, 80, 5) + copies(rng, 60, 300, 16) + copies(rng, 40, 60, 1)
+    rng.shuffle(texts)
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {i: (n, c, i == c) for i, (n, c) in brute.near_components(docs, 80).items()}
+    assert result(minhash.near_dups(df, threshold_pct=80, split_above=8)) == want
+
+
+def test_pipeline_stage_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    pairs = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    kept = {i for i, (_, c) in brute.near_components(pairs, 80).items() if i == c}
+    assert kept < {i for i, (_, c) in brute.near_components(pairs).items() if i == c}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF001).collect()} == kept
