@@ -55,7 +55,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lattice.encode_texts(docs, lattice.read_pieces(spark, tokenizer_file("piece_bpe_32k.model")))
+    return lattice.digest(lattice.encode_texts(docs, lattice.read_pieces(spark, tokenizer_file("piece_bpe_32k.model"))))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

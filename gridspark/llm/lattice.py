@@ -10,22 +10,28 @@
    For a BPE table the best sum of scores is not what the library returns, so
    the fold takes the merges instead: of the edges that join two neighbouring
    parts, the one of the best score (the leftmost, if it occurs twice) is
-   applied, until none is left.
+   applied, until none is left. Words above ``MAX_BITS`` characters, whose
+   cuts do not fit a long, take the same merges by a heap in Python.
 4. The parts of a word are joined to the piece table again for their ids; a
    character without a piece becomes the pieces of its UTF-8 bytes.
-5. Decoding explodes ids, joins them to the table and concatenates the bytes.
+5. The ids of a text are those of its words, gathered by row and place.
+6. Decoding explodes the ids of each text, joins them to the table and
+   concatenates the bytes in order; the result is compared with the text.
 
 Defined results: null and empty texts have no unit and no piece; other texts
 get the blank that the library puts before them; repeated rows are encoded
 alike; an empty table gives an empty table; other columns pass through unless
-a column of the result has their name.
+a column of the result has their name. A text with the mark ``▁`` itself
+decodes to a blank there and is not lossless, as in the library.
 
 Scale: each distinct word is encoded once. The piece table is broadcast; its
 size is the vocabulary's. The counted words are partitioned by word once;
 exploding, joining, grouping, folding and decoding need no further shuffle.
 For the texts, the most frequent words (at most ``hot_words``, each at most 32
-characters) go to all tasks; the other occurrences are shuffled to the words.
-A text is not shuffled and never rebuilt from rows.
+characters) go to all tasks; the other occurrences are shuffled to the words,
+and their ids to the rows. A text is not shuffled; its ids are, once to the ids
+of rare words and once for decoding, where the exploded ids of a text stay in
+the task that has them. SHA-256 stands for the text in the comparison.
 """
 
 from __future__ import annotations
@@ -249,25 +255,25 @@ def word_ids(cut: DataFrame, pieces: Pieces) -> DataFrame:
     return grouped.select("word", "n", F.flatten(F.transform("x", lambda x: x["ids"])).alias("ids"))
 
 
-def decode(encoded: DataFrame, key: str, pieces: Pieces, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, keep, text): the bytes of the ids (array column ``ids``) of each key in order, as UTF-8, blanks as the pieces have them."""
+def decode(encoded: DataFrame, key: str, pieces: Pieces) -> DataFrame:
+    """(key, text): the bytes of the ids (array column ``ids``) of each key in order, as UTF-8, blanks as the pieces have them."""
     table = pieces.rows.select(F.col("id").alias("_sp_id"), "bytes")
-    rows = encoded.select(key, *keep, F.posexplode_outer("ids").alias("pos", "_sp_id")).join(F.broadcast(table), "_sp_id", "left")
+    rows = encoded.select(key, F.posexplode_outer("ids").alias("pos", "_sp_id")).join(F.broadcast(table), "_sp_id", "left")
     grouped = rows.groupBy(key).agg(
-        *[F.first(c).alias(c) for c in keep], F.array_sort(F.collect_list(F.struct("pos", F.hex("bytes").alias("hex")))).alias("x"))
+        F.array_sort(F.collect_list(F.struct("pos", F.hex("bytes").alias("hex")))).alias("x"))
     whole = F.unhex(F.array_join(F.transform("x", lambda x: x["hex"]), ""))
-    return grouped.select(key, *keep, whole.cast("string").alias("text"))
+    return grouped.select(key, whole.cast("string").alias("text"))
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, n, ids, text) of the distinct words (word, n); ``text`` is what the ids decode to.
+    """(word, n, ids) of the distinct words (word, n).
 
     One shuffle by word; exploding, joining, grouping and folding keep it.
     """
 
     def encoded(some: DataFrame, cut) -> DataFrame:
         lattice = edges(some.repartition(parallel, "word"), pieces)
-        return decode(word_ids(cut(lattice), pieces), "word", pieces, ("n", "ids"))
+        return word_ids(cut(lattice), pieces)
 
     parallel = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work: not to be coalesced
 
@@ -277,27 +283,13 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     return encoded(words.where(short), merge_parts).unionByName(encoded(words.where(~short), merge_parts_long))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """(word, n, n_pieces, h, lossless): number of pieces and 64-bit hash of the ids of each word."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("ids")
-            at, flat = np.asarray(ids.offsets), np.asarray(ids.values).astype("<u4")
-            h = np.array([xxhash.xxh3_64_intdigest(flat[i:j].tobytes()) for i, j in zip(at, at[1:])], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("word"), b.column("n"), pa.array(np.diff(at), pa.int64()), pa.array(h), b.column("lossless")],
-                names=["word", "n", "n_pieces", "h", "lossless"])
-
-    return encoded.select("word", "n", "ids", "lossless").mapInArrow(run, "word string, n long, n_pieces long, h long, lossless boolean")
-
-
 def at_place(h: np.ndarray, place: np.ndarray) -> np.ndarray:
     """A unit's share of the digest of its text: hash of its ids and its place."""
     return _mix(h.view(np.uint64) + (place.astype(np.uint64) + np.uint64(1)) * MIX).view(np.int64)
 
 
 def frequent(words: DataFrame, most: int) -> pa.Table:
-    """The words of the highest counts, at most ``most`` and each of at most ``HOT_LENGTH`` characters."""
+    """The words of the highest counts with their ids, at most ``most`` and each of at most ``HOT_LENGTH`` characters."""
     short = words.where(F.char_length("word") <= HOT_LENGTH)
     level = F.floor(F.log2("n") * 16)
     total, least = 0, None
@@ -306,62 +298,116 @@ def frequent(words: DataFrame, most: int) -> pa.Table:
         if total > most:
             break
         least = r["level"]
-    return short.where(level >= (1 << 30 if least is None else least)).select("word", "n_pieces", "h", "lossless").toArrow()
+    return short.where(level >= (1 << 30 if least is None else least)).select("word", "ids").toArrow()
+
+
+def flat_lists(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, values) of a column of int lists; the list of row i ends at ``ends[i]``."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.asarray(column.value_lengths().fill_null(0), dtype=np.int64)
+    return np.cumsum(sizes), np.asarray(column.flatten(), dtype=np.int32)
+
+
+def gathered(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions first[i] .. first[i] + size[i] - 1 of each i, one after another."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def encode_texts(docs: DataFrame, pieces: Pieces, hot_words: int = 200_000) -> DataFrame:
-    """``docs`` (without text) with n_units, n_pieces, ids_digest and lossless.
+    """``docs`` (without text) with ids, ends, decoded and lossless.
 
-    ``ids_digest`` is the exclusive or, over the units of the text, of a hash of
-    the unit's place and ids; ``lossless`` tells whether the decoded ids give
-    all units again.
+    ``ids`` are the ids of the whole text, and unit k of the text has those up
+    to place ``ends[k]``; ``decoded`` is the text that ``decode`` makes of the
+    ids, without the blank put before it; ``lossless`` tells whether it is the
+    text again (by SHA-256 of both).
     """
     spark = docs.sparkSession
     staged = Staged(spark, "lattice")
-    keep = [c for c in docs.columns if c not in ("text", "n_units", "n_pieces", "ids_digest", "lossless")]
+    keep = [c for c in docs.columns if c not in ("text", "ids", "ends", "decoded", "lossless")]
     counted = staged.write(count_units(docs))
-    same = F.coalesce(F.col("text") == F.translate("word", BLANK, " "), F.lit(False))
-    words = staged.write(digests(encode_words(counted, pieces).withColumn("lossless", same)))
+    words = staged.write(encode_words(counted, pieces))
     staged.drop(counted)
     hot = frequent(words, hot_words)
-    shared = spark.sparkContext.broadcast(
-        (hot.column("word").to_pylist(), *(hot.column(c).to_numpy() for c in ("n_pieces", "h")), np.asarray(hot.column("lossless").to_pylist(), bool)))
+    shared = spark.sparkContext.broadcast((hot.column("word").to_pylist(), *flat_lists(hot.column("ids"))))
+    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, n_pieces, h, lossless = shared.value
+        names, ends, flat = shared.value
+        sizes = np.diff(ends, prepend=0)
         index = {w: i for i, w in enumerate(names)}
         for b in slices(batches):
             rows = []
             for text in texts_of(b):
                 unit = units(text)
                 at = np.fromiter((index.get(u, -1) for u in unit), np.int64, len(unit))
-                place = np.flatnonzero(at >= 0)
-                known = at[place]
-                rest = np.flatnonzero(at < 0)
-                rows.append((
-                    len(unit), int(n_pieces[known].sum()), int(np.bitwise_xor.reduce(at_place(h[known], place), initial=0)),
-                    bool(lossless[known].all()), [{"place": int(p), "word": unit[p]} for p in rest]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.struct([("place", pa.int64()), ("word", pa.string())])))
+                known, rest = at[at >= 0], np.flatnonzero(at < 0)
+                size = np.zeros(len(unit), np.int32)
+                size[at >= 0] = sizes[known]
+                ids = flat[gathered(ends[known] - sizes[known], sizes[known])]
+                rows.append((size, ids, [{"place": int(p), "word": unit[p]} for p in rest]))
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.struct([("place", pa.int32()), ("word", pa.string())])))
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in keep], b.column("_sp_row"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))],
-                names=[*keep, "_sp_row", "n_units", "n_pieces", "ids_digest", "lossless", "_sp_rest"])
+                [*[b.column(c) for c in keep], b.column("_sp_row"), b.column("_sp_sha"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))],
+                names=[*keep, "_sp_row", "_sp_sha", "_sp_size", "_sp_ids", "_sp_rest"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema),
-                        "_sp_row long, n_units long, n_pieces long, ids_digest long, lossless boolean, _sp_rest array<struct<place:long,word:string>>"])
-    rows = staged.write(docs.select(*keep, "text", F.monotonically_increasing_id().alias("_sp_row")).mapInArrow(run, schema))
+    schema = ", ".join([*own, "_sp_row long, _sp_sha string, _sp_size array<int>, _sp_ids array<int>, _sp_rest array<struct<place:int,word:string>>"])
+    sha = lambda text: F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+    rows = docs.select(*keep, "text", F.monotonically_increasing_id().alias("_sp_row"), sha(F.col("text")).alias("_sp_sha"))
+    rows = staged.write(rows.mapInArrow(run, schema))
     rest = rows.select("_sp_row", F.explode("_sp_rest").alias("x")).select("_sp_row", "x.place", "x.word")
+    rare = rest.join(words.select("word", "ids"), "word").groupBy("_sp_row").agg(F.collect_list(F.struct("place", "ids")).alias("_sp_found"))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ids of the units known to all tasks and of the others, by place."""
+        for b in slices(batches):
+            all_ids, all_ends = [], []
+            for row in range(b.num_rows):
+                size, ids = (np.asarray(b.column(c)[row].values, dtype=np.int64) for c in ("_sp_size", "_sp_ids"))
+                found = b.column("_sp_found")[row]
+                if found.is_valid and len(found):
+                    place = np.asarray(found.values.field("place"), dtype=np.int64)
+                    ends, more = flat_lists(found.values.field("ids"))
+                    more_size = np.diff(ends, prepend=0)
+                    # where the ids of each unit are in the known ids followed by the found ones
+                    first = np.cumsum(size) - size
+                    first[place], size[place] = len(ids) + ends - more_size, more_size
+                    ids = np.concatenate([ids, more])[gathered(first, size)]
+                all_ids.append(ids)
+                all_ends.append(np.cumsum(size))
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (all_ids, all_ends)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], b.column("_sp_row"), b.column("_sp_sha"), *lists], names=[*keep, "_sp_row", "_sp_sha", "ids", "ends"])
+
+    schema = ", ".join([*own, "_sp_row long, _sp_sha string, ids array<int>, ends array<int>"])
+    encoded = staged.write(rows.drop("_sp_rest").join(rare, "_sp_row", "left").mapInArrow(gather, schema))
+    staged.drop(rows, words)
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))  # rows of few bytes become many: not to be coalesced
+    decoded = decode(encoded.select("_sp_row", "ids").repartition(parallel, "_sp_row"), "_sp_row", pieces)
+    decoded = decoded.select("_sp_row", F.substring("text", 2, 2**31 - 1).alias("decoded"))
+    return encoded.join(decoded, "_sp_row").select(*keep, "ids", "ends", "decoded", (sha(F.col("decoded")) == F.col("_sp_sha")).alias("lossless"))
+
+
+def digest(encoded: DataFrame) -> DataFrame:
+    """n_units, n_pieces, ids_digest and lossless in place of ids, ends and decoded.
+
+    ``ids_digest`` is the exclusive or, over the units of the text, of a hash of
+    the unit's place and ids.
+    """
+    keep = [c for c in encoded.columns if c not in ("ids", "ends", "decoded", "lossless", "n_units", "n_pieces", "ids_digest")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            n_units, n_pieces, out = [], [], []
+            for row in range(b.num_rows):
+                ids, ends = np.asarray(b.column("ids")[row].values).astype("<u4"), np.asarray(b.column("ends")[row].values)
+                code, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                h = np.fromiter((xxhash.xxh3_64_intdigest(code[i:j]) for i, j in zip(at, at[1:])), np.uint64, len(ends))
+                n_units.append(len(ends))
+                n_pieces.append(len(ids))
+                out.append(int(np.bitwise_xor.reduce(at_place(h, np.arange(len(ends))), initial=0)))
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(c) for c in keep], *(pa.array(x, pa.int64()) for x in (n_units, n_pieces, out)), b.column("lossless")],
+                names=[*keep, "n_units", "n_pieces", "ids_digest", "lossless"])
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            d = at_place(np.asarray(b.column("h")), np.asarray(b.column("place")))
-            yield pa.RecordBatch.from_arrays([b.column("_sp_row"), b.column("n_pieces"), pa.array(d), b.column("lossless")], names=["_sp_row", "n_pieces", "ids_digest", "lossless"])
-
-    rare = rest.join(words.select("word", "n_pieces", "h", "lossless"), "word").select("_sp_row", "place", "n_pieces", "h", "lossless")
-    rare = rare.mapInArrow(placed, "_sp_row long, n_pieces long, ids_digest long, lossless boolean")
-    rare = rare.groupBy("_sp_row").agg(
-        F.sum("n_pieces").alias("_sp_pieces"), F.bit_xor("ids_digest").alias("_sp_digest"), F.bool_and("lossless").alias("_sp_lossless"))
-    return rows.drop("_sp_rest").join(rare, "_sp_row", "left").select(
-        *keep, "n_units",
-        (F.col("n_pieces") + F.coalesce("_sp_pieces", F.lit(0))).alias("n_pieces"),
-        F.col("ids_digest").bitwiseXOR(F.coalesce("_sp_digest", F.lit(0).cast("long"))).alias("ids_digest"),
-        (F.col("lossless") & F.coalesce("_sp_lossless", F.lit(True))).alias("lossless"))
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*keep).schema]
+    schema = ", ".join([*schema, "n_units long, n_pieces long, ids_digest long, lossless boolean"])
+    return encoded.select(*keep, "ids", "ends", "lossless").mapInArrow(run, schema)

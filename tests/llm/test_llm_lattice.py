@@ -114,3 +114,23 @@ def test_empty_table(spark, pieces):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lattice.encode_texts(docs, pieces).count() == 0
     assert docs.where(F.lit(True)).count() == 0
+
+
+def test_documents_have_their_ids_and_decoded_text(spark, pieces, library):
+    docs = list(enumerate(texts(80, 5)))
+    df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, ids string")
+    for hot in (0, 20, 200_000):
+        out = {r.doc_id: r for r in lattice.encode_texts(df, pieces, hot).collect()}
+        assert len(out) == len(docs)
+        for i, t in docs:
+            assert list(out[i].ids) == library.encode(t or ""), t
+            assert out[i].decoded == library.decode(out[i].ids), t
+            assert len(out[i].ends) == len(lattice.units(t)) and (out[i].ends[-1] if out[i].ends else 0) == len(out[i].ids)
+            assert out[i].lossless == ((t or "") == out[i].decoded) == ("▁" not in (t or ""))
+
+
+def test_digest_comes_from_the_ids_of_the_document(spark, pieces):
+    df = spark.createDataFrame(list(enumerate(["a b", "a▁b", None])), "doc_id long, text string")
+    out = {r.doc_id: r for r in lattice.digest(lattice.encode_texts(df, pieces)).collect()}
+    assert out[0].ids_digest == out[1].ids_digest and [out[i].lossless for i in range(3)] == [True, False, True]
+    assert (out[2].n_units, out[2].n_pieces, out[2].ids_digest) == (0, 0, 0)
