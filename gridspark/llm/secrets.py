@@ -42,7 +42,7 @@ BASE = {
 #: Wider candidates; they become spans only by their ownership.
 WIDER = {
     "prefixed": (r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|AIza|eyJ)[A-Za-z0-9_.-]{16,}", 0, 20),
-    "mixed": (r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=-]{0,64}[0-9])(?=[0-9+/_=-]{0,64}[A-Za-z])[A-Za-z0-9+/_=-]{20,}", 0, 20),
+    "mixed": (r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}", 0, 20),
 }
 KINDS = [*BASE, *WIDER]
 

@@ -45,6 +45,19 @@ def test_query_equals_brute_force_on_the_given_table(spark):
     assert out == {d.doc_id: brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in brute.base_secrets(d.text))) for d in docs}
 
 
+def test_long_tokens_mix_wherever_their_first_digit_or_letter_is(spark):
+    tokens = ["Q" * 65 + "7", "12/" * 30 + "Q", "Qq+/" * 30 + "1Z", "Q" * 70_000 + "7", "Q" * 64 + "7"]
+    plain = ["Q" * 90, "12/" * 40, "Q" * 70_000]
+    docs = list(enumerate([f"my {t} é" for t in tokens + plain]))
+    df = spark.createDataFrame([(i, t, f"s{i}") for i, t in docs], "doc_id long, text string, source string")
+    out = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(df, F.col("source"), F.col("source"))).collect()}
+    red = {r.doc_id: r.text for r in secrets.redact(df, F.col("source"), F.col("source")).collect()}
+    for i, t in docs:
+        mixes = i < len(tokens)
+        assert out[i] == (f"mixed:3:{len(t) - 2}" if mixes else "")
+        assert red[i] == ("my <secret> é" if mixes else t)
+
+
 def test_ownership_separates_copied_from_live(spark):
     example, live = "ghp_" + "Ab1" * 8, "ghp_" + "Zy9" * 8
     data = [(i, f"use {example} here", f"owner{i}", 1, "clash") for i in range(4)] + [(9, f"my {live} é", "owner0", 2, "clash"), (9, f"my {live} é", "owner0", 2, "clash"), (None, None, None, None, None)]
