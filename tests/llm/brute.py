@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -90,3 +91,40 @@ def base_quality(text: str | None) -> tuple:
         seen.add(line)
     repeat = len(covered)
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, repeat, len(w) < 50 or 100 * repeat > 50 * len(w)
+
+
+def spelling_words(docs: list[tuple], drop_every: int = 31, min_length: int = 7, min_count: int = 2) -> Counter:
+    """Counts of the runs of letters of (id, text) rows; some runs lose a letter by their crc32."""
+    count = Counter()
+    for i, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lower(run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            k = h % len(run)
+            count[run[:k] + run[k + 1 :] if h % drop_every == 0 else run] += 1
+    return Counter({w: n for w, n in count.items() if len(w) >= min_length and n >= min_count})
+
+
+def spelling_variants(count: dict, ratio: int = 10) -> dict:
+    """word: (form, root, n, n_near, form_n)."""
+    holders, near = defaultdict(set), defaultdict(set)
+    for w in count:
+        for k in range(len(w)):
+            holders[w[:k] + "\0" + w[k + 1 :]].add(w)
+            if (less := w[:k] + w[k + 1 :]) in count:
+                near[w].add(less)
+                near[less].add(w)
+    for same in holders.values():
+        for w in same:
+            near[w] |= same - {w}
+    form = {}
+    for w, n in count.items():
+        best = min(near[w], key=lambda v: (-count[v], v), default=None)
+        form[w] = best if best is not None and count[best] >= ratio * n else None
+    out = {}
+    for w, n in count.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, n, len(near[w]), count[form[w]] if form[w] else None)
+    return out
