@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lattice, line_dedup, minhash, packing, quality, secrets, spelling, tokens, topk, toxicity
+from . import chat, hard_negatives, lattice, line_dedup, minhash, packing, quality, secrets, spelling, tokens, topk, toxicity
 from .common import held_out, table
 
 
@@ -71,6 +71,12 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return spelling.variants(spelling.words(docs, drop_every=31, min_length=7, min_count=2))
@@ -78,7 +84,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_packing, op3_toxicity, op4_chat_format, op5_line_dedup, op6_token_counts, op7_sentencepiece,
-    op8_quality_rules, op9_topk_search, op10_minhash_dedup, op13_spelling_variants)}
+    op8_quality_rules, op9_topk_search, op10_minhash_dedup, op11_hard_negatives, op13_spelling_variants)}
 
 ORACLES: dict[str, str] = {}
 ORACLES["op4_chat_format"] = r"""
@@ -130,3 +136,26 @@ select doc_id, count(*) as n_lines, count(*) filter (where dropped) as n_dropped
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not dropped), '')) as kept_sha256
 from marked group by doc_id
 """
+ORACLES["op11_hard_negatives"] = r"""
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         [cast(floor(256 * cast(x as double)) as double) for x in embedding] as e
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len([1 for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
+scored as (
+  select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, cast(list_inner_product(a.e, c.e) as bigint) as score
+  from v a, v c where a.vec_id % 50 = 0 and a.vec_id <> c.vec_id),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score,
+         row_number() over (partition by anchor_id order by score desc, vec_id) as place
+  from scored where same),
+negatives as (
+  select p.*, n.vec_id as negative_id, n.score as negative_score,
+         row_number() over (partition by p.anchor_id, p.place order by n.score desc, n.vec_id) as rank
+  from positives p join scored n on n.anchor_id = p.anchor_id
+  where p.place <= 5 and not n.same
+    and 50 * p.positive_score <= 100 * n.score and 100 * n.score <= 95 * p.positive_score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score
+from negatives where rank <= 3
+"""
