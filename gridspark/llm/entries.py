@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hard_negatives, lattice, line_dedup, minhash, packing, quality, secrets, spelling, tokens, topk, toxicity
+from . import chat, hard_negatives, lattice, line_dedup, minhash, packing, pii, quality, secrets, spelling, tokens, topk, toxicity
 from .common import held_out, table
 
 
@@ -77,6 +77,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return spelling.variants(spelling.words(docs, drop_every=31, min_length=7, min_count=2))
@@ -84,7 +88,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_packing, op3_toxicity, op4_chat_format, op5_line_dedup, op6_token_counts, op7_sentencepiece,
-    op8_quality_rules, op9_topk_search, op10_minhash_dedup, op11_hard_negatives, op13_spelling_variants)}
+    op8_quality_rules, op9_topk_search, op10_minhash_dedup, op11_hard_negatives, op12_personal_data, op13_spelling_variants)}
 
 ORACLES: dict[str, str] = {}
 ORACLES["op4_chat_format"] = r"""

@@ -128,3 +128,24 @@ def spelling_variants(count: dict, ratio: int = 10) -> dict:
             root = form[root]
         out[w] = (form[w], root, n, len(near[w]), count[form[w]] if form[w] else None)
     return out
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def base_personal(text: str | None) -> list[tuple[str, int, int]]:
+    """Spans of the base kinds, by the plain patterns."""
+    text, only = text or "", lambda x: re.sub("[^0-9]", "", x)
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(only(m)) <= 19 and luhn(only(m))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(only(m)) <= 15),
+    }
+    spans = [(k, m.start(), m.end()) for k, (p, ok) in kinds.items() for m in re.finditer(p, text) if ok(m[0])]
+    return sorted(spans, key=lambda s: (s[1], [*kinds].index(s[0])))
