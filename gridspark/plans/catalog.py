@@ -1209,3 +1209,7 @@ def q_split_tail(spark, sf):
     """O1/O3: the last tenth of the steps is held out."""
     from ..operators import split
     return split.chronological_split(fx.hourly(spark, sf), 0.1)
+
+
+# the queries of these modules register themselves
+from . import queries_curvilinear  # noqa: E402,F401
