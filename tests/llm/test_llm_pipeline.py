@@ -42,7 +42,7 @@ def test_stages_follow_brute_force(spark):
     assert all(r.n_chars == len(r.text) and (r.lang, r.source) == (before[i].lang, before[i].source) for i, r in got.items())
 
     near = stage["minhash near-dedup"](spark, lines, SF001).cache()
-    component = brute.near_components([(r.doc_id, r.text) for r in got.values()])
+    component = brute.near_components([(r.doc_id, r.text) for r in got.values()], corpus_pipeline.NEAR_PCT)
     assert set(rows(near)) == {i for i, (_, c) in component.items() if i == c}
     assert all(got[i] == r for i, r in rows(near).items())
 
