@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.naming import PRESSURE_VARIABLES, SURFACE_VARIABLES, validate_names
 from ..functions.scalar import doy_encoding
+from . import boosting
 from .grid import pivot_levels
 from .joins import attach_static, merge
 from .resample import CELL
@@ -59,7 +60,7 @@ def fit_predict_pooled(df: DataFrame, features: Sequence[str], target: str, mode
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-    estimators = {"GBTRegressor": GBTRegressor, "RandomForestRegressor": RandomForestRegressor}
+    estimators = {"GBTRegressor": GBTRegressor, "RandomForestRegressor": RandomForestRegressor, **boosting.MODELS}
     cols = [*features, *cell]
     whole = F.lit(True)
     for c in cols:
@@ -75,14 +76,16 @@ def fit_predict_pooled(df: DataFrame, features: Sequence[str], target: str, mode
 
 def search(df: DataFrame, features: Sequence[str], target: str, trials: Sequence[dict], model: str = "GBTRegressor",
            test_size: float = 0.2, time: str = "time", seed: int = 42) -> DataFrame:
-    """M5/M8: ``(trial, rmse)`` of each parameter set: fitted on the first
-    days, scored on the last ``test_size`` of them (O3). The list of trials is
-    short; each one is a distributed fit, and the scores are one row each."""
+    """M5: ``(trial, rmse)`` of each parameter set: fitted on the first days,
+    scored on the last ``test_size`` of them (O3) by the mean over cells of
+    their RMSE. The list of trials is short; each one is a distributed fit, and
+    the scores are one row each."""
     labels = chronological_split(df, test_size, time)
     data = df.join(labels.withColumn("split", F.when(F.col("split") == "test", "valid").otherwise("train")), time)
     out = []
     for k, params in enumerate(trials):
         p = fit_predict_pooled(data, features, target, model, time=time, seed=seed, **params)
-        rmse = p.agg(F.sqrt(F.avg((F.col(target) - F.col("prediction")) ** 2))).first()[0]
+        by_cell = p.groupBy(*CELL).agg(F.sqrt(F.avg((F.col(target) - F.col("prediction")) ** 2)).alias("rmse"))
+        rmse = by_cell.agg(F.avg("rmse")).first()[0]
         out.append((k, rmse))
     return df.sparkSession.createDataFrame(out, "trial int, rmse double")
