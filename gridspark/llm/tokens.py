@@ -36,6 +36,10 @@ MAX_WORD = 64
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Words that the tokenizer's normaliser only lowers, and that hold no contraction and no special string.
 SIMPLE = re.compile(rf"[{LETTERS}0-9.,!?;:()\-\"#*$%&/=+_@\[\]{{}}~^]+")
+#: Texts of such words, blanks and line feeds alone.
+SIMPLE_TEXT = re.compile(rf"[{LETTERS}0-9.,!?;:()\-\"#*$%&/=+_@\[\]{{}}~^ \n]*")
+#: A stop or comma at the end of a word that is not its own part: something else than a letter or digit stands before it.
+RUN_OF_MARKS = re.compile(rf"(?<![{LETTERS}0-9])[.,](?= |$)")
 #: What the tokenizer's pattern cuts such a word into.
 PART = re.compile(rf"[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
 
@@ -65,6 +69,7 @@ class WordIds:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _alone(self, texts: list[str]) -> dict[str, bytes]:
@@ -82,16 +87,16 @@ class WordIds:
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         """The ids of new words; they are also kept, unless they are long."""
+        plain = [w for w in new if w.isalpha() and w.islower() and w.isascii()]
         simple, odd = {}, []
-        for w in new:
-            if w.isascii() and w.isalpha():
-                simple[w] = (w.lower(),)
-            elif w.isascii() and w[:-1].isalpha() and w[-1] in ".,":
-                simple[w] = (w[:-1].lower(), w[-1])
-            elif SIMPLE.fullmatch(w):
+        for w in new.difference(plain):
+            if SIMPLE.fullmatch(w):
                 simple[w] = PART.findall(w.lower())
             else:
                 odd.append(w)
+        whole: dict[str, bytes] = {}  # words of one part each
+        for i in range(0, len(plain), 1024):
+            whole |= self._together(plain[i : i + 1024])
         missing = list(set().union(*simple.values()).difference(self.parts))
         found: dict[str, bytes] = {}
         for i in range(0, len(missing), 1024):
@@ -103,17 +108,29 @@ class WordIds:
         self.parts.update((p, v) for p, v in found.items() if len(p) <= MAX_WORD)
         found = self.parts if all(len(p) <= MAX_WORD for p in missing) else self.parts | found
         out = {w: found[ps[0]] if len(ps) == 1 else b"".join([found[p] for p in ps]) for w, ps in simple.items()}
-        return out | (self._alone(odd) if odd else {})
+        return whole | out | (self._alone(odd) if odd else {})
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        """The stretches of a text. In a simple text letters are lowered at once, and a stop or comma after a letter or
+        digit at the end of a word, which is a part of its own, is cut off: fewer words are new."""
+        text = text.replace("\n", " ")
+        if SIMPLE_TEXT.fullmatch(text):
+            text = text.lower()
+            if not RUN_OF_MARKS.search(text):
+                text = (text + " ").replace(". ", " . ").replace(", ", " , ")
+        return text.split(" ")
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        words = self.words
+        cut = [self._cut(t) for t in texts]
         seen = set().union(*cut)
-        learned = self._learn(seen.difference(words))
-        if len(words) + len(learned) > MAX_CACHED:
-            learned |= {w: words[w] for w in seen if w in words}
-            words.clear()
+        if len(self.words) > MAX_CACHED // 2:  # the words of the last while stay, those not met since then go
+            self.words, self.older = {}, self.words
+        words, older = self.words, self.older
+        new = seen.difference(words)
+        words.update((w, older[w]) for w in new if w in older)
+        learned = self._learn(new.difference(words))
         words.update(learned)
         out = [b"".join(map(words.__getitem__, ws)) for ws in cut]
         for w in learned:
@@ -203,7 +220,18 @@ class Counter:
             else:
                 self.parts.update(self._alone(some))
         out = {p: self.parts[q] + (len(p) - len(q)) for p, q in simple.items()}
-        return out | (self._alone(odd) if odd else {})
+        return whole | out | (self._alone(odd) if odd else {})
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        """The stretches of a text. In a simple text letters are lowered at once, and a stop or comma after a letter or
+        digit at the end of a word, which is a part of its own, is cut off: fewer words are new."""
+        text = text.replace("\n", " ")
+        if SIMPLE_TEXT.fullmatch(text):
+            text = text.lower()
+            if not RUN_OF_MARKS.search(text):
+                text = (text + " ").replace(". ", " . ").replace(", ", " , ")
+        return text.split(" ")
 
     def _alone(self, parts: list[str]) -> dict[str, int]:
         return {p: len(e) for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False))}

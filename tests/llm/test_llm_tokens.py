@@ -52,6 +52,16 @@ def test_word_ids_equal_the_library():
         assert list(np.frombuffer(ids.encode(t), "<u4")) == word.encode(t, add_special_tokens=False).ids, t
 
 
+def test_word_ids_of_simple_texts_and_small_caches(monkeypatch):
+    """Texts of plain words and marks take the short way; with a small cache words move between its halves."""
+    monkeypatch.setattr(tokens, "MAX_CACHED", 60)
+    word, ids, rng = Tokenizer.from_file(WORD), tokens.WordIds(WORD), random.Random(3)
+    parts = ["Word", "word", "École", "ÿß", "e-mail", "1990", "x", ".", ",", "..", ".,", "a.b", "(", "\"", " ", " ", " ", "\n", "Ünder.", "end,", "A1.", "x" * 70]
+    for _ in range(600):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        assert list(np.frombuffer(ids.encode(t), "<u4")) == word.encode(t, add_special_tokens=False).ids, t
+
+
 def check_packing(rows, want, limits):
     """Every id is in one piece, offsets have no gap, limits hold. Returns the share of padding."""
     at, used = defaultdict(int), defaultdict(list)
