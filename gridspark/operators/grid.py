@@ -125,12 +125,14 @@ def samples(df: DataFrame, values: Sequence[str], tile_size: int, target: str |
 
 
 def sample_set(df: DataFrame, values: Sequence[str], tile_size: int, target: str | None = None,
-               scaling: str = "minmax", time: str = "time", row: str = "y", col: str = "x") -> DataFrame:
-    """The sample data set: whole-period anomalies of each cell (population
-    standard deviation), scaled by ``minmax`` or ``standard`` over all
-    dimensions, then cut into tiles (F15). The target is not scaled."""
-    from .scale import minmax, standardize, whole_period_anomalies
-    d = whole_period_anomalies(df, values, standard=True, cell=(row, col))
+               scaling: str = "minmax", anomalies: bool = True, time: str = "time", row: str = "y",
+               col: str = "x") -> DataFrame:
+    """The sample data set: optionally whole-period anomalies (X6 with the
+    population standard deviation), then ``minmax`` or ``standard`` scaling,
+    each of a variable over time, y and x together; cut into tiles (F15). The
+    target is not scaled."""
+    from .scale import minmax, standardize
+    d = standardize(df, values, ddof=0) if anomalies else df
     d = minmax(d, values) if scaling == "minmax" else standardize(d, values)
     return samples(d, values, tile_size, target, time, row, col)
 

@@ -40,7 +40,8 @@ def minmax(df: DataFrame, values: Sequence[str], reference: DataFrame | None = N
 
 def standardize(df: DataFrame, values: Sequence[str], ddof: int = 1,
                 reference: DataFrame | None = None) -> DataFrame:
-    """Mean 0 and std 1 per variable over all dimensions."""
+    """Mean 0 and std 1 per variable over all dimensions, time, y and x
+    together; ``ddof`` 0 gives the whole-period anomalies."""
     ref = df if reference is None else reference
     sd = F.stddev_samp if ddof == 1 else F.stddev_pop
     st = _stats_row(ref, [f(F.col(v)) for v in values for f in (F.avg, sd)])
@@ -70,18 +71,6 @@ def minmax_by(df: DataFrame, values: Sequence[str], keep: Sequence[str] = CELL)
     return j.drop(*stats)
 
 
-def whole_period_anomalies(df: DataFrame, values: Sequence[str], standard: bool = False,
-                           cell: Sequence[str] = CELL) -> DataFrame:
-    """W2 over the whole period: ``v - mean(v)`` of the cell's rows, divided by
-    the population standard deviation (ddof 0) when ``standard``."""
-    stats = {f"__mu_{v}": F.avg(v) for v in values}
-    if standard:
-        stats |= {f"__sd_{v}": F.stddev_pop(v) for v in values}
-    j = _with_group_stats(df, list(cell), stats)
-    dev = {v: F.col(v) - F.col(f"__mu_{v}") for v in values}
-    return j.withColumns({v: ratio(a, F.col(f"__sd_{v}")) if standard else a for v, a in dev.items()}).drop(*stats)
-
-
 def anomalies(df: DataFrame, values: Sequence[str], by: str = "dayofyear", standard: bool = False,
               time: str = "time", cell: Sequence[str] = CELL) -> DataFrame:
     """``v - mean(v)`` over the rows of the same cell and calendar group

@@ -538,12 +538,12 @@ def q_level_pivot(spark, sf):
 
 
 @register("merge_variables", with_fixtures(
-    """select coalesce(a.time, b.time) as time, coalesce(a.y, b.y) as y, coalesce(a.x, b.x) as x, a.o, b.v_7
+    f"""select coalesce(a.time, b.time) as time, coalesce(a.y, b.y) as y, coalesce(a.x, b.x) as x, a.o, {', '.join(f'b.v_{k}' for k in range(1, 8))}
     from (select time, y, x, o from pair_daily) a full join
-         (select time, y, x, max(case when level = 7 then v end) as v_7 from levels where level = 7 group by 1, 2, 3) b
-    on a.time = b.time and a.y = b.y and a.x = b.x""", "pair_daily", "levels"), ("o", "v_7"))
+         (select time, y, x, {', '.join(f'max(case when level = {k} then v end) as v_{k}' for k in range(1, 8))} from levels group by 1, 2, 3) b
+    on a.time = b.time and a.y = b.y and a.x = b.x""", "pair_daily", "levels"), ("o", *(f"v_{k}" for k in range(1, 8))))
 def q_merge_variables(spark, sf):
-    lv = grid.pivot_levels(fx.levels(spark, sf), ["v"], [7])
+    lv = grid.pivot_levels(fx.levels(spark, sf), ["v"], list(range(1, 8)))
     return joins.merge([_pd(spark, sf).select("time", "y", "x", "o"), lv])
 
 
@@ -591,10 +591,10 @@ def q_align_positional(spark, sf):
 
 @register("grid_difference", with_fixtures(
     """select a.time, a.y, a.x, b.v - a.o as diff from pair_daily a
-    join (select time, y, x, v from levels where level = 1) b on a.time = b.time and a.y = b.y and a.x = b.x""",
+    join (select time, y, x, avg(v) as v from levels group by 1, 2, 3) b on a.time = b.time and a.y = b.y and a.x = b.x""",
     "pair_daily", "levels"), ("diff",))
 def q_grid_difference(spark, sf):
-    b = fx.levels(spark, sf).where(F.col("level") == 1).select("time", "y", "x", "v")
+    b = fx.levels(spark, sf).groupBy("time", "y", "x").agg(F.avg("v").alias("v"))
     j = joins.combine(_pd(spark, sf), b)
     return j.select("time", "y", "x", (F.col("v") - F.col("o")).alias("diff"))
 
@@ -667,12 +667,21 @@ def q_standardized(spark, sf):
     return scale.standardize(_pd(spark, sf), ["o", "p"])
 
 
+@register("standardized_period", with_fixtures(
+    """select time, y, x, (o - (select avg(o) from pair_holes)) / (select stddev_pop(o) from pair_holes) as o,
+    (p - (select avg(p) from pair_holes)) / (select stddev_pop(p) from pair_holes) as p
+    from pair_holes""", "pair_holes"), ("o", "p"))
+def q_standardized_period(spark, sf):
+    """X6, whole-period anomalies: each variable over time, y and x together."""
+    return scale.standardize(fx.pair_holes(spark, sf), ["o", "p"], ddof=0)
+
+
 @register("minmax_cells", with_fixtures(
-    """select d.time, d.y, d.x, (d.o - s.lo) / nullif(s.hi - s.lo, 0) as o from pair_daily d
-    join (select y, x, min(o) as lo, max(o) as hi from pair_daily group by 1, 2) s on d.y = s.y and d.x = s.x""",
-    "pair_daily"), ("o",))
+    """select d.time, d.y, d.x, (d.o - s.lo) / nullif(s.hi - s.lo, 0) as o, (d.p - s.pl) / nullif(s.ph - s.pl, 0) as p from pair_daily d
+    join (select y, x, min(o) as lo, max(o) as hi, min(p) as pl, max(p) as ph from pair_daily group by 1, 2) s on d.y = s.y and d.x = s.x""",
+    "pair_daily"), ("o", "p"))
 def q_minmax_cells(spark, sf):
-    return scale.minmax_by(_pd(spark, sf).select("time", "y", "x", "o"), ["o"])
+    return scale.minmax_by(_pd(spark, sf), ["o", "p"])
 
 
 @register("tiles", with_fixtures(
@@ -995,11 +1004,10 @@ def q_scan_discovered_files(spark, sf):
                    F.avg(F.col("l_quantity") * (1 + F.col("l_tax") - F.col("l_discount"))).alias("p")))
 
 
-_SCALED_SQL = """with st as (select y, x, avg(p) as m, stddev_pop(p) as sd from pair_daily group by 1, 2),
-    a as (select d.time, d.y, d.x, d.o, case when st.sd = 0 then null else (d.p - st.m) / st.sd end as p
-          from pair_daily d join st on d.y = st.y and d.x = st.x),
+_SCALED_SQL = """with a as (select time, y, x, o, (p - (select avg(p) from pair_daily)) / nullif((select stddev_pop(p) from pair_daily), 0) as p
+          from pair_daily),
     sc as (select time, cast(y as int) as y, cast(x as int) as x, o,
-                  (p - (select min(p) from a)) / nullif((select max(p) - min(p) from a), 0) as p from a),
+                  (p - (select avg(p) from a)) / nullif((select stddev_samp(p) from a), 0) as p from a),
     full_px as (select t.time, g.y, g.x from (select distinct time, y // 2 as ty, x // 2 as tx from sc) t
                 join (select distinct y, x from sc) g on g.y // 2 = t.ty and g.x // 2 = t.tx),
     px as (select f.time, f.y, f.x, sc.p, sc.o from full_px f left join sc on sc.time = f.time and sc.y = f.y and sc.x = f.x)
@@ -1011,11 +1019,11 @@ _SCALED_SQL = """with st as (select y, x, avg(p) as m, stddev_pop(p) as sd from
 
 @register("tile_samples", with_fixtures(_SCALED_SQL, "pair_daily"))
 def q_tile_samples(spark, sf):
-    """F15 and the sample data set: whole-period anomalies (ddof 0), min-max
-    scaled, as (time, tile) tensors of 2 x 2 tiles; the tensors are written as
+    """F15 and the sample data set: whole-period anomalies (ddof 0), then
+    standard scaling (ddof 1), both over time, y and x, as (time, tile) tensors of 2 x 2 tiles; the tensors are written as
     thousandths in row order, so that engines can be compared."""
     d = _pd(spark, sf).select("time", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "o", "p")
-    s = grid.sample_set(d, ["p"], 2, target="o")
+    s = grid.sample_set(d, ["p"], 2, target="o", scaling="standard")
 
     def text(plane):
         one = lambda v: F.coalesce(F.round(v.cast("double") * 1000 + 1e-6, 0).cast("long").cast("string"), F.lit("none"))
@@ -1165,12 +1173,11 @@ REGISTRY["job_precipitation_report_wide"] = (
 # ------------------------------------------------------------------ more operators of the survey over the given tables
 
 @register("concat_time", with_fixtures(
-    "select time, y, x, o from pair_daily where time < date '1996-01-01' union all "
-    "select time, y, x, o from pair_daily where time >= date '1997-01-01'", "pair_daily"), ("o",))
+    "select time, y, x, o, p from pair_daily union all select cast(time as date), y, x, v as o, v as p from hourly", "pair_daily", "hourly"), ("o", "p"))
 def q_concat_time(spark, sf):
-    """Two periods, one after the other."""
-    d = _pd(spark, sf).select("time", "y", "x", "o")
-    return joins.concat_time([resample.period(d, "1900-01-01", "1996-01-01"), resample.period(d, "1997-01-01", "2100-01-01")])
+    """Two datasets, one after the other."""
+    h = fx.hourly(spark, sf).select(F.col("time").cast("date").alias("time"), "y", "x", F.col("v").alias("o"), F.col("v").alias("p"))
+    return joins.concat_time([_pd(spark, sf), h])
 
 
 @register("keep_known", with_fixtures("select time, y, x, o from pair_daily", "pair_daily"), ("o",))
