@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.naming import REGRID_MODES, validate_names
 from ..functions.scalar import kelvin_to_celsius
-from ..operators import joins, metrics, models, regrid, resample, scale, split
+from ..operators import joins, metrics, models, moments, regrid, resample, split
 from ..operators.resample import CELL
 from ..session import written
 
@@ -146,8 +146,10 @@ def verification_report(obs: DataFrame, pred: DataFrame, value: str, wet_thresho
     Precipitation (``wet_threshold`` set) is scored on monthly sums and on wet
     days, temperature (``celsius`` converts from Kelvin) on days.
 
-    The masked pair is staged once in the shared folder; every part reads the
-    columns that it needs from there.
+    The masked pair is staged once in the shared folder and read three times:
+    for its monthly moments (:mod:`gridspark.operators.moments`), from which all
+    means, sums, R² and wet-day parts are merged, and for the quantiles
+    of years and of seasons.
     """
     o = obs.select("time", *CELL, F.col(value).alias("o"))
     p = pred.select("time", *CELL, F.col(value).alias("p"))
@@ -160,20 +162,20 @@ def verification_report(obs: DataFrame, pred: DataFrame, value: str, wet_thresho
     pair = written(pair.select("time", *CELL, "o", "p"), "pair")
     wet = wet_threshold is not None
 
-    base = resample.monthly(pair, ["o", "p"]) if wet else pair
-    anomaly = scale.anomalies(pair, ["o", "p"], by="month")
-    year = resample.climatology(pair, ["o", "p"], by="year")
-    season = resample.climatology(pair, ["o", "p"], by="season")
+    month = written(moments.pair_moments(pair, wet_threshold), "moments")
+    sums = moments.monthly_sums(month)
+    r2 = (lambda by: metrics.r2(sums, "o", "p", by)) if wet else (lambda by: moments.r2(month, by))
+    year, season = moments.means(month, "year"), moments.means(month, "season")
     extreme = metrics.extreme_quantile(pair, ["o", "p"], quantile, by="year")
     extreme_season = metrics.extreme_quantile(pair, ["o", "p"], quantile, by="season")
     year_map = _errors(year, CELL)
     valid_year = metrics.valid_pairs(year, "o", "p")
     parts = [
-        _part(resample.pooled_cycle(base, ["o", "p"]), "annual_cycle", ["o", "p"], "month"),
-        _part(metrics.r2(base, "o", "p"), "r2", ["r2"]),
-        _part(metrics.r2(base, "o", "p", CELL), "r2_map", ["r2"], cells=True),
-        _part(metrics.r2(anomaly, "o", "p"), "r2_anomaly", ["r2"]),
-        _part(metrics.r2(anomaly, "o", "p", CELL), "r2_anomaly_map", ["r2"], cells=True),
+        _part(resample.pooled_cycle(sums, ["o", "p"]) if wet else moments.means(month, "month", ()), "annual_cycle", ["o", "p"], "month"),
+        _part(r2(()), "r2", ["r2"]),
+        _part(r2(CELL), "r2_map", ["r2"], cells=True),
+        _part(moments.r2_anomaly(month), "r2_anomaly", ["r2"]),
+        _part(moments.r2_anomaly(month, CELL), "r2_anomaly_map", ["r2"], cells=True),
         _part(_errors(year), "yearly", ERRORS),
         _part(valid_year.agg(F.corr("p", "o").alias("corr")), "yearly", ["corr"]),
         _part(valid_year.groupBy("year").agg(F.corr("p", "o").alias("corr")), "yearly", ["corr"], "year"),
@@ -187,14 +189,12 @@ def verification_report(obs: DataFrame, pred: DataFrame, value: str, wet_thresho
     ]
     if wet:
         named = lambda d, *more: d.select(*more, F.col("f_wet_obs").alias("o"), F.col("f_wet_pred").alias("p"))
-        days = metrics.wet_days(pair, "o", "p", wet_threshold)
+        days = moments.wet_days(month)
         parts += [
             _part(days, "wet_days_map", ["n_wet_obs", "n_wet_pred"], cells=True),
             _part(_errors(named(days)), "wet_days", ERRORS),
-            _part(_errors(named(metrics.wet_frequency_by(pair, "o", "p", wet_threshold, by="season"), "season"), ["season"]),
-                  "wet_days_seasonal", ERRORS, "season"),
-            _part(metrics.wet_intensity(pair, "o", "p", wet_threshold).agg(F.avg("rel_bias").alias("rel_bias")),
-                  "wet_intensity", ["rel_bias"]),
+            _part(_errors(named(moments.wet_days(month, "season"), "season"), ["season"]), "wet_days_seasonal", ERRORS, "season"),
+            _part(moments.wet_intensity(month).agg(F.avg("rel_bias").alias("rel_bias")), "wet_intensity", ["rel_bias"]),
         ]
     return functools.reduce(DataFrame.unionByName, parts)
 
