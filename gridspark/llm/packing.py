@@ -67,9 +67,10 @@ class Packer:
         live = np.ones(len(self.waiting), bool)
         count = len(self.waiting)
         share = self.size / self.limits
+        tokens, loss = (np.ascontiguousarray(self.size[:, k]) for k in (0, 2))  # each piece is one segment
         while count > keep:
             pieces, left = [], self.limits.copy()
-            fits = live & (self.size <= left).all(1)
+            fits = live & (tokens <= left[0]) & (loss <= left[2])
             while fits.any():
                 choice = np.flatnonzero(fits)
                 best = choice[np.argmax(share[choice] @ (left / self.limits))]
@@ -77,7 +78,10 @@ class Packer:
                 left = left - self.size[best]
                 live[best] = fits[best] = False
                 count -= 1
-                fits &= (self.size <= left).all(1)
+                if not left[1]:
+                    break
+                fits &= tokens <= left[0]
+                fits &= loss <= left[2]
             if count and left[0] and left[1]:  # no whole piece fits: cut the longest to fill the rest
                 cut = np.flatnonzero(live)[np.argmax(self.size[live, 0])]
                 _, start, _, loss_from = self.waiting[cut]
@@ -87,6 +91,7 @@ class Packer:
                     pieces.append(first)
                     self.size[cut] = vector(self.waiting[cut])
                     share[cut] = self.size[cut] / self.limits
+                    tokens[cut], _, loss[cut] = self.size[cut]
             yield pieces
         self.waiting = [p for p, w in zip(self.waiting, live) if w]
         self.size = self.size[live]

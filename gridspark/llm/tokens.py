@@ -123,16 +123,19 @@ class WordIds:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        cut = [self._cut(t) for t in texts]
-        seen = set().union(*cut)
         if len(self.words) > MAX_CACHED // 2:  # the words of the last while stay, those not met since then go
             self.words, self.older = {}, self.words
-        words, older = self.words, self.older
-        new = seen.difference(words)
+        words, older, cut = self.words, self.older, [self._cut(t) for t in texts]
+        ids = [list(map(words.get, ws)) for ws in cut]
+        gaps = [[i for i, x in enumerate(found) if x is None] for found in ids]
+        new = {ws[i] for ws, at in zip(cut, gaps) for i in at}
         words.update((w, older[w]) for w in new if w in older)
         learned = self._learn(new.difference(words))
         words.update(learned)
-        out = [b"".join(map(words.__getitem__, ws)) for ws in cut]
+        for ws, found, at in zip(cut, ids, gaps):
+            for i in at:
+                found[i] = words[ws[i]]
+        out = [b"".join(found) for found in ids]
         for w in learned:
             if len(w) > MAX_WORD:
                 del words[w]
