@@ -197,31 +197,3 @@ def verification_report(obs: DataFrame, pred: DataFrame, value: str, wet_thresho
             _part(moments.wet_intensity(month).agg(F.avg("rel_bias").alias("rel_bias")), "wet_intensity", ["rel_bias"]),
         ]
     return functools.reduce(DataFrame.unionByName, parts)
-
-
-def sweep(predictors: DataFrame, predictands: dict[str, DataFrame], features: Sequence[str],
-          matrix: DataFrame, out_root: str, predictor_names: Sequence[str] = (),
-          levels: Sequence[int] = (), static: DataFrame | None = None, doy: bool = True,
-          calibration=("1985-01-01", "2016-01-01"), validation=("2016-01-01", "2020-12-31"),
-          params: dict | None = None) -> list[str]:
-    """J9 + S11 + S9 + C6: run every (predictand, threshold, model) row of
-    the run matrix (``functions.naming.run_matrix``) as one downscaling job
-    and write its predictions under the run key; a run whose output exists
-    is skipped. The matrix has a handful of rows (bounded by the parameter
-    lists); each run itself is a distributed job. Returns the run keys."""
-    from ..functions.naming import run_key
-    from ..sources.sinks import finished, write_grid
-
-    keys = []
-    named = matrix.withColumn("run_key", run_key(predictor_names, levels, dem=static is not None, doy=doy))
-    for r in named.orderBy("predictand", "wet_day_threshold", "model").collect():
-        threshold, key = r["wet_day_threshold"], r["run_key"]
-        target = f"{out_root.rstrip('/')}/{key}"
-        keys.append(key)
-        if finished(predictors.sparkSession, target):
-            continue   # S9: a finished run is not redone, a broken one is
-        pred = downscale(predictors, predictands[r["predictand"]], r["predictand"], features, model=r["model"],
-                         static=static, doy=doy, split_mode="stratified" if r["stratify"] else "period",
-                         calibration=calibration, validation=validation, wet_threshold=threshold, params=params)
-        write_grid(pred, target, if_exists="overwrite")
-    return keys

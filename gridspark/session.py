@@ -6,9 +6,12 @@ in settings that are still unset, so a cluster's own configuration wins.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,7 +61,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="gridspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if spark.sparkContext.getCheckpointDir() is None:   # each setting makes one more folder
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
@@ -80,5 +84,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     reads are column-pruned, and the rows are computed once.
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)   # before the write: what a failed one left goes as well
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# The paths that the innermost scope of this thread has written.
+_SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("staged", default=None)
+
+
+@contextlib.contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """S12 with an end: the tables that :func:`written` makes inside go when the
+    scope ends, well or not. For jobs that write their result; a lazy result
+    must be written before the end, as it reads these tables."""
+    paths: list[str] = []
+    token = _SCOPE.set(paths)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for path in paths:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete a folder of the shared file system, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

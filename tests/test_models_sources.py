@@ -201,18 +201,18 @@ def test_read_bands_and_keep_known_and_concat(spark):
 
 
 def test_sweep_writes_one_folder_per_run(spark):
-    from gridspark.plans import jobs
+    from gridspark.plans import sweep
     p, o = _grids(spark, days=300)
     m = naming.run_matrix(spark, ["pr"], [0.5], ["GBTRegressor", "RandomForestRegressor"])
     out = tempfile.mkdtemp(prefix="gridspark-sweep-")
-    keys = jobs.sweep(p, {"pr": o}, ["a"], m, out, predictor_names=["total_precipitation"],
+    keys = sweep.sweep(p, {"pr": o}, ["a"], m, out, predictor_names=["total_precipitation"],
                       calibration=("2000-01-01", "2000-08-01"), validation=("2000-08-01", "2001-01-01"),
                       params={"maxDepth": 3})
     assert keys == ["GBTRegressor_pr_pr_0.5mm_doy", "RandomForestRegressor_pr_pr_0.5mm_doy"]
     for k in keys:
         assert spark.read.parquet(os.path.join(out, k)).count() > 0
     # a second sweep finds the outputs and leaves them as they are
-    assert jobs.sweep(p, {"pr": o}, ["a"], m, out, predictor_names=["total_precipitation"],
+    assert sweep.sweep(p, {"pr": o}, ["a"], m, out, predictor_names=["total_precipitation"],
                       params={"maxDepth": 3}) == keys
 
 
