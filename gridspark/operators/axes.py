@@ -49,6 +49,23 @@ def numeric_axes(df: DataFrame, cols: Sequence[str]) -> dict[str, DataFrame]:
     return {c: every.where(F.col("axis") == c).select("s") for c in cols}
 
 
+def axis_positions(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, tuple[int, float, float]]]:
+    """W5 for several axes at once: ``(axis, i, *cols)``, the position of every
+    label of each axis with the label in the axis' own column; and by axis the
+    number of labels and the least and largest one as numbers.
+
+    One pass over the data finds the labels, one job ranks all of them.
+    """
+    labels = [F.struct(F.lit(c).alias("axis"), _numeric(df, c).alias("s"),
+                       *[(F.col(k) if k == c else F.lit(None).cast(df.schema[k].dataType)).alias(k) for k in cols]) for c in cols]
+    every = df.select(F.explode(F.array(*labels)).alias("p")).select("p.*").where("s is not null").distinct()
+    every = written(every, "axes")
+    ends = {r.axis: (r.n, r.lo, r.hi) for r in every.groupBy("axis").agg(
+        F.count(F.lit(1)).alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).collect()}   # a row for each axis
+    order = ranked(every, "s", "i", by=["axis"]).select("axis", "i", *cols)
+    return written(order, "axes"), {c: ends.get(c, (0, 0.0, 0.0)) for c in cols}
+
+
 def _numeric(df: DataFrame, col: str) -> Column:
     t = df.schema[col].dataType
     if isinstance(t, DateType):

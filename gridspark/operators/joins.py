@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .axes import axis_index, checked_broadcast
+from .axes import axis_positions, checked_broadcast
 from .resample import CELL
 
 KEYS = ("time", *CELL)
@@ -70,15 +70,17 @@ def sel_labels(df: DataFrame, other: DataFrame, col: str = "time", strict: bool
 def align_positional(a: DataFrame, b: DataFrame, axes: Sequence[str] = KEYS) -> DataFrame:
     """Give ``b`` the coordinates of ``a`` by position on each axis
     (``xr.align(join='override')``). Axis lengths must match."""
+    (pa, size), (pb, size_b) = axis_positions(a, axes), axis_positions(b, axes)
+    for ax in axes:
+        if size[ax][0] != size_b[ax][0]:
+            raise ValueError(f"axis {ax!r} has {size[ax][0]} labels in the first grid and {size_b[ax][0]} in the second")
+    new = pa.select("axis", "i", *[F.col(c).alias(f"__new_{c}") for c in axes])
+    relabel = written(pb.join(new, ["axis", "i"]).drop("i"), "axes")
     out = b
     for ax in axes:
-        ia, ib = (written(axis_index(d, ax, "__p"), "axis") for d in (a, b))
-        na, nb = ia.count(), ib.count()
-        if na != nb:
-            raise ValueError(f"axis {ax!r} has {na} labels in the first grid and {nb} in the second")
-        relabel = ib.withColumnRenamed(ax, "__old").join(ia, "__p").drop("__p")
+        one = relabel.where(F.col("axis") == ax).select(F.col(ax).alias("__old"), F.col(f"__new_{ax}").alias(ax))
         out = (out.withColumnRenamed(ax, "__old")
-                  .join(checked_broadcast(relabel, na), "__old").drop("__old"))
+                  .join(checked_broadcast(one, size[ax][0]), "__old").drop("__old"))
     return out
 
 

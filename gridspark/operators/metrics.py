@@ -174,13 +174,23 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int,
     return df.where(v.isNotNull()).groupBy(*by, b).agg(F.count(F.lit(1)).alias("n"))
 
 
-def kde(df: DataFrame, value: str, lo: float, hi: float, points: int, bandwidth: float) -> DataFrame:
+def kde(df: DataFrame, value: str, lo: float | None = None, hi: float | None = None, points: int = 200,
+        bandwidth: float | None = None) -> DataFrame:
     """A29 density curve: Gaussian kernel density at ``points`` places from
-    ``lo`` to ``hi``.
+    ``lo`` to ``hi``; by default from the least to the largest value, with
+    Scott's bandwidth ``std * n ** -0.2``.
 
     One aggregate with one exact kernel sum for each place, over all values,
-    also those outside ``[lo, hi]``.
+    also those outside ``[lo, hi]``; the defaults take one more, of four numbers.
+    Without a value or a spread there is no curve.
     """
+    if lo is None or hi is None or bandwidth is None:
+        n, sd, least, most = df.agg(F.count(value), F.stddev_samp(F.col(value)), F.min(value), F.max(value)).first()
+        lo, hi = least if lo is None else lo, most if hi is None else hi
+        if bandwidth is None:
+            bandwidth = sd * n ** -0.2 if sd else None
+        if lo is None or not bandwidth:
+            return df.sparkSession.createDataFrame([], "x double, density double")
     step = (hi - lo) / (points - 1) if points > 1 else 0.0
     norm = 1.0 / (bandwidth * (2.0 * 3.141592653589793) ** 0.5)
     places = [lo + k * step for k in range(points)]

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .axes import axis_index, checked_broadcast, numeric_axes
+from .axes import axis_positions, checked_broadcast
 
 # window cell names: a b c is the northern row, d e f the row of the pixel
 # edge filling: a missing neighbour is extrapolated linearly along the axis
@@ -52,19 +52,16 @@ def _spread(df: DataFrame, at: str, keep: str, values: dict[str, tuple[str, int]
     return sent.groupBy(keep, at).agg(*[F.max(F.when(F.col("__o") == o, F.col(c))).alias(n) for n, (c, o) in values.items()])
 
 
-def neighbourhood(df: DataFrame, value: str, y: str = "y", x: str = "x", axes: dict | None = None) -> DataFrame:
+def neighbourhood(df: DataFrame, value: str, y: str = "y", x: str = "x", axes: tuple | None = None) -> DataFrame:
     """Every pixel with its 3x3 window as columns ``a .. i`` (edges filled).
 
     First each pixel's value goes to its left and right neighbours, then each
     row's triples go to the rows above and below: 3 + 3 copies instead of 9.
     A pixel without a value stays, with its neighbours.
     """
-    axes = axes or numeric_axes(df, [y, x])
-    iy = axis_index(axes[y].select(F.col("s").alias("__y")), "__y", "__r")
-    ix = axis_index(axes[x].select(F.col("s").alias("__x")), "__x", "__c")
-    iy, ix = checked_broadcast(iy), checked_broadcast(ix)
-    d = df.select(F.col(y).cast("double").alias("__y"), F.col(x).cast("double").alias("__x"), y, x, value)
-    d = d.join(iy, "__y").join(ix, "__x").select("__r", "__c", y, x, F.col(value).cast("double").alias("__v"))
+    at, size = axes or axis_positions(df, [y, x])
+    place = lambda c, name: checked_broadcast(at.where(F.col("axis") == c).select(c, F.col("i").alias(name)), size[c][0])
+    d = df.join(place(y, "__r"), y).join(place(x, "__c"), x).select("__r", "__c", y, x, F.col(value).cast("double").alias("__v"))
     here = F.struct(F.col(y).alias("y"), F.col(x).alias("x"))
     row = _spread(d.withColumn("__here", here), "__c", "__r", {
         "w": ("__v", -1), "m": ("__v", 0), "n": ("__v", 1), "__at": ("__here", 0)})
@@ -83,9 +80,9 @@ def _gradients(ew_res: float, ns_res: float):
     return dx, dy
 
 
-def spacing(labels: DataFrame) -> float:
+def spacing(size: tuple[int, float, float]) -> float:
     """Mean step of an axis (1 for an axis of one label)."""
-    lo, hi, n = labels.agg(F.min("s"), F.max("s"), F.count(F.lit(1))).first()
+    n, lo, hi = size
     return (hi - lo) / (n - 1) if n > 1 else 1.0
 
 
@@ -95,9 +92,9 @@ def slope_aspect(df: DataFrame, value: str = "z", y: str = "y", x: str = "x",
     (0 = north, clockwise); a flat window has no aspect, and a pixel without a
     value (or without the neighbours to fill its window from) has neither. The resolutions are taken from the axes
     unless they are given."""
-    axes = numeric_axes(df, [y, x])
-    ew = spacing(axes[x]) if ew_res is None else ew_res
-    ns = spacing(axes[y]) if ns_res is None else ns_res
+    axes = axis_positions(df, [y, x])
+    ew = spacing(axes[1][x]) if ew_res is None else ew_res
+    ns = spacing(axes[1][y]) if ns_res is None else ns_res
     w = neighbourhood(df, value, y, x, axes)
     has = F.col("e").isNotNull()
     dx, dy = _gradients(ew, ns)

@@ -1219,4 +1219,4 @@ def q_split_tail(spark, sf):
 
 
 # the queries of these modules register themselves
-from . import queries_curvilinear, queries_models  # noqa: E402,F401
+from . import queries_curvilinear, queries_files, queries_models  # noqa: E402,F401

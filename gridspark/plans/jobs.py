@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.naming import REGRID_MODES, validate_names
 from ..functions.scalar import kelvin_to_celsius
-from ..operators import joins, metrics, models, moments, regrid, resample, split
+from ..operators import joins, metrics, models, moments, regrid, resample, ridge, split
 from ..operators.resample import CELL
 from ..session import written
 
@@ -85,8 +85,10 @@ def downscale(predictors: DataFrame, predictand: DataFrame, target: str, feature
               validation=("2016-01-01", "2020-12-31"), wet_threshold: float = 0.0, valid_size: float = 0.2,
               params: dict | None = None, seed: int = 42) -> DataFrame:
     """Features (M7) + split (O4 fixed periods, or O2 wet-day stratified
-    inside the calibration period) + one distributed tree model over all cells
-    (M2) -> the prediction grid (M4)."""
+    inside the calibration period) + a model -> the prediction grid (M4). The
+    model is one distributed tree model over all cells (M2), or with
+    ``model="Ridge"`` one of its own for each complete cell (M1; ``params`` has
+    its ``penalty``)."""
     feat = models.assemble_features(predictors, static, doy=doy)
     data = joins.combine(feat, predictand.select("time", *CELL, target))
     feats = list(features) + (["sin_doy", "cos_doy"] if doy else [])
@@ -98,6 +100,9 @@ def downscale(predictors: DataFrame, predictand: DataFrame, target: str, feature
         data = split.attach_split(cal, labels)
     else:
         raise ValueError(f"unknown split {split_mode!r}")
+    if model == "Ridge":
+        cells = ridge.fit(data.where("split = 'train'"), feats, target, **(params or {}))
+        return ridge.predict(data.where("split = 'valid'"), feats, cells).select("time", *CELL, target, "prediction")
     return models.fit_predict_pooled(data, feats, target, model=model, seed=seed, **(params or {}))
 
 
@@ -112,6 +117,15 @@ def tune(predictors: DataFrame, predictand: DataFrame, target: str, features: Se
     return split.best_trial(models.search(sub, [*features, "sin_doy", "cos_doy"], target, trials, model=model, seed=seed))
 
 
+def tune_cells(data: DataFrame, features: Sequence[str], target: str, sampled: tuple[DataFrame, DataFrame] | None = None,
+               n_per_axis: int = 10, seed: int = 42, **options) -> DataFrame:
+    """C7 with a model for each cell: sampled sub-grid (O5, J10) -> drawn
+    parameter sets, scored from moments by their mean RMSE over its cells
+    (M5, M6) -> the best one (O6). ``data`` has the split as a column."""
+    sampled = sampled or split.sample_cells(data, n_per_axis, seed=seed)
+    return ridge.tuned(split.reduced_grid(data, sampled), features, target, seed=seed, **options)
+
+
 def _part(df: DataFrame, part: str, names: Sequence[str], period: str | None = None,
           cells: bool = False) -> DataFrame:
     """Rows (part, period, y, x, metric, value) of the columns ``names``."""

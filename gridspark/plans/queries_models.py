@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import boosting, models, ridge, split
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_fixtures
+from . import jobs
 from .catalog import FEATURES, model_input, register
 
 PERIODS = (("1990-01-01", "1997-01-01"), ("1997-01-01", "2010-01-01"))
@@ -116,6 +117,33 @@ def q_search_ridge_best(spark, sf):
     return ridge.tuned(ridge_input(fx.grid_wide(spark, sf)), RIDGE_FEATURES, "o", n_trials=TRIALS, space=SPACE, seed=SEED)
 
 
+@register("job_downscale_cells", with_fixtures(f"""with {_moments_sql('pair_holes')}, {_MODEL_SQL}
+select time, y, x, o, prediction from pred where o is not null or time is not null""", "pair_holes"), ("o", "prediction"))
+def q_job_downscale_cells(spark, sf):
+    """Predictors and predictand joined, split by period, a ridge model for each complete cell."""
+    d = fx.pair_holes(spark, sf)
+    p = d.select("time", "y", "x", "p", F.dayofyear("time").cast("double").alias("yday"))
+    return jobs.downscale(p, d.select("time", "y", "x", "o"), "o", RIDGE_FEATURES, model="Ridge", doy=False,
+                          calibration=PERIODS[0], validation=PERIODS[1], params={"penalty": PENALTY})
+
+
+_REDUCED_SQL = """ay as (select y, row_number() over (order by y) - 1 as i from (select distinct y from pair_daily)),
+sy as (select y from ay order by (i * 7919 + 42) % 10007, i limit 2),
+ax as (select x, row_number() over (order by x) - 1 as i from (select distinct x from pair_daily)),
+sx as (select x from ax order by (i * 7919 + 43) % 10007, i limit 2),
+small as (select * from pair_daily where y in (select y from sy) and x in (select x from sx)),
+"""
+
+
+@register("job_tune_cells", with_fixtures(
+    f"with {_REDUCED_SQL}{_SEARCH_SQL.replace('from grid_wide where', 'from small where')[5:]} order by rmse, trial limit 1", "pair_daily"), ("penalty", "rmse"))
+def q_job_tune_cells(spark, sf):
+    """A sampled sub-grid, fifty drawn parameter sets, the best of them."""
+    d = ridge_input(fx.pair_daily(spark, sf))
+    sampled = split.sample_cells(d, 2, order_keys={"y": (F.col("i") * 7919 + 42) % 10007, "x": (F.col("i") * 7919 + 43) % 10007})
+    return jobs.tune_cells(d, RIDGE_FEATURES, "o", sampled, n_trials=TRIALS, space=SPACE, seed=SEED)
+
+
 @register("model_adaboost_r2", None)
 def q_model_adaboost_r2(spark, sf):
     """M2: AdaBoost.R2 over all cells."""
