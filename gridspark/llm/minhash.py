@@ -23,8 +23,9 @@
 Defined results: null or empty text, or one without words: empty set, linked
 with nothing; fewer words than a shingle: the whole sequence is the one
 shingle; rows without an id are linked with nothing and have a null component;
-rows that repeat an id count as one document (one of its texts is compared,
-and the classes of all its texts are one component);
+rows that repeat an id count as one document: each of its different texts is
+compared, and whatever is linked with one of them is in one component (a row
+without words stays by itself, also beside other texts of its id);
 an empty table gives an empty table; other columns of the input are ignored.
 
 Scale: nothing is broadcast and nothing is collected. Equal sets are merged by
@@ -175,7 +176,7 @@ def second_bands(sets: DataFrame, bands: int, rows: int, seed: int) -> DataFrame
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, copies, s) of the rows in ``wanted`` (id, t, copies), their sets made again from the texts."""
+    """(id, copies, s) of the rows in ``wanted`` (doc, t, id, copies), their sets made again from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -186,7 +187,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 [b.column("id"), b.column("copies"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
                 names=["id", "copies", "s"])
 
-    texts = with_text_key(docs).join(wanted.hint("shuffle_hash"), ["id", "t"]).dropDuplicates(["id", "t"])
+    texts = with_text_key(docs).withColumnRenamed("id", "doc").join(wanted.hint("shuffle_hash"), ["doc", "t"]).dropDuplicates(["id", "t"])
     return texts.select("id", "copies", "text").mapInArrow(run, "id long, copies long, s array<long>")
 
 
@@ -251,6 +252,24 @@ def components(links: DataFrame, staged: Staged) -> DataFrame:
             return label.select("id", "component")
 
 
+def numbered(known: DataFrame, staged: Staged) -> tuple[DataFrame, DataFrame]:
+    """``known`` with ``doc`` (its id) and an ``id`` that stands for one set only; and the ids that have several sets.
+
+    An id keeps its number for its least digest; its other sets get numbers
+    above all ids, from a written table, so a task that runs again sees the same.
+    """
+    top = known.agg(F.max("id")).first()[0]
+    sets = known.groupBy("id").agg(F.min("digest").alias("least"), F.max("digest").alias("most"))
+    several = staged.write(sets.where("least <> most").select(F.col("id").alias("doc"), "least"))
+    own = known.withColumn("doc", F.col("id"))
+    if several.isEmpty():
+        return own, several.select("doc")
+    more = staged.write(own.select("doc", "digest").join(several, "doc").where("digest <> least").select("doc", "digest").distinct())
+    more = staged.write(more.withColumn("extra", F.lit(top) + 1 + F.monotonically_increasing_id()))
+    given = own.join(more, ["doc", "digest"], "left")
+    return given.withColumn("id", F.coalesce("extra", "id")).drop("extra"), several.select("doc")
+
+
 def near_dups(
     docs: DataFrame, *, threshold_pct: int = 85, width: int = 5, bands: int | None = None, rows: int = 5, split_above: int = 32,
     bands2: int = 300, rows2: int | None = None, batch: int = 24, miss: float = 1e-6, miss2: float = 1e-5, seed: int = 7,
@@ -264,14 +283,15 @@ def near_dups(
     rows2 = rows2 or rows_for(threshold_pct / 100, bands2, miss2)
     limits = prune_limits(bands * rows, batch, threshold_pct / 100, miss)
     rows_ = staged.write(describe(docs, bands, rows, width, seed))
-    known = rows_.where("digest is not null and id is not null")
+    known, several = numbered(rows_.where("digest is not null and id is not null"), staged)
     classes = staged.write(known.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     in_class = known.join(classes, "digest")
-    reps = in_class.where("id = rep").select("id", "t", "n_shingles", "sig", "copies")
-    reps = staged.write(reps.dropDuplicates(["id"]))
-    # an id that repeats with other texts is in several classes, which are then one component
-    same_id = in_class.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    same_id = same_id.join(reps.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
+    reps = in_class.where("id = rep").select("id", "doc", "t", "n_shingles", "sig", "copies")
+    reps = staged.write(reps.dropDuplicates(["id"]))   # rows of one number have one set
+    # the classes of all texts of an id are one component
+    texts_of_id = known.select("doc", "digest").join(several, "doc", "left_semi").distinct().join(classes, "digest").select("doc", "rep").distinct()
+    low = texts_of_id.groupBy("doc").agg(F.min("rep").alias("a"))
+    same_id = staged.write(texts_of_id.join(low, "doc").where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
 
     def heads(bands_of: DataFrame) -> DataFrame:
         """Size and hub of each bucket of two or more."""
@@ -288,7 +308,7 @@ def near_dups(
 
     in_bucket = bucketed(first_bands(reps, bands))
     crowded = in_bucket.where(F.col("size") > split_above).select("id").distinct()
-    crowded = full_sets(docs, reps.join(crowded, "id", "left_semi").select("id", "t", "copies"), width)
+    crowded = full_sets(docs, reps.join(crowded, "id", "left_semi").select("doc", "t", "id", "copies"), width)
     in_second = bucketed(second_bands(crowded, bands2, rows2, seed))
 
     def compared(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -297,7 +317,7 @@ def near_dups(
         near = pairs.join(sig_a, "a").join(sig_b, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold_pct)
         alive = staged.write(sequential(near, limits))
         wanted = alive.select(F.col("a").alias("id")).union(alive.select("b")).distinct()
-        wanted = reps.join(wanted, "id", "left_semi").select("id", "t", "copies")
+        wanted = reps.join(wanted, "id", "left_semi").select("doc", "t", "id", "copies")
         sets = staged.write(full_sets(docs, wanted, width).select("id", "s"))
         set_a, set_b = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s_{c}")) for c in ("a", "b"))
         out = staged.write(alive.join(set_a, "a").join(set_b, "b").select(

@@ -61,6 +61,23 @@ def test_repeated_and_missing_ids(spark):
     assert left == [(0, a), (3, b)]
 
 
+def test_every_text_of_a_repeated_id_links(spark):
+    """What is near one text of an id is linked with all that is near another one."""
+    rng = random.Random(2)
+    x, q, a, b = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for _ in range(4))
+    near = lambda t: t + " more"
+    for docs, want in (
+        ([(1, x), (1, q), (5, near(x)), (6, near(q))], {1: {1}, 5: {1}, 6: {1}}),
+        ([(1, a), (2, b), (9, a), (9, b)], {1: {1}, 2: {1}, 9: {1}}),
+        ([(4, a), (4, b), (4, x), (3, near(b)), (7, near(x)), (8, q)], {3: {3}, 4: {3}, 7: {3}, 8: {8}}),
+        ([(5, a), (5, b), (6, b), (6, q), (7, q), (7, x), (9, near(x))], {i: {5} for i in (5, 6, 7, 9)}),
+    ):
+        got = {}
+        for r in minhash.near_dups(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+            got.setdefault(r.doc_id, set()).add(r.component_id)
+        assert got == want
+
+
 def test_empty_table(spark):
     assert minhash.near_dups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
