@@ -1,11 +1,12 @@
 """Line dedup by levelled sorted runs of line hashes.
 
-Documents are taken in batches. The line hashes of a batch are one sorted run
-``(h1, h2, n_docs, max_doc, fresh)``. A new batch is merge-joined with the
-runs so far; the hashes that none of them holds are its fresh ones. Runs are
-kept in levels: when a level holds ``fanout`` runs they are merged into one
-run of the next level. After the last batch the sums over all runs tell which
-lines are in at least ``min_docs`` documents.
+Documents are taken in batches, and the line hashes of a batch are counted:
+``(h1, h2, n_docs, max_doc)``. A merge-anti-join with the runs so far gives the
+hashes that none of them holds; these, sorted, are the batch's own run, so a hash is
+in one run only. Hashes that a run holds are updates of its count. Runs are
+kept in levels: when a level holds ``fanout`` runs they are compacted into one
+run of the next level. After the last batch the runs with the sums of their
+updates tell which lines are in at least ``min_docs`` documents.
 
 Defined results:
 
@@ -62,41 +63,48 @@ def line_hashes(docs: DataFrame, min_key: int, batches: int) -> DataFrame:
     )
 
 
-def merged(runs: list[DataFrame]) -> DataFrame:
-    """One sorted run with the sums of several."""
-    return (
-        reduce(DataFrame.unionByName, runs)
-        .groupBy(*KEY)
-        .agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.bool_or("fresh").alias("fresh"))
-        .sortWithinPartitions(*KEY)
-    )
+def compacted(runs: list[DataFrame]) -> DataFrame:
+    """One sorted run of several; no hash is in two of them."""
+    return reduce(DataFrame.unionByName, runs).repartition(*KEY).sortWithinPartitions(*KEY)
 
 
-def runs_of(lines: DataFrame, staged: Staged, batches: int, fanout: int) -> list[DataFrame]:
-    """The sorted runs left after all batches, level by level."""
+def runs_of(lines: DataFrame, staged: Staged, batches: int, fanout: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The sorted runs left after all batches, level by level, and the updates of their counts."""
     levels: list[list[DataFrame]] = [[]]
+    updates = []
     for b in range(batches):
-        new = (
+        new = staged.write(
             lines.where(F.col("_ld_batch") == b)
             .groupBy(*KEY)
             .agg(F.count_distinct("_ld_doc").alias("n_docs"), F.max("_ld_doc").alias("max_doc"))
         )
-        before = [r for level in levels for r in level]
+        before = [r.select(*KEY) for level in levels for r in level]
+        fresh = new
         if before:
-            known = reduce(DataFrame.unionByName, before).where("fresh").select(*KEY, F.lit(False).alias("fresh"))
-            new = new.join(known.hint("merge"), KEY, "left").withColumn("fresh", F.coalesce("fresh", F.lit(True)))
-        else:
-            new = new.withColumn("fresh", F.lit(True))
-        levels[0].append(staged.write(new.sortWithinPartitions(*KEY)))
+            known = reduce(DataFrame.unionByName, before).hint("merge")
+            fresh = new.join(known, KEY, "left_anti")
+            updates.append(staged.write(new.join(known, KEY, "left_semi")))
+        levels[0].append(staged.write(fresh.sortWithinPartitions(*KEY)))
+        staged.drop(new)
         k = 0
         while len(levels[k]) >= fanout:
             if k + 1 == len(levels):
                 levels.append([])
-            levels[k + 1].append(staged.write(merged(levels[k])))
+            levels[k + 1].append(staged.write(compacted(levels[k])))
             staged.drop(*levels[k])
             levels[k] = []
             k += 1
-    return [r for level in levels for r in level]
+    return [r for level in levels for r in level], updates
+
+
+def totals(runs: list[DataFrame], updates: list[DataFrame]) -> DataFrame:
+    """(h1, h2, n_docs, max_doc) over all batches: each run's row with the updates of its hash."""
+    rows = reduce(DataFrame.unionByName, runs)
+    if not updates:
+        return rows
+    more = reduce(DataFrame.unionByName, updates).groupBy(*KEY).agg(F.sum("n_docs").alias("_ld_more"), F.max("max_doc").alias("_ld_max"))
+    return rows.join(more, KEY, "left").select(
+        *KEY, (F.col("n_docs") + F.coalesce("_ld_more", F.lit(0))).alias("n_docs"), F.greatest("max_doc", "_ld_max").alias("max_doc"))
 
 
 def dedup_lines(docs: DataFrame, min_key: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -104,15 +112,15 @@ def dedup_lines(docs: DataFrame, min_key: int = 20, min_docs: int = 3, batches:
     spark = docs.sparkSession
     staged = Staged(spark, "line-dedup")
     lines = staged.write(line_hashes(docs, min_key, batches))
-    runs = runs_of(lines, staged, batches, fanout)
-    often = staged.write(merged(runs).where(F.col("n_docs") >= min_docs).select(*KEY, "max_doc"))
+    runs, updates = runs_of(lines, staged, batches, fanout)
+    often = staged.write(totals(runs, updates).where(F.col("n_docs") >= min_docs).select(*KEY, "max_doc"))
     drops = staged.write(
         lines.join(often, KEY)
         .where(F.col("_ld_doc") != F.col("max_doc"))
         .groupBy(*ROW)
         .agg(F.array_sort(F.collect_set("_ld_pos")).alias("_ld_drop"))
     )
-    staged.drop(lines, often, *runs)
+    staged.drop(lines, often, *runs, *updates)
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumns({"_ld_doc": F.col("doc_id"), "_ld_text": F.xxhash64(text)})
     joined = rows.join(drops.hint("shuffle_hash"), ROW, "left").withColumn("_ld_lines", F.split(text, "\n", -1))

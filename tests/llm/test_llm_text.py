@@ -105,6 +105,24 @@ def test_line_dedup_does_not_hang_on_the_batches(spark, batches, fanout):
     assert out == sorted(brute.kept_lines(rows(docs, "doc_id", "text")))
 
 
+def test_a_line_hash_is_in_one_run_only(spark):
+    """The anti-join decides what a batch adds: fresh hashes become its run, known ones update counts."""
+    from collections import Counter
+
+    from gridspark.llm.common import Staged
+    docs = [(i, "\n".join(f"a line of the pool with number {k}" for k in range(40) if (i * 7 + k) % (1 + k % 9) == 0)) for i in range(60)]
+    staged = Staged(spark, "test-runs")
+    lines = staged.write(line_dedup.line_hashes(spark.createDataFrame(docs, "doc_id long, text string"), 20, 6))
+    runs, updates = line_dedup.runs_of(lines, staged, 6, 2)
+    key = lambda r: (r._ld_h1, r._ld_h2)
+    held = Counter(key(r) for run in runs for r in run.collect())
+    changed = [[key(r) for r in u.collect()] for u in updates]
+    assert set(held.values()) == {1} and len(held) == 40 and len(runs) == 2  # six batches of fanout 2: levels of 4 and 2 batches
+    assert len(changed) == 5 and all(changed) and all(k in held for u in changed for k in u)
+    n = Counter(key(r) for r in lines.select("_ld_doc", *line_dedup.KEY).distinct().collect())
+    assert {key(r): r.n_docs for r in line_dedup.totals(runs, updates).collect()} == n
+
+
 def test_quality_counts_equal_brute_force(spark):
     docs = list(enumerate(texts(300, 4, ["a", "b ", " c ", "word ", "word ", "\n", "#", "*", "line one\n", "\x1c", "\xa0", "é ", "\t"])))
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
