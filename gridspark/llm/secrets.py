@@ -101,6 +101,7 @@ def scan(docs: DataFrame, repo: Column, owner: Column, copied_owners: int = 3) -
     per_owner = per_doc.groupBy("hash", "_ss_owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
     often = per_owner.groupBy("hash").agg(
         F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_matches"))
+    often = staged.write(often)  # a plain table, so that Spark can split the join of a hot value
     judged = one.join(often, "hash").withColumn("copied", F.col("n_owners") >= copied_owners)
     base = F.col("kind") < len(BASE)
     spans = (
