@@ -111,18 +111,18 @@ def ranked(df: DataFrame, col: str, name: str, by: Sequence[str] = (), buckets:
     return out.withColumn(name, F.col("__o") + F.col("__l")).drop("__b", "__o", "__l")
 
 
-def neighbours(labels: DataFrame, col: str, buckets: int | None = None) -> DataFrame:
-    """The labels of an axis with the next lower (``p``) and next higher
-    (``n``) one. Inside a value bucket they are the rows before and after; at
-    its ends they come from the buckets beside it."""
-    d = _bucketed(labels.select(col), col, (), buckets)
-    here = Window.partitionBy("__b").orderBy(col)
-    local = d.select(col, "__b", F.lag(col).over(here).alias("p"), F.lead(col).over(here).alias("n"))
-    beside = Window.partitionBy(F.lit(0)).orderBy("__b")
-    ends = d.groupBy("__b").agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
-    ends = ends.select("__b", F.lag("hi").over(beside).alias("__p"), F.lead("lo").over(beside).alias("__n"))
-    out = local.join(F.broadcast(ends), "__b")   # at most one row per bucket
-    return out.select(col, F.coalesce("p", "__p").alias("p"), F.coalesce("n", "__n").alias("n"))
+def neighbours(labels: DataFrame, col: str, buckets: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """The labels of an axis (or of each axis of ``by``) with the next lower
+    (``p``) and next higher (``n``) one. Inside a value bucket they are the
+    rows before and after; at its ends they come from the buckets beside it."""
+    d = _bucketed(labels.select(*by, col), col, by, buckets)
+    here = Window.partitionBy(*by, "__b").orderBy(col)
+    local = d.select(*by, col, "__b", F.lag(col).over(here).alias("p"), F.lead(col).over(here).alias("n"))
+    beside = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__b")
+    ends = d.groupBy(*by, "__b").agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
+    ends = ends.select(*by, "__b", F.lag("hi").over(beside).alias("__p"), F.lead("lo").over(beside).alias("__n"))
+    out = local.join(F.broadcast(ends), [*by, "__b"])   # at most one row per bucket (and axis)
+    return out.select(*by, col, F.coalesce("p", "__p").alias("p"), F.coalesce("n", "__n").alias("n"))
 
 
 def axis_index(df: DataFrame, col: str, name: str = "i", buckets: int | None = None) -> DataFrame:

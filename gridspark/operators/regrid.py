@@ -12,17 +12,19 @@ No range join or 2-D weight table touches the data. When the input is
 partitioned by time, the corners of a target fall into the same task, so
 the partial aggregate collapses them before the shuffle.
 
-A curvilinear source needs a user-supplied 2-D weight table
-``[sy, sx, ty, tx, w]``: :func:`apply_weights` takes it.
+A curvilinear source has a 2-D weight table ``[sy, sx, ty, tx, w]``:
+:func:`apply_weights` takes one from anywhere, :mod:`.curvilinear` makes them.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .axes import checked_broadcast, neighbours, numeric_axes
 
 # ----------------------------------------------------------------- axes
@@ -42,8 +44,25 @@ def _labels(df: DataFrame, col: str) -> DataFrame:
     return numeric_axes(df, [col])[col]
 
 
+# Tables of labels have a column ``axis``, so that one job makes the weights of both axes.
+AXIS = ["axis"]
+
+
+def _ends(*tables: tuple[DataFrame, str, str]) -> DataFrame:
+    """``(axis, lo, hi, buckets)``: the extent of labels or cells, and as many buckets as the shortest table has rows."""
+    each = [t.groupBy("axis").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.count(F.lit(1)).alias("n")) for t, lo, hi in tables]
+    every = functools.reduce(DataFrame.unionByName, each)
+    return every.groupBy("axis").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("n").alias("buckets"))
+
+
+def _bucket(c: Column) -> Column:
+    """Equal-width value bucket between ``lo`` and ``hi``; values beyond them fall in the outer buckets."""
+    inner = F.floor(F.try_divide(c - F.col("lo"), F.col("hi") - F.col("lo")) * F.col("buckets"))
+    return F.coalesce(F.least(F.greatest(inner, F.lit(0)), F.col("buckets") - 1), F.lit(0)).cast("int")
+
+
 def _bracket(src: DataFrame, tgt: DataFrame) -> DataFrame:
-    """For each target label ``t``: the nearest source labels ``a <= t <= b``
+    """For each target label ``t`` of an axis: the nearest source labels ``a <= t <= b``
     (``a = b = t`` on an exact hit). Below the source range ``a`` is
     missing, above it ``b``.
 
@@ -51,29 +70,20 @@ def _bracket(src: DataFrame, tgt: DataFrame) -> DataFrame:
     that it spans, and each target looks up its own bucket, keeping
     ``a <= t < b``. There are as many buckets as source labels.
     """
-    iv = neighbours(src, "s").select(F.col("s").alias("a"), F.col("n").alias("b"))   # b null on the last label
-    lo, hi, buckets = src.agg(F.min("s"), F.max("s"), F.count(F.lit(1))).first()
-    width = (hi or 0.0) - (lo or 0.0)
-
-    def bucket(c):
-        if width <= 0:
-            return F.lit(0)
-        return F.least(F.greatest(F.floor((c - F.lit(lo)) / F.lit(width) * F.lit(buckets)), F.lit(0)),
-                       F.lit(buckets - 1)).cast("int")
-    iv = iv.select("a", "b", F.explode(F.sequence(bucket(F.col("a")), bucket(F.coalesce("b", "a")))).alias("__j"))
-    t = tgt.select("t", bucket(F.col("t")).alias("__k"))
+    ends = F.broadcast(_ends((src, "s", "s")))   # a row for each axis
+    iv = neighbours(src, "s", by=AXIS).select("axis", F.col("s").alias("a"), F.col("n").alias("b")).join(ends, "axis")   # b null on the last label
+    iv = iv.select(F.col("axis").alias("__axis"), "a", "b", F.explode(F.sequence(_bucket(F.col("a")), _bucket(F.coalesce("b", "a")))).alias("__j"))
+    t = tgt.join(ends, "axis").select("axis", "t", "lo", _bucket(F.col("t")).alias("__k"))
     # the last label's interval is open to the right
     hit = (F.col("a") <= F.col("t")) & ((F.col("t") < F.col("b")) | F.col("b").isNull())
-    m = t.join(iv, (F.col("__k") == F.col("__j")) & hit, "left")
+    m = t.join(iv, (F.col("axis") == F.col("__axis")) & (F.col("__k") == F.col("__j")) & hit, "left")
     # below the range: b is the first label
-    up = F.when(F.col("t") == F.col("a"), F.col("a")).when(F.col("a").isNull() & (F.col("t") <= F.lit(lo)), F.lit(lo))
-    return m.select("t", "a", up.otherwise(F.col("b")).alias("b"))
+    up = F.when(F.col("t") == F.col("a"), F.col("a")).when(F.col("a").isNull() & (F.col("t") <= F.col("lo")), F.col("lo"))
+    return m.select("axis", "t", "a", up.otherwise(F.col("b")).alias("b"))
 
 
-def bilinear_axis_weights(src: DataFrame, tgt: DataFrame) -> DataFrame:
-    """Linear interpolation weights along one axis: rows ``(t, s, w, k)``,
-    ``k`` = number of source nodes used (1 on a node, else 2). Targets
-    outside the source range get no rows (missing)."""
+def _bilinear_weights(src: DataFrame, tgt: DataFrame) -> DataFrame:
+    """``(axis, t, s, w, k)``: linear interpolation along each axis."""
     br = _bracket(src, tgt)
     br = br.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     same = F.col("a") == F.col("b")
@@ -82,58 +92,77 @@ def bilinear_axis_weights(src: DataFrame, tgt: DataFrame) -> DataFrame:
     two = F.array(
         F.struct(F.col("a").alias("s"), ((F.col("b") - F.col("t")) / gap).alias("w"), F.lit(2).alias("k")),
         F.struct(F.col("b").alias("s"), ((F.col("t") - F.col("a")) / gap).alias("w"), F.lit(2).alias("k")))
-    return br.select("t", F.explode(F.when(same, one).otherwise(two)).alias("n")).select("t", "n.s", "n.w", "n.k")
+    return br.select("axis", "t", F.explode(F.when(same, one).otherwise(two)).alias("n")).select("axis", "t", "n.s", "n.w", "n.k")
+
+
+def bilinear_axis_weights(src: DataFrame, tgt: DataFrame) -> DataFrame:
+    """Linear interpolation weights along one axis: rows ``(t, s, w, k)``,
+    ``k`` = number of source nodes used (1 on a node, else 2). Targets
+    outside the source range get no rows (missing)."""
+    one = F.lit("").alias("axis")
+    return _bilinear_weights(src.select(one, "s"), tgt.select(one, "t")).drop("axis")
 
 
 def _edges(ax: DataFrame, col: str) -> DataFrame:
-    """Cell bounds of an axis: midpoints between neighbours; the outer
+    """Cell bounds of each axis: midpoints between neighbours; the outer
     bounds extend half a spacing; a lone label is a cell of width 1."""
-    d = neighbours(ax, col)
+    d = neighbours(ax, col, by=AXIS)
     after, before = F.coalesce(F.col("n") - F.col(col), F.lit(1.0)), F.coalesce(F.col(col) - F.col("p"), F.lit(1.0))
     lo = F.when(F.col("p").isNull(), F.col(col) - after / 2).otherwise((F.col("p") + F.col(col)) / 2)
     hi = F.when(F.col("n").isNull(), F.col(col) + before / 2).otherwise((F.col(col) + F.col("n")) / 2)
-    return d.select(col, lo.alias("lo"), hi.alias("hi"))
+    return d.select("axis", col, lo.alias(f"{col}l"), hi.alias(f"{col}h"))
 
 
-def conservative_axis_weights(src: DataFrame, tgt: DataFrame, spherical: bool = False,
-                              buckets: int | None = None) -> DataFrame:
-    """Overlap weights along one axis: rows ``(t, s, w)`` for every source
-    cell overlapping the target cell. ``spherical`` (latitude axis) weighs
-    by ``sin(hi) - sin(lo)`` of the overlap instead of its length.
+def _conservative_weights(src: DataFrame, tgt: DataFrame, spherical: str | None = None) -> DataFrame:
+    """``(axis, t, s, w, k)`` for every source cell overlapping the target cell on an axis; the axis named
+    ``spherical`` (latitude) weighs by ``sin(hi) - sin(lo)`` of the overlap instead of its length.
 
     Overlapping pairs come from a bucketed equi-join (no range join): both
     cell lists are spread over the equal-width value buckets they span,
     joined on the bucket, and each overlapping pair is kept once, at the
     first bucket the two cells share.
     """
-    se = _edges(src, "s").select("s", F.col("lo").alias("sl"), F.col("hi").alias("sh"))
-    te = _edges(tgt, "t").select("t", F.col("lo").alias("tl"), F.col("hi").alias("th"))
-    ns, s_lo, s_hi = se.agg(F.count(F.lit(1)), F.min("sl"), F.max("sh")).first()
-    nt, t_lo, t_hi = te.agg(F.count(F.lit(1)), F.min("tl"), F.max("th")).first()
-    nb = buckets or max(1, min(ns, nt))
-    lo, hi = min(s_lo or 0.0, t_lo or 0.0), max(s_hi or 0.0, t_hi or 0.0)
-    width = (hi - lo) or 1.0
-
-    def bucket(c):
-        return F.least(F.greatest(F.floor((c - F.lit(lo)) / F.lit(width) * F.lit(nb)), F.lit(0)),
-                       F.lit(nb - 1)).cast("int")
-    sb = se.select("*", F.explode(F.sequence(bucket(F.col("sl")), bucket(F.col("sh")))).alias("__k"))
-    tb = te.select("*", F.explode(F.sequence(bucket(F.col("tl")), bucket(F.col("th")))).alias("__k"))
+    se, te = _edges(src, "s"), _edges(tgt, "t")
+    ends = F.broadcast(_ends((se, "sl", "sh"), (te, "tl", "th")))   # a row for each axis
+
+    def listed(cells: DataFrame, lo: str, hi: str, first: str) -> DataFrame:
+        d = cells.join(ends, "axis").withColumns({first: _bucket(F.col(lo)), "__to": _bucket(F.col(hi))})
+        return d.withColumn("__k", F.explode(F.sequence(first, "__to"))).drop("__to", "lo", "hi", "buckets")
+
     a, b = F.greatest("tl", "sl"), F.least("th", "sh")
-    first_shared = F.col("__k") == F.greatest(bucket(F.col("sl")), bucket(F.col("tl")))
-    pairs = tb.join(sb, "__k").where((b > a) & first_shared)
-    w = (F.sin(F.radians(b)) - F.sin(F.radians(a))) if spherical else (b - a)
-    return pairs.select("t", "s", w.alias("w"), F.lit(1).alias("k"))
+    pairs = listed(te, "tl", "th", "__t0").join(listed(se, "sl", "sh", "__s0"), ["axis", "__k"])
+    pairs = pairs.where((b > a) & (F.col("__k") == F.greatest("__s0", "__t0")))
+    w = b - a
+    if spherical is not None:
+        w = F.when(F.col("axis") == spherical, F.sin(F.radians(b)) - F.sin(F.radians(a))).otherwise(w)
+    return pairs.select("axis", "t", "s", w.alias("w"), F.lit(1).alias("k"))
+
+
+def conservative_axis_weights(src: DataFrame, tgt: DataFrame, spherical: bool = False) -> DataFrame:
+    """Overlap weights along one axis: rows ``(t, s, w, k)``; see :func:`_conservative_weights`."""
+    one = F.lit("").alias("axis")
+    return _conservative_weights(src.select(one, "s"), tgt.select(one, "t"), "" if spherical else None).drop("axis")
 
 
 # ----------------------------------------------------------------- apply
 
 
-def _apply(df: DataFrame, values: Sequence[str], wy: DataFrame, wx: DataFrame,
+def _both(axes: dict[str, DataFrame], col: str) -> DataFrame:
+    """The labels of both axes as one table."""
+    return functools.reduce(DataFrame.unionByName, [d.select(F.lit(c).alias("axis"), F.col(col).cast("double").alias(col)) for c, d in axes.items()])
+
+
+def _apply(df: DataFrame, values: Sequence[str], weights: DataFrame,
            time: str, y: str, x: str, mode: str) -> DataFrame:
-    # axis-sized weight tables, broadcast once their counted size allows
-    wy = checked_broadcast(wy.withColumnsRenamed({"t": "__ty", "s": "__sy", "w": "__wy", "k": "__ky"}))
-    wx = checked_broadcast(wx.withColumnsRenamed({"t": "__tx", "s": "__sx", "w": "__wx", "k": "__kx"}))
+    # axis-sized weight tables, written and counted together, broadcast once their size allows
+    weights = written(weights, "weights")
+    rows = {r.axis: r.n for r in weights.groupBy("axis").agg(F.count(F.lit(1)).alias("n")).collect()}   # a row for each axis
+
+    def of(axis: str, c: str) -> DataFrame:
+        one = weights.where(F.col("axis") == axis).drop("axis").withColumnsRenamed({k: f"__{k}{c}" for k in "tswk"})
+        return checked_broadcast(one, rows.get(axis, 0))
+
+    wy, wx = of(y, "y"), of(x, "x")
     d = df.select(time, F.col(y).cast("double").alias("__sy"), F.col(x).cast("double").alias("__sx"), *values)
     j = d.join(wx, "__sx").join(wy, "__sy").withColumn("__w", F.col("__wy") * F.col("__wx"))
     aggs: list[Column] = []
@@ -154,8 +183,8 @@ def bilinear(df: DataFrame, values: Sequence[str], target_y: DataFrame, target_x
     """Bilinear regridding onto the target axes (columns ``t``). ``axes``
     are the source's axes (:func:`numeric_axes`), where they are known."""
     axes = axes or numeric_axes(df, [y, x])
-    return _apply(df, values, bilinear_axis_weights(axes[y], target_y), bilinear_axis_weights(axes[x], target_x),
-                  time, y, x, "bilinear")
+    weights = _bilinear_weights(_both({y: axes[y], x: axes[x]}, "s"), _both({y: target_y, x: target_x}, "t"))
+    return _apply(df, values, weights, time, y, x, "bilinear")
 
 
 def conservative(df: DataFrame, values: Sequence[str], target_y: DataFrame, target_x: DataFrame,
@@ -167,9 +196,8 @@ def conservative(df: DataFrame, values: Sequence[str], target_y: DataFrame, targ
     is ``Δlon · (sin φ2 − sin φ1)``; otherwise areas are planar.
     """
     axes = axes or numeric_axes(df, [y, x])
-    wy = conservative_axis_weights(axes[y], target_y, spherical=spherical)
-    wx = conservative_axis_weights(axes[x], target_x)
-    return _apply(df, values, wy, wx, time, y, x, "conservative")
+    weights = _conservative_weights(_both({y: axes[y], x: axes[x]}, "s"), _both({y: target_y, x: target_x}, "t"), y if spherical else None)
+    return _apply(df, values, weights, time, y, x, "conservative")
 
 
 def apply_weights(df: DataFrame, values: Sequence[str], weights: DataFrame, time: str = "time",
