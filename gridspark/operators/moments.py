@@ -4,8 +4,8 @@
 counts, sums and centred sums of squares of the observed and predicted
 values and of their difference (and of wet days). Means, sums, R² and wet-day
 indices over years, seasons, months, cells or everything follow by merging its rows,
-some thirty times fewer than days. Sums of squares are merged around
-the merged mean, not as differences of large squares, so values in Kelvin lose
+some thirty times fewer than days. Sums of squares are merged about the
+mean of everything, not as differences of large squares, so values in Kelvin lose
 nothing.
 
 The pair is masked: a day has both values or neither. A group with a masked
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio, wet_flag
@@ -49,40 +49,54 @@ def means(m: DataFrame, by: str, cell: Sequence[str] = CELL) -> DataFrame:
     return m.groupBy(calendar_group("time", by), *cell).agg(mean("so"), mean("sp"))
 
 
-def _about(m: DataFrame, keys: Sequence[str | Column], *means_of: str) -> dict[str, Column]:
-    """The merged mean of each column of the group that a row belongs to."""
-    whole = Window.partitionBy(*keys)
-    return {c: F.sum(F.col("n") * F.col(c)).over(whole) / F.sum(F.when(F.col(c).isNotNull(), F.col("n"))).over(whole) for c in means_of}
+def merged(m: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
+    """``(*keys, n, mo, qo, md, qd)``: the rows of each group as one.
+
+    Squares are taken about the mean of all rows before they are merged and about
+    the group's mean after, so large means cancel; a plain aggregate with partial sums.
+    """
+    valid = m.where("n > 0")
+    means_ = F.struct(*[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in ("mo", "md")])
+    d = valid.withColumn("__c", valid.select(means_).scalar())
+    off = {c: F.col(c) - F.col(f"__c.{c}") for c in ("mo", "md")}
+    n = F.col("n")
+    sums = d.groupBy(*keys).agg(F.sum("n").alias("n"), F.first("__c").alias("__c"), *[F.sum(n * off[c]).alias(f"__{c}") for c in off],
+                                *[F.sum(F.col(q) + n * off[c] ** 2).alias(f"__{q}") for q, c in (("qo", "mo"), ("qd", "md"))])
+    shift = {c: F.col(f"__{c}") / n for c in off}
+    names = [c for c in sums.columns if c not in ("n", "__c", "__mo", "__md", "__qo", "__qd")]
+
+    def square(q: str, c: str) -> Column:
+        left = F.col(f"__{q}") - n * shift[c] ** 2
+        return F.when(left > 1e-12 * F.col(f"__{q}"), left).otherwise(0.0).alias(q)   # below that it is rounding: a constant
+
+    return sums.select(*names, "n", (F.col("__c.mo") + shift["mo"]).alias("mo"), square("qo", "mo"),
+                       (F.col("__c.md") + shift["md"]).alias("md"), square("qd", "md"))
 
 
-def _r2(sums: DataFrame, by: Sequence[str]) -> DataFrame:
+def r2_of(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """R² of the sums of squares ``res`` and ``tot``, with the conventions of :func:`gridspark.operators.metrics.r2_expr`."""
     g = sums.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("res").alias("res"), F.sum("tot").alias("tot"))
-    value = (F.when(F.col("n") == 0, F.lit(None).cast("double"))
+    value = (F.when(F.coalesce("n", F.lit(0)) == 0, F.lit(None).cast("double"))
              .when(F.col("tot") == 0, F.when(F.col("res") == 0, 1.0).otherwise(0.0)).otherwise(1 - F.col("res") / F.col("tot")))
     return g.select(*by, "n", value.alias("r2"))
 
 
 def r2(m: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """A18, A19 of the days, from moments."""
-    valid = m.where("n > 0")
-    if by:
-        centre = _about(valid, by, "mo")["mo"]
-    else:   # one row of sums: no window over the whole table
-        centre = valid.select((F.sum(F.col("n") * F.col("mo")) / F.sum("n")).alias("c")).scalar()
-    off = valid.withColumn("off", F.col("mo") - centre)
-    return _r2(off.select(*by, "n", (F.col("qd") + F.col("n") * F.col("md") ** 2).alias("res"),
-                          (F.col("qo") + F.col("n") * F.col("off") ** 2).alias("tot")), by)
+    """A18, A19 of the days, from moments (monthly ones, or merged ones)."""
+    g = merged(m, by)
+    return r2_of(g.select(*by, "n", (F.col("qd") + F.col("n") * F.col("md") ** 2).alias("res"), F.col("qo").alias("tot")), by)
+
+
+def anomaly_sums(m: DataFrame, part: str = "month", cell: Sequence[str] = CELL) -> DataFrame:
+    """``(*cell, n, res, tot)``: sums of squares of the anomalies (W2) from the mean of each cell and calendar part. They have
+    mean zero there, so the squares about the group means are the sums needed, and no anomaly is ever written out."""
+    g = merged(m, [calendar_group("time", part), *cell])
+    return g.groupBy(*cell).agg(F.sum("n").alias("n"), F.sum("qd").alias("res"), F.sum("qo").alias("tot"))
 
 
 def r2_anomaly(m: DataFrame, by: Sequence[str] = (), part: str = "month", cell: Sequence[str] = CELL) -> DataFrame:
-    """A19 of the anomalies (W2) from the mean of each cell and calendar part: these have mean zero, so the squares about
-    the group means are the sums needed, and no anomaly is ever written out."""
-    valid = m.where("n > 0").withColumn("__g", calendar_group("time", part))
-    centre = _about(valid, [*cell, "__g"], "mo", "md")
-    off = valid.withColumns({f"off_{c}": F.col(c) - v for c, v in centre.items()})
-    square = lambda q, c: F.col(q) + F.col("n") * F.col(f"off_{c}") ** 2
-    return _r2(off.select(*by, "n", square("qd", "md").alias("res"), square("qo", "mo").alias("tot")), by)
+    """A19 of the anomalies, from moments."""
+    return r2_of(anomaly_sums(m, part, cell), by)
 
 
 def _guarded(c: str) -> Column:

@@ -179,17 +179,19 @@ def verification_report(obs: DataFrame, pred: DataFrame, value: str, wet_thresho
     month = written(moments.pair_moments(pair, wet_threshold), "moments")
     sums = moments.monthly_sums(month)
     r2 = (lambda by: metrics.r2(sums, "o", "p", by)) if wet else (lambda by: moments.r2(month, by))
-    year, season = moments.means(month, "year"), moments.means(month, "season")
+    # what several parts read is small and written once
+    year, season = (written(moments.means(month, by), by) for by in ("year", "season"))
+    anomaly = written(moments.anomaly_sums(month), "anomaly")
     extreme = metrics.extreme_quantile(pair, ["o", "p"], quantile, by="year")
     extreme_season = metrics.extreme_quantile(pair, ["o", "p"], quantile, by="season")
-    year_map = _errors(year, CELL)
+    year_map = written(_errors(year, CELL), "year-map")
     valid_year = metrics.valid_pairs(year, "o", "p")
     parts = [
         _part(resample.pooled_cycle(sums, ["o", "p"]) if wet else moments.means(month, "month", ()), "annual_cycle", ["o", "p"], "month"),
         _part(r2(()), "r2", ["r2"]),
         _part(r2(CELL), "r2_map", ["r2"], cells=True),
-        _part(moments.r2_anomaly(month), "r2_anomaly", ["r2"]),
-        _part(moments.r2_anomaly(month, CELL), "r2_anomaly_map", ["r2"], cells=True),
+        _part(moments.r2_of(anomaly), "r2_anomaly", ["r2"]),
+        _part(moments.r2_of(anomaly, CELL), "r2_anomaly_map", ["r2"], cells=True),
         _part(_errors(year), "yearly", ERRORS),
         _part(valid_year.agg(F.corr("p", "o").alias("corr")), "yearly", ["corr"]),
         _part(valid_year.groupBy("year").agg(F.corr("p", "o").alias("corr")), "yearly", ["corr"], "year"),

@@ -55,6 +55,16 @@ def test_r2_of_days_and_anomalies(pair):
     same(moments.r2_anomaly(m, cell), metrics.r2(anomaly, "o", "p", cell), cell, ["n", "r2"], 1e-5)
 
 
+def test_constant_cells_have_no_spread(spark):
+    """A constant of many days has variance zero, whatever the rounding: 1 if predicted exactly, else 0."""
+    days = [(dt.date(2001, 1, 1) + dt.timedelta(k), k) for k in range(70)]
+    rows_ = [(t, 0, 0, 281.3, 281.3 + 0.1 * (k % 2)) for t, k in days] + [(t, 0, 1, 281.3, 281.3) for t, _ in days] + [(t, 0, 2, 250.0 + k, 250.5 + k) for t, k in days]
+    m = moments.pair_moments(spark.createDataFrame(rows_, "time date, y int, x int, o double, p double"))
+    for got in (moments.r2(m, ["x"]), moments.r2_anomaly(m, ["x"])):
+        r = {k[0]: v["r2"] for k, v in rows(got, ["x"]).items()}
+        assert r[0] == 0.0 and r[1] == 1.0 and 0.99 < r[2] <= 1.0
+
+
 def test_wet_days(pair):
     m, names = moments.pair_moments(pair, WET), ["f_wet_obs", "f_wet_pred"]
     same(moments.wet_days(m), metrics.wet_days(pair, "o", "p", WET), ["y", "x"], ["n_wet_obs", "n_wet_pred", *names])
