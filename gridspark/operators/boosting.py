@@ -142,10 +142,10 @@ class EarlyStopBoosting(_Boosting):
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = df.withColumn("__p", F.lit(self.start).cast("double"))
+        out = df.withColumn(self.prediction, F.lit(self.start).cast("double"))
         for tree in self.trees:
-            out = tree.transform(out).withColumn("__p", F.col("__p") + self.rate * F.col("__t")).drop("__t")
-        return out.withColumn(self.prediction, F.col("__p")).drop("__p")
+            out = tree.transform(out).withColumn(self.prediction, F.col(self.prediction) + self.rate * F.col("__t")).drop("__t")
+        return out
 
 
 MODELS = {"AdaBoostR2": AdaBoostR2, "EarlyStopBoosting": EarlyStopBoosting}

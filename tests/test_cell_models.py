@@ -184,3 +184,11 @@ def test_boosting_goes_on_while_it_helps(spark):
     df = data(spark, lambda a, b: 4 * a + b)
     model = boosting.EarlyStopBoosting(rounds=7, patience=3, rate=0.5, maxDepth=3).fit(df)
     assert len(model.trees) == len(model.errors) == 7 and all(a > b for a, b in zip(model.errors, model.errors[1:]))
+
+
+def test_early_stop_predicts_into_the_callers_column(spark):
+    """The pooled fit asks for the predictions as ``__p``, a name that the boosting loop uses itself."""
+    df = data(spark, lambda a, b: 4 * a + b)
+    fitted = {n: boosting.EarlyStopBoosting(rounds=3, rate=0.5, maxDepth=2, predictionCol=n).fit(df) for n in ("__p", "prediction")}
+    own, plain = ({r.id: r[n] for r in m.transform(df).select("id", n).collect()} for n, m in fitted.items())
+    assert own.keys() == plain.keys() and all(abs(own[i] - plain[i]) < 1e-9 for i in own) and len(set(own.values())) > 1
