@@ -38,6 +38,12 @@ def test_counts_equal_the_library_whatever_the_chunks(byte):
                     assert counter.count(t) == len(byte.encode(t, add_special_tokens=False).ids), t
 
 
+def test_counts_of_plain_and_odd_stretches_of_one_batch(byte):
+    """Words that are learned together and stretches that are learned alone."""
+    texts = ["A plain text, of words.", "word", "", " word1 x_y <|endoftext|>", "the  end\n", "12 \x1c 34"]
+    assert tokens.Counter(BYTE, 65_536, 1024).count_all(texts) == [len(byte.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_count_query(spark, byte):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
     for r in entries.op6_token_counts(spark, SF001).collect():
