@@ -12,6 +12,10 @@ four squares at most; the other side looks up the squares it touches at each lev
 that occurs. So cells of very different sizes need no common square, and no range
 join is planned. Pairs that meet in several squares are kept in the first one.
 
+A target that is a rectilinear lattice is not listed (:class:`Lattice`): each
+source extent looks up the places and cells that it meets by arithmetic, so the
+work follows the source, not the extent around it.
+
 * Bilinear weights come from the four centres around a target point: the point's
   place in their quadrilateral solves a quadratic equation, written in columns.
 * Conservative weights are areas of overlap: a source cell is clipped by the four
@@ -31,8 +35,9 @@ quadrilaterals and gives no weights. Coordinates are taken as a plane;
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -42,10 +47,60 @@ EPS = 1e-9
 CORNERS = ("a", "b", "c", "d")   # (0, 0), (0, 1), (1, 1), (1, 0) by row and column
 
 
-def lattice(points: DataFrame, step: float, inset: float = 0.0, row: str = "ty", col: str = "tx") -> DataFrame:
-    """A rectilinear target over the extent of ``points``, as centres ``(row, col, u, v)``."""
+@dataclass(frozen=True)
+class Lattice:
+    """A rectilinear target of ``n`` places along ``u`` and ``v``, ``step`` apart from ``start`` on."""
+
+    start: dict[str, float]
+    n: dict[str, int]
+    step: float
+
+    def _centre(self, w: str, k: Column) -> Column:
+        """The coordinate of place ``k``; one place beyond each end it is continued from the last two."""
+        at = lambda i: F.lit(self.start[w]) + i * self.step
+        n = self.n[w]
+        return F.when(k < 0, 2 * at(F.lit(0)) - at(F.lit(1))).when(k >= n, 2 * at(F.lit(n - 1)) - at(F.lit(n - 2))).otherwise(at(k))
+
+    def _near(self, boxes: DataFrame, reach: float) -> DataFrame:
+        """Each extent once for each place at most ``reach`` steps beyond it, as ``tx`` and ``ty``."""
+        out = boxes
+        for k, w in (("tx", "u"), ("ty", "v")):
+            low = F.ceil((F.col(f"lo{w}") - EPS - self.start[w]) / self.step - reach - 1e-6)
+            high = F.floor((F.col(f"hi{w}") + EPS - self.start[w]) / self.step + reach + 1e-6)
+            out = out.withColumns({"__low": F.greatest(low, F.lit(0)), "__high": F.least(high, F.lit(self.n[w] - 1))}).where("__low <= __high")
+            out = out.withColumn(k, F.explode(F.sequence("__low", "__high"))).withColumn(k, F.col(k).cast("int")).drop("__low", "__high")
+        return out
+
+    def places(self, boxes: DataFrame) -> DataFrame:
+        """Pairs of an extent ``lou … hiv`` and a place ``(ty, tx, u, v)`` in it."""
+        d = self._near(boxes, 0.0).withColumns({"u": self._centre("u", F.col("tx")), "v": self._centre("v", F.col("ty"))})
+        inside = [F.col(w).between(F.col(f"lo{w}") - EPS, F.col(f"hi{w}") + EPS) for w in "uv"]
+        return d.where(inside[0] & inside[1])
+
+    def cells(self, boxes: DataFrame) -> DataFrame:
+        """Pairs of an extent and a cell that meets it, with corners ``tau … tdv`` as :func:`cells` makes them."""
+        if min(self.n.values()) < 2:   # a lattice of one row or column has no cells
+            return boxes.where("false").withColumns({"ty": F.lit(0), "tx": F.lit(0)} | {f"t{k}{w}": F.lit(0.0) for k in CORNERS for w in "uv"})
+
+        def edge(w: str, k: Column) -> Column:   # the mean of four centres, in the order in which cells() adds them
+            a, b = self._centre(w, k), self._centre(w, k + 1)
+            return (a + b + b + a if w == "u" else a + a + b + b) / 4
+
+        d = self._near(boxes, 0.5).withColumns({f"__{n}{w}": edge(w, F.col(k) + step) for w, k in (("u", "tx"), ("v", "ty")) for n, step in (("lo", -1), ("hi", 0))})
+        apart = [(F.col(f"__lo{w}") > F.col(f"hi{w}") + EPS) | (F.col(f"lo{w}") > F.col(f"__hi{w}") + EPS) for w in "uv"]
+        ends = {"a": ("lo", "lo"), "b": ("hi", "lo"), "c": ("hi", "hi"), "d": ("lo", "hi")}
+        corners = {f"t{k}{w}": F.col(f"__{n}{w}") for k, (u, v) in ends.items() for w, n in (("u", u), ("v", v))}
+        return d.where(~(apart[0] | apart[1])).withColumns(corners).drop(*[f"__{n}{w}" for n in ("lo", "hi") for w in "uv"])
+
+
+def lattice(points: DataFrame, step: float, inset: float = 0.0, row: str = "ty", col: str = "tx", listed: bool = True) -> DataFrame | Lattice:
+    """A rectilinear target over the extent of ``points``, as centres ``(row, col, u, v)``; not ``listed`` as a :class:`Lattice`."""
     ext = points.agg(*[f(c).alias(f"{n}{c}") for c in "uv" for n, f in (("lo", F.min), ("hi", F.max))]).where("lou is not null")
-    steps = lambda c: F.sequence(F.lit(0), F.floor((F.col(f"hi{c}") - F.col(f"lo{c}") - 2 * inset) / step + EPS).cast("int"))
+    number = lambda c: F.floor((F.col(f"hi{c}") - F.col(f"lo{c}") - 2 * inset) / step + EPS)
+    if not listed:   # four numbers go to the driver
+        one = ext.select(*[(F.col(f"lo{c}") + inset).alias(c) for c in "uv"], *[number(c).cast("long").alias(f"n{c}") for c in "uv"]).first()
+        return Lattice({c: one[c] if one else 0.0 for c in "uv"}, {c: max(0, one[f"n{c}"] + 1) if one else 0 for c in "uv"}, step)
+    steps = lambda c: F.sequence(F.lit(0), number(c).cast("int"))
     rows = ext.select("*", F.explode(steps("v")).alias(row))
     every = rows.select("*", F.explode(steps("u")).alias(col))
     return every.select(row, col, (F.col("lou") + inset + F.col(col) * step).alias("u"), (F.col("lov") + inset + F.col(row) * step).alias("v"))
@@ -164,16 +219,20 @@ def _periodic(q: DataFrame, period: float) -> DataFrame:
     return near.withColumn("turn", F.explode(shifts)).withColumns({f"{k}u": F.col(f"{k}u") + F.col("turn") for k in CORNERS}).drop("turn")
 
 
-def bilinear_weights(points: DataFrame, targets: DataFrame, y: str = "y", x: str = "x", period: float | None = None) -> DataFrame:
+def bilinear_weights(points: DataFrame, targets: DataFrame | Lattice, y: str = "y", x: str = "x", period: float | None = None) -> DataFrame:
     """``(sy, sx, ty, tx, w)`` for targets ``(ty, tx, u, v)`` from centres ``(y, x, u, v)``."""
     blocks = quads(points, y, x)
-    at = targets.where(F.col("u").isNotNull() & F.col("v").isNotNull()).select("ty", "tx", "u", "v")
-    if period is not None:
-        blocks = _periodic(blocks.withColumns({y: F.col(y).cast("long"), x: F.col(x).cast("long")}), period)
-        at = at.withColumn("u", F.col("u") - F.floor(F.col("u") / period) * period)
-    source = written(_box(blocks.withColumnsRenamed({y: "qy", x: "qx"})), "quads")
-    at = at.withColumns({"lou": F.col("u"), "hiu": F.col("u"), "lov": F.col("v"), "hiv": F.col("v")})
-    pairs = meeting(source, at)
+    if isinstance(targets, Lattice):
+        if period is not None:
+            raise ValueError("a lattice on a periodic axis has to be listed")
+        pairs = targets.places(_box(blocks.withColumnsRenamed({y: "qy", x: "qx"})))
+    else:
+        at = targets.where(F.col("u").isNotNull() & F.col("v").isNotNull()).select("ty", "tx", "u", "v")
+        if period is not None:
+            blocks = _periodic(blocks.withColumns({y: F.col(y).cast("long"), x: F.col(x).cast("long")}), period)
+            at = at.withColumn("u", F.col("u") - F.floor(F.col("u") / period) * period)
+        source = written(_box(blocks.withColumnsRenamed({y: "qy", x: "qx"})), "quads")
+        pairs = meeting(source, at.withColumns({"lou": F.col("u"), "hiu": F.col("u"), "lov": F.col("v"), "hiv": F.col("v")}))
     one = _place(pairs).groupBy("ty", "tx").agg(F.min(F.struct("qy", "qx", "p")).alias("m")).select("ty", "tx", "m.qy", "m.qx", "m.p.s", "m.p.t")
     s, t = F.col("s"), F.col("t")
     corners = [(0, 0, (1 - s) * (1 - t)), (0, 1, s * (1 - t)), (1, 1, s * t), (1, 0, (1 - s) * t)]
@@ -183,8 +242,7 @@ def bilinear_weights(points: DataFrame, targets: DataFrame, y: str = "y", x: str
 
 def apply_bilinear(df: DataFrame, values: Sequence[str], weights: DataFrame, time: str = "time", y: str = "y", x: str = "x") -> DataFrame:
     """The weighted sums by (time, target); a target with a missing centre is missing."""
-    n = F.count(F.lit(1))
-    w = checked_broadcast(weights.join(weights.groupBy("ty", "tx").agg(n.alias("__k")), ["ty", "tx"]))
+    w = checked_broadcast(weights.withColumn("__k", F.count(F.lit(1)).over(Window.partitionBy("ty", "tx"))))
     d = df.select(time, F.col(y).alias("sy"), F.col(x).alias("sx"), *values).join(w, ["sy", "sx"])
     full = lambda v: F.when(F.count(v) == F.max("__k"), F.sum(F.col("w") * F.col(v)))
     return d.groupBy(time, F.col("ty").alias(y), F.col("tx").alias(x)).agg(*[full(v).alias(v) for v in values])
@@ -231,16 +289,20 @@ def clipped(subject: Column, clip: Column) -> Column:
     return F.aggregate(edges, subject, cut)
 
 
-def conservative_weights(points: DataFrame, targets: DataFrame, y: str = "y", x: str = "x") -> DataFrame:
+def conservative_weights(points: DataFrame, targets: DataFrame | Lattice, y: str = "y", x: str = "x") -> DataFrame:
     """``(sy, sx, ty, tx, w)``, the areas that the cells around ``(y, x, u, v)`` share with those around ``(ty, tx, u, v)``."""
-    source = written(_box(cells(points, y, x).withColumnsRenamed({y: "sy", x: "sx"})), "cells")
-    target = _box(cells(targets, "ty", "tx")).drop("level").withColumnsRenamed({f"{k}{w}": f"t{k}{w}" for k in CORNERS for w in "uv"})
-    pairs = meeting(source, target)
+    source = _box(cells(points, y, x).withColumnsRenamed({y: "sy", x: "sx"}))
+    if isinstance(targets, Lattice):
+        pairs = targets.cells(source)
+    else:
+        target = _box(cells(targets, "ty", "tx")).drop("level").withColumnsRenamed({f"{k}{w}": f"t{k}{w}" for k in CORNERS for w in "uv"})
+        pairs = meeting(written(source, "cells"), target)
     origin = F.col("tau"), F.col("tav")
     both = pairs.select("sy", "sx", "ty", "tx", _polygon("", *origin).alias("s"), _polygon("t", *origin).alias("t"))
     turned = F.when(shoelace(F.col("t")) < 0, F.reverse("t")).otherwise(F.col("t"))
     both = both.withColumn("t", turned).withColumn("left", clipped(F.col("s"), F.col("t")))
-    return both.select("sy", "sx", "ty", "tx", F.abs(shoelace(F.col("left"))).alias("w")).where(F.col("w") > EPS * EPS)
+    # the area becomes a row, so no filter on it is pushed below with the whole fold in it
+    return both.select("sy", "sx", "ty", "tx", F.explode(F.array(F.abs(shoelace(F.col("left"))))).alias("w")).where(F.col("w") > EPS * EPS)
 
 
 def apply_conservative(df: DataFrame, values: Sequence[str], weights: DataFrame, time: str = "time", y: str = "y", x: str = "x") -> DataFrame:

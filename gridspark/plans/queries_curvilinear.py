@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import curvilinear, resample
+from ..session import written
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_fixtures
 from .catalog import register
@@ -110,6 +111,7 @@ from clim join w on clim.y = sy and clim.x = sx where w > 1e-9 group by 1, 2, 3"
 def source(spark, sf) -> tuple[DataFrame, DataFrame]:
     """The month climatology and the centres of its grid."""
     clim = resample.climatology(fx.grid_wide(spark, sf).select("time", "y", "x", "o"), ["o"], by="month").withColumnRenamed("month", "time")
+    clim = written(clim, "climatology")   # read for the extent, the centres and the values
     y, x = F.col("y"), F.col("x")
     centres = clim.select("y", "x").distinct().select(
         "y", "x", (0.8 * x - 0.6 * y + 0.02 * x * x).alias("u"), (0.6 * x + 0.8 * y + 0.01 * x * x).alias("v"))
@@ -120,7 +122,7 @@ def source(spark, sf) -> tuple[DataFrame, DataFrame]:
 def q_regrid_curvilinear(spark, sf):
     """A rotated, bent grid to a lattice by bilinear weights."""
     clim, centres = source(spark, sf)
-    weights = curvilinear.bilinear_weights(centres, curvilinear.lattice(centres, STEP, INSET))
+    weights = curvilinear.bilinear_weights(centres, curvilinear.lattice(centres, STEP, INSET, listed=False))
     return curvilinear.apply_bilinear(clim, ["o"], weights)
 
 
@@ -128,5 +130,5 @@ def q_regrid_curvilinear(spark, sf):
 def q_regrid_curvilinear_conservative(spark, sf):
     """The same grid to a coarser lattice by areas of overlap."""
     clim, centres = source(spark, sf)
-    weights = curvilinear.conservative_weights(centres, curvilinear.lattice(centres, COARSE, COARSE_INSET)).where(F.col("w") > 1e-9)
+    weights = curvilinear.conservative_weights(centres, curvilinear.lattice(centres, COARSE, COARSE_INSET, listed=False)).where(F.col("w") > 1e-9)
     return curvilinear.apply_conservative(clim, ["o"], weights)

@@ -140,3 +140,25 @@ def test_missing_centres_and_values(spark):
     assert {(r.ty, r.tx) for r in w.collect()} == {(0, 0)}
     data = centres.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("time"), "y", "x").withColumn("o", F.when((F.col("time") == 1) | (F.col("x") != 1), F.lit(3.0)))
     assert {(r.time, r.y, r.x): r.o for r in C.apply_bilinear(data, ["o"], w).collect()} == {(1, 0, 0): 3.0, (2, 0, 0): None}
+
+
+@pytest.mark.parametrize("place, step, inset", [(bent, 0.7, 0.1), (bent, 1.3, -2.0), (bent, 30.0, 0.1), (lambda y, x: (x, y), 1.0, 0.0), (lambda y, x: (x, y), 0.5, 0.25)])
+def test_lattice_looked_up_equals_the_listed_one(spark, place, step, inset):
+    centres = grid(spark, 9, 8, place)
+    listed, looked_up = (C.lattice(centres, step, inset, listed=k) for k in (True, False))
+    for weights in (C.bilinear_weights, C.conservative_weights):
+        want, got = ({(r.sy, r.sx, r.ty, r.tx): r.w for r in weights(centres, t).collect()} for t in (listed, looked_up))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_lattice_of_a_wide_extent_is_not_listed(spark):
+    """Two patches far apart: the extent around them has 10 ** 14 places, the patches have a few."""
+    far = 10 ** 7
+    centres = grid(spark, 3, 3, lambda y, x: (x, y)).unionByName(
+        grid(spark, 3, 3, lambda y, x: (far + x, far + y)).withColumns({"y": F.col("y") + 100, "x": F.col("x") + 100}))
+    target = C.lattice(centres, 1.0, 0.0, listed=False)
+    own = {(y + k, x + k, y + m, x + m) for k, m in ((0, 0), (100, far)) for y in range(3) for x in range(3)}
+    assert {(r.sy, r.sx, r.ty, r.tx): r.w for r in C.bilinear_weights(centres, target).collect()} == dict.fromkeys(own, 1.0)
+    area = {(r.sy, r.sx, r.ty, r.tx): r.w for r in C.conservative_weights(centres, target).collect()}
+    assert area.keys() == own and all(abs(w - 1) < 1e-6 for w in area.values())
+    assert C.bilinear_weights(centres.where("y < 0"), C.lattice(centres.where("y < 0"), 1.0, listed=False)).count() == 0
