@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import guarded_sum, ratio, wet_flag
@@ -114,9 +114,25 @@ def wet_intensity(df: DataFrame, obs: str, pred: str, threshold: float,
 def extreme_quantile(df: DataFrame, values: Sequence[str], q: float, by: str = "year",
                      time: str = "time", cell: Sequence[str] = CELL) -> DataFrame:
     """Exact quantile with linear interpolation per calendar group
-    and cell (``percentile``, equal to numpy's default method)."""
-    return (df.groupBy(calendar_group(time, by), *cell)
-              .agg(*[F.percentile(F.col(v), F.lit(q)).alias(v) for v in values]))
+    and cell (numpy's default method, as ``percentile``).
+
+    The values of a group are ranked by a sort, and the one or two ranks at the
+    quantile are kept: no buffer of values is built, merged or shuffled. Rows that are
+    partitioned by cell already are not shuffled again.
+    """
+    part = calendar_group(time, by)
+    keys = [by, *cell]
+    out, group = df.select(part, *cell, *[F.col(v).cast("double").alias(v) for v in values]), Window.partitionBy(*keys)
+    aggs = []
+    for v in values:
+        rank = F.row_number().over(group.orderBy(F.col(v).asc_nulls_last())) - 1
+        out = out.withColumns({f"__r_{v}": rank, f"__at_{v}": (F.count(v).over(group) - 1) * F.lit(float(q))})
+        at = F.col(f"__at_{v}")
+        low, high = F.floor(at), F.ceil(at)
+        one = lambda r, v=v: F.max(F.when(F.col(f"__r_{v}") == r, F.col(v)))
+        a, b = one(low), one(high)
+        aggs.append(F.when(a == b, a).otherwise((F.max(high) - F.max(at)) * a + (F.max(at) - F.max(low)) * b).alias(v))
+    return out.groupBy(*keys).agg(*aggs)
 
 
 def map_summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

@@ -49,28 +49,38 @@ def means(m: DataFrame, by: str, cell: Sequence[str] = CELL) -> DataFrame:
     return m.groupBy(calendar_group("time", by), *cell).agg(mean("so"), mean("sp"))
 
 
-def merged(m: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
-    """``(*keys, n, mo, qo, md, qd)``: the rows of each group as one.
+def merged(m: DataFrame, keys: Sequence[str | Column], also: Sequence[Column] = ()) -> DataFrame:
+    """``(*keys, n, mo, qo, md, qd)``: the rows of each group as one; with the aggregates ``also``, groups without a valid day stay.
 
     Squares are taken about the mean of all rows before they are merged and about
     the group's mean after, so large means cancel; a plain aggregate with partial sums.
     """
     valid = m.where("n > 0")
     means_ = F.struct(*[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in ("mo", "md")])
-    d = valid.withColumn("__c", valid.select(means_).scalar())
-    off = {c: F.col(c) - F.col(f"__c.{c}") for c in ("mo", "md")}
+    d = (m if also else valid).withColumn("__c", valid.select(means_).scalar())
+    centre = {c: F.col(f"__c_{c}") for c in ("mo", "md")}
+    d = d.withColumns({f"__c_{c}": F.col(f"__c.{c}") for c in centre}).drop("__c")   # numbers: an aggregate of structs would sort
+    off = {c: F.col(c) - centre[c] for c in centre}
     n = F.col("n")
-    sums = d.groupBy(*keys).agg(F.sum("n").alias("n"), F.first("__c").alias("__c"), *[F.sum(n * off[c]).alias(f"__{c}") for c in off],
+    sums = d.groupBy(*keys).agg(*also, F.sum("n").alias("n"), *[F.first(f"__c_{c}").alias(f"__c_{c}") for c in off], *[F.sum(n * off[c]).alias(f"__{c}") for c in off],
                                 *[F.sum(F.col(q) + n * off[c] ** 2).alias(f"__{q}") for q, c in (("qo", "mo"), ("qd", "md"))])
-    shift = {c: F.col(f"__{c}") / n for c in off}
-    names = [c for c in sums.columns if c not in ("n", "__c", "__mo", "__md", "__qo", "__qd")]
+    shift = {c: F.try_divide(f"__{c}", n) for c in off}
+    names = [c for c in sums.columns if c not in ("n", "__c_mo", "__c_md", "__mo", "__md", "__qo", "__qd")]
 
     def square(q: str, c: str) -> Column:
         left = F.col(f"__{q}") - n * shift[c] ** 2
         return F.when(left > 1e-12 * F.col(f"__{q}"), left).otherwise(0.0).alias(q)   # below that it is rounding: a constant
 
-    return sums.select(*names, "n", (F.col("__c.mo") + shift["mo"]).alias("mo"), square("qo", "mo"),
-                       (F.col("__c.md") + shift["md"]).alias("md"), square("qd", "md"))
+    return sums.select(*names, "n", (centre["mo"] + shift["mo"]).alias("mo"), square("qo", "mo"),
+                       (centre["md"] + shift["md"]).alias("md"), square("qd", "md"))
+
+
+def pooled(m: DataFrame, part: str = "month", time: str = "time", cell: Sequence[str] = CELL) -> DataFrame:
+    """The moments of each cell and calendar part over all years, with the columns of ``m`` (``time`` is the last one of the part):
+    what pools years follows from these fewer rows as well."""
+    more = [c for c in ("rows", "so", "sp", "wo", "wp", "vo", "vp") if c in m.columns]
+    g = merged(m, [calendar_group(time, part).alias("__part"), *cell], [F.max(time).alias(time), *[F.sum(c).alias(c) for c in more]])
+    return g.select(*m.columns)
 
 
 def r2_of(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as X
 from ..operators import axes, grid, joins, metrics, regrid, resample, scale
+from ..session import written
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_fixtures
 
@@ -975,7 +976,7 @@ def _report_sql(celsius: bool, wet: float | None) -> str:
 
 def _report(spark, sf, fixture=fx.pair_holes, **options):
     from . import jobs
-    d = fixture(spark, sf)
+    d = written(fixture(spark, sf), "grid")   # read for the axes, the labels and the values of both grids
     return jobs.verification_report(d.select("time", "y", "x", F.col("o").alias("v")),
                                     d.select("time", "y", "x", F.col("p").alias("v")), "v", **options)
 

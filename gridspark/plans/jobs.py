@@ -162,8 +162,8 @@ def verification_report(obs: DataFrame, pred: DataFrame, value: str, wet_thresho
 
     The masked pair is staged once in the shared folder and read three times:
     for its monthly moments (:mod:`gridspark.operators.moments`), from which all
-    means, sums, R² and wet-day parts are merged, and for the quantiles
-    of years and of seasons.
+    means, sums, R² and wet-day parts are merged (those over all years from the
+    moments of the twelve months), and for the quantiles of years and of seasons.
     """
     o = obs.select("time", *CELL, F.col(value).alias("o"))
     p = pred.select("time", *CELL, F.col(value).alias("p"))
@@ -176,14 +176,16 @@ def verification_report(obs: DataFrame, pred: DataFrame, value: str, wet_thresho
     pair = written(pair.select("time", *CELL, "o", "p"), "pair")
     wet = wet_threshold is not None
 
-    month = written(moments.pair_moments(pair, wet_threshold), "moments")
+    by_cell = pair.repartition(*CELL)   # one shuffle for both quantiles, and one without partial sums for the moments: a cell has few days a month
+    month = written(moments.pair_moments(by_cell, wet_threshold), "moments")
+    months = written(moments.pooled(month), "months")   # over all years
     sums = moments.monthly_sums(month)
     r2 = (lambda by: metrics.r2(sums, "o", "p", by)) if wet else (lambda by: moments.r2(month, by))
     # what several parts read is small and written once
-    year, season = (written(moments.means(month, by), by) for by in ("year", "season"))
-    anomaly = written(moments.anomaly_sums(month), "anomaly")
-    extreme = metrics.extreme_quantile(pair, ["o", "p"], quantile, by="year")
-    extreme_season = metrics.extreme_quantile(pair, ["o", "p"], quantile, by="season")
+    year, season = (written(moments.means(m, by), by) for m, by in ((month, "year"), (months, "season")))
+    anomaly = written(moments.anomaly_sums(months), "anomaly")
+    extreme = metrics.extreme_quantile(by_cell, ["o", "p"], quantile, by="year")
+    extreme_season = metrics.extreme_quantile(by_cell, ["o", "p"], quantile, by="season")
     year_map = written(_errors(year, CELL), "year-map")
     valid_year = metrics.valid_pairs(year, "o", "p")
     parts = [
@@ -205,11 +207,11 @@ def verification_report(obs: DataFrame, pred: DataFrame, value: str, wet_thresho
     ]
     if wet:
         named = lambda d, *more: d.select(*more, F.col("f_wet_obs").alias("o"), F.col("f_wet_pred").alias("p"))
-        days = moments.wet_days(month)
+        days = moments.wet_days(months)
         parts += [
             _part(days, "wet_days_map", ["n_wet_obs", "n_wet_pred"], cells=True),
             _part(_errors(named(days)), "wet_days", ERRORS),
-            _part(_errors(named(moments.wet_days(month, "season"), "season"), ["season"]), "wet_days_seasonal", ERRORS, "season"),
-            _part(moments.wet_intensity(month).agg(F.avg("rel_bias").alias("rel_bias")), "wet_intensity", ["rel_bias"]),
+            _part(_errors(named(moments.wet_days(months, "season"), "season"), ["season"]), "wet_days_seasonal", ERRORS, "season"),
+            _part(moments.wet_intensity(months).agg(F.avg("rel_bias").alias("rel_bias")), "wet_intensity", ["rel_bias"]),
         ]
     return functools.reduce(DataFrame.unionByName, parts)

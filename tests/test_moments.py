@@ -88,3 +88,21 @@ def test_report_reads_the_pair_three_times(spark, pair, monkeypatch):
     path = kept["pair"].inputFiles()[0].rsplit("/", 1)[0].rsplit("/", 1)[1]
     scans = report._jdf.queryExecution().executedPlan().toString().count(path)
     assert "moments" in kept and scans <= 2, plan[:500]
+
+
+def test_moments_pooled_over_years_serve_what_pools_years(spark):
+    """Cells with a masked day, a month without a valid day and values near 300 give the same from the twelve months' rows."""
+    rows = spark.range(6000).selectExpr("date_add(date '1999-01-01', cast(id div 6 as int)) as time", "id % 3 as y", "id % 2 as x", "id")
+    pair = rows.selectExpr("time", "y", "x", "case when y < 2 or (month(time) <> 2 and id % 997 > 0) then 280 + id * 7919 % 1013 / 50.0 end as o",
+                           "case when y < 2 or (month(time) <> 2 and id % 997 > 0) then 281 + id * 104729 % 1009 / 50.0 end as p")
+    month = moments.pair_moments(pair, 290.0)
+    months = moments.pooled(month)
+    assert months.columns == month.columns and months.count() == 6 * 12
+    for of in (lambda m: moments.means(m, "season"), moments.wet_days, lambda m: moments.wet_days(m, "season"), moments.wet_intensity,
+               lambda m: moments.r2_of(moments.anomaly_sums(m), ["y", "x"])):
+        want, got = of(month).toPandas(), of(months).toPandas()
+        keys = [c for c in want.columns if c in ("season", "y", "x")]
+        want, got = want.set_index(keys).sort_index().astype(float), got.set_index(keys).sort_index().astype(float)
+        assert want.index.equals(got.index) and ((want - got).abs().fillna(0) < 1e-8).all(axis=None) and (want.isna() == got.isna()).all(axis=None)
+    for m in (month, months):   # numbers only in the aggregates: they hash, nothing is sorted
+        assert "SortAggregate" not in moments.anomaly_sums(m)._jdf.queryExecution().toString()
