@@ -8,9 +8,9 @@ aggregates per (time, target cell):
 
     data ⋈ wx (on x) ⋈ wy (on y) → groupBy(time, ty, tx).agg(sum(w·v))
 
-No range join or 2-D weight table touches the data. When the input is
-partitioned by time, the corners of a target fall into the same task, so
-the partial aggregate collapses them before the shuffle.
+No range join or 2-D weight table touches the data. Large data are shuffled
+by target into as many parts as their joined rows need, so that no task's
+aggregate grows with the input.
 
 A curvilinear source has a 2-D weight table ``[sy, sx, ty, tx, w]``:
 :func:`apply_weights` takes one from anywhere, :mod:`.curvilinear` makes them.
@@ -19,6 +19,7 @@ A curvilinear source has a 2-D weight table ``[sy, sx, ty, tx, w]``:
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -44,6 +45,9 @@ def _labels(df: DataFrame, col: str) -> DataFrame:
     return numeric_axes(df, [col])[col]
 
 
+# Joined rows that one task aggregates at most, about.
+TASK_ROWS = 500_000
+
 # Tables of labels have a column ``axis``, so that one job makes the weights of both axes.
 AXIS = ["axis"]
 
@@ -153,18 +157,26 @@ def _both(axes: dict[str, DataFrame], col: str) -> DataFrame:
 
 
 def _apply(df: DataFrame, values: Sequence[str], weights: DataFrame,
-           time: str, y: str, x: str, mode: str) -> DataFrame:
+           time: str, y: str, x: str, mode: str, rows: int | None) -> DataFrame:
     # axis-sized weight tables, written and counted together, broadcast once their size allows
     weights = written(weights, "weights")
-    rows = {r.axis: r.n for r in weights.groupBy("axis").agg(F.count(F.lit(1)).alias("n")).collect()}   # a row for each axis
+    counts = weights.groupBy("axis").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s").alias("s")).collect()   # a row for each axis
+    sizes = {r.axis: (r.n, r.s) for r in counts}
 
     def of(axis: str, c: str) -> DataFrame:
         one = weights.where(F.col("axis") == axis).drop("axis").withColumnsRenamed({k: f"__{k}{c}" for k in "tswk"})
-        return checked_broadcast(one, rows.get(axis, 0))
+        return checked_broadcast(one, sizes.get(axis, (0, 0))[0])
 
     wy, wx = of(y, "y"), of(x, "x")
     d = df.select(time, F.col(y).cast("double").alias("__sy"), F.col(x).cast("double").alias("__sx"), *values)
+    if rows is None:
+        d = written(d, "source")
+        rows = d.count()
     j = d.join(wx, "__sx").join(wy, "__sy").withColumn("__w", F.col("__wy") * F.col("__wx"))
+    # each source cell meets several targets: the rows are shuffled as they are, as hardly any of one target meet before
+    parts = math.ceil(rows * math.prod(n / max(1, s) for n, s in sizes.values()) / TASK_ROWS)
+    if parts > d.sparkSession.sparkContext.defaultParallelism:
+        j = j.repartition(parts, time, "__ty", "__tx")
     aggs: list[Column] = []
     for v in values:
         if mode == "bilinear":
@@ -179,17 +191,18 @@ def _apply(df: DataFrame, values: Sequence[str], weights: DataFrame,
 
 
 def bilinear(df: DataFrame, values: Sequence[str], target_y: DataFrame, target_x: DataFrame,
-             time: str = "time", y: str = "y", x: str = "x", axes: dict | None = None) -> DataFrame:
+             time: str = "time", y: str = "y", x: str = "x", axes: dict | None = None, rows: int | None = None) -> DataFrame:
     """Bilinear regridding onto the target axes (columns ``t``). ``axes``
-    are the source's axes (:func:`numeric_axes`), where they are known."""
+    are the source's axes (:func:`numeric_axes`) and ``rows`` is the number of its
+    rows, where they are known."""
     axes = axes or numeric_axes(df, [y, x])
     weights = _bilinear_weights(_both({y: axes[y], x: axes[x]}, "s"), _both({y: target_y, x: target_x}, "t"))
-    return _apply(df, values, weights, time, y, x, "bilinear")
+    return _apply(df, values, weights, time, y, x, "bilinear", rows)
 
 
 def conservative(df: DataFrame, values: Sequence[str], target_y: DataFrame, target_x: DataFrame,
                  time: str = "time", y: str = "y", x: str = "x", spherical: bool = True,
-                 axes: dict | None = None) -> DataFrame:
+                 axes: dict | None = None, rows: int | None = None) -> DataFrame:
     """First-order conservative regridding (area-overlap weighted mean).
 
     With ``spherical`` the y axis is latitude in degrees and the cell area
@@ -197,7 +210,7 @@ def conservative(df: DataFrame, values: Sequence[str], target_y: DataFrame, targ
     """
     axes = axes or numeric_axes(df, [y, x])
     weights = _conservative_weights(_both({y: axes[y], x: axes[x]}, "s"), _both({y: target_y, x: target_x}, "t"), y if spherical else None)
-    return _apply(df, values, weights, time, y, x, "conservative")
+    return _apply(df, values, weights, time, y, x, "conservative", rows)
 
 
 def apply_weights(df: DataFrame, values: Sequence[str], weights: DataFrame, time: str = "time",

@@ -1145,9 +1145,9 @@ def _relative(yr: DataFrame) -> DataFrame:
 
 
 def _regrid_wide(spark, sf, method, step, pad, **options):
-    d = _WIDE(spark, sf).select("time", "y", "x", "o")
+    d = written(_WIDE(spark, sf).select("time", "y", "x", "o"), "grid")
     ax = axes.numeric_axes(d, ["y", "x"])
-    return method(d, ["o"], regrid.target_axis(ax["y"], step, pad), regrid.target_axis(ax["x"], step, pad), axes=ax, **options)
+    return method(d, ["o"], regrid.target_axis(ax["y"], step, pad), regrid.target_axis(ax["x"], step, pad), axes=ax, rows=d.count(), **options)
 
 
 REGISTRY["regrid_bilinear_wide"] = (

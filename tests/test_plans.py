@@ -4,6 +4,8 @@ import contextlib
 import io
 import re
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as E
 from conftest import SF001
 
@@ -86,3 +88,32 @@ def test_no_registered_query_plans_a_cross_product(spark):
         if flags:
             bad[name] = flags
     assert not bad, bad
+
+
+def test_regridding_of_many_rows_is_cut_by_their_number(spark, monkeypatch):
+    """The parts that aggregate the targets grow with the joined rows, so that none of them does."""
+    from gridspark.operators import regrid
+    df = spark.range(4000).selectExpr("id div 40 as time", "id div 8 % 5 as y", "id % 8 as x", "cast(id % 37 as double) as o")
+    axis = lambda c, step: regrid.target_axis(df.selectExpr(f"cast({c} as double) as s").distinct(), step)
+    made = lambda rows: regrid.bilinear(df, ["o"], axis("y", 0.5), axis("x", 0.5), rows=rows)
+    want = {(r.time, r.y, r.x): r.o for r in made(None).collect()}
+    monkeypatch.setattr(regrid, "TASK_ROWS", 500)
+    for rows in (4000, None):
+        out = made(rows)
+        assert int(re.search(r"__tx#\d+, (\d+)\), REPARTITION_BY_NUM", plan(out)).group(1)) > 16
+        got = {(r.time, r.y, r.x): r.o for r in out.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_report_quantiles_share_a_shuffle_and_build_no_buffers(spark):
+    """Ranks of sorted groups: no aggregate of objects, and rows partitioned by cell are not shuffled again."""
+    from gridspark.operators import metrics
+    df = spark.range(500).selectExpr("date_add(date '1999-11-01', cast(id * 37 % 900 as int)) as time", "id % 3 as y", "id % 2 as x",
+                                     "case when id % 11 > 0 and id % 3 < 2 then id * 7919 % 101 / 3.0 end as o")
+    for by in ("year", "season"):
+        for q in (0.98, 0.02, 0.5, 0.0, 1.0):
+            got = metrics.extreme_quantile(df.repartition("y", "x"), ["o"], q, by)
+            p = plan(got)
+            assert "ObjectHashAggregate" not in p and p.count("Exchange") == 1, p
+            exact = df.groupBy(metrics.calendar_group("time", by), "y", "x").agg(F.percentile("o", F.lit(q)).alias("o"))
+            assert {tuple(r) for r in got.collect()} == {tuple(r) for r in exact.collect()}
