@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridspark.session import checkpoint_dir
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -32,10 +33,17 @@ class Staged:
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, shuffles: bool = True) -> DataFrame:
+        """``df``, written and read again; its shuffle files are removed then, unless ``shuffles`` are kept for another use."""
         self._n += 1
         path = f"{self.root}/{self._n}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP)
+        try:
+            if not shuffles:
+                self.spark.conf.set(CLEANUP, "true")
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_path = path
         return out

@@ -134,3 +134,39 @@ def test_digest_comes_from_the_ids_of_the_document(spark, pieces):
     out = {r.doc_id: r for r in lattice.digest(lattice.encode_texts(df, pieces)).collect()}
     assert out[0].ids_digest == out[1].ids_digest and [out[i].lossless for i in range(3)] == [True, False, True]
     assert (out[2].n_units, out[2].n_pieces, out[2].ids_digest) == (0, 0, 0)
+
+
+def test_ids_and_texts_meet_packed(spark, pieces):
+    df = spark.createDataFrame(list(enumerate(texts(20, 6))), "doc_id long, text string")
+    plan = lattice.encode_texts(df, pieces)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan  # no id is exploded, shuffled or joined for its text
+    assert plan.count("RepartitionByExpression [chunk") == 2
+
+
+def test_merges_of_late_pieces(spark):
+    rng = random.Random(7)
+    found = 0
+    for seed in range(3):
+        made = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 5))) for _ in range(40)})
+        rng.shuffle(made)
+        rows = [(c, 300 + i, 0.0, c.encode()) for i, c in enumerate("abc")] + [(p, 400 + i, -float(i), p.encode()) for i, p in enumerate(made)]
+        table = lattice.piece_table(spark, rows + [(None, b, 0.0, bytes([b])) for b in range(256)], True, 0)
+        cost, ids = {p: -score for p, _, score, _ in rows if len(p) > 1}, {p: i for p, i, _, _ in rows}
+        found += len(lattice.late_pieces(cost))
+        words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 20))) for _ in range(150)})
+        out = ids_of(spark, words, table)
+        for w in words:
+            parts = list(w)
+            while ways := [(cost[x + y], k) for k, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in cost]:
+                k = min(ways)[1]
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            assert out[w] == [ids[p] for p in parts], w
+    assert found
+
+
+def test_rows_in_another_order_are_no_wrong_ids(spark, pieces):
+    docs = [(i, f"word{i} other{i}") for i in range(6)]
+    order = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    moved = order.orderBy(F.desc("doc_id")).coalesce(1)
+    found = lattice.packed_rows(order, 1000).select("chunk").first()
+    assert found != lattice.packed_rows(moved, 1000).select("chunk").first()
