@@ -38,12 +38,13 @@ class Staged:
         self._n += 1
         path = f"{self.root}/{self._n}"
         before = self.spark.conf.get(CLEANUP)
+        if not shuffles:
+            self.spark.conf.set(CLEANUP, "true")
         try:
-            if not shuffles:
-                self.spark.conf.set(CLEANUP, "true")
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            if not shuffles:
+                self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_path = path
         return out
