@@ -320,6 +320,34 @@ def test_samples_have_every_pixel(spark):
     assert got[0] == [[1.0, 3.0], [4.0, 6.0]] and got[1] == [[5.0, 7.0], [None, 10.0]]
 
 
+def test_tile_samples_have_both_scalings(spark):
+    from conftest import SF0001
+    from gridspark.plans import catalog
+    from gridspark.sources import fixtures
+    grid_rows = {(r["time"], r["y"], r["x"]): r["p"] for r in fixtures.pair_daily(spark, SF0001).collect()}
+    lo, hi = min(grid_rows.values()), max(grid_rows.values())
+    seen = 0
+    for r in catalog.q_tile_samples(spark, SF0001).collect():
+        for at, (scaled, standard) in enumerate(zip(r["x_minmax"].split(","), r["x_sample"].split(","))):
+            key = (r["time"], r["tile_id"] // 2 * 2 + at // 2, r["tile_id"] % 2 * 2 + at % 2)
+            assert (scaled == "none") == (standard == "none") == (key not in grid_rows)
+            if key in grid_rows:
+                assert int(scaled) == pytest.approx(1000 * (grid_rows[key] - lo) / (hi - lo), abs=0.501)
+                seen += 1
+    assert seen == len(grid_rows)
+
+
+def test_sample_set_has_planes_for_each_scaling(spark):
+    d = plane(spark, n=4).select("time", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "v", (-2 * F.col("v")).alias("w"))
+    both = grid.sample_set(d, ["v", "w"], 2, target="v", scaling=["standard", "minmax"], anomalies=False).collect()
+    for kind, at in (("standard", 0), ("minmax", 2)):
+        one = grid.sample_set(d, ["v", "w"], 2, target="v", scaling=kind, anomalies=False).collect()
+        assert {r["tile_id"]: (r["x_sample"], r["y_sample"]) for r in one} == {
+            r["tile_id"]: (r["x_sample"][at:at + 2], r["y_sample"]) for r in both}
+    flat = [v for r in both for line in r["x_sample"][2] for v in line]
+    assert len(flat) == 16 and min(flat) == 0 and max(flat) == 1
+
+
 def test_ranks_do_not_hang_on_the_buckets(spark):
     rows = [(dt.datetime(2020, 1, 1) + dt.timedelta(hours=h), 0, 0, float(h)) for h in range(0, 500, 3)]
     df = spark.createDataFrame(rows, "time timestamp_ntz, y int, x int, v double")
